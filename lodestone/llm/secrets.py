@@ -341,11 +341,12 @@ def secret_scan(df: DataFrame, key: str, text: str, rules: tuple[Rule, ...] = BA
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan(table(spark, sf_dir, "documents"), "doc_id", "text")
     base = [r.kind for r in BASE_RULES]
+    of = lambda *kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
     shown = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     return found.select(
         "doc_id",
-        *[F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in base],
-        F.sha2(shown(F.filter("spans", lambda s: s["kind"].isin(base))), 256).alias("base_sha256"),
+        *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in base],
+        F.sha2(shown(of(*base)), 256).alias("base_sha256"),
         shown(F.col("spans")).alias("spans"),
     )
 
