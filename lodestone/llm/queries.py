@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import secrets, token_counts
+from lodestone.llm import decontaminate, licenses, packing, secrets, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts.query,
+    "op4_decontaminate": decontaminate.query,
+    "op5_packing": packing.query,
+    "op6_license_scan": licenses.query,
     "op8_secret_scan": secrets.query,
+    "op10_toxicity": toxicity.query,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op4_decontaminate": decontaminate.SQL,
 }
-ORACLE_SQL: dict[str, str] = {}
