@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import decontaminate, licenses, packing, secrets, token_counts, toxicity
+from lodestone.llm import decontaminate, licenses, packing, secrets, simhash, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts.query,
+    "op3_simhash": simhash.query,
     "op4_decontaminate": decontaminate.query,
     "op5_packing": packing.query,
     "op6_license_scan": licenses.query,

@@ -1,6 +1,7 @@
 """Toxicity scores by a convolutional text classifier trained in numpy.
 
-Words are hashed to rows of an embedding table; filters of several widths slide over the
+Words and their first letters are hashed to rows of an embedding table, and a word is the sum of
+its rows, so that unseen forms of a known stem are recognised; filters of several widths slide over the
 embedded words, each keeps its greatest response anywhere in the text, and a logistic layer joins
 them. Training starts from embeddings whose first component is a word's shrunken association
 with the label. A threshold is set per language, the language being guessed from the text's own
@@ -28,7 +29,10 @@ from pyspark.sql import types as T
 
 from lodestone.llm.common import as_bytes, map_columns, table, words_of
 
-BUCKETS, WIDTH, FILTERS, SPANS = 1 << 16, 8, 8, (1, 2, 3)
+BUCKETS, WIDTH, FILTERS, SPANS = 1 << 18, 8, 8, (1, 2, 3)
+#: Bytes of the beginnings of a word that are hashed beside it, and buckets per word.
+BEGINNINGS = (4, 5, 6)
+KEYS = 1 + len(BEGINNINGS)
 #: At most this many labelled rows teach the classifier.
 MAX_ROWS = 6_000
 #: Words scored at a time, whatever the length of a text.
@@ -45,19 +49,19 @@ LANGUAGES = ("", *FUNCTION_WORDS)
 _LANGUAGE = {w.encode(): i for i, words in enumerate(FUNCTION_WORDS.values(), 1) for w in words.split()}
 
 
-def hashed(words: list[bytes], known: dict[bytes, int], buckets: int) -> np.ndarray:
-    """Bucket of each word, from 1; ``known`` remembers some."""
-    if len(known) > 300_000:
+def hashed(words: list[bytes], known: dict[bytes, bytes], buckets: int) -> np.ndarray:
+    """Buckets of each word and of its beginnings, from 1, one row per word; ``known`` remembers some."""
+    if len(known) > 150_000:
         known.clear()
     out = []
     for word in words:
-        bucket = known.get(word)
-        if bucket is None:
-            bucket = zlib.crc32(word) % buckets + 1
+        row = known.get(word)
+        if row is None:
+            row = np.array([zlib.crc32(word) % buckets + 1, *(zlib.crc32(word[:n], n) % buckets + 1 for n in BEGINNINGS)], "<i4").tobytes()
             if len(word) <= 64:
-                known[word] = bucket
-        out.append(bucket)
-    return np.array(out, np.int32)
+                known[word] = row
+        out.append(row)
+    return np.frombuffer(b"".join(out), "<i4").reshape(-1, KEYS)
 
 
 def language_of(words: list[bytes]) -> int:
@@ -87,8 +91,8 @@ class Model:
         best = np.zeros(sum(f.shape[2] for f in self.filters), np.float32)
         pad = max(len(f) for f in self.filters) - 1
         for low in range(0, max(1, len(ids)), SLICE):
-            part = np.concatenate([np.zeros(pad, np.int32), ids[max(0, low - pad) : low + SLICE], np.zeros(pad, np.int32)])
-            rows = self.table[part]
+            part = np.concatenate([_blank(pad), ids[max(0, low - pad) : low + SLICE], _blank(pad)])
+            rows = self.table[part].sum(1)
             np.maximum(best, np.concatenate([_convolved(rows, f, b).max(0) for f, b in zip(self.filters, self.biases, strict=True)]), out=best)
         return best
 
@@ -100,12 +104,12 @@ class Model:
         size = 0
 
         def flush() -> None:
-            pieces, starts, at = [np.zeros(pad, np.int32)], [], 0
+            pieces, starts, at = [_blank(pad)], [], 0
             for i in batch:
                 starts.append(at)
-                pieces += [docs[i], np.zeros(pad, np.int32)]
+                pieces += [docs[i], _blank(pad)]
                 at += len(docs[i]) + pad
-            rows = self.table[np.concatenate(pieces)]
+            rows = self.table[np.concatenate(pieces)].sum(1)
             pooled = []
             for f, b in zip(self.filters, self.biases, strict=True):
                 values = _convolved(rows, f, b)
@@ -132,6 +136,10 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(shifted, -500, 500)))
 
 
+def _blank(n: int) -> np.ndarray:
+    return np.zeros((n, KEYS), np.int32)
+
+
 def _convolved(rows: np.ndarray, filters: np.ndarray, bias: np.ndarray) -> np.ndarray:
     """Responses at each place where the filter's words all lie within ``rows``."""
     n = len(rows) - len(filters) + 1
@@ -194,8 +202,8 @@ def _descend(model: Model, docs: list[np.ndarray], labels: np.ndarray, epochs: i
             out_grad, bias_grad = np.zeros(model.out.shape, np.float32), 0.0
             moves = []
             for i in some:
-                ids = np.concatenate([np.zeros(pad, np.int32), docs[i], np.zeros(pad, np.int32)])
-                rows = model.table[ids]
+                ids = np.concatenate([_blank(pad), docs[i], _blank(pad)])
+                rows = model.table[ids].sum(1)
                 places, best = [], []
                 for f, b in zip(model.filters, model.biases, strict=True):
                     values = _convolved(rows, f, b)
@@ -213,7 +221,7 @@ def _descend(model: Model, docs: list[np.ndarray], labels: np.ndarray, epochs: i
                     for j in range(span):
                         at = places[k] + j
                         grads[k][j] += rows[at].T * g
-                        moves.append((ids[at], model.filters[k][j].T * g[:, None]))
+                        moves.append((ids[at].ravel(), np.repeat(model.filters[k][j].T * g[:, None], KEYS, 0)))
             n = len(some)
             for p, s, g in zip([*params, model.out], [*sums, out_sum], [*grads, out_grad], strict=True):
                 g /= n
@@ -257,7 +265,7 @@ def fitted(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: s
     rows = texts.join(F.broadcast(known), "k")  # at most max_rows rows
 
     def make():
-        memory: dict[bytes, int] = {}
+        memory: dict[bytes, bytes] = {}
 
         def fn(batch: pa.Array) -> list[pa.Array]:
             words = [words_of(x) for x in as_bytes(batch)]
@@ -267,7 +275,7 @@ def fitted(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: s
 
     schema = T.StructType([T.StructField("ids", T.BinaryType(), False), T.StructField("language", T.IntegerType(), False)])
     got = map_columns(rows, [F.col("k"), F.col("y")], [F.col("t")], make, schema).dropDuplicates(["c0"]).toPandas().sort_values("c0")
-    docs = [np.frombuffer(x, np.int32) for x in got["ids"]]
+    docs = [np.frombuffer(x, "<i4").reshape(-1, KEYS) for x in got["ids"]]
     return trained(docs, got["c1"].to_numpy(), got["language"].to_numpy())
 
 
@@ -279,7 +287,7 @@ def scored(df: DataFrame, carry: list[Column], text: str, model: Model) -> DataF
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     def make() -> Callable[[pa.Array], list[pa.Array]]:
-        memory: dict[bytes, int] = {}
+        memory: dict[bytes, bytes] = {}
 
         def fn(texts: pa.Array) -> list[pa.Array]:
             words = [words_of(x) for x in as_bytes(texts)]
