@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import decontaminate, licenses, packing, secrets, simhash, token_counts, toxicity
+from lodestone.llm import decontaminate, licenses, line_dedup, packing, secrets, simhash, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts.query,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontaminate": decontaminate.query,
     "op5_packing": packing.query,
     "op6_license_scan": licenses.query,
+    "op7_line_dedup": line_dedup.query,
     "op8_secret_scan": secrets.query,
     "op10_toxicity": toxicity.query,
 }
