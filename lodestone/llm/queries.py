@@ -6,18 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import decontaminate, licenses, line_dedup, packing, secrets, simhash, token_counts, toxicity
+from lodestone.llm import decontaminate, licenses, line_dedup, packing, secrets, simhash, token_counts, topk, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts.query,
+    "op2_topk_search": topk.query,
     "op3_simhash": simhash.query,
     "op4_decontaminate": decontaminate.query,
     "op5_packing": packing.query,
     "op6_license_scan": licenses.query,
     "op7_line_dedup": line_dedup.query,
     "op8_secret_scan": secrets.query,
+    "op9_warc": warc.query,
     "op10_toxicity": toxicity.query,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op2_topk_search": topk.SQL,
     "op4_decontaminate": decontaminate.SQL,
+    "op9_warc": warc.SQL,
 }
