@@ -82,18 +82,26 @@ def linked(nodes: DataFrame) -> DataFrame:
     first = checkpoint(first.withColumnsRenamed({"node": "fp", "component": "label"}))
     sizes = first.groupBy("label").agg(F.count("*").alias("size"))
     tied = nodes.select("fp").join(first.join(sizes, "label"), "fp", "left")
-    tied = checkpoint(tied.select("fp", F.coalesce("label", "fp").alias("label"), F.coalesce("size", F.lit(1)).alias("size")))
+    # small rows, but each has dozens of variants: spread them over all tasks
+    spread = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tied = checkpoint(tied.select("fp", F.coalesce("label", "fp").alias("label"), F.coalesce("size", F.lit(1)).alias("size")).repartition(spread, "fp"))
     wiped = [
         _key(32 * i + bit, _segment(i).bitwiseAND(F.lit(~(1 << bit)).cast("long")))
         for i, (_, bits) in enumerate(SEGMENTS)
         for bit in range(bits)
     ]
     variants = tied.select("fp", "label", "size", F.explode(F.array(*wiped)).alias("key"))
-    mixed = variants.groupBy("key").agg(F.max(F.struct("size", "label")).alias("most"), F.min("label").alias("low"), F.max("label").alias("high"))
-    mixed = mixed.where("low != high").select("key", F.col("most.label").alias("most"))
+    held = variants.groupBy("key").agg(
+        F.count("*").alias("n"), F.min("fp").alias("fp"), F.max("fp").alias("fp2"), F.min("label").alias("label"), F.max("label").alias("label2"), F.max(F.struct("size", "label")).alias("most")
+    )
+    held = checkpoint(held.where("label != label2 and (n > 2 or bit_count(fp ^ fp2) <= " + str(DISTANCE) + ")"))
+    # a bucket of two is a pair already; larger ones are joined
+    pairs = held.where("n = 2").select("label", "label2")
+    mixed = held.where("n > 2").select("key", F.col("most.label").alias("most"))
     rows = variants.select("key", "fp", "label")
     apart = rows.join(mixed, "key").where("label != most").select("key", F.col("fp").alias("fp2"), F.col("label").alias("label2"))
-    links = rows.join(apart, "key").where((F.col("label") != F.col("label2")) & _near("fp", "fp2")).select("label", "label2").distinct()
+    links = rows.join(apart, "key").where((F.col("label") != F.col("label2")) & _near("fp", "fp2")).select("label", "label2")
+    links = links.unionByName(pairs).distinct()
     second = components(links, "label", "label2")
     both = first.join(second, F.col("label") == F.col("node"), "left").select("fp", F.coalesce("component", "label").alias("component"))
     alone = second.join(first, F.col("node") == F.col("fp"), "left_anti").select(F.col("node").alias("fp"), "component")
