@@ -29,10 +29,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their repeated lines; those of which no word is left go."""
-    cut = line_dedup.deduplicated(docs.withColumn("text_before", F.col("text")), "doc_id", "text")
+    flag = "changed"
+    while flag in docs.columns:
+        flag += "_"
+    cut = line_dedup.deduplicated(docs, "doc_id", "text", changed=flag)
     word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
-    kept = cut.where((F.col("text_before") == F.col("text")) | F.col("text_before").isNull() | F.col("text").rlike(word))
-    size = F.when(F.col("text") == F.col("text_before"), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    kept = cut.where(~F.col(flag) | F.col("text").rlike(word))
+    size = F.when(F.col(flag), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return kept.withColumn("n_chars", size).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -1,243 +1,541 @@
 """Line deduplication by an exact set-similarity join.
 
-A line is the set of its words. It is removed if some earlier line, by (key, line number), has a
-Jaccard similarity of ``THRESHOLD`` or more with it, whether or not that line is removed itself.
+A line is the set of its tokens, the shingles of ``SHINGLE`` words (a shorter line is one token). It is removed
+if some earlier line, by (key, line number), has a Jaccard similarity of ``THRESHOLD`` or more with it, whether or not
+that line is removed itself.
 
-Words are ordered by rarity: a table of ``COUNTERS`` hashed counters, summed over all lines, is sent
-to executors, its size fixed; words that share a counter only make the order less sharp, not the join
-less exact. Two similar lines share a word of their prefixes, so prefix words are the join key; length,
-positional and bitmap filters cut candidates, and the words themselves decide. A line whose prefix
-words all have a count of 1 is alone and leaves at once. Equal sets are one entry, kept by its first line.
+Tokens are ordered by rarity: first by the least count among their words, from a table of ``COUNTERS`` hashed counters
+summed over all lines and sent to executors (its size is fixed), then by hash. Similar lines share a token of their
+prefixes, so prefix tokens are the join key. Their entries travel as packed columns, one block per task and cell of the
+token space. Within a cell length, positional and bitmap filters leave few pairs, and the words of both lines decide.
+Equal sets are one entry per task, and one per token after the shuffle.
 
-Each prefix word's lines first meet the earliest line of that word alone; only lines that this
-does not remove look for other partners. So a large group of similar lines takes linear work.
+Among more than ``SMALL`` different lines with one token, a line is first paired with the earliest alone; those that the
+words then clear are searched again against all. So a large group of similar lines takes linear work, and
+no pair is lost. Tokens whose words are all so frequent that more than ``HOT`` lines may share one are dealt to a
+grid of cells, each with two parts of their lines.
 
 Defined cases: lines are parted by a line feed; lines without words stay; null texts stay null; null keys
 come after all others; rows that share key and line number are neither earlier nor later than each
 other, so both stay unless an earlier line removes them; an empty table gives no rows; extra columns pass through.
+Keys are integers.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from lodestone.llm.common import as_bytes, map_columns, table, words_of, written
+from lodestone.llm.common import WORD_TABLE, as_bytes, table, words_of, written
 
-THRESHOLD = 0.8
+THRESHOLD, SHINGLE = 0.8, 5
 COUNTERS, SLICE = 1 << 20, 1 << 12
+SMALL, HOT = 64, 1_000_000
+#: Bytes of text worked on at a time, entries that a task gathers before it sends them, entries in a cell.
+PIECE, GATHER, CELL = 1 << 20, 1_000_000, 500_000
 #: Null keys are ordered after all others.
 LAST = (1 << 63) - 1
 
-_LINES = "key long, line int, sig binary, words string, part int, counts binary"
-_PREFIX = "word long, sig binary, n int, pos int, key long, line int, b1 long, b2 long"
-
-
-def _word_hash(word: bytes, known: dict[bytes, int]) -> int:
-    value = known.get(word)
-    if value is None:
-        if len(known) > 300_000:
-            known.clear()
-        value = xxhash.xxh64_intdigest(word)
-        if len(word) <= 64:
-            known[word] = value
-    return value
-
-
-def _lines(df: DataFrame, key: str, text: str) -> DataFrame:
-    """A row per line with words, and rows with each task's counts of words (part not null)."""
-
-    def run(batches):
-        known: dict[bytes, int] = {}
-        get, counts = known.get, np.zeros(COUNTERS, np.uint32)
+_TABLE = np.frombuffer(WORD_TABLE, np.uint8)
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+#: A token is a rarity level (6 bits) and a hash; with a line's number in a piece it fits 64 bits.
+_TOKEN_BITS, _HASH_BITS = 44, 38
+_FIELDS = {"token": "<u8", "key": "<i8", "twin": "<i8", "line": "<u4", "n": "<u4", "pos": "<u4", "sig": "<u8", "b1": "<u8", "b2": "<u8"}
+_ROW = pa.schema([("kind", pa.int32()), ("cell", pa.int64()), ("block", pa.binary())])
+_FOUND = "kind int, key long, twin long, line int, key2 long, twin2 long, line2 int"
+GONE, PAIR, FIRST_PAIR = 0, 1, 2
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(29))
+
+
+class _Powers:
+    """Powers of the hash base and of its inverse, as far as they have been needed."""
+
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            size = max(n, PIECE + (PIECE >> 3))
+            for name, base in (("up", _BASE), ("down", _INVERSE)):
+                steps = np.full(size, base, np.uint64)
+                steps[0] = 1
+                setattr(self, name, np.cumprod(steps))
+        return self.up[:n], self.down[:n]
+
+
+class Piece:
+    """Words of some whole lines: hash and line of each; key, twin and number of each line."""
+
+    def __init__(self, raw: np.ndarray, starts: np.ndarray, keys: np.ndarray, twins: np.ndarray, lines: np.ndarray, powers: _Powers) -> None:
+        n = len(raw)
+        text = _TABLE[raw]
+        word = np.zeros(n + 1, bool)
+        word[:n] = text != 32
+        begins = np.zeros(n + 1, bool)
+        begins[starts] = True
+        begins[n] = True
+        first = word[:n].copy()
+        first[1:] &= ~word[: n - 1] | begins[1:n]
+        last = word[:n] & (~word[1:] | begins[1:])
+        at, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+        up, down = powers.of(n)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum((text.astype(np.uint64) + np.uint64(1)) * up, out=sums[1:])
+        self.words = _mixed((sums[end] - sums[at]) * down[at])
+        feeds = np.zeros(n + 1, np.int64)
+        np.cumsum(raw == 10, out=feeds[1:])
+        doc = np.searchsorted(starts, at, "right") - 1
+        number = feeds[at] - feeds[starts[doc]] + lines[doc]
+        new = np.ones(len(at), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (number[1:] != number[:-1])
+        self.new = new
+        self.of = np.cumsum(new) - 1
+        self.key, self.twin, self.line = keys[doc[new]], twins[doc[new]], number[new].astype(np.int64)
+
+    def tokens(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted distinct tokens of each line, and the line of each."""
+        h, of, m = self.words, self.of, len(self.words)
+        held = counts[(h & np.uint64(COUNTERS - 1)).view(np.int64)].astype(np.int64)
+        token, least = _mixed(h + np.uint64(SHINGLE)), held.copy()
+        whole = np.zeros(m, bool)
+        for k in range(1, SHINGLE):
+            part = np.full(m, np.uint64(k), np.uint64)
+            inside = np.zeros(m, bool)
+            if m > k:
+                inside[:-k] = of[k:] == of[:-k]
+                part[:-k][inside[:-k]] = h[k:][inside[:-k]]
+                np.minimum(least[:-k], held[k:], out=least[:-k], where=inside[:-k])
+            token = _mixed(token * np.uint64(_BASE) + part)
+            whole = inside
+        keep = whole | self.new  # the first word of a shorter line stands for all of it
+        level = np.minimum(63, np.floor(np.log2(least[keep] + 1))).astype(np.uint64)
+        value = (level << np.uint64(_HASH_BITS)) | (token[keep] >> np.uint64(64 - _HASH_BITS))
+        both = (of[keep].astype(np.uint64) << np.uint64(_TOKEN_BITS)) | value
+        both = np.unique(both)
+        return both & np.uint64((1 << _TOKEN_BITS) - 1), (both >> np.uint64(_TOKEN_BITS)).view(np.int64)
+
+
+def _pieces(batch: pa.RecordBatch, powers: _Powers) -> Iterator[Piece]:
+    """A batch of (key, twin, text, first line number) in pieces of about ``PIECE`` bytes; a longer text is cut at line feeds."""
+    column = batch.column(2).cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    raw = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] else np.zeros(0, np.uint8)
+    keys, twins, firsts = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (0, 1, 3))
+    i, n = 0, len(column)
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + PIECE, "right")) - 1)
+        low, high = int(offsets[i]), int(offsets[j])
+        if high - low <= 2 * PIECE or j > i + 1:
+            if high > low:
+                yield Piece(raw[low:high], offsets[i:j] - low, keys[i:j], twins[i:j], firsts[i:j], powers)
+        else:
+            line = int(firsts[i])
+            while low < high:
+                end = high
+                if high - low > PIECE:
+                    feeds = np.flatnonzero(raw[low : low + PIECE] == 10)
+                    if len(feeds):
+                        end = low + int(feeds[-1]) + 1
+                    else:
+                        step = low + PIECE
+                        while step < high and not (found := np.flatnonzero(raw[step : step + PIECE] == 10)).size:
+                            step += PIECE
+                        end = min(high, step + int(found[0]) + 1) if step < high else high
+                yield Piece(raw[low:end], np.zeros(1, np.int64), keys[i : i + 1], twins[i : i + 1], np.full(1, line), powers)
+                line += int((raw[low:end] == 10).sum())
+                low = end
+        i = j
+
+
+def _summed(parts: DataFrame, size: int, kind: str) -> np.ndarray:
+    """Rows (part, block) of ``size`` numbers each, added by part; the result's size is fixed by the parts."""
+
+    def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, np.int64)
         for batch in batches:
-            keys, numbers, sigs, sets, hashes = [], [], [], [], []
-            for k, data in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
-                for number, line in enumerate(data.split(b"\n")):
-                    of = {get(w) or _word_hash(w, known): w for w in words_of(line)}
-                    if not of:
-                        continue
-                    order = sorted(of)
-                    raw = np.array(order, np.uint64)
-                    hashes.append(raw)
-                    keys.append(LAST if k is None else k)
-                    numbers.append(number)
-                    sigs.append(xxhash.xxh128_digest(raw.tobytes()))
-                    sets.append(b" ".join([of[h] for h in order]))
-            if hashes:
-                counts += np.bincount((np.concatenate(hashes) & np.uint64(COUNTERS - 1)).view(np.int64), minlength=COUNTERS).astype(np.uint32)
-            n = len(keys)
-            columns = [pa.array(keys, pa.int64()), pa.array(numbers, pa.int32()), pa.array(sigs, pa.binary()), pa.array(sets, pa.binary()).cast(pa.string()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "line", "sig", "words", "part", "counts"])
-        parts = [(i, c.tobytes()) for i, c in enumerate(counts.reshape(-1, SLICE)) if c.any()]
-        n = len(parts)
-        columns = [pa.nulls(n, t) for t in (pa.int64(), pa.int32(), pa.binary(), pa.string())]
-        columns += [pa.array([p for p, _ in parts], pa.int32()), pa.array([c for _, c in parts], pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, names=["key", "line", "sig", "words", "part", "counts"])
-
-    return df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(run, _LINES)
-
-
-def _rarity(lines: DataFrame) -> np.ndarray:
-    """The counters summed over all tasks: always COUNTERS numbers, whatever the input."""
-
-    def add(key: tuple, batches):
-        total = np.zeros(SLICE, np.uint64)
+            for block in batch.column("block"):
+                total += np.frombuffer(block.as_py(), "<u4")
+        clipped = np.minimum(total, 0xFFFFFFFF).astype("<u4").tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int32()), pa.array([clipped], pa.binary())], names=["part", "salt", "block"])
+
+    schema = "part int, salt int, block binary"
+    half = parts.select("part", (F.crc32("block") % 16).cast("int").alias("salt"), "block").groupBy("part", "salt").applyInArrow(add, schema)
+    whole = half.select("part", F.lit(0).alias("salt"), "block").groupBy("part", "salt").applyInArrow(add, schema)
+    rows = whole.collect()
+    out = np.zeros((max((r.part for r in rows), default=-1) + 1, size), np.uint32)
+    for row in rows:
+        out[row.part] = np.frombuffer(row.block, "<u4")
+    return out
+
+
+def word_counts(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """The table of word counters over all lines, and the number of words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers, counts = _Powers(), np.zeros(COUNTERS, np.int64)
         for batch in batches:
-            for raw in batch.column("counts"):
-                total += np.frombuffer(raw.as_buffer(), np.uint32)
-        clipped = np.minimum(total, 0xFFFFFFFF).astype(np.uint32)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int32()), pa.array([clipped.tobytes()], pa.binary())], names=["part", "salt", "counts"])
-
-    parts = lines.where("part is not null").select("part", (F.crc32("counts") % 16).cast("int").alias("salt"), "counts")
-    half = parts.groupBy("part", "salt").applyInArrow(_streamed(add), "part int, salt int, counts binary")
-    whole = half.select("part", F.lit(0).alias("salt"), "counts").groupBy("part", "salt").applyInArrow(_streamed(add), "part int, salt int, counts binary")
-    out = np.zeros((COUNTERS // SLICE, SLICE), np.uint32)
-    for row in whole.collect():
-        out[row.part] = np.frombuffer(row.counts, np.uint32)
-    return out.ravel()
-
+            for piece in _pieces(batch, powers):
+                counts += np.bincount((piece.words & np.uint64(COUNTERS - 1)).view(np.int64), minlength=COUNTERS)
+        kept = [(i, c.astype("<u4").tobytes()) for i, c in enumerate(counts.reshape(-1, SLICE)) if c.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in kept], pa.int32()), pa.array([c for _, c in kept], pa.binary())], names=["part", "block"])
+
+    got = _summed(docs.mapInArrow(run, "part int, block binary"), SLICE, "counts")
+    counts = np.zeros((COUNTERS // SLICE, SLICE), np.uint32)
+    counts[: len(got)] = got
+    return counts.ravel(), int(counts.sum(dtype=np.int64))
+
+
+def _needed(n: np.ndarray, m: np.ndarray, threshold: float) -> np.ndarray:
+    """Common tokens that sets of n and m tokens need for the threshold."""
+    return np.ceil((n + m) * (threshold / (1 + threshold)) - 1e-9)
+
+
+def entries(piece: Piece, counts: np.ndarray, threshold: float) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Prefix entries of a piece's lines, and the (key, twin, line) of lines that equal an earlier one of the piece."""
+    token, of = piece.tokens(counts)
+    if not len(token):
+        return {name: np.zeros(0, kind) for name, kind in _FIELDS.items()}, np.zeros((0, 3), np.int64)
+    start = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+    n = np.diff(np.r_[start, len(of)])
+    mixed = _mixed(token + np.uint64(1))
+    bit = mixed & np.uint64(127)
+    one = np.uint64(1) << (bit & np.uint64(63))
+    b1 = np.bitwise_or.reduceat(np.where(bit < 64, one, np.uint64(0)), start)
+    b2 = np.bitwise_or.reduceat(np.where(bit < 64, np.uint64(0), one), start)
+    sig = np.add.reduceat(_mixed(mixed), start)
+    order = np.lexsort((piece.line, piece.twin, piece.key, n, sig))
+    head = np.r_[True, (sig[order][1:] != sig[order][:-1]) | (n[order][1:] != n[order][:-1])]
+    lead = order[np.flatnonzero(head)[np.cumsum(head) - 1]]
+    later = (piece.key[order] != piece.key[lead]) | (piece.line[order] != piece.line[lead])
+    gone = order[later]
+    leads = np.zeros(len(n), bool)
+    leads[order[head]] = True
+    pos = np.arange(len(of)) - np.repeat(start, n)
+    prefix = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
+    keep = (pos < prefix[of]) & leads[of]
+    line = of[keep]
+    values = {"token": token[keep], "key": piece.key[line], "twin": piece.twin[line], "line": piece.line[line], "n": n[line], "pos": pos[keep], "sig": sig[line], "b1": b1[line], "b2": b2[line]}
+    return {name: values[name].astype(kind) for name, kind in _FIELDS.items()}, np.column_stack([piece.key[gone], piece.twin[gone], piece.line[gone]])
+
+
+def _packed(columns: dict[str, np.ndarray]) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(columns[name].astype(kind).tobytes() for name, kind in _FIELDS.items()))
+
+
+def _unpacked(blocks: list[bytes]) -> dict[str, np.ndarray]:
+    parts = []
+    width = sum(np.dtype(kind).itemsize for kind in _FIELDS.values())
+    for block in blocks:
+        raw, at, part = zstandard.ZstdDecompressor().decompress(block), 0, {}
+        n = len(raw) // width
+        for name, kind in _FIELDS.items():
+            part[name] = np.frombuffer(raw, kind, n, at)
+            at += n * np.dtype(kind).itemsize
+        parts.append(part)
+    return {name: np.concatenate([p[name] for p in parts]) if parts else np.zeros(0, kind) for name, kind in _FIELDS.items()}
+
+
+def _dealt(columns: dict[str, np.ndarray], cells: int, hot: int) -> Iterator[tuple[int, bytes]]:
+    """Blocks of entries by cell. Tokens that may be hot go to every cell of a grid that holds their line's part."""
+    # the level bounds how many lines share a token: its rarest word occurs less than 2^(level + 1) times
+    most = np.float64(2.0) ** ((columns["token"] >> np.uint64(_HASH_BITS)).astype(float) + 1)
+    parts = np.maximum(1, np.ceil(most / (2 * hot))).astype(np.int64)
+    cell = (_mixed(columns["token"]) % np.uint64(cells)).astype(np.int64)
+    plain = np.flatnonzero(parts == 1)
+    rows, at = [plain], [cell[plain]]
+    for i in np.flatnonzero(parts > 1).tolist():
+        own, count = int(columns["sig"][i] % np.uint64(parts[i])), int(parts[i])
+        for other in range(count):
+            low, high = min(own, other), max(own, other)
+            rows.append(np.array([i]))
+            at.append(np.array([cells + (int(cell[i]) * 1_000_003 + low * 8191 + high) % (cells * count)]))
+    row, at_ = np.concatenate(rows), np.concatenate(at)
+    order = np.lexsort((columns["key"][row], at_))
+    row, at_ = row[order], at_[order]
+    for some in np.split(np.arange(len(row)), np.flatnonzero(np.diff(at_)) + 1):
+        if len(some):
+            yield int(at_[some[0]]), _packed({name: columns[name][row[some]] for name in _FIELDS})
+
+
+def _blocks(docs: DataFrame, counts, cells: int, threshold: float, hot: int, *, probe: bool = False, only=None) -> DataFrame:
+    """Rows (kind, cell, block): entries (kind 0, or 1 for probes) and lines gone already (kind 2)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers, gathered, held = _Powers(), [], 0
+
+        def rows(blocks: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([b[0] for b in blocks], pa.int32()), pa.array([b[1] for b in blocks], pa.int64()), pa.array([b[2] for b in blocks], pa.binary())], schema=_ROW)
+
+        def sent() -> pa.RecordBatch:
+            columns = {name: np.concatenate([g[name] for g in gathered]) for name in _FIELDS}
+            gathered.clear()
+            return rows([(int(probe), cell, block) for cell, block in _dealt(columns, cells, hot)])
 
-def _streamed(fn):
-    """``fn`` with the annotations by which applyInArrow hands it a group batch by batch."""
-    from collections.abc import Iterator
-
-    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from fn(key, batches)
+        for batch in batches:
+            for piece in _pieces(batch, powers):
+                found, gone = entries(piece, counts.value, threshold)
+                if only is not None:
+                    keep = only.value[(_mixed(found["token"]) & np.uint64(_MARKS - 1)).view(np.int64)]
+                    found = {name: c[keep] for name, c in found.items()}
+                elif len(gone) and not probe:
+                    yield rows([(2, -1 - int(piece.key[0] % 997), gone.astype("<i8").tobytes())])
+                if len(found["token"]):
+                    gathered.append(found)
+                    held += len(found["token"])
+                if held >= GATHER:
+                    yield sent()
+                    held = 0
+        if gathered:
+            yield sent()
+
+    return docs.mapInArrow(run, "kind int, cell long, block binary")
+
+
+_MARKS = 1 << 20
+
+
+def _passes(x: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether entries a (later lines) and b (earlier ones) of one token pass all filters that need no words."""
+    n, m = x["n"][a].astype(np.int64), x["n"][b].astype(np.int64)
+    need = _needed(n, m, threshold)
+    ok = (np.minimum(n - x["pos"][a], m - x["pos"][b]) >= need) & (np.minimum(n, m) >= threshold * np.maximum(n, m) - 1e-9)
+    ok &= (x["key"][a] != x["key"][b]) | (x["line"][a] != x["line"][b])
+    a1, a2, b1, b2 = x["b1"][a], x["b2"][a], x["b1"][b], x["b2"][b]
+    ok &= n - np.bitwise_count(a1 & ~b1).astype(np.int64) - np.bitwise_count(a2 & ~b2) >= need
+    return ok & (m - np.bitwise_count(b1 & ~a1).astype(np.int64) - np.bitwise_count(b2 & ~a2) >= need)
+
+
+def joined(x: dict[str, np.ndarray], threshold: float, small: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a cell's entries: rows gone as equal sets; later and earlier rows of pairs; whether the pair is only the first."""
+    order = np.lexsort((x["twin"], x["line"], x["key"], x["n"], x["sig"], x["token"]))
+    s = {name: c[order] for name, c in x.items()}
+    same = np.zeros(len(order), bool)
+    same[1:] = (s["token"][1:] == s["token"][:-1]) & (s["sig"][1:] == s["sig"][:-1]) & (s["n"][1:] == s["n"][:-1])
+    lead = np.flatnonzero(~same)[np.cumsum(~same) - 1] if len(order) else order
+    gone = order[same & (s["pos"] == 0) & ((s["key"] != s["key"][lead]) | (s["line"] != s["line"][lead]))]
+    rows = order[~same]
+    rows = rows[np.lexsort((x["line"][rows], x["key"][rows], x["token"][rows]))]
+    token = x["token"][rows]
+    start = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if len(rows) else np.zeros(0, np.int64)
+    size = np.diff(np.r_[start, len(rows)])
+    many = size > 1
+    keep = np.repeat(many, size)
+    rows, size = rows[keep], size[many]
+    if not len(rows):
+        none = np.zeros(0, np.int64)
+        return gone, none, none, np.zeros(0, bool)
+    start = np.r_[0, np.cumsum(size)[:-1]]
+    first, of_size = np.repeat(start, size), np.repeat(size, size)
+    at = np.arange(len(rows)) - first
+    large = of_size > small
+    firsts = np.flatnonzero(large & (at > 0))
+    firsts = firsts[_passes(x, rows[firsts], rows[first[firsts]], threshold)]
+    settled = np.zeros(len(rows), bool)
+    settled[firsts] = True
+    later, earlier = [rows[firsts]], [rows[first[firsts]]]
+    open_ = np.flatnonzero(~settled & (at > 0))
+    back = 1
+    while len(open_):
+        ok = _passes(x, rows[open_], rows[open_ - back], threshold)
+        later.append(rows[open_[ok]])
+        earlier.append(rows[open_[ok] - back])
+        back += 1
+        open_ = open_[at[open_] >= back]
+    a, b = np.concatenate(later), np.concatenate(earlier)
+    return gone, a, b, np.arange(len(a)) < len(firsts)
+
+
+def _probed(x: dict[str, np.ndarray], probe: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Later and earlier rows of the pairs of each probe with every entry of its token, probes' own rows aside."""
+    plain = np.flatnonzero(~probe)
+    plain = plain[np.argsort(x["token"][plain], kind="stable")]
+    tokens = x["token"][plain]
+    later, earlier = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i in np.flatnonzero(probe).tolist():
+        b = plain[np.searchsorted(tokens, x["token"][i], "left") : np.searchsorted(tokens, x["token"][i], "right")]
+        b = b[(x["key"][b] < x["key"][i]) | ((x["key"][b] == x["key"][i]) & (x["line"][b] < x["line"][i]))]
+        b = b[x["sig"][b] != x["sig"][i]]
+        a = np.full(len(b), i)
+        ok = _passes(x, a, b, threshold)
+        later.append(a[ok])
+        earlier.append(b[ok])
+    return np.concatenate(later), np.concatenate(earlier)
+
+
+def _matched(blocks: DataFrame, threshold: float, small: int) -> DataFrame:
+    """Rows of ``_FOUND``: lines gone and pairs to verify."""
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds, raws = [], []
+        for batch in batches:
+            kinds += batch.column("kind").to_pylist()
+            raws += batch.column("block").to_pylist()
+        names = ["kind", "key", "twin", "line", "key2", "twin2", "line2"]
+        types = [pa.int32(), pa.int64(), pa.int64(), pa.int32()] + [pa.int64(), pa.int64(), pa.int32()]
+
+        def out(kind: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+            columns = [kind, *a.T, *b.T]
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)).cast(t) for c, t in zip(columns, types, strict=True)], names=names)
+
+        local = [np.frombuffer(r, "<i8").reshape(-1, 3) for k, r in zip(kinds, raws, strict=True) if k == 2]
+        for part in local:
+            yield out(np.full(len(part), GONE), part, np.zeros_like(part))
+        blocks_ = [(k, r) for k, r in zip(kinds, raws, strict=True) if k < 2]
+        if not blocks_:
+            return
+        place = lambda x, i: np.column_stack([x["key"][i], x["twin"][i], x["line"][i].astype(np.int64)])
+        plain, probes = ([r for k, r in blocks_ if k == want] for want in (0, 1))
+        if probes:
+            parts = [_unpacked(plain), _unpacked(probes)]
+            x = {name: np.concatenate([p[name] for p in parts]) for name in _FIELDS}
+            probe = np.arange(len(x["key"])) >= len(parts[0]["key"])
+            a, b = _probed(x, probe, threshold)
+            yield out(np.full(len(a), PAIR), place(x, a), place(x, b))
+            return
+        x = _unpacked(plain)
+        gone, a, b, first = joined(x, threshold, small)
+        yield out(np.full(len(gone), GONE), place(x, gone), np.zeros((len(gone), 3), np.int64))
+        yield out(np.where(first, FIRST_PAIR, PAIR), place(x, a), place(x, b))
+
+    return blocks.groupBy("cell").applyInArrow(run, _FOUND)
+
+
+def shingles(line: bytes) -> set[bytes]:
+    """The tokens of a line: its shingles of words, or all its words if there are fewer."""
+    words = words_of(line)
+    if not words:
+        return set()
+    return {b" ".join(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))}
+
+
+def similar(a: bytes, b: bytes, threshold: float) -> bool:
+    x, y = shingles(a), shingles(b)
+    return len(x & y) >= math.ceil((len(x) + len(y)) * threshold / (1 + threshold) - 1e-9)
+
+
+_PLACE = ["key", "twin", "line"]
+
+
+def _texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Rows (key, twin, line, text) of the lines that pairs name."""
+    asked = pairs.select(*_PLACE).union(pairs.select("key2", "twin2", "line2")).distinct()
+    asked = asked.groupBy("key", "twin").agg(F.collect_set("line").alias("lines"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, twins, lines, texts = [], [], [], []
+            for key, twin, data, asked_ in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2)), batch.column(3).to_pylist(), strict=True):
+                parts = data.split(b"\n")
+                for line in asked_:
+                    if line < len(parts):
+                        keys.append(key)
+                        twins.append(twin)
+                        lines.append(line)
+                        texts.append(parts[line])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(twins, pa.int64()), pa.array(lines, pa.int32()), pa.array(texts, pa.binary())], names=[*_PLACE, "text"])
+
+    met = docs.join(asked, ["key", "twin"]).select("key", "twin", "text", "lines")
+    return written(met.mapInArrow(run, "key long, twin long, line int, text binary").dropDuplicates(_PLACE), "texts")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """The distinct later lines of the pairs whose words confirm the similarity."""
+    two = texts.select(*[F.col(c).alias(f"{c}2") for c in [*_PLACE, "text"]])
+    both = pairs.join(texts, _PLACE).join(two, ["key2", "twin2", "line2"]).select(*_PLACE, "text", "text2")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = [similar(a, b, threshold) for a, b in zip(as_bytes(batch.column(3)), as_bytes(batch.column(4)), strict=True)]
+            yield pa.RecordBatch.from_arrays(batch.columns[:3], names=_PLACE).filter(pa.array(ok, pa.bool_()))
 
-    run.__annotations__ = {"key": tuple[pa.Scalar, ...], "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
-    return run
+    return both.mapInArrow(run, "key long, twin long, line int").distinct()
 
 
-def _prefix(lines: DataFrame, rarity: np.ndarray, threshold: float) -> DataFrame:
-    """Rows of the prefix words of lines that can have partners other than equal sets."""
-    sent = lines.sparkSession.sparkContext.broadcast(rarity)
+def _marks(docs: DataFrame, counts, threshold: float) -> np.ndarray:
+    """A table of fixed size that marks the prefix tokens of ``docs``."""
 
-    def run(batches):
-        counted, known = sent.value, {}
-        get = known.get
-        done: dict[bytes, tuple[int, int]] = {}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers, marks = _Powers(), np.zeros(_MARKS, "<u4")
         for batch in batches:
-            out: list[tuple] = []
-            for k, line, sig, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), as_bytes(batch.column(3)), strict=True):
-                if sig in done and done[sig] <= (k, line):
-                    continue  # an equal line of this task has given the same rows, with an earlier place
-                hashes = np.array([get(w) or _word_hash(w, known) for w in words.split()], np.uint64)
-                n = len(hashes)
-                if n < threshold * (n + 1) - 1e-9:
-                    continue  # not even one word more or less is similar enough
-                counts = counted[(hashes & np.uint64(COUNTERS - 1)).view(np.int64)]
-                order = np.argsort(counts, kind="stable")[: n - math.ceil(threshold * n - 1e-9) + 1]
-                keep = counts[order] > 1
-                if not keep.any():
-                    continue
-                if len(done) > 200_000:
-                    done.clear()
-                done[sig] = (k, line)
-                bits = np.bitwise_or.reduceat(np.concatenate([_BITS[(hashes >> np.uint64(58)).view(np.int64)], _ZERO, _BITS[(hashes >> np.uint64(52) & np.uint64(63)).view(np.int64)]]), [0, n])
-                b1, b2 = bits.view(np.int64).tolist()
-                out += [(w, sig, n, p, k, line, b1, b2) for p, w in zip(np.flatnonzero(keep).tolist(), hashes[order[keep]].view(np.int64).tolist(), strict=True)]
-            kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], names=["word", "sig", "n", "pos", "key", "line", "b1", "b2"])
-
-    rows = lines.where("part is null").select("key", "line", "sig", "words").mapInArrow(run, _PREFIX)
-    return rows.groupBy("word", "sig").agg(F.min(F.struct("key", "line", "n", "pos", "b1", "b2")).alias("x")).select("word", "sig", "x.*")
-
-
-_BITS = np.uint64(1) << np.arange(64, dtype=np.uint64)
-_ZERO = np.zeros(0, np.uint64)
-
-
-def _needed(n: Column, m: Column, threshold: float) -> Column:
-    """Common words that sets of n and m words need for the threshold."""
-    return F.ceil((n + m) * F.lit(threshold / (1 + threshold)) - 1e-9)
-
-
-def _candidate(a: str, b: str, threshold: float) -> Column:
-    """Whether lines a (later) and b (earlier) pass all filters that need no words."""
-    col = lambda side, name: F.col(f"{side}{name}")
-    n, m = col(a, "n"), col(b, "n")
-    need = _needed(n, m, threshold)
-    ahead = 1 + F.least(n - col(a, "pos"), m - col(b, "pos")) - 1
-    most = [col(x, "n") - F.bit_count(col(x, bits).bitwiseAND(F.bitwise_not(col(y, bits)))) for x, y in ((a, b), (b, a)) for bits in ("b1", "b2")]
-    earlier = (col(b, "key") < col(a, "key")) | ((col(b, "key") == col(a, "key")) & (col(b, "line") < col(a, "line")))
-    return earlier & (col(a, "sig") != col(b, "sig")) & (m >= n * threshold - 1e-9) & (n >= m * threshold - 1e-9) & (ahead >= need) & (F.least(*most) >= need)
-
-
-def _named(rows: DataFrame, prefix: str) -> DataFrame:
-    return rows.select("word", *[F.col(c).alias(prefix + c) for c in rows.columns if c != "word"])
-
-
-def _verified(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
-    """The distinct ``asig`` of the pairs (asig, bsig) whose word sets are similar enough."""
-    asked = pairs.select(F.col("asig").alias("sig")).union(pairs.select("bsig")).distinct()
-    sets = lines.where("part is null").select("sig", "words").join(asked, "sig")
-    sets = written(sets.groupBy("sig").agg(F.first("words").alias("words")), "sets")
-    a, b = sets.select(F.col("sig").alias("asig"), F.split("words", " ").alias("a")), sets.select(F.col("sig").alias("bsig"), F.split("words", " ").alias("b"))
-    both = pairs.join(a, "asig").join(b, "bsig")
-    common = F.size(F.array_intersect("a", "b"))
-    return both.where(common >= _needed(F.size("a"), F.size("b"), threshold)).select("asig").distinct()
-
-
-def similar_earlier(lines: DataFrame, threshold: float) -> DataFrame:
-    """The ``sig`` of the sets whose first line has an earlier similar line of other words."""
-    rows = written(_prefix(lines, _rarity(lines), threshold), "prefix")
-    order = ["key", "line", "sig", "n", "pos", "b1", "b2"]
-    hubs = rows.groupBy("word").agg(F.min(F.struct(*order)).alias("h"), F.count("*").alias("held")).where("held > 1")
-    hubs = hubs.select("word", *[F.col(f"h.{c}").alias(f"b{c}") for c in order])
-    later, earlier = _named(rows, "a"), _named(rows, "b")
-    fits = _candidate("a", "b", threshold)
-    near_hub = written(later.join(hubs, "word").where(fits).select("asig", "bsig").distinct(), "candidates")
-    rest = later.join(near_hub.select("asig").distinct(), "asig", "left_anti")
-    others = written(rest.join(earlier, "word").where(fits).select("asig", "bsig").distinct(), "candidates")
-    found = written(_verified(near_hub.union(others), lines, threshold), "similar")
-    missed = written(near_hub.select("asig").distinct().join(found, "asig", "left_anti"), "missed")
-    if not missed.isEmpty():  # the filters let their earliest line pass, its words did not
-        again = later.join(missed, "asig").join(earlier, "word").where(fits).select("asig", "bsig").distinct()
-        found = found.union(_verified(written(again, "candidates"), lines, threshold))
-    return found.select(F.col("asig").alias("sig")).distinct()
-
-
-def removed_lines(df: DataFrame, key: str, text: str, *, threshold: float = THRESHOLD) -> DataFrame:
-    """Rows (key, removed): the sorted numbers, from 0, of the lines to remove, where there are any.
-
-    Null keys appear as ``LAST``.
+            for piece in _pieces(batch, powers):
+                marks[(_mixed(entries(piece, counts.value, threshold)[0]["token"]) & np.uint64(_MARKS - 1)).view(np.int64)] = 1
+        kept = [(i, c.tobytes()) for i, c in enumerate(marks.reshape(-1, SLICE)) if c.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in kept], pa.int32()), pa.array([c for _, c in kept], pa.binary())], names=["part", "block"])
+
+    got = _summed(docs.mapInArrow(run, "part int, block binary"), SLICE, "marks")
+    out = np.zeros((_MARKS // SLICE, SLICE), np.uint32)
+    out[: len(got)] = got
+    return out.ravel() > 0
+
+
+def _identity(df: DataFrame, key: str, text: str) -> tuple[Column, Column]:
+    """A row's place in the order, and what tells rows of equal place apart: their text, or 0 if there are none."""
+    order = F.coalesce(F.col(key).cast("long"), F.lit(LAST))
+    repeated = not df.groupBy(order.alias("key")).agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    return order, F.coalesce(F.xxhash64(F.col(text)), F.lit(0)) if repeated else F.lit(0).cast("long")
+
+
+def removed_lines(df: DataFrame, order: Column, twin: Column, text: str, *, threshold: float = THRESHOLD, small: int = SMALL, hot: int = HOT) -> DataFrame:
+    """Rows (key, twin, removed): the sorted numbers, from 0, of the lines to remove, where there are any."""
+    spark = df.sparkSession
+    docs = df.where(F.col(text).isNotNull()).select(order.alias("key"), twin.alias("twin"), F.col(text).alias("text"), F.lit(0).alias("first"))
+    counts, words = word_counts(docs)
+    sent = spark.sparkContext.broadcast(counts)
+    cells = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(words / 4 / CELL))
+    found = written(_matched(_blocks(docs, sent, cells, threshold, hot), threshold, small), "found")
+    pairs = found.where(f"kind != {GONE}")
+    texts = _texts(docs, pairs)
+    alike = written(_verified(pairs.drop("kind").distinct(), texts, threshold), "similar")
+    gone = found.where(f"kind = {GONE}").select(*_PLACE).union(alike)
+    missed = found.where(f"kind = {FIRST_PAIR}").select(*_PLACE).distinct().join(alike, _PLACE, "left_anti")
+    missed = missed.join(texts, _PLACE).select("key", "twin", F.col("text").cast("string").alias("text"), F.col("line").alias("first"))
+    missed = written(missed, "missed")
+    if not missed.isEmpty():  # their words cleared them of the earliest line of a large group: search all of it
+        marks = spark.sparkContext.broadcast(_marks(missed, sent, threshold))
+        blocks = _blocks(missed, sent, cells, threshold, hot, probe=True).union(_blocks(docs, sent, cells, threshold, hot, only=marks))
+        again = written(_matched(blocks, threshold, small).where(f"kind = {PAIR}").drop("kind").distinct(), "again")
+        gone = gone.union(_verified(again, _texts(docs, again), threshold))
+    return gone.groupBy("key", "twin").agg(F.array_sort(F.collect_set("line")).alias("removed"))
+
+
+def deduplicated(df: DataFrame, key: str, text: str, *, threshold: float = THRESHOLD, small: int = SMALL, hot: int = HOT, changed: str | None = None) -> DataFrame:
+    """The rows and columns of ``df`` with removed lines cut out of ``text``.
+
+    With ``changed`` a column of that name tells whether a row has lost a line.
     """
-    lines = written(_lines(df, key, text), "lines")
-    places = lines.where("part is null").select("key", "line", "sig")
-    firsts = places.groupBy("sig").agg(F.min(F.struct("key", "line")).alias("first"), F.count("*").alias("times"))
-    known = firsts.join(similar_earlier(lines, threshold).withColumn("similar", F.lit(True)), "sig", "left")
-    known = known.where("similar or times > 1").select("sig", "first", F.coalesce("similar", F.lit(False)).alias("similar"))
-    gone = places.join(known, "sig").where(F.col("similar") | (F.struct("key", "line") != F.col("first")))
-    return gone.groupBy("key").agg(F.array_sort(F.collect_set("line")).alias("removed"))
-
-
-def deduplicated(df: DataFrame, key: str, text: str, *, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows and columns of ``df`` with removed lines cut out of ``text``."""
-    gone = written(removed_lines(df, key, text, threshold=threshold), "removed")
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("key"))
+    order, twin = _identity(df, key, text)
+    gone = written(removed_lines(df, order, twin, text, threshold=threshold, small=small, hot=hot), "removed")
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), order.alias("key"), twin.alias("twin"))
     cut = F.array_join(F.filter(F.split(F.col("row")[text], "\n"), lambda x, i: ~F.array_contains("removed", i)), "\n")
-    joined = rows.join(gone, "key", "left")
-    return joined.select(*[(F.when(F.col("removed").isNull(), F.col("row")[c]).otherwise(cut) if c == text else F.col("row")[c]).alias(c) for c in df.columns])
+    joined_ = rows.join(gone, ["key", "twin"], "left")
+    told = [F.col("removed").isNotNull().alias(changed)] if changed else []
+    return joined_.select(*[(F.when(F.col("removed").isNull(), F.col("row")[c]).otherwise(cut) if c == text else F.col("row")[c]).alias(c) for c in df.columns], *told)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
-    gone = removed_lines(documents, "doc_id", "text")
-    counted = documents.select("doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"), F.coalesce("doc_id", F.lit(LAST)).alias("key"))
-    return counted.join(gone, "key", "left").select(
+    order, twin = _identity(documents, "doc_id", "text")
+    gone = removed_lines(documents, order, twin, "text")
+    counted = documents.select("doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"), order.alias("key"), twin.alias("twin"))
+    return counted.join(gone, ["key", "twin"], "left").select(
         "doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join("removed", ","), F.lit("")).alias("removed_lines")
     )
 
 
 def brute_force(rows: list[tuple[int | None, str | None]], threshold: float = THRESHOLD) -> list[list[int]]:
     """The removed line numbers of each row, by comparing all lines; for tests."""
-    lines = [((LAST if k is None else k, i), set(words_of(x.encode()))) for k, t in rows if t is not None for i, x in enumerate(t.split("\n"))]
-    gone = {p for p, s in lines if s and any(q < p and s & r and len(s & r) >= math.ceil((len(s) + len(r)) * threshold / (1 + threshold) - 1e-9) for q, r in lines)}
-    return [[] if t is None else [i for i in range(len(t.split("\n"))) if (LAST if k is None else k, i) in gone] for k, t in rows]
+    lines = [((LAST if k is None else k, i), x.encode()) for k, t in rows if t is not None for i, x in enumerate(t.split("\n"))]
+    sets = [(place, line, shingles(line)) for place, line in lines]
+    gone = {(p, a) for p, a, s in sets if s and any(q < p and r and s & r and similar(a, b, threshold) for q, b, r in sets)}
+    return [[] if t is None else [i for i, x in enumerate(t.split("\n")) if ((LAST if k is None else k, i), x.encode()) in gone] for k, t in rows]
