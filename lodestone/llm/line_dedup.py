@@ -38,7 +38,7 @@ THRESHOLD, SHINGLE = 0.8, 5
 COUNTERS, SLICE = 1 << 20, 1 << 12
 SMALL, HOT = 64, 1_000_000
 #: Bytes of text worked on at a time, entries that a task gathers before it sends them, entries in a cell.
-PIECE, GATHER, CELL = 1 << 20, 1_000_000, 500_000
+PIECE, GATHER, CELL = 1 << 19, 200_000, 150_000
 #: Null keys are ordered after all others.
 LAST = (1 << 63) - 1
 
