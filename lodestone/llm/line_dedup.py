@@ -122,7 +122,8 @@ class Piece:
         level = np.minimum(63, np.floor(np.log2(least[keep] + 1))).astype(np.uint64)
         value = (level << np.uint64(_HASH_BITS)) | (token[keep] >> np.uint64(64 - _HASH_BITS))
         both = (of[keep].astype(np.uint64) << np.uint64(_TOKEN_BITS)) | value
-        both = np.unique(both)
+        both.sort()
+        both = both[np.r_[True, both[1:] != both[:-1]]] if len(both) else both
         return both & np.uint64((1 << _TOKEN_BITS) - 1), (both >> np.uint64(_TOKEN_BITS)).view(np.int64)
 
 
@@ -158,14 +159,15 @@ def _pieces(batch: pa.RecordBatch, powers: _Powers) -> Iterator[Piece]:
         i = j
 
 
-def _summed(parts: DataFrame, size: int, kind: str) -> np.ndarray:
-    """Rows (part, block) of ``size`` numbers each, added by part; the result's size is fixed by the parts."""
+def _summed(parts: DataFrame, size: int, *, bits: bool = False) -> np.ndarray:
+    """Rows (part, block) of ``size`` numbers each, added by part (or their bits united); its size is fixed by the parts."""
 
     def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for batch in batches:
             for block in batch.column("block"):
-                total += np.frombuffer(block.as_py(), "<u4")
+                block_ = np.frombuffer(block.as_py(), "<u4")
+                total = total | block_ if bits else total + block_
         clipped = np.minimum(total, 0xFFFFFFFF).astype("<u4").tobytes()
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int32()), pa.array([clipped], pa.binary())], names=["part", "salt", "block"])
 
@@ -190,7 +192,7 @@ def word_counts(docs: DataFrame) -> tuple[np.ndarray, int]:
         kept = [(i, c.astype("<u4").tobytes()) for i, c in enumerate(counts.reshape(-1, SLICE)) if c.any()]
         yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in kept], pa.int32()), pa.array([c for _, c in kept], pa.binary())], names=["part", "block"])
 
-    got = _summed(docs.mapInArrow(run, "part int, block binary"), SLICE, "counts")
+    got = _summed(docs.mapInArrow(run, "part int, block binary"), SLICE)
     counts = np.zeros((COUNTERS // SLICE, SLICE), np.uint32)
     counts[: len(got)] = got
     return counts.ravel(), int(counts.sum(dtype=np.int64))
@@ -359,7 +361,10 @@ def joined(x: dict[str, np.ndarray], threshold: float, small: int) -> tuple[np.n
 def _probed(x: dict[str, np.ndarray], probe: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Later and earlier rows of the pairs of each probe with every entry of its token, probes' own rows aside."""
     plain = np.flatnonzero(~probe)
-    plain = plain[np.argsort(x["token"][plain], kind="stable")]
+    plain = plain[np.lexsort(tuple(x[c][plain] for c in ("line", "key", "n", "sig", "token")))]
+    again = np.zeros(len(plain), bool)  # of equal sets the earliest is partner enough
+    again[1:] = np.logical_and.reduce([x[c][plain[1:]] == x[c][plain[:-1]] for c in ("token", "sig", "n")])
+    plain = plain[~again]
     tokens = x["token"][plain]
     later, earlier = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for i in np.flatnonzero(probe).tolist():
@@ -427,26 +432,58 @@ def similar(a: bytes, b: bytes, threshold: float) -> bool:
 _PLACE = ["key", "twin", "line"]
 
 
-def _texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Rows (key, twin, line, text) of the lines that pairs name."""
-    asked = pairs.select(*_PLACE).union(pairs.select("key2", "twin2", "line2")).distinct()
-    asked = asked.groupBy("key", "twin").agg(F.collect_set("line").alias("lines"))
+def _place_bits(key: np.ndarray, twin: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """The bit of the table of asked lines for each place."""
+    mixed = _mixed(_mixed(key.view(np.uint64) * np.uint64(_BASE) + twin.view(np.uint64)) + line.astype(np.uint64))
+    return (mixed & np.uint64(_ASKED - 1)).view(np.int64)
+
+
+#: Bits in the table of asked lines that is sent to executors.
+_ASKED = 1 << 23
+
+
+def _asked(pairs: DataFrame) -> np.ndarray:
+    """A table of ``_ASKED`` bits that marks the places that pairs name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(_ASKED, bool)
         for batch in batches:
-            keys, twins, lines, texts = [], [], [], []
-            for key, twin, data, asked_ in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2)), batch.column(3).to_pylist(), strict=True):
-                parts = data.split(b"\n")
-                for line in asked_:
-                    if line < len(parts):
-                        keys.append(key)
-                        twins.append(twin)
-                        lines.append(line)
-                        texts.append(parts[line])
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(twins, pa.int64()), pa.array(lines, pa.int32()), pa.array(texts, pa.binary())], names=[*_PLACE, "text"])
+            columns = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
+            for i in (0, 3):
+                bits[_place_bits(*columns[i : i + 3])] = True
+        words = np.packbits(bits, bitorder="little").view("<u4").reshape(-1, SLICE)
+        kept = [(i, w.tobytes()) for i, w in enumerate(words) if w.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in kept], pa.int32()), pa.array([w for _, w in kept], pa.binary())], names=["part", "block"])
+
+    got = _summed(pairs.select(*_PLACE, "key2", "twin2", "line2").mapInArrow(run, "part int, block binary"), SLICE, bits=True)
+    out = np.zeros((_ASKED // 32 // SLICE, SLICE), "<u4")
+    out[: len(got)] = got
+    return np.unpackbits(out.ravel().view(np.uint8), bitorder="little").astype(bool)
+
 
-    met = docs.join(asked, ["key", "twin"]).select("key", "twin", "text", "lines")
-    return written(met.mapInArrow(run, "key long, twin long, line int, text binary").dropDuplicates(_PLACE), "texts")
+def _texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Rows (key, twin, line, text) of at least the lines that pairs name.
+
+    A table of bits of fixed size lets documents be read where they lie, without a shuffle of their texts.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(_asked(pairs))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, twins = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+            rows, lines, texts = [], [], []
+            for i, data in enumerate(as_bytes(batch.column(2))):
+                numbers = np.arange(data.count(b"\n") + 1)
+                found = np.flatnonzero(sent.value[_place_bits(np.full(len(numbers), keys[i]), np.full(len(numbers), twins[i]), numbers)])
+                if len(found):
+                    parts = data.split(b"\n")
+                    rows += [i] * len(found)
+                    lines += found.tolist()
+                    texts += [parts[j] for j in found.tolist()]
+            take = np.array(rows, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[take]), pa.array(twins[take]), pa.array(lines, pa.int32()), pa.array(texts, pa.binary())], names=[*_PLACE, "text"])
+
+    return written(docs.select("key", "twin", "text").mapInArrow(run, "key long, twin long, line int, text binary").dropDuplicates(_PLACE), "texts")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -473,7 +510,7 @@ def _marks(docs: DataFrame, counts, threshold: float) -> np.ndarray:
         kept = [(i, c.tobytes()) for i, c in enumerate(marks.reshape(-1, SLICE)) if c.any()]
         yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in kept], pa.int32()), pa.array([c for _, c in kept], pa.binary())], names=["part", "block"])
 
-    got = _summed(docs.mapInArrow(run, "part int, block binary"), SLICE, "marks")
+    got = _summed(docs.mapInArrow(run, "part int, block binary"), SLICE)
     out = np.zeros((_MARKS // SLICE, SLICE), np.uint32)
     out[: len(got)] = got
     return out.ravel() > 0
