@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,6 +14,11 @@ def col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn(value)`` with ``value`` computed once per row, however often ``fn`` uses it."""
+    return F.get(F.transform(F.array(value), lambda bound: fn(bound)), F.lit(0))
+
+
 def words_array(values: Sequence[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
@@ -58,7 +63,8 @@ def contains_any(x: Column | str, phrases: Sequence[str]) -> Column:
 def distinct_ignoring_case(values: Column | str) -> Column:
     """Stripped values without blanks and without repeats in another case; the first spelling stays."""
     clean = F.filter(F.transform(col(values), strip), lambda v: v != "")
-    return F.filter(clean, lambda v, i: F.array_position(F.transform(clean, F.lower), F.lower(v)) == i + 1)
+    first = lambda both: F.filter(both["clean"], lambda v, i: F.array_position(both["keys"], F.lower(v)) == i + 1)
+    return let(clean, lambda c: let(F.struct(c.alias("clean"), F.transform(c, F.lower).alias("keys")), first))
 
 
 def clean_list(values: Column | str) -> Column:
@@ -74,20 +80,18 @@ def sentences(x: Column | str, least: int = 10) -> Column:
 def best_sentence(x: Column | str, most: int = 320) -> Column:
     """The longest sentence, the first of equals, cut to ``most`` characters."""
     parts = F.filter(F.transform(F.split(col(x), r"(?U)(?<=[.!?])\s+"), strip), lambda s: s != "")
-    longest = F.array_max(F.transform(parts, F.length))
-    first = F.get(F.filter(parts, lambda s: F.length(s) == longest), F.lit(0))
-    return F.substring(F.coalesce(first, strip(x)), 1, most)
+    sized = lambda p: let(F.struct(p.alias("p"), F.array_max(F.transform(p, F.length)).alias("n")), lambda b: F.get(F.filter(b["p"], lambda s: F.length(s) == b["n"]), F.lit(0)))
+    return F.substring(F.coalesce(let(parts, sized), strip(x)), 1, most)
 
 
 def sentence_windows(x: Column | str, most: int = 24) -> Column:
     """Sentences and pairs of neighbours in order, without repeats but for case and white space."""
-    parts = sentences(x)
-    nested = F.transform(parts, lambda s, i: F.when(F.get(parts, i + 1).isNotNull(), F.array(s, F.concat_ws(" ", s, F.get(parts, i + 1)))).otherwise(F.array(s)))
-    flat = F.flatten(nested)
-    keys = F.transform(flat, lowered_squeezed)
-    once = F.filter(flat, lambda w, i: F.array_position(keys, lowered_squeezed(w)) == i + 1)
-    compact = squeeze(x)
-    return F.when(F.size(parts) > 0, F.slice(once, 1, most)).when(compact != "", F.array(F.substring(compact, 1, 1200))).otherwise(F.array().cast("array<string>"))
+    pairs = lambda p: F.flatten(F.transform(p, lambda s, i: F.when(F.get(p, i + 1).isNotNull(), F.array(s, F.concat_ws(" ", s, F.get(p, i + 1)))).otherwise(F.array(s))))
+    keyed = lambda w: F.struct(w.alias("w"), F.transform(w, lambda v: F.trim(F.regexp_replace(F.lower(v), r"(?U)\s+", " "))).alias("k"))
+    first = lambda b: F.filter(b["w"], lambda v, i: F.array_position(b["k"], F.get(b["k"], i)) == i + 1)
+    windows = let(sentences(x), lambda p: let(pairs(p), lambda w: let(keyed(w), first)))
+    compact = let(squeeze(x), lambda c: F.when(c != "", F.array(F.substring(c, 1, 1200))).otherwise(F.array().cast("array<string>")))
+    return let(windows, lambda w: F.when(F.size(w) > 0, F.slice(w, 1, most)).otherwise(compact))
 
 
 def citations(x: Column | str) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import urls
 from lodestone.functions import values as V
-from lodestone.functions.text import col, strip
+from lodestone.functions.text import col, let, strip
 
 TEXT_TAGS = ("h1", "h2", "h3", "h4", "h5", "h6", "p", "li")
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -37,9 +37,9 @@ def is_noise(line: Column | str) -> Column:
 
 def deduplicated_lines(lines: Column | str) -> Column:
     """Distinct lines in order, without those that hold another long line and more."""
-    once = F.array_distinct(col(lines))
-    holds = lambda line: F.exists(once, lambda o: (o != line) & (F.length(o) >= 40) & line.contains(o) & (F.length(line) > F.length(o) + 20))
-    return F.filter(once, lambda line: ~holds(line))
+    holds = lambda long, line: F.exists(long, lambda o: (F.length(line) > F.length(o) + 20) & line.contains(o))
+    split = lambda once: F.struct(once.alias("once"), F.filter(once, lambda o: F.length(o) >= 40).alias("long"))
+    return let(F.array_distinct(col(lines)), lambda once: let(split(once), lambda b: F.filter(b["once"], lambda line: ~holds(b["long"], line))))
 
 
 def content_hash(x: Column | str) -> Column:

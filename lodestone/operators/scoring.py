@@ -128,7 +128,7 @@ def expansion_queries(question: Column, clauses: Column, modes: Column, most: in
     """Queries synthesised from a question's terms, its first long clause and its modes."""
     text = normalized(question)
     compliance, reciprocal = contains_any(text, terms), text.contains(V.RECIPROCAL_TERM)
-    long = F.get(F.filter(F.transform(clauses, content_tokens), lambda t: F.size(t) >= 4), F.lit(0))
+    long = F.get(F.filter(F.transform(clauses, lambda c: content_tokens(c)), lambda t: F.size(t) >= 4), F.lit(0))
     fixed = F.array(
         F.when(compliance | contains_any(text, V.PRE_AWARD_TERMS), V.COMPLIANCE_QUERY),
         F.when(reciprocal | contains_any(text, V.PARTNER_TERMS), V.RECIPROCAL_QUERY),
