@@ -11,7 +11,7 @@ token space. Within a cell length, positional and bitmap filters leave few pairs
 Equal sets are one entry per task, and one per token after the shuffle.
 
 Among more than ``SMALL`` different lines with one token, a line is first paired with the earliest alone; those that the
-words then clear are searched again against all. So a large group of similar lines takes linear work, and
+words then clear are searched again against all, their entries now holding whole token sets. So a large group of similar lines takes linear work, and
 no pair is lost. Tokens whose words are all so frequent that more than ``HOT`` lines may share one are dealt to a
 grid of cells, each with two parts of their lines.
 
@@ -36,7 +36,7 @@ from lodestone.llm.common import WORD_TABLE, as_bytes, table, words_of, written
 
 THRESHOLD, SHINGLE = 0.8, 5
 COUNTERS, SLICE = 1 << 20, 1 << 12
-SMALL, HOT = 64, 1_000_000
+SMALL, HOT = 16, 1_000_000
 #: Bytes of text worked on at a time, entries that a task gathers before it sends them, entries in a cell.
 PIECE, GATHER, CELL = 1 << 19, 200_000, 150_000
 #: Null keys are ordered after all others.
@@ -203,11 +203,15 @@ def _needed(n: np.ndarray, m: np.ndarray, threshold: float) -> np.ndarray:
     return np.ceil((n + m) * (threshold / (1 + threshold)) - 1e-9)
 
 
-def entries(piece: Piece, counts: np.ndarray, threshold: float) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """Prefix entries of a piece's lines, and the (key, twin, line) of lines that equal an earlier one of the piece."""
+def entries(piece: Piece, counts: np.ndarray, threshold: float, only: np.ndarray | None = None, sets: bool = False) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Prefix entries of a piece's lines, and the (key, twin, line) of lines that equal an earlier one of the piece.
+
+    ``only`` marks the tokens wanted; with ``sets`` each entry has all tokens of its line.
+    """
     token, of = piece.tokens(counts)
     if not len(token):
-        return {name: np.zeros(0, kind) for name, kind in _FIELDS.items()}, np.zeros((0, 3), np.int64)
+        none = {name: np.zeros(0, kind) for name, kind in _FIELDS.items()}
+        return none | ({"set": np.zeros(0, object)} if sets else {}), np.zeros((0, 3), np.int64)
     start = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
     n = np.diff(np.r_[start, len(of)])
     mixed = _mixed(token + np.uint64(1))
@@ -226,26 +230,35 @@ def entries(piece: Piece, counts: np.ndarray, threshold: float) -> tuple[dict[st
     pos = np.arange(len(of)) - np.repeat(start, n)
     prefix = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
     keep = (pos < prefix[of]) & leads[of]
+    if only is not None:
+        keep &= only[(_mixed(token) & np.uint64(_MARKS - 1)).view(np.int64)]
     line = of[keep]
     values = {"token": token[keep], "key": piece.key[line], "twin": piece.twin[line], "line": piece.line[line], "n": n[line], "pos": pos[keep], "sig": sig[line], "b1": b1[line], "b2": b2[line]}
-    return {name: values[name].astype(kind) for name, kind in _FIELDS.items()}, np.column_stack([piece.key[gone], piece.twin[gone], piece.line[gone]])
+    columns = {name: values[name].astype(kind) for name, kind in _FIELDS.items()}
+    if sets:
+        columns["set"] = np.fromiter((token[start[i] : start[i] + n[i]].astype("<u8").tobytes() for i in line.tolist()), object, len(line))
+    return columns, np.column_stack([piece.key[gone], piece.twin[gone], piece.line[gone]])
 
 
 def _packed(columns: dict[str, np.ndarray]) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(columns[name].astype(kind).tobytes() for name, kind in _FIELDS.items()))
+    raw = b"".join(columns[name].astype(kind).tobytes() for name, kind in _FIELDS.items())
+    return zstandard.ZstdCompressor(level=1).compress(len(columns["token"]).to_bytes(8, "little") + raw + b"".join(columns.get("set", ())))
 
 
-def _unpacked(blocks: list[bytes]) -> dict[str, np.ndarray]:
+def _unpacked(blocks: list[bytes], sets: bool = False) -> dict[str, np.ndarray]:
     parts = []
-    width = sum(np.dtype(kind).itemsize for kind in _FIELDS.values())
     for block in blocks:
-        raw, at, part = zstandard.ZstdDecompressor().decompress(block), 0, {}
-        n = len(raw) // width
+        raw, at, part = zstandard.ZstdDecompressor().decompress(block), 8, {}
+        n = int.from_bytes(raw[:8], "little")
         for name, kind in _FIELDS.items():
             part[name] = np.frombuffer(raw, kind, n, at)
             at += n * np.dtype(kind).itemsize
+        if sets:
+            ends = np.cumsum(part["n"].astype(np.int64))
+            part["set"] = np.fromiter((np.frombuffer(raw, "<u8", m, at + 8 * (e - m)) for e, m in zip(ends.tolist(), part["n"].tolist(), strict=True)), object, n)
         parts.append(part)
-    return {name: np.concatenate([p[name] for p in parts]) if parts else np.zeros(0, kind) for name, kind in _FIELDS.items()}
+    kinds = _FIELDS | ({"set": object} if sets else {})
+    return {name: np.concatenate([p[name] for p in parts]) if parts else np.zeros(0, kind) for name, kind in kinds.items()}
 
 
 def _dealt(columns: dict[str, np.ndarray], cells: int, hot: int) -> Iterator[tuple[int, bytes]]:
@@ -267,7 +280,7 @@ def _dealt(columns: dict[str, np.ndarray], cells: int, hot: int) -> Iterator[tup
     row, at_ = row[order], at_[order]
     for some in np.split(np.arange(len(row)), np.flatnonzero(np.diff(at_)) + 1):
         if len(some):
-            yield int(at_[some[0]]), _packed({name: columns[name][row[some]] for name in _FIELDS})
+            yield int(at_[some[0]]), _packed({name: c[row[some]] for name, c in columns.items()})
 
 
 def _blocks(docs: DataFrame, counts, cells: int, threshold: float, hot: int, *, probe: bool = False, only=None) -> DataFrame:
@@ -280,22 +293,19 @@ def _blocks(docs: DataFrame, counts, cells: int, threshold: float, hot: int, *,
             return pa.RecordBatch.from_arrays([pa.array([b[0] for b in blocks], pa.int32()), pa.array([b[1] for b in blocks], pa.int64()), pa.array([b[2] for b in blocks], pa.binary())], schema=_ROW)
 
         def sent() -> pa.RecordBatch:
-            columns = {name: np.concatenate([g[name] for g in gathered]) for name in _FIELDS}
+            columns = {name: np.concatenate([g[name] for g in gathered]) for name in gathered[0]}
             gathered.clear()
             return rows([(int(probe), cell, block) for cell, block in _dealt(columns, cells, hot)])
 
         for batch in batches:
             for piece in _pieces(batch, powers):
-                found, gone = entries(piece, counts.value, threshold)
-                if only is not None:
-                    keep = only.value[(_mixed(found["token"]) & np.uint64(_MARKS - 1)).view(np.int64)]
-                    found = {name: c[keep] for name, c in found.items()}
-                elif len(gone) and not probe:
+                found, gone = entries(piece, counts.value, threshold, only.value if only is not None else None, probe or only is not None)
+                if len(gone) and not probe and only is None:
                     yield rows([(2, -1 - int(piece.key[0] % 997), gone.astype("<i8").tobytes())])
                 if len(found["token"]):
                     gathered.append(found)
                     held += len(found["token"])
-                if held >= GATHER:
+                if held >= (GATHER if only is None else GATHER // 20):
                     yield sent()
                     held = 0
         if gathered:
@@ -320,8 +330,12 @@ def _passes(x: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray, threshold: f
 
 def joined(x: dict[str, np.ndarray], threshold: float, small: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of a cell's entries: rows gone as equal sets; later and earlier rows of pairs; whether the pair is only the first."""
-    order = np.lexsort((x["twin"], x["line"], x["key"], x["n"], x["sig"], x["token"]))
-    s = {name: c[order] for name, c in x.items()}
+    order = np.argsort(x["token"])
+    token = x["token"][order]
+    alone = np.r_[True, token[1:] != token[:-1]] & np.r_[token[1:] != token[:-1], True]
+    order = order[~alone[: len(order)]]  # most tokens occur in one line and are done
+    order = order[np.lexsort(tuple(x[c][order] for c in ("twin", "line", "key", "n", "sig", "token")))]
+    s = {name: x[name][order] for name in _FIELDS}
     same = np.zeros(len(order), bool)
     same[1:] = (s["token"][1:] == s["token"][:-1]) & (s["sig"][1:] == s["sig"][:-1]) & (s["n"][1:] == s["n"][:-1])
     lead = np.flatnonzero(~same)[np.cumsum(~same) - 1] if len(order) else order
@@ -359,27 +373,29 @@ def joined(x: dict[str, np.ndarray], threshold: float, small: int) -> tuple[np.n
 
 
 def _probed(x: dict[str, np.ndarray], probe: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Later and earlier rows of the pairs of each probe with every entry of its token, probes' own rows aside."""
+    """Rows of each probe and of the earliest entry of its token whose set of tokens is similar enough."""
     plain = np.flatnonzero(~probe)
     plain = plain[np.lexsort(tuple(x[c][plain] for c in ("line", "key", "n", "sig", "token")))]
     again = np.zeros(len(plain), bool)  # of equal sets the earliest is partner enough
     again[1:] = np.logical_and.reduce([x[c][plain[1:]] == x[c][plain[:-1]] for c in ("token", "sig", "n")])
     plain = plain[~again]
+    plain = plain[np.lexsort(tuple(x[c][plain] for c in ("line", "key", "token")))]
     tokens = x["token"][plain]
-    later, earlier = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    later, earlier = [], []
     for i in np.flatnonzero(probe).tolist():
         b = plain[np.searchsorted(tokens, x["token"][i], "left") : np.searchsorted(tokens, x["token"][i], "right")]
         b = b[(x["key"][b] < x["key"][i]) | ((x["key"][b] == x["key"][i]) & (x["line"][b] < x["line"][i]))]
-        b = b[x["sig"][b] != x["sig"][i]]
-        a = np.full(len(b), i)
-        ok = _passes(x, a, b, threshold)
-        later.append(a[ok])
-        earlier.append(b[ok])
-    return np.concatenate(later), np.concatenate(earlier)
+        b = b[_passes(x, np.full(len(b), i), b, threshold)]
+        for j in b.tolist():
+            if len(np.intersect1d(x["set"][i], x["set"][j], assume_unique=True)) >= _needed(x["n"][i].astype(np.int64), x["n"][j].astype(np.int64), threshold):
+                later.append(i)
+                earlier.append(j)
+                break
+    return np.array(later, np.int64), np.array(earlier, np.int64)
 
 
-def _matched(blocks: DataFrame, threshold: float, small: int) -> DataFrame:
-    """Rows of ``_FOUND``: lines gone and pairs to verify."""
+def _matched(blocks: DataFrame, threshold: float, small: int, *, probing: bool = False) -> DataFrame:
+    """Rows of ``_FOUND``: lines gone and pairs to verify. When ``probing``, entries meet probes only."""
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds, raws = [], []
@@ -402,12 +418,14 @@ def _matched(blocks: DataFrame, threshold: float, small: int) -> DataFrame:
         place = lambda x, i: np.column_stack([x["key"][i], x["twin"][i], x["line"][i].astype(np.int64)])
         plain, probes = ([r for k, r in blocks_ if k == want] for want in (0, 1))
         if probes:
-            parts = [_unpacked(plain), _unpacked(probes)]
-            x = {name: np.concatenate([p[name] for p in parts]) for name in _FIELDS}
+            parts = [_unpacked(plain, True), _unpacked(probes, True)]
+            x = {name: np.concatenate([p[name] for p in parts]) for name in parts[0]}
             probe = np.arange(len(x["key"])) >= len(parts[0]["key"])
             a, b = _probed(x, probe, threshold)
             yield out(np.full(len(a), PAIR), place(x, a), place(x, b))
             return
+        if probing:
+            return
         x = _unpacked(plain)
         gone, a, b, first = joined(x, threshold, small)
         yield out(np.full(len(gone), GONE), place(x, gone), np.zeros((len(gone), 3), np.int64))
@@ -541,7 +559,7 @@ def removed_lines(df: DataFrame, order: Column, twin: Column, text: str, *, thre
     if not missed.isEmpty():  # their words cleared them of the earliest line of a large group: search all of it
         marks = spark.sparkContext.broadcast(_marks(missed, sent, threshold))
         blocks = _blocks(missed, sent, cells, threshold, hot, probe=True).union(_blocks(docs, sent, cells, threshold, hot, only=marks))
-        again = written(_matched(blocks, threshold, small).where(f"kind = {PAIR}").drop("kind").distinct(), "again")
+        again = written(_matched(blocks, threshold, small, probing=True).where(f"kind = {PAIR}").drop("kind").distinct(), "again")
         gone = gone.union(_verified(again, _texts(docs, again), threshold))
     return gone.groupBy("key", "twin").agg(F.array_sort(F.collect_set("line")).alias("removed"))
 
