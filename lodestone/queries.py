@@ -485,12 +485,12 @@ def timing_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH RECURSIVE v AS (SELECT lang AS grp, doc_id, CAST(n_chars AS DOUBLE) AS x FROM documents WHERE doc_id IN (SELECT item_id FROM benchmark)), n AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY grp) AS n FROM v),
 g(i, x) AS (SELECT 0, CAST(1337 AS BIGINT) UNION ALL SELECT i + 1, xor(c, (c << 5) & 4294967295) FROM (SELECT i, xor(b, b >> 17) AS c FROM (SELECT i, xor(x, (x << 13) & 4294967295) AS b FROM g)) WHERE i < (SELECT 1000 * max(n) FROM n)),
 k AS (SELECT DISTINCT grp, n FROM n), m AS (SELECT k.grp, k.n, (g.i - 1) // k.n AS s, avg(n.x) AS a FROM k JOIN g ON g.i > 0 AND g.i <= 1000 * k.n JOIN n ON n.grp = k.grp AND n.i = g.x % k.n GROUP BY ALL)
-SELECT grp, round(quantile_cont(a, 0.025), 4) AS low, round(quantile_cont(a, 0.975), 4) AS high, n FROM m WHERE n > 1 GROUP BY grp, n UNION ALL SELECT grp, x, x, n FROM n WHERE n = 1""")
+SELECT grp, round(quantile_cont(a, 0.025), 2) AS low, round(quantile_cont(a, 0.975), 2) AS high, n FROM m WHERE n > 1 GROUP BY grp, n UNION ALL SELECT grp, x, x, n FROM n WHERE n = 1""")
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intervals over the documents that stand for evaluation cases, those with a benchmark item's id."""
     cases = demo.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"))
     rows = _documents(spark, sf_dir).join(cases, "doc_id", "left_semi").select(F.col("lang").alias("grp"), "doc_id", F.col("n_chars").cast("double").alias("x"))
-    return metrics.bootstrap(rows, "x", "doc_id", ["grp"], digits=4)
+    return metrics.bootstrap(rows, "x", "doc_id", ["grp"], digits=2)
 
 
 # --- dashboard -------------------------------------------------------------------------------------------------------
