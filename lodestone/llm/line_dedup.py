@@ -36,7 +36,7 @@ from lodestone.llm.common import WORD_TABLE, as_bytes, table, words_of, written
 
 THRESHOLD, SHINGLE = 0.8, 5
 COUNTERS, SLICE = 1 << 20, 1 << 12
-SMALL, HOT = 16, 1_000_000
+SMALL, HOT = 64, 1_000_000
 #: Bytes of text worked on at a time, entries that a task gathers before it sends them, entries in a cell.
 PIECE, GATHER, CELL = 1 << 19, 200_000, 150_000
 #: Null keys are ordered after all others.
@@ -50,7 +50,7 @@ _TOKEN_BITS, _HASH_BITS = 44, 38
 _FIELDS = {"token": "<u8", "key": "<i8", "twin": "<i8", "line": "<u4", "n": "<u4", "pos": "<u4", "sig": "<u8", "b1": "<u8", "b2": "<u8"}
 _ROW = pa.schema([("kind", pa.int32()), ("cell", pa.int64()), ("block", pa.binary())])
 _FOUND = "kind int, key long, twin long, line int, key2 long, twin2 long, line2 int"
-GONE, PAIR, FIRST_PAIR = 0, 1, 2
+GONE, PAIR, FIRST_PAIR, MEMBER = 0, 1, 2, 3
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -203,10 +203,10 @@ def _needed(n: np.ndarray, m: np.ndarray, threshold: float) -> np.ndarray:
     return np.ceil((n + m) * (threshold / (1 + threshold)) - 1e-9)
 
 
-def entries(piece: Piece, counts: np.ndarray, threshold: float, only: np.ndarray | None = None, sets: bool = False) -> tuple[dict[str, np.ndarray], np.ndarray]:
+def entries(piece: Piece, counts: np.ndarray, threshold: float, sets: bool = False) -> tuple[dict[str, np.ndarray], np.ndarray]:
     """Prefix entries of a piece's lines, and the (key, twin, line) of lines that equal an earlier one of the piece.
 
-    ``only`` marks the tokens wanted; with ``sets`` each entry has all tokens of its line.
+    With ``sets`` each entry has all tokens of its line.
     """
     token, of = piece.tokens(counts)
     if not len(token):
@@ -230,8 +230,6 @@ def entries(piece: Piece, counts: np.ndarray, threshold: float, only: np.ndarray
     pos = np.arange(len(of)) - np.repeat(start, n)
     prefix = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
     keep = (pos < prefix[of]) & leads[of]
-    if only is not None:
-        keep &= only[(_mixed(token) & np.uint64(_MARKS - 1)).view(np.int64)]
     line = of[keep]
     values = {"token": token[keep], "key": piece.key[line], "twin": piece.twin[line], "line": piece.line[line], "n": n[line], "pos": pos[keep], "sig": sig[line], "b1": b1[line], "b2": b2[line]}
     columns = {name: values[name].astype(kind) for name, kind in _FIELDS.items()}
@@ -283,7 +281,7 @@ def _dealt(columns: dict[str, np.ndarray], cells: int, hot: int) -> Iterator[tup
             yield int(at_[some[0]]), _packed({name: c[row[some]] for name, c in columns.items()})
 
 
-def _blocks(docs: DataFrame, counts, cells: int, threshold: float, hot: int, *, probe: bool = False, only=None) -> DataFrame:
+def _blocks(docs: DataFrame, counts, cells: int, threshold: float, hot: int, *, probe: bool = False, sets: bool = False) -> DataFrame:
     """Rows (kind, cell, block): entries (kind 0, or 1 for probes) and lines gone already (kind 2)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,13 +297,13 @@ def _blocks(docs: DataFrame, counts, cells: int, threshold: float, hot: int, *,
 
         for batch in batches:
             for piece in _pieces(batch, powers):
-                found, gone = entries(piece, counts.value, threshold, only.value if only is not None else None, probe or only is not None)
-                if len(gone) and not probe and only is None:
+                found, gone = entries(piece, counts.value, threshold, sets)
+                if len(gone) and not sets:
                     yield rows([(2, -1 - int(piece.key[0] % 997), gone.astype("<i8").tobytes())])
                 if len(found["token"]):
                     gathered.append(found)
                     held += len(found["token"])
-                if held >= (GATHER if only is None else GATHER // 20):
+                if held >= (GATHER // 20 if sets else GATHER):
                     yield sent()
                     held = 0
         if gathered:
@@ -314,9 +312,6 @@ def _blocks(docs: DataFrame, counts, cells: int, threshold: float, hot: int, *,
     return docs.mapInArrow(run, "kind int, cell long, block binary")
 
 
-_MARKS = 1 << 20
-
-
 def _passes(x: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
     """Whether entries a (later lines) and b (earlier ones) of one token pass all filters that need no words."""
     n, m = x["n"][a].astype(np.int64), x["n"][b].astype(np.int64)
@@ -328,8 +323,8 @@ def _passes(x: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray, threshold: f
     return ok & (m - np.bitwise_count(b1 & ~a1).astype(np.int64) - np.bitwise_count(b2 & ~a2) >= need)
 
 
-def joined(x: dict[str, np.ndarray], threshold: float, small: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a cell's entries: rows gone as equal sets; later and earlier rows of pairs; whether the pair is only the first."""
+def joined(x: dict[str, np.ndarray], threshold: float, small: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a cell's entries: rows gone as equal sets; later and earlier rows of pairs; whether the pair is only the first; rows of the groups with such pairs."""
     order = np.argsort(x["token"])
     token = x["token"][order]
     alone = np.r_[True, token[1:] != token[:-1]] & np.r_[token[1:] != token[:-1], True]
@@ -350,7 +345,7 @@ def joined(x: dict[str, np.ndarray], threshold: float, small: int) -> tuple[np.n
     rows, size = rows[keep], size[many]
     if not len(rows):
         none = np.zeros(0, np.int64)
-        return gone, none, none, np.zeros(0, bool)
+        return gone, none, none, np.zeros(0, bool), none
     start = np.r_[0, np.cumsum(size)[:-1]]
     first, of_size = np.repeat(start, size), np.repeat(size, size)
     at = np.arange(len(rows)) - first
@@ -359,6 +354,9 @@ def joined(x: dict[str, np.ndarray], threshold: float, small: int) -> tuple[np.n
     firsts = firsts[_passes(x, rows[firsts], rows[first[firsts]], threshold)]
     settled = np.zeros(len(rows), bool)
     settled[firsts] = True
+    members = np.zeros(len(rows), bool)
+    members[first[firsts]] = True
+    members = members[first]
     later, earlier = [rows[firsts]], [rows[first[firsts]]]
     open_ = np.flatnonzero(~settled & (at > 0))
     back = 1
@@ -369,7 +367,7 @@ def joined(x: dict[str, np.ndarray], threshold: float, small: int) -> tuple[np.n
         back += 1
         open_ = open_[at[open_] >= back]
     a, b = np.concatenate(later), np.concatenate(earlier)
-    return gone, a, b, np.arange(len(a)) < len(firsts)
+    return gone, a, b, np.arange(len(a)) < len(firsts), rows[members]
 
 
 def _probed(x: dict[str, np.ndarray], probe: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -427,8 +425,9 @@ def _matched(blocks: DataFrame, threshold: float, small: int, *, probing: bool =
         if probing:
             return
         x = _unpacked(plain)
-        gone, a, b, first = joined(x, threshold, small)
-        yield out(np.full(len(gone), GONE), place(x, gone), np.zeros((len(gone), 3), np.int64))
+        gone, a, b, first, members = joined(x, threshold, small)
+        for kind, rows in ((GONE, gone), (MEMBER, members)):
+            yield out(np.full(len(rows), kind), place(x, rows), np.zeros((len(rows), 3), np.int64))
         yield out(np.where(first, FIRST_PAIR, PAIR), place(x, a), place(x, b))
 
     return blocks.groupBy("cell").applyInArrow(run, _FOUND)
@@ -517,23 +516,6 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     return both.mapInArrow(run, "key long, twin long, line int").distinct()
 
 
-def _marks(docs: DataFrame, counts, threshold: float) -> np.ndarray:
-    """A table of fixed size that marks the prefix tokens of ``docs``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, marks = _Powers(), np.zeros(_MARKS, "<u4")
-        for batch in batches:
-            for piece in _pieces(batch, powers):
-                marks[(_mixed(entries(piece, counts.value, threshold)[0]["token"]) & np.uint64(_MARKS - 1)).view(np.int64)] = 1
-        kept = [(i, c.tobytes()) for i, c in enumerate(marks.reshape(-1, SLICE)) if c.any()]
-        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in kept], pa.int32()), pa.array([c for _, c in kept], pa.binary())], names=["part", "block"])
-
-    got = _summed(docs.mapInArrow(run, "part int, block binary"), SLICE)
-    out = np.zeros((_MARKS // SLICE, SLICE), np.uint32)
-    out[: len(got)] = got
-    return out.ravel() > 0
-
-
 def _identity(df: DataFrame, key: str, text: str) -> tuple[Column, Column]:
     """A row's place in the order, and what tells rows of equal place apart: their text, or 0 if there are none."""
     order = F.coalesce(F.col(key).cast("long"), F.lit(LAST))
@@ -549,18 +531,18 @@ def removed_lines(df: DataFrame, order: Column, twin: Column, text: str, *, thre
     sent = spark.sparkContext.broadcast(counts)
     cells = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(words / 4 / CELL))
     found = written(_matched(_blocks(docs, sent, cells, threshold, hot), threshold, small), "found")
-    pairs = found.where(f"kind != {GONE}")
-    texts = _texts(docs, pairs)
+    texts = _texts(docs, found.where(f"kind != {GONE}"))
+    pairs = found.where(f"kind in ({PAIR}, {FIRST_PAIR})")
     alike = written(_verified(pairs.drop("kind").distinct(), texts, threshold), "similar")
     gone = found.where(f"kind = {GONE}").select(*_PLACE).union(alike)
     missed = found.where(f"kind = {FIRST_PAIR}").select(*_PLACE).distinct().join(alike, _PLACE, "left_anti")
-    missed = missed.join(texts, _PLACE).select("key", "twin", F.col("text").cast("string").alias("text"), F.col("line").alias("first"))
     missed = written(missed, "missed")
-    if not missed.isEmpty():  # their words cleared them of the earliest line of a large group: search all of it
-        marks = spark.sparkContext.broadcast(_marks(missed, sent, threshold))
-        blocks = _blocks(missed, sent, cells, threshold, hot, probe=True).union(_blocks(docs, sent, cells, threshold, hot, only=marks))
-        again = written(_matched(blocks, threshold, small, probing=True).where(f"kind = {PAIR}").drop("kind").distinct(), "again")
-        gone = gone.union(_verified(again, _texts(docs, again), threshold))
+    if not missed.isEmpty():  # their words cleared them of the earliest line of a large group: search all its lines
+        alone = lambda places: places.join(texts, _PLACE).select("key", "twin", F.col("text").cast("string").alias("text"), F.col("line").alias("first"))
+        members = found.where(f"kind = {MEMBER}").select(*_PLACE).distinct()
+        blocks = [_blocks(alone(x), sent, cells, threshold, hot, probe=probe, sets=True) for x, probe in ((missed, True), (members, False))]
+        again = _matched(blocks[0].union(blocks[1]), threshold, small, probing=True)
+        gone = gone.union(_verified(written(again.drop("kind").distinct(), "again"), texts, threshold))
     return gone.groupBy("key", "twin").agg(F.array_sort(F.collect_set("line")).alias("removed"))
 
 
