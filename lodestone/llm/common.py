@@ -35,6 +35,17 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
+#: Rows that go to Python at a time. Spark's default of ten thousand whole texts and their words is too much for a worker.
+BATCH_ROWS = 1_000
+
+
+def modest_batches(spark: SparkSession) -> None:
+    """Send at most ``BATCH_ROWS`` rows to Python at a time, unless the session asks for fewer."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def map_columns(
     df: DataFrame,
     carry: Sequence[Column],
@@ -48,6 +59,7 @@ def map_columns(
     output columns. Columns travel under positional names, so those of ``df`` cannot
     clash with those of ``schema``.
     """
+    modest_batches(df.sparkSession)
     narrow = df.select(*[c.alias(f"c{i}") for i, c in enumerate(carry)], *[c.alias(f"i{i}") for i, c in enumerate(inputs)])
     n = len(carry)
     out = T.StructType(narrow.schema.fields[:n] + schema.fields)

@@ -1,7 +1,7 @@
 """Line deduplication by an exact set-similarity join.
 
 A line is the set of its tokens, the shingles of ``SHINGLE`` words (a shorter line is one token). It is removed
-if some earlier line, by (key, line number), has a Jaccard similarity of ``THRESHOLD`` or more with it, whether or not
+if some earlier line, by (key, line number, text), has a Jaccard similarity of ``THRESHOLD`` or more with it, whether or not
 that line is removed itself.
 
 Tokens are ordered by rarity: first by the least count among their words, from a table of ``COUNTERS`` hashed counters
@@ -16,8 +16,8 @@ no pair is lost. Tokens whose words are all so frequent that more than ``HOT`` l
 grid of cells, each with two parts of their lines.
 
 Defined cases: lines are parted by a line feed; lines without words stay; null texts stay null; null keys
-come after all others; rows that share key and line number are neither earlier nor later than each
-other, so both stay unless an earlier line removes them; an empty table gives no rows; extra columns pass through.
+come after all others; lines of equal key and number are ordered by a hash of their texts, and those of
+equal rows are one line, which stays in all or goes from all; an empty table gives no rows; extra columns pass through.
 Keys are integers.
 """
 
@@ -28,11 +28,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import WORD_TABLE, as_bytes, table, words_of, written
+from lodestone.llm.common import WORD_TABLE, as_bytes, modest_batches, table, words_of, written
 
 THRESHOLD, SHINGLE = 0.8, 5
 COUNTERS, SLICE = 1 << 20, 1 << 12
@@ -220,10 +221,10 @@ def entries(piece: Piece, counts: np.ndarray, threshold: float, sets: bool = Fal
     b1 = np.bitwise_or.reduceat(np.where(bit < 64, one, np.uint64(0)), start)
     b2 = np.bitwise_or.reduceat(np.where(bit < 64, np.uint64(0), one), start)
     sig = np.add.reduceat(_mixed(mixed), start)
-    order = np.lexsort((piece.line, piece.twin, piece.key, n, sig))
+    order = np.lexsort((piece.twin, piece.line, piece.key, n, sig))
     head = np.r_[True, (sig[order][1:] != sig[order][:-1]) | (n[order][1:] != n[order][:-1])]
     lead = order[np.flatnonzero(head)[np.cumsum(head) - 1]]
-    later = (piece.key[order] != piece.key[lead]) | (piece.line[order] != piece.line[lead])
+    later = np.logical_or.reduce([c[order] != c[lead] for c in (piece.key, piece.line, piece.twin)])
     gone = order[later]
     leads = np.zeros(len(n), bool)
     leads[order[head]] = True
@@ -317,7 +318,7 @@ def _passes(x: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray, threshold: f
     n, m = x["n"][a].astype(np.int64), x["n"][b].astype(np.int64)
     need = _needed(n, m, threshold)
     ok = (np.minimum(n - x["pos"][a], m - x["pos"][b]) >= need) & (np.minimum(n, m) >= threshold * np.maximum(n, m) - 1e-9)
-    ok &= (x["key"][a] != x["key"][b]) | (x["line"][a] != x["line"][b])
+    ok &= np.logical_or.reduce([x[c][a] != x[c][b] for c in ("key", "line", "twin")])
     a1, a2, b1, b2 = x["b1"][a], x["b2"][a], x["b1"][b], x["b2"][b]
     ok &= n - np.bitwise_count(a1 & ~b1).astype(np.int64) - np.bitwise_count(a2 & ~b2) >= need
     return ok & (m - np.bitwise_count(b1 & ~a1).astype(np.int64) - np.bitwise_count(b2 & ~a2) >= need)
@@ -334,9 +335,9 @@ def joined(x: dict[str, np.ndarray], threshold: float, small: int) -> tuple[np.n
     same = np.zeros(len(order), bool)
     same[1:] = (s["token"][1:] == s["token"][:-1]) & (s["sig"][1:] == s["sig"][:-1]) & (s["n"][1:] == s["n"][:-1])
     lead = np.flatnonzero(~same)[np.cumsum(~same) - 1] if len(order) else order
-    gone = order[same & (s["pos"] == 0) & ((s["key"] != s["key"][lead]) | (s["line"] != s["line"][lead]))]
+    gone = order[same & (s["pos"] == 0) & np.logical_or.reduce([s[c] != s[c][lead] for c in ("key", "line", "twin")])]
     rows = order[~same]
-    rows = rows[np.lexsort((x["line"][rows], x["key"][rows], x["token"][rows]))]
+    rows = rows[np.lexsort(tuple(x[c][rows] for c in ("twin", "line", "key", "token")))]
     token = x["token"][rows]
     start = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if len(rows) else np.zeros(0, np.int64)
     size = np.diff(np.r_[start, len(rows)])
@@ -373,16 +374,20 @@ def joined(x: dict[str, np.ndarray], threshold: float, small: int) -> tuple[np.n
 def _probed(x: dict[str, np.ndarray], probe: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Rows of each probe and of the earliest entry of its token whose set of tokens is similar enough."""
     plain = np.flatnonzero(~probe)
-    plain = plain[np.lexsort(tuple(x[c][plain] for c in ("line", "key", "n", "sig", "token")))]
+    plain = plain[np.lexsort(tuple(x[c][plain] for c in ("twin", "line", "key", "n", "sig", "token")))]
     again = np.zeros(len(plain), bool)  # of equal sets the earliest is partner enough
     again[1:] = np.logical_and.reduce([x[c][plain[1:]] == x[c][plain[:-1]] for c in ("token", "sig", "n")])
     plain = plain[~again]
-    plain = plain[np.lexsort(tuple(x[c][plain] for c in ("line", "key", "token")))]
+    plain = plain[np.lexsort(tuple(x[c][plain] for c in ("twin", "line", "key", "token")))]
     tokens = x["token"][plain]
     later, earlier = [], []
     for i in np.flatnonzero(probe).tolist():
         b = plain[np.searchsorted(tokens, x["token"][i], "left") : np.searchsorted(tokens, x["token"][i], "right")]
-        b = b[(x["key"][b] < x["key"][i]) | ((x["key"][b] == x["key"][i]) & (x["line"][b] < x["line"][i]))]
+        before, level = np.zeros(len(b), bool), np.ones(len(b), bool)
+        for c in ("key", "line", "twin"):
+            before |= level & (x[c][b] < x[c][i])
+            level &= x[c][b] == x[c][i]
+        b = b[before]
         b = b[_passes(x, np.full(len(b), i), b, threshold)]
         for j in b.tolist():
             if len(np.intersect1d(x["set"][i], x["set"][j], assume_unique=True)) >= _needed(x["n"][i].astype(np.int64), x["n"][j].astype(np.int64), threshold):
@@ -526,6 +531,7 @@ def _identity(df: DataFrame, key: str, text: str) -> tuple[Column, Column]:
 def removed_lines(df: DataFrame, order: Column, twin: Column, text: str, *, threshold: float = THRESHOLD, small: int = SMALL, hot: int = HOT) -> DataFrame:
     """Rows (key, twin, removed): the sorted numbers, from 0, of the lines to remove, where there are any."""
     spark = df.sparkSession
+    modest_batches(spark)
     docs = df.where(F.col(text).isNotNull()).select(order.alias("key"), twin.alias("twin"), F.col(text).alias("text"), F.lit(0).alias("first"))
     counts, words = word_counts(docs)
     sent = spark.sparkContext.broadcast(counts)
@@ -572,7 +578,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def brute_force(rows: list[tuple[int | None, str | None]], threshold: float = THRESHOLD) -> list[list[int]]:
     """The removed line numbers of each row, by comparing all lines; for tests."""
-    lines = [((LAST if k is None else k, i), x.encode()) for k, t in rows if t is not None for i, x in enumerate(t.split("\n"))]
-    sets = [(place, line, shingles(line)) for place, line in lines]
-    gone = {(p, a) for p, a, s in sets if s and any(q < p and r and s & r and similar(a, b, threshold) for q, b, r in sets)}
-    return [[] if t is None else [i for i, x in enumerate(t.split("\n")) if ((LAST if k is None else k, i), x.encode()) in gone] for k, t in rows]
+    twin = lambda t: int(np.uint64(xxhash.xxh64_intdigest(t.encode(), 42)).view(np.int64))
+    place = lambda k, t, i: (LAST if k is None else k, i, twin(t))
+    lines = [(place(k, t, i), x.encode()) for k, t in rows if t is not None for i, x in enumerate(t.split("\n"))]
+    sets = [(p, line, shingles(line)) for p, line in lines]
+    gone = {p for p, a, s in sets if s and any(q < p and r and s & r and similar(a, b, threshold) for q, b, r in sets)}
+    return [[] if t is None else [i for i, _ in enumerate(t.split("\n")) if place(k, t, i) in gone] for k, t in rows]

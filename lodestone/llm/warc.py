@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import as_bytes, table, written
+from lodestone.llm.common import as_bytes, modest_batches, table, written
 
 LEAST = 1000
 FRAME, BUNDLE = 256 << 10, 8 << 20
@@ -146,6 +146,7 @@ def decided(df: DataFrame, key: str, payload: str, *, least: int = LEAST) -> Dat
 
 def archived(df: DataFrame, key: str, target: str, payload: str, *, date: str = "2024-01-01T00:00:00Z", frame: int = FRAME, size: int = BUNDLE) -> DataFrame:
     """A written table of bundles (name, content, records), with one record per row of ``df``."""
+    modest_batches(df.sparkSession)
     rows = decided(df, key, payload).select(F.col("row")[key].alias("id"), F.coalesce(F.col("row")[target], F.lit("")).alias("target"), F.col("row")[payload].alias("payload"), "payload_digest", "refers_to")
 
     def run(batches):
