@@ -34,7 +34,7 @@ BUCKETS, WIDTH, FILTERS, SPANS = 1 << 18, 8, 8, (1, 2, 3)
 BEGINNINGS = (4, 5, 6)
 KEYS = 1 + len(BEGINNINGS)
 #: At most this many labelled rows teach the classifier.
-MAX_ROWS = 6_000
+MAX_ROWS = 4_000
 #: Words scored at a time, whatever the length of a text.
 SLICE = 50_000
 
