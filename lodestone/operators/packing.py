@@ -72,3 +72,14 @@ def history_text(messages: DataFrame, *, by: str = "conv_id", turn: str = "turn"
     rows = messages.groupBy(by).agg(F.array_sort(F.collect_list(kept)).alias("rows"))
     joined = F.array_join(F.transform("rows", lambda r: r["line"]), "\n")
     return rows.select(by, F.when(F.size("rows") == 0, "(none)").otherwise(joined).alias("history"))
+
+
+def with_previous(messages: DataFrame, *, by: str = "conv_id", turn: str = "turn") -> DataFrame:
+    """Add ``previous``, the text before each message of a conversation."""
+    return messages.withColumn("previous", F.lag("text").over(W.partitionBy(by).orderBy(turn)))
+
+
+def serialised(retrieved: DataFrame, text: str = "text", most: int = 320) -> DataFrame:
+    """Retrieved rows as a run artifact keeps them: rounded scores and one-line snippets."""
+    snippet = F.substring(F.replace(F.col(text), F.lit("\n"), F.lit(" ")), 1, most)
+    return retrieved.withColumns({"score": F.round("score", 6), "snippet": snippet}).drop(text)

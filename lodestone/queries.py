@@ -327,6 +327,17 @@ def history_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.history_text(packing.history_tail(demo.table(spark, sf_dir, "conversations"), 4))
 
 
+@query("SELECT conv_id, turn, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS previous FROM conversations")
+def previous_message(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.with_previous(demo.table(spark, sf_dir, "conversations")).select("conv_id", "turn", "previous")
+
+
+@query(f"WITH {_Q}, {_S}, {_R}, {_TOP} SELECT query_id, chunk_id, round(score, 6) AS score, substring(replace(text, chr(10), ' '), 1, 320) AS snippet FROM t JOIN documents d ON d.doc_id = t.chunk_id")
+def serialise_retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = _documents(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), "text")
+    return packing.serialised(demo.retrieved(spark, sf_dir).join(texts, "chunk_id")).select("query_id", "chunk_id", "score", "snippet")
+
+
 @query("""WITH f AS (SELECT lang, source, min(doc_id) AS doc_id FROM documents GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS citation FROM f)
 SELECT lang, source, doc_id, CAST(citation AS INTEGER) AS citation FROM r WHERE citation <= 3""")
 def citation_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -384,6 +395,13 @@ def answer_feedback_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feedback.open_complaints(demo.events(spark, sf_dir).withColumn("comment", F.lit(""))).select("conversation_id", "thumb", "line_no")
 
 
+@query(f"""WITH {_EV}, a AS (SELECT *, CASE WHEN lag(thumb) OVER w = thumb THEN 0 ELSE 1 END AS new FROM ev WINDOW w AS (PARTITION BY conversation_id, turn_id ORDER BY line_no)),
+b AS (SELECT *, sum(new) OVER (PARTITION BY conversation_id, turn_id ORDER BY line_no) AS run FROM a), c AS (SELECT *, row_number() OVER (PARTITION BY conversation_id, turn_id, run ORDER BY line_no) AS n FROM b)
+SELECT line_no, CASE WHEN n % 2 = 1 THEN thumb ELSE 'none' END AS state FROM c""")
+def vote_toggle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feedback.toggled(demo.events(spark, sf_dir), "conversation_id", "turn_id").select("line_no", "state")
+
+
 @query()
 def vote_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feedback.vote_weights(demo.events(spark, sf_dir)).withColumn("weight", F.round("weight", 6))

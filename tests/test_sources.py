@@ -89,3 +89,35 @@ def test_settings_from_environment():
 
     s = Settings.from_env({"TOP_K": "5", "ENABLE_RERANK": "off", "RERANK_ALPHA": "0.5", "MAX_PAGES": " "})
     assert (s.top_k, s.enable_rerank, s.rerank_alpha, s.max_pages) == (5, False, 0.5, 300)
+
+
+def test_fetching_retries_and_keeps_failures(spark):
+    from lodestone.sources import fetch
+
+    def fetcher():
+        tries = {}
+
+        def get(url, timeout):
+            tries[url] = tries.get(url, 0) + 1
+            if url == "gone":
+                return fetch.Response(404, url, "", "")
+            if url == "down" or (url == "slow" and tries[url] < 3):
+                raise OSError("no answer") if url == "down" else TimeoutError("late")
+            return fetch.Response(200, url + "/", "text/html", f"tries {tries[url]}")
+
+        return get
+
+    urls = spark.createDataFrame([("ok",), ("ok",), ("gone",), ("slow",), ("down",), (None,)], "url string")
+    rows = {r.url: r for r in fetch.fetched(urls, fetcher, sleep=lambda s: None).collect()}
+    assert (rows["ok"].html, rows["ok"].final_url, rows["slow"].html) == ("tries 1", "ok/", "tries 3")
+    assert (rows["gone"].error, rows["down"].error) == ("status 404", "OSError: no answer")
+    assert fetch.seeds(spark).count() == 3 and fetch.seeds(spark, forms=True, directive_html=True).count() == 5
+
+
+def test_functions_in_sql(spark):
+    from lodestone.functions.sql import register
+
+    register(spark)
+    assert [tuple(r) for r in spark.sql("select * from chunk_text('d', 'One', 100, 0)").collect()] == [("d__0", "One", "One")]
+    assert [r.line for r in spark.sql("select * from page_lines('<h1>A</h1><p>b')").collect()] == ["A", "b"]
+    assert len(spark.sql("select embed_text('alpha') as v").first().v) == 64
