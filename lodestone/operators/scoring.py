@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lodestone.functions import values as V
 from lodestone.functions.text import contains_any, content_tokens, distinct_ignoring_case, dot, normalized, overlap_share, strip
@@ -40,6 +43,42 @@ def dense_scores(chunks: DataFrame, queries: DataFrame, chunk_key: str = "chunk_
     return chunks.join(asked).select("query_id", chunk_key, ((best + 1) / 2).alias("dense"))
 
 
+def dense_topk(chunks: DataFrame, queries: DataFrame, k: int, *, chunk_key: str = "chunk_id", vector: str = "embedding", digits: int = 9, limit: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """(query_id, chunk, score): at least the ``k`` best chunks of each query, by rounded score and then smaller key.
+
+    A batch of chunks meets the matrix of all queries in one product and sends on its own k best per query only, so
+    what is shuffled is k rows per query and batch instead of all pairs. A query set of more than ``limit`` bytes
+    takes the plan of ``dense_scores``.
+    """
+    asked = queries.select("query_id", "vectors")
+    width = asked.agg(F.max(F.size(F.get("vectors", F.lit(0)))).alias("w"), F.sum(F.size("vectors")).alias("n")).first()
+    if not width.w:
+        return dense_scores(chunks, queries, chunk_key, vector).select("query_id", chunk_key, F.round("dense", digits).alias("score")).limit(0)
+    if width.w * width.n * 8 > limit:
+        scored = dense_scores(chunks, queries, chunk_key, vector).select("query_id", chunk_key, F.round("dense", digits).alias("score"))
+        return ranked(scored, "score", chunk_key, limit=k).drop("rank")
+    rows = asked.where(F.size("vectors") > 0).collect()
+    starts = np.cumsum([0, *(len(r.vectors) for r in rows[:-1])])
+    sent = chunks.sparkSession.sparkContext.broadcast(np.array([v for r in rows for v in r.vectors], float))
+    ids = pa.array([r.query_id for r in rows], to_arrow_type(asked.schema["query_id"].dataType))
+    wanted = chunks.where(F.size(vector) == width.w).select(chunk_key, vector)
+    kinds = {f.name: f.dataType.simpleString() for f in (*wanted.schema.fields, *asked.schema.fields)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = pa.Table.from_batches([batch]).sort_by(chunk_key).combine_chunks()
+            vectors = own.column(vector).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(own.num_rows, -1).astype(float)
+            scores = np.round((np.maximum.reduceat(sent.value @ vectors.T, starts, axis=0) + 1) / 2, digits)
+            n = min(k, own.num_rows)
+            at = np.argsort(-scores, axis=1, kind="stable")[:, :n]  # rows are in key order, so ties go to smaller keys
+            out = [ids.take(pa.array(np.repeat(np.arange(len(at)), n))), own.column(chunk_key).combine_chunks().take(pa.array(at.ravel())), pa.array(np.take_along_axis(scores, at, 1).ravel())]
+            yield pa.RecordBatch.from_arrays(out, names=["query_id", chunk_key, "score"])
+
+    return wanted.mapInArrow(run, f"query_id {kinds['query_id']}, `{chunk_key}` {kinds[chunk_key]}, score double")
+
+
 def vocabulary(*texts: Column) -> Column:
     """The distinct content tokens of a chunk's texts."""
     return F.array_distinct(content_tokens(F.concat_ws("\n", *texts)))

@@ -55,9 +55,9 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def retrieved(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
     """(query_id, rank, chunk_id, source, gold, score): the k best chunks of each query but its own."""
-    from lodestone.operators.scoring import dense_scores, ranked
+    from lodestone.operators.scoring import dense_topk, ranked
 
     q = queries(spark, sf_dir)
-    scored = dense_scores(chunks(spark, sf_dir), q).where("chunk_id != query_id").withColumn("score", F.round("dense", 9))
-    best = ranked(scored, "score", "chunk_id", limit=k)
+    found = dense_topk(chunks(spark, sf_dir), q, k + 1).where("chunk_id != query_id")
+    best = ranked(found, "score", "chunk_id", limit=k)
     return best.join(q.select("query_id", "gold"), "query_id").join(chunks(spark, sf_dir).select("chunk_id", "source"), "chunk_id")

@@ -93,8 +93,7 @@ def dense_multi_query_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = demo.queries(spark, sf_dir)
     more = demo.table(spark, sf_dir, "embeddings").select((F.col("vec_id") - 1).alias("query_id"), F.col("embedding").alias("more"))
     both = q.join(more, "query_id", "left").select("query_id", F.when(F.col("more").isNull(), F.col("vectors")).otherwise(F.concat("vectors", F.array("more"))).alias("vectors"))
-    scored = scoring.dense_scores(demo.chunks(spark, sf_dir), both).withColumn("score", F.round("dense", 9))
-    return scoring.ranked(scored, "score", "chunk_id", limit=10).select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
+    return scoring.ranked(scoring.dense_topk(demo.chunks(spark, sf_dir), both, 10), "score", "chunk_id", limit=10).select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
 
 
 def _ranked_all(spark: SparkSession, sf_dir: str) -> DataFrame:

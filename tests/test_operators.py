@@ -93,6 +93,15 @@ def test_rerank_blend_leaves_others_alone(spark):
     assert got == pytest.approx({"a": 0.2, "b": 0.8, "c": 0.7})
 
 
+def test_dense_topk_equals_the_join(spark):
+    rng = np.random.default_rng(2)
+    chunks = spark.createDataFrame([(i, rng.normal(size=4).round(1).tolist()) for i in range(80)] + [(200, None)], "chunk_id long, embedding array<float>").repartition(3)
+    queries = spark.createDataFrame([(q, [rng.normal(size=4).round(1).tolist() for _ in range(1 + q % 2)]) for q in range(5)], "query_id int, vectors array<array<float>>")
+    best = lambda limit: sorted(tuple(r) for r in scoring.ranked(scoring.dense_topk(chunks, queries, 6, limit=limit), "score", "chunk_id", limit=6).collect())
+    assert best(1 << 20) == best(0) and len(best(0)) == 30
+    assert scoring.dense_topk(chunks, queries.limit(0), 6).count() == 0
+
+
 # --- chunking ------------------------------------------------------------------------------------------------------
 def test_chunk_rules():
     blocks = list(chunking.blocks_of("Title\n\n```\na\n\nb\n```\n| a | b |\n| c | d |\n- x\n\n  y\n10. z\n1. no list\nplain".split("\n")))
