@@ -38,8 +38,8 @@ from lodestone.llm.common import WORD_TABLE, as_bytes, modest_batches, table, wo
 THRESHOLD, SHINGLE = 0.8, 5
 COUNTERS, SLICE = 1 << 20, 1 << 12
 SMALL, HOT = 64, 1_000_000
-#: Bytes of text worked on at a time, entries that a task gathers before it sends them, entries in a cell.
-PIECE, GATHER, CELL = 1 << 19, 200_000, 150_000
+#: Bytes of text worked on at a time, entries that a task gathers before it sends them, entries in a cell and in a task.
+PIECE, GATHER, CELL, TASK = 1 << 19, 200_000, 150_000, 2_000_000
 #: Null keys are ordered after all others.
 LAST = (1 << 63) - 1
 
@@ -535,8 +535,10 @@ def removed_lines(df: DataFrame, order: Column, twin: Column, text: str, *, thre
     docs = df.where(F.col(text).isNotNull()).select(order.alias("key"), twin.alias("twin"), F.col(text).alias("text"), F.lit(0).alias("first"))
     counts, words = word_counts(docs)
     sent = spark.sparkContext.broadcast(counts)
-    cells = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(words / 4 / CELL))
-    found = written(_matched(_blocks(docs, sent, cells, threshold, hot), threshold, small), "found")
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # about one word in four begins a prefix token; tasks follow the input where the session's number is too small for it
+    cells, tasks = (max(least, math.ceil(words / 4 / size)) for size in (CELL, TASK))
+    found = written(_matched(_blocks(docs, sent, cells, threshold, hot).repartition(tasks, "cell"), threshold, small), "found")
     texts = _texts(docs, found.where(f"kind != {GONE}"))
     pairs = found.where(f"kind in ({PAIR}, {FIRST_PAIR})")
     alike = written(_verified(pairs.drop("kind").distinct(), texts, threshold), "similar")
