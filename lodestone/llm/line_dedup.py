@@ -1,18 +1,17 @@
 """Line deduplication by an exact set-similarity join.
 
-A line is the set of its tokens, the shingles of ``SHINGLE`` words (a shorter line is one token). It is removed
-if some earlier line, by (key, line number, text), has a Jaccard similarity of ``THRESHOLD`` or more with it, whether or not
+A line is the set of its words, which are its tokens. It is removed if some earlier line, by (key, line number, text), has a Jaccard similarity of ``THRESHOLD`` or more with it, whether or not
 that line is removed itself.
 
-Tokens are ordered by rarity: first by the least count among their words, from a table of ``COUNTERS`` hashed counters
+Tokens are ordered by rarity: first by their count, from a table of ``COUNTERS`` hashed counters
 summed over all lines and sent to executors (its size is fixed), then by hash. Similar lines share a token of their
 prefixes, so prefix tokens are the join key. Their entries travel as packed columns, one block per task and cell of the
 token space. Within a cell length, positional and bitmap filters leave few pairs, and the words of both lines decide.
 Equal sets are one entry per task, and one per token after the shuffle.
 
-Among more than ``SMALL`` different lines with one token, a line is first paired with the earliest alone; those that the
+Among more than ``SMALL`` different lines of near length with one token, a line is first paired with the earliest alone; those that the
 words then clear are searched again against all, their entries now holding whole token sets. So a large group of similar lines takes linear work, and
-no pair is lost. Tokens whose words are all so frequent that more than ``HOT`` lines may share one are dealt to a
+no pair is lost. Words so frequent that more than ``HOT`` lines may share one are dealt to a
 grid of cells, each with two parts of their lines.
 
 Defined cases: lines are parted by a line feed; lines without words stay; null texts stay null; null keys
@@ -35,11 +34,11 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import WORD_TABLE, as_bytes, modest_batches, table, words_of, written
 
-THRESHOLD, SHINGLE = 0.8, 5
+THRESHOLD = 0.8
 COUNTERS, SLICE = 1 << 20, 1 << 12
 SMALL, HOT = 64, 1_000_000
 #: Bytes of text worked on at a time, entries that a task gathers before it sends them, entries in a cell and in a task.
-PIECE, GATHER, CELL, TASK = 1 << 19, 200_000, 150_000, 2_000_000
+PIECE, GATHER, CELL, TASK = 1 << 18, 100_000, 150_000, 2_000_000
 #: Null keys are ordered after all others.
 LAST = (1 << 63) - 1
 
@@ -106,23 +105,11 @@ class Piece:
 
     def tokens(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sorted distinct tokens of each line, and the line of each."""
-        h, of, m = self.words, self.of, len(self.words)
+        h, of = self.words, self.of
         held = counts[(h & np.uint64(COUNTERS - 1)).view(np.int64)].astype(np.int64)
-        token, least = _mixed(h + np.uint64(SHINGLE)), held.copy()
-        whole = np.zeros(m, bool)
-        for k in range(1, SHINGLE):
-            part = np.full(m, np.uint64(k), np.uint64)
-            inside = np.zeros(m, bool)
-            if m > k:
-                inside[:-k] = of[k:] == of[:-k]
-                part[:-k][inside[:-k]] = h[k:][inside[:-k]]
-                np.minimum(least[:-k], held[k:], out=least[:-k], where=inside[:-k])
-            token = _mixed(token * np.uint64(_BASE) + part)
-            whole = inside
-        keep = whole | self.new  # the first word of a shorter line stands for all of it
-        level = np.minimum(63, np.floor(np.log2(least[keep] + 1))).astype(np.uint64)
-        value = (level << np.uint64(_HASH_BITS)) | (token[keep] >> np.uint64(64 - _HASH_BITS))
-        both = (of[keep].astype(np.uint64) << np.uint64(_TOKEN_BITS)) | value
+        level = np.minimum(63, np.floor(np.log2(held + 1))).astype(np.uint64)
+        value = (level << np.uint64(_HASH_BITS)) | (h >> np.uint64(64 - _HASH_BITS))
+        both = (of.astype(np.uint64) << np.uint64(_TOKEN_BITS)) | value
         both.sort()
         both = both[np.r_[True, both[1:] != both[:-1]]] if len(both) else both
         return both & np.uint64((1 << _TOKEN_BITS) - 1), (both >> np.uint64(_TOKEN_BITS)).view(np.int64)
@@ -262,7 +249,7 @@ def _unpacked(blocks: list[bytes], sets: bool = False) -> dict[str, np.ndarray]:
 
 def _dealt(columns: dict[str, np.ndarray], cells: int, hot: int) -> Iterator[tuple[int, bytes]]:
     """Blocks of entries by cell. Tokens that may be hot go to every cell of a grid that holds their line's part."""
-    # the level bounds how many lines share a token: its rarest word occurs less than 2^(level + 1) times
+    # the level bounds how many lines share a word: it occurs less than 2^(level + 1) times
     most = np.float64(2.0) ** ((columns["token"] >> np.uint64(_HASH_BITS)).astype(float) + 1)
     parts = np.maximum(1, np.ceil(most / (2 * hot))).astype(np.int64)
     cell = (_mixed(columns["token"]) % np.uint64(cells)).astype(np.int64)
@@ -350,7 +337,14 @@ def joined(x: dict[str, np.ndarray], threshold: float, small: int) -> tuple[np.n
     start = np.r_[0, np.cumsum(size)[:-1]]
     first, of_size = np.repeat(start, size), np.repeat(size, size)
     at = np.arange(len(rows)) - first
-    large = of_size > small
+    # by length, the lines that can be similar are neighbours
+    by_length = np.lexsort((x["n"][rows], first))
+    n, pos = (x[c][rows[by_length]].astype(np.int64) for c in ("n", "pos"))
+    at_length = (first << 32) + n
+    low = np.searchsorted(at_length, (first << 32) + np.ceil(threshold * n - 1e-9).astype(np.int64), "left")
+    high = np.searchsorted(at_length, (first << 32) + np.floor((n + 1e-9) / threshold).astype(np.int64), "right")
+    large = np.zeros(len(rows), bool)
+    large[by_length] = high - low > small
     firsts = np.flatnonzero(large & (at > 0))
     firsts = firsts[_passes(x, rows[firsts], rows[first[firsts]], threshold)]
     settled = np.zeros(len(rows), bool)
@@ -359,14 +353,24 @@ def joined(x: dict[str, np.ndarray], threshold: float, small: int) -> tuple[np.n
     members[first[firsts]] = True
     members = members[first]
     later, earlier = [rows[firsts]], [rows[first[firsts]]]
-    open_ = np.flatnonzero(~settled & (at > 0))
-    back = 1
-    while len(open_):
-        ok = _passes(x, rows[open_], rows[open_ - back], threshold)
-        later.append(rows[open_[ok]])
-        earlier.append(rows[open_[ok] - back])
-        back += 1
-        open_ = open_[at[open_] >= back]
+    # neighbours on one side are enough in groups where no line is settled
+    both = np.zeros(len(rows), bool)
+    both[first[settled]] = True
+    both = both[first]
+    for step in (-1, 1):
+        open_ = np.flatnonzero(~settled[by_length] & (both[by_length] | (step < 0)))
+        other = open_ + step
+        while len(open_):
+            on = other >= low[open_] if step < 0 else other < high[open_]
+            open_, other = open_[on], other[on]
+            i, j = by_length[open_], by_length[other]
+            near = (j < i) | ~both[i]
+            near &= np.minimum(n[open_] - pos[open_], n[other] - pos[other]) >= _needed(n[open_], n[other], threshold)
+            i, j = rows[np.maximum(i, j)[near]], rows[np.minimum(i, j)[near]]
+            ok = _passes(x, i, j, threshold)
+            later.append(i[ok])
+            earlier.append(j[ok])
+            other = other + step
     a, b = np.concatenate(later), np.concatenate(earlier)
     return gone, a, b, np.arange(len(a)) < len(firsts), rows[members]
 
@@ -438,16 +442,8 @@ def _matched(blocks: DataFrame, threshold: float, small: int, *, probing: bool =
     return blocks.groupBy("cell").applyInArrow(run, _FOUND)
 
 
-def shingles(line: bytes) -> set[bytes]:
-    """The tokens of a line: its shingles of words, or all its words if there are fewer."""
-    words = words_of(line)
-    if not words:
-        return set()
-    return {b" ".join(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))}
-
-
 def similar(a: bytes, b: bytes, threshold: float) -> bool:
-    x, y = shingles(a), shingles(b)
+    x, y = set(words_of(a)), set(words_of(b))
     return len(x & y) >= math.ceil((len(x) + len(y)) * threshold / (1 + threshold) - 1e-9)
 
 
@@ -583,6 +579,6 @@ def brute_force(rows: list[tuple[int | None, str | None]], threshold: float = TH
     twin = lambda t: int(np.uint64(xxhash.xxh64_intdigest(t.encode(), 42)).view(np.int64))
     place = lambda k, t, i: (LAST if k is None else k, i, twin(t))
     lines = [(place(k, t, i), x.encode()) for k, t in rows if t is not None for i, x in enumerate(t.split("\n"))]
-    sets = [(p, line, shingles(line)) for p, line in lines]
+    sets = [(p, line, set(words_of(line))) for p, line in lines]
     gone = {p for p, a, s in sets if s and any(q < p and r and s & r and similar(a, b, threshold) for q, b, r in sets)}
     return [[] if t is None else [i for i, _ in enumerate(t.split("\n")) if place(k, t, i) in gone] for k, t in rows]

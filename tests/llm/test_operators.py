@@ -251,6 +251,28 @@ def test_removed_lines_equal_brute_force(spark):
         assert [r.text for r in out.orderBy("key").collect()] == expected
 
 
+def test_lines_that_differ_by_an_inner_word_go(spark):
+    def plain(texts):  # Jaccard of sets of words, over all pairs
+        lines = [((i, n), set(x.split())) for i, t in enumerate(texts) for n, x in enumerate(t.split("\n"))]
+        return {p for p, a in lines if a and any(q < p and b and 5 * len(a & b) >= 4 * len(a | b) for q, b in lines)}
+
+    words = [f"v{i}" for i in range(12)]
+    near = " ".join([*words[:6], "other", *words[7:]])  # 11 of 13 words in common
+    texts = [" ".join(words), near, "b a c", "a b c", "a b d", "p q r s t", "p q r s t u", "p q r s x"]
+    rng = random.Random(11)
+    for _ in range(60):
+        line = [f"v{i}" for i in range(rng.choice([9, 12, 15, 30]))]
+        for _ in range(rng.randrange(4)):
+            line[rng.randrange(len(line))] = f"y{rng.randrange(40)}"
+        rng.shuffle(line)
+        texts.append(" ".join(line) + "\n" + " ".join(line[:-1]))
+    expected = plain(texts)
+    assert {(1, 0), (3, 0), (6, 0)} <= expected and not expected & {(0, 0), (2, 0), (4, 0), (5, 0), (7, 0)}
+    for small in (64, 4):
+        rows = line_dedup.removed_lines(documents(spark, *texts), F.col("doc_id"), F.lit(0).cast("long"), "text", small=small).collect()
+        assert {(r.key, n) for r in rows for n in r.removed} == expected
+
+
 def test_line_dedup_of_an_empty_table(spark):
     assert line_dedup.deduplicated(spark.createDataFrame([], DOCS), "doc_id", "text").count() == 0
 
