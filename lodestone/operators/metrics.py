@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -137,51 +138,107 @@ def timings(rows: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
 
 
 @cache
-def draws(count: int, seed: int = SEED) -> np.ndarray:
-    """``count`` numbers of the 32-bit xorshift generator."""
-    left, right, again = SHIFTS
-    out, x = np.empty(count, np.uint32), seed
-    for i in range(count):
-        x ^= x << left & 0xFFFFFFFF
-        x ^= x >> right
-        x ^= x << again & 0xFFFFFFFF
-        out[i] = x
+def _jumps() -> np.ndarray:
+    """What 2^j steps of the generator make of each single bit; steps are linear over bits."""
+    out = np.empty((63, 32), np.uint32)
+    out[0] = _step(np.uint32(1) << np.arange(32, dtype=np.uint32))
+    for j in range(1, 63):
+        out[j] = _moved(out[j - 1], out[j - 1])
     return out
 
 
-#: Groups of more values than this get their interval from the distributed plan of per-sample sums alone.
-MAX_BOOTSTRAP = 20_000
+def _step(x: np.ndarray) -> np.ndarray:
+    """The next number of the 32-bit xorshift generator for each state."""
+    left, right, again = (np.uint32(s) for s in SHIFTS)
+    x = x ^ (x << left)
+    x = x ^ (x >> right)
+    return x ^ (x << again)
 
 
-def bootstrap(rows: DataFrame, value: str, order: str, by: Sequence[str], *, resamples: int = RESAMPLES, digits: int = 6) -> DataFrame:
+def _moved(x: np.ndarray, jump: np.ndarray) -> np.ndarray:
+    out = np.zeros_like(x)
+    for b in range(32):
+        out ^= (x >> np.uint32(b) & np.uint32(1)) * jump[b]
+    return out
+
+
+def states(numbers: np.ndarray, seed: int = SEED) -> np.ndarray:
+    """The generator's states after the given numbers of draws."""
+    out = np.full(numbers.shape, seed, np.uint32)
+    for j in range(int(numbers.max(initial=0)).bit_length()):
+        out = np.where(numbers >> j & 1, _moved(out, _jumps()[j]), out)
+    return out
+
+
+def sample_sums(x: np.ndarray, low: int, n: int, samples: np.ndarray) -> np.ndarray:
+    """Each sample's sum over its draws, of ``n`` values, that fall on ``x``, the values from number ``low`` on."""
+    lanes = max(1, min(n, LANES // len(samples)))
+    length = -(-n // lanes)
+    ahead = np.arange(lanes, dtype=np.int64) * length
+    state = states(samples.astype(np.int64)[:, None] * n + ahead)
+    out = np.zeros(len(samples))
+    padded = np.append(x, 0.0)
+    for t in range(length):
+        state = _step(state)
+        at = (state % np.uint32(n)).astype(np.int64) - low if n < 1 << 32 else state.astype(np.int64) - low
+        at[(at < 0) | (at >= len(x)) | (ahead + t >= n)] = len(x)
+        out += padded[at].sum(axis=1)
+    return out
+
+
+#: Values in a block, draws in a task for each block, and states that are moved at once.
+BOOTSTRAP_BLOCK, BOOTSTRAP_DRAWS, LANES = 1 << 20, 200_000_000, 1 << 16
+
+
+def _numbered(rows: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
+    """(keys, x, i, n): each value's number by ``order`` within its group and the group's size, without a task that holds a group."""
+    from lodestone.sources.shared import checkpoint
+
+    by = [*[F.col(k) for k in keys], F.col("o").asc_nulls_last(), F.col("x")]
+    chosen = rows.where(F.col(value).isNotNull()).select(*[F.col(k) for k in keys], F.col(order).alias("o"), F.col(value).cast("double").alias("x"))
+    parted = chosen.repartitionByRange(*by).sortWithinPartitions(*by)
+    held = checkpoint(parted.select(*keys, "x", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")))
+    counts = held.groupBy(*keys, "part").agg(F.min("at").alias("start"), F.count("*").alias("c"))
+    earlier = F.sum("c").over(W.partitionBy(*keys).orderBy("part")) - F.col("c")
+    counts = counts.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("part").alias("_part"), (earlier - F.col("start")).alias("shift"), F.sum("c").over(W.partitionBy(*keys)).alias("n"))
+    same = F.col("part") == F.col("_part")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return held.join(counts, same).select(*keys, "x", (F.col("at") + F.col("shift")).alias("i"), "n")
+
+
+def bootstrap(rows: DataFrame, value: str, order: str, by: Sequence[str], *, resamples: int = RESAMPLES, digits: int = 6, block: int = BOOTSTRAP_BLOCK, draws: int = BOOTSTRAP_DRAWS) -> DataFrame:
     """(by, low, high, n): the 95 % interval of the mean over resamples drawn by one generator in case order.
 
-    An evaluation has few cases, so a group of up to ``MAX_BOOTSTRAP`` values is resampled in one task; larger groups are refused.
+    Groups may have any size. Their values are numbered and cut into blocks; tasks take some samples of one block,
+    start the generator where those samples begin and add up the draws that fall on the block. Values of equal order are
+    numbered by value.
     """
-    import pandas as pd
-
     keys = list(by)
     names = {f.name: f.dataType for f in rows.schema.fields}
-    schema = ", ".join([f"`{k}` {names[k].simpleString()}" for k in keys] + ["low double", "high double", "n long"])
-    sizes = rows.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    if sizes > MAX_BOOTSTRAP:
-        raise ValueError(f"a group has {sizes} values; at most {MAX_BOOTSTRAP} are resampled")
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values(order)[value].to_numpy(float)
-        n = len(x)
-        if n == 1:
-            low = high = float(x[0])
-        else:
-            means_ = np.empty(resamples)
-            numbers = draws(resamples * n)
-            for s in range(resamples):
-                means_[s] = x[numbers[s * n : (s + 1) * n] % n].mean()
-            low, high = (round(float(np.quantile(means_, q)), digits) for q in (0.025, 0.975))
-        return pd.DataFrame([[*key, low, high, n]], columns=[*keys, "low", "high", "n"])
-
-    chosen = rows.where(F.col(value).isNotNull()).select(*keys, F.col(order), F.col(value).cast("double").alias(value))
-    return chosen.groupBy(*keys).applyInPandas(run, schema)
+    kinds = "".join(f"`{k}` {names[k].simpleString()}, " for k in keys)
+    numbered = _numbered(rows, keys, value, order).withColumn("block", F.expr(f"i div {block}"))
+
+    def packed(table: pa.Table) -> pa.Table:
+        x = table.sort_by("i").column("x").to_numpy()
+        return table.slice(0, 1).select([*keys, "n", "block"]).append_column("raw", pa.array([x.tobytes()], pa.binary()))
+
+    packs = numbered.groupBy(*keys, "n", "block").applyInArrow(packed, f"{kinds}n long, block long, raw binary")
+    some = F.greatest(F.lit(1), F.least(F.lit(resamples), F.expr(f"{draws} div n"))).cast("long")
+    tasks = packs.withColumn("some", some).withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long"), F.col("some"))))
+
+    def summed(table: pa.Table) -> pa.Table:
+        n, number, some_, first, raw = (table.column(c)[0].as_py() for c in ("n", "block", "some", "from", "raw"))
+        samples = np.arange(first, min(resamples, first + some_))
+        sums = sample_sums(np.frombuffer(raw, float), number * block, n, samples)
+        held = [table.column(k).take(pa.array([0] * len(samples))) for k in keys]
+        return pa.Table.from_arrays([*held, pa.array([n] * len(samples)), pa.array(samples), pa.array(sums)], names=[*keys, "n", "sample", "total"])
+
+    sums = tasks.groupBy(*keys, "block", "from").applyInArrow(summed, f"{kinds}n long, sample long, total double")
+    means_ = sums.groupBy(*keys, "n", "sample").agg((F.sum("total") / F.col("n")).alias("m"))
+    ends = means_.groupBy(*keys, "n").agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"), F.min("m").alias("least"))
+    end = lambda i: F.when(F.col("n") == 1, F.col("least")).otherwise(F.round(F.col("q")[i], digits))
+    return ends.select(*keys, end(0).alias("low"), end(1).alias("high"), "n")
 
 
 def judged(raw: Column, required: Column, forbidden: Column, has_reference: Column) -> Column:

@@ -510,6 +510,13 @@ def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.bootstrap(rows, "x", "doc_id", ["grp"], digits=2)
 
 
+@query()
+def bootstrap_ci_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intervals over all documents; a thousand resamples of each are too slow for SQL."""
+    rows = _documents(spark, sf_dir).select(F.col("lang").alias("grp"), "doc_id", F.col("n_chars").cast("double").alias("x"))
+    return metrics.bootstrap(rows, "x", "doc_id", ["grp"], digits=2)
+
+
 # --- dashboard -------------------------------------------------------------------------------------------------------
 @query("""SELECT user_id AS run_id, count(*) AS total_cases, count(*) FILTER (event_type = 'error') AS chat_error_count, count(*) FILTER (value < 5) AS judge_error_count, count(*) FILTER (event_type = 'signup') AS empty_answer_count FROM events GROUP BY user_id""")
 def error_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:

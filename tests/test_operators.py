@@ -248,6 +248,36 @@ def test_bootstrap_of_one_value(spark):
     assert (rows["b"].low, rows["b"].high) == (0.0, 1.0)
 
 
+def plain_interval(values, samples):
+    seed, means = 1337, []
+    for _ in range(samples):
+        total = 0.0
+        for _ in values:
+            seed ^= seed << 13 & 0xFFFFFFFF
+            seed ^= seed >> 17
+            seed ^= seed << 5 & 0xFFFFFFFF
+            total += values[seed % len(values)]
+        means.append(total / len(values))
+    return [round(float(np.quantile(means, q)), 6) for q in (0.025, 0.975)]
+
+
+def test_bootstrap_in_blocks_equals_a_plain_loop(spark):
+    groups = {"a": [(i * 37 % 101) / 7 for i in range(57)], "b": [1.5, 2.0], None: [float(i % 9) for i in range(23)]}
+    rows = [(g, i, v) for g, values in groups.items() for i, v in enumerate(values)][::-1]
+    df = spark.createDataFrame(rows, "g string, i int, v double").repartition(3)
+    for block, draws in ((1 << 20, 10**8), (10, 500)):
+        got = {r.g: r for r in metrics.bootstrap(df, "v", "i", ["g"], resamples=40, block=block, draws=draws).collect()}
+        assert {g: [got[g].low, got[g].high] for g in got} == {g: pytest.approx(plain_interval(v, 40), abs=2e-6) for g, v in groups.items()}
+        assert {g: r.n for g, r in got.items()} == {"a": 57, "b": 2, None: 23}
+
+
+def test_bootstrap_of_a_large_group(spark):
+    df = spark.range(30_000).selectExpr("'g' AS g", "id AS i", "CAST(id % 100 AS DOUBLE) AS v")
+    r = metrics.bootstrap(df, "v", "i", ["g"], resamples=20, block=7_000).first()
+    values = [float(i % 100) for i in range(30_000)]
+    assert (r.n, [r.low, r.high]) == (30_000, pytest.approx(plain_interval(values, 20), abs=2e-6))
+
+
 def test_citations_match_by_id_or_ending(spark):
     cited = spark.createDataFrame([(1, 0, "b__1"), (1, 1, "x__9"), (1, 2, "zz")], "case_id int, sentence_id int, citation string")
     seen = spark.createDataFrame([(1, 1, "ab__1"), (1, 2, "b__1"), (1, 3, "y/x__9"), (1, 4, "z/x__9")], "case_id int, rank int, chunk_id string")
