@@ -8,8 +8,9 @@ nearer to the query than |d(q, p) - r|, so only annuli that can still hold a vec
 all of them.
 
 Pivots are fitted on a bounded sample (``SAMPLE`` vectors by hash of the id); every vector is indexed.
-Equal vectors share their scores, so for each distinct vector only the k + 1 smallest ids can appear in a result and
-only those are indexed; equal queries are searched once. Scores are integers and exact: distances, in floating point, only
+A query's own id takes no place: it is left out at the end, so all earlier cuts keep at most k rows of one id and, of those,
+the first 2k, of which k are of other ids, or where that is less the rows of k + 1 ids. Equal vectors share their scores, so such a cut of
+each distinct vector's ids is indexed; equal queries are searched once. Scores are integers and exact: distances, in floating point, only
 decide which annuli are read, with a margin above their rounding error.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part, as query or candidate; shorter
@@ -111,6 +112,20 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.stack([np.lexsort((ids, -row)) for row in scores])
 
 
+def _first(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and positions of each row's best of which k have another id than any one: k + 1, or with repeated ids 2k, k of an id at most."""
+    if (ids[1:] != ids[:-1]).all():
+        best = _best(scores, ids, k + 1)
+        return np.repeat(np.arange(len(best)), best.shape[1]), best.ravel()
+    out = []
+    for row in scores:
+        order = np.lexsort((np.arange(len(ids)), -row, ids))
+        start = np.r_[True, ids[order][1:] != ids[order][:-1]]
+        some = order[np.arange(len(ids)) - np.flatnonzero(start)[np.cumsum(start) - 1] < k]
+        out.append(some[np.lexsort((ids[some], -row[some]))[: 2 * k]])
+    return np.repeat(np.arange(len(out)), [len(x) for x in out]), np.concatenate(out)
+
+
 def top_k(df: DataFrame, key: str, vector: str, is_query: Column, *, k: int = K, scale: int = SCALE, pivots: int = PIVOTS, block: int = BLOCK, queries: int = QUERIES) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): the k best candidates of each query, itself excluded."""
     spark = df.sparkSession
@@ -121,9 +136,10 @@ def top_k(df: DataFrame, key: str, vector: str, is_query: Column, *, k: int = K,
     if not facts.dims:
         return spark.createDataFrame([], schema)
     dims = facts.dims
-    # equal vectors are one entry with their k + 1 smallest ids; equal queries one with all query ids kept beside
-    same = rows.select("id", "v", "q", F.row_number().over(W.partitionBy("v").orderBy("id")).alias("n"))
-    index_rows = checkpoint(same.where(F.col("n") <= k + 1).select("id", "v"))
+    # equal vectors are indexed with their smallest ids; equal queries are one with all query ids kept beside
+    few = rows.select("id", "v", F.row_number().over(W.partitionBy("v", "id").orderBy("id")).alias("t")).where(F.col("t") <= k)
+    same = few.select("id", "v", F.row_number().over(W.partitionBy("v").orderBy("id")).alias("n"), F.dense_rank().over(W.partitionBy("v").orderBy("id")).alias("d"))
+    index_rows = checkpoint(same.where((F.col("n") <= 2 * k) & (F.col("d") <= k + 1)).select("id", "v"))
     sample = index_rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toArrow().column("v").combine_chunks()
     fit = Pivots.fit(_matrix(sample, dims), facts.square, pivots)
     sent = spark.sparkContext.broadcast(fit)
@@ -189,13 +205,13 @@ def top_k(df: DataFrame, key: str, vector: str, is_query: Column, *, k: int = K,
             kinds = (pa.string(), pa.int32(), pa.float64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], names=["qblock", "pivot", "from", "to"])
 
-    def searched(batches):  # the k + 1 best of each query within one block
+    def searched(batches):  # the best of each query within one block
         for batch in batches:
             for name, qids, qraw, ids, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 scores = _products(_unpacked(qraw, dims), _unpacked(raw, dims))
                 ids_, queries_ = np.frombuffer(ids, "<i8"), np.frombuffer(qids, "<i8")
-                best = _best(scores, ids_, k + 1)
-                columns = [pa.array([name] * best.size), pa.array(np.repeat(queries_, best.shape[1])), pa.array(ids_[best].ravel()), pa.array(np.take_along_axis(scores, best, 1).ravel())]
+                of, best = _first(scores, ids_, k)
+                columns = [pa.array([name] * len(best)), pa.array(queries_[of]), pa.array(ids_[best]), pa.array(scores[of, best])]
                 yield pa.RecordBatch.from_arrays(columns, names=["qblock", "qid", "id", "score"])
 
     marks = index.select("block", "pivot", "low", "high")
@@ -204,12 +220,15 @@ def top_k(df: DataFrame, key: str, vector: str, is_query: Column, *, k: int = K,
     def search(pairs: DataFrame) -> DataFrame:
         met = pairs.join(q.select("qblock", "qids", "qvectors"), "qblock").join(index.select("block", "ids", "vectors"), "block")
         found = met.select("qblock", "qids", "qvectors", "ids", "vectors").mapInArrow(searched, "qblock string, qid long, id long, score long")
-        best = found.select("*", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "id")).alias("n"))
-        return best.where(F.col("n") <= k + 1)
+        few = found.select("*", F.row_number().over(W.partitionBy("qid", "id").orderBy(F.desc("score"))).alias("t")).where(F.col("t") <= k)
+        best = few.select("*", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "id")).alias("n"))
+        return best.where(F.col("n") <= 2 * k)
 
     gap = F.greatest(F.col("low") - F.col("at"), F.col("at") - F.col("high"), F.lit(0.0))
     home = q.join(marks, F.col("qpivot") == F.col("pivot")).select("qblock", "block", F.row_number().over(W.partitionBy("qblock").orderBy(gap, "block")).alias("n")).where("n <= 2").select("qblock", "block")
-    first = search(home).where(F.col("n") == k + 1).select("qblock", "qid", "score")
+    # k rows of other ids than any one score at least as much as the best of the (k + 1)th id, and as the 2k-th row
+    near = search(home).select("*", F.count_if(F.col("t") == 1).over(W.partitionBy("qid").orderBy("n")).alias("d"))
+    first = near.where(((F.col("t") == 1) & (F.col("d") == k + 1)) | (F.col("n") == 2 * k)).groupBy("qblock", "qid").agg(F.max("score").alias("score"))
     lows = first.groupBy("qblock").agg(F.map_from_entries(F.collect_list(F.struct("qid", "score"))).alias("m"))
 
     def lowest(batches):  # scores in the order of a block's queries; null unless all have a bound

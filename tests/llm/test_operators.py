@@ -71,6 +71,19 @@ def test_topk_equals_brute_force(spark):
     assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got.collect()) == sorted(expected)
 
 
+def test_topk_of_repeated_query_rows(spark):
+    vectors = [(10, [9.0, 9.0])] * 7 + [(i, [float(i % 5), 1.0]) for i in range(30, 60) if i % 10] + [(70, [8.0, 8.0])] * 6 + [(11, [9.0, 9.0])]
+    vectors += [(80, [4.0 + i / 4, 2.0]) for i in range(8)] + [(20, [1.0, 0.5])]  # an id with many vectors, among them a query's best
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
+    expected = []
+    for q in {i for i, _ in vectors if i % 10 == 0}:
+        pairs = [(-sum(int(256 * x) * int(256 * y) for x, y in zip(v, w, strict=True)), j) for i, v in vectors if i == q for j, w in vectors if j != q]
+        expected += [(q, n, j, -s) for n, (s, j) in enumerate(sorted(pairs)[:5], 1)]
+    for block in (4, 16, 512):
+        got = topk.top_k(df, "vec_id", "embedding", F.col("vec_id") % 10 == 0, pivots=3, block=block, queries=2).collect()
+        assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == sorted(expected)
+
+
 def test_topk_of_few_and_no_vectors(spark):
     schema = "vec_id long, embedding array<float>"
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0])], schema)
