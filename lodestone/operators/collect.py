@@ -6,6 +6,7 @@ import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import count
 from urllib.parse import urljoin
 
 import pyarrow as pa
@@ -232,14 +233,14 @@ def links(pages: DataFrame, *, url: str = "url", html: str = "html") -> DataFram
     return pages.select(F.col(url), anchors(html)).mapInArrow(run, "source string, position int, target string")
 
 
-def reachable(seeds: DataFrame, edges: DataFrame, *, most_levels: int = 50) -> DataFrame:
-    """(url, level): pages reached from ``seeds`` (url) over ``edges`` (source, target), level by level.
+def reachable(seeds: DataFrame, edges: DataFrame) -> DataFrame:
+    """(url, level): pages reached from ``seeds`` (url) over ``edges`` (source, target), level by level until none is new.
 
     Each level is one join of the new pages with the links; lineage is cut by a checkpoint per level.
     """
     known = seeds.select("url").distinct().withColumn("level", F.lit(0))
     fresh = known
-    for level in range(1, most_levels + 1):
+    for level in count(1):
         found = edges.join(fresh.select(F.col("url").alias("source")), "source").select(F.col("target").alias("url")).distinct()
         fresh = found.join(known.select("url"), "url", "left_anti").withColumn("level", F.lit(level))
         fresh = _kept(fresh)

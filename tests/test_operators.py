@@ -338,3 +338,9 @@ def test_changes_and_manifest(spark):
     assert {r.canonical_url: r.status for r in collect.changed(now, old).collect()} == {"a": "unchanged", "b": "changed", "c": "new"}
     rows = spark.createDataFrame([("b", 1, "old", 1), ("b", 1, "new", 2), ("a", 2, "x", 3)], "canonical_url string, authority_rank int, title string, seq int")
     assert [(r.canonical_url, r.title) for r in collect.manifest(rows, "seq").collect()] == [("b", "new"), ("a", "x")]
+
+
+def test_a_long_chain_of_pages_is_reached_to_its_end(spark):
+    edges = spark.createDataFrame([(f"p{i}", f"p{i + 1}") for i in range(53)] + [("p53", "p0")], "source string, target string").coalesce(1)
+    rows = collect.reachable(spark.createDataFrame([("p0",)], "url string"), edges).collect()
+    assert {r.url: r.level for r in rows} == {f"p{i}": i for i in range(54)}
