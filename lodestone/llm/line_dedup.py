@@ -3,16 +3,16 @@
 A line is the set of its words, which are its tokens. It is removed if some earlier line, by (key, line number, text), has a Jaccard similarity of ``THRESHOLD`` or more with it, whether or not
 that line is removed itself.
 
-Tokens are ordered by rarity: first by their count, from a table of ``COUNTERS`` hashed counters
+Tokens are words, ordered by rarity: first by their count, from a table of ``COUNTERS`` hashed counters
 summed over all lines and sent to executors (its size is fixed), then by hash. Similar lines share a token of their
 prefixes, so prefix tokens are the join key. Their entries travel as packed columns, one block per task and cell of the
 token space. Within a cell length, positional and bitmap filters leave few pairs, and the words of both lines decide.
 Equal sets are one entry per task, and one per token after the shuffle.
 
-Among more than ``SMALL`` different lines of near length with one token, a line is first paired with the earliest alone; those that the
-words then clear are searched again against all, their entries now holding whole token sets. So a large group of similar lines takes linear work, and
-no pair is lost. Words so frequent that more than ``HOT`` lines may share one are dealt to a
-grid of cells, each with two parts of their lines.
+Of each token a line gets the ``FEW`` likeliest earlier lines. If it had more, and the words then clear it of all that it got, it is searched
+again, with whole token sets, among all lines that share a token, so no pair is lost. In large groups the earliest lines lead: lines near to a leader
+are settled with it and the rest goes on among themselves, so a large group of similar lines takes linear work. Words so frequent
+that more than ``HOT`` lines may share one are dealt to a grid of cells, each with two parts of their lines.
 
 Defined cases: lines are parted by a line feed; lines without words stay; null texts stay null; null keys
 come after all others; lines of equal key and number are ordered by a hash of their texts, and those of
@@ -36,13 +36,15 @@ from lodestone.llm.common import WORD_TABLE, as_bytes, modest_batches, table, wo
 
 THRESHOLD = 0.8
 COUNTERS, SLICE = 1 << 20, 1 << 12
-SMALL, HOT = 64, 1_000_000
+#: Pairs that a line is given at once for each token; lines with a token in one cell from which on its cell becomes a grid, and the most parts of a grid's side.
+FEW, HOT, MOST_PARTS = 4, 1 << 16, 512
 #: Bytes of text worked on at a time, entries that a task gathers before it sends them, entries in a cell and in a task.
-PIECE, GATHER, CELL, TASK = 1 << 18, 100_000, 150_000, 2_000_000
+PIECE, GATHER, CELL, TASK = 1 << 16, 100_000, 150_000, 2_000_000
 #: Null keys are ordered after all others.
 LAST = (1 << 63) - 1
 
-_TABLE = np.frombuffer(WORD_TABLE, np.uint8)
+#: What a byte adds to the hash of its word; 0 parts words.
+_VALUES = np.array([0 if b == 32 else b + 1 for b in WORD_TABLE], np.uint64)
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: A token is a rarity level (6 bits) and a hash; with a line's number in a piece it fits 64 bits.
@@ -50,7 +52,7 @@ _TOKEN_BITS, _HASH_BITS = 44, 38
 _FIELDS = {"token": "<u8", "key": "<i8", "twin": "<i8", "line": "<u4", "n": "<u4", "pos": "<u4", "sig": "<u8", "b1": "<u8", "b2": "<u8"}
 _ROW = pa.schema([("kind", pa.int32()), ("cell", pa.int64()), ("block", pa.binary())])
 _FOUND = "kind int, key long, twin long, line int, key2 long, twin2 long, line2 int"
-GONE, PAIR, FIRST_PAIR, MEMBER = 0, 1, 2, 3
+GONE, PAIR, CUT_PAIR = 0, 1, 2
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -79,37 +81,35 @@ class Piece:
 
     def __init__(self, raw: np.ndarray, starts: np.ndarray, keys: np.ndarray, twins: np.ndarray, lines: np.ndarray, powers: _Powers) -> None:
         n = len(raw)
-        text = _TABLE[raw]
-        word = np.zeros(n + 1, bool)
-        word[:n] = text != 32
-        begins = np.zeros(n + 1, bool)
-        begins[starts] = True
-        begins[n] = True
-        first = word[:n].copy()
-        first[1:] &= ~word[: n - 1] | begins[1:n]
-        last = word[:n] & (~word[1:] | begins[1:])
-        at, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+        text = _VALUES[raw]
+        feeds = np.flatnonzero(raw == 10)
+        word = np.zeros(n + 2, bool)
+        word[1:-1] = text != 0
+        edges = word[1:] != word[:-1]
+        cuts = np.unique(starts[(starts > 0) & (starts < n)])
+        cuts = cuts[word[cuts] & word[cuts + 1]]  # a text that ends in a word, where the next begins with one
+        at, end = np.flatnonzero(edges).reshape(-1, 2).T
+        if len(cuts):
+            at, end = (np.sort(np.r_[x, cuts]) for x in (at, end))
         up, down = powers.of(n)
         sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((text.astype(np.uint64) + np.uint64(1)) * up, out=sums[1:])
+        np.cumsum(np.multiply(text, up, out=text), out=sums[1:])
         self.words = _mixed((sums[end] - sums[at]) * down[at])
-        feeds = np.zeros(n + 1, np.int64)
-        np.cumsum(raw == 10, out=feeds[1:])
-        doc = np.searchsorted(starts, at, "right") - 1
-        number = feeds[at] - feeds[starts[doc]] + lines[doc]
-        new = np.ones(len(at), bool)
-        new[1:] = (doc[1:] != doc[:-1]) | (number[1:] != number[:-1])
-        self.new = new
-        self.of = np.cumsum(new) - 1
-        self.key, self.twin, self.line = keys[doc[new]], twins[doc[new]], number[new].astype(np.int64)
-
-    def tokens(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        # a line begins at a text's start or after a line feed
+        begins = np.sort(np.r_[starts, feeds + 1])
+        first = np.searchsorted(at, begins)
+        count = np.diff(np.r_[first, len(at)])
+        begins, count = begins[count > 0], count[count > 0]
+        self.of = np.repeat(np.arange(len(count)), count)
+        doc = np.searchsorted(starts, begins, "right") - 1
+        passed = np.searchsorted(feeds, begins) - np.searchsorted(feeds, starts)[doc]
+        self.key, self.twin, self.line = keys[doc], twins[doc], passed + lines[doc]
+
+    def tokens(self, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sorted distinct tokens of each line, and the line of each."""
-        h, of = self.words, self.of
-        held = counts[(h & np.uint64(COUNTERS - 1)).view(np.int64)].astype(np.int64)
-        level = np.minimum(63, np.floor(np.log2(held + 1))).astype(np.uint64)
-        value = (level << np.uint64(_HASH_BITS)) | (h >> np.uint64(64 - _HASH_BITS))
-        both = (of.astype(np.uint64) << np.uint64(_TOKEN_BITS)) | value
+        h = self.words
+        value = (levels[(h & np.uint64(COUNTERS - 1)).view(np.int64)].astype(np.uint64) << np.uint64(_HASH_BITS)) | (h >> np.uint64(64 - _HASH_BITS))
+        both = (self.of.astype(np.uint64) << np.uint64(_TOKEN_BITS)) | value
         both.sort()
         both = both[np.r_[True, both[1:] != both[:-1]]] if len(both) else both
         return both & np.uint64((1 << _TOKEN_BITS) - 1), (both >> np.uint64(_TOKEN_BITS)).view(np.int64)
@@ -170,20 +170,25 @@ def _summed(parts: DataFrame, size: int, *, bits: bool = False) -> np.ndarray:
 
 
 def word_counts(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """The table of word counters over all lines, and the number of words."""
+    """The rarity level of each of the word counters over all lines, and the number of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, counts = _Powers(), np.zeros(COUNTERS, np.int64)
+        powers, counts, held, n = _Powers(), np.zeros(COUNTERS, np.int64), [], 0
         for batch in batches:
             for piece in _pieces(batch, powers):
-                counts += np.bincount((piece.words & np.uint64(COUNTERS - 1)).view(np.int64), minlength=COUNTERS)
+                held.append((piece.words & np.uint64(COUNTERS - 1)).view(np.int64))
+                n += len(held[-1])
+                if n >= COUNTERS:
+                    counts += np.bincount(np.concatenate(held), minlength=COUNTERS)
+                    held, n = [], 0
+        counts += np.bincount(np.concatenate([*held, np.zeros(0, np.int64)]), minlength=COUNTERS)
         kept = [(i, c.astype("<u4").tobytes()) for i, c in enumerate(counts.reshape(-1, SLICE)) if c.any()]
         yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in kept], pa.int32()), pa.array([c for _, c in kept], pa.binary())], names=["part", "block"])
 
     got = _summed(docs.mapInArrow(run, "part int, block binary"), SLICE)
     counts = np.zeros((COUNTERS // SLICE, SLICE), np.uint32)
     counts[: len(got)] = got
-    return counts.ravel(), int(counts.sum(dtype=np.int64))
+    return np.floor(np.log2(counts.ravel() + 1.0)).astype(np.uint8), int(counts.sum(dtype=np.int64))
 
 
 def _needed(n: np.ndarray, m: np.ndarray, threshold: float) -> np.ndarray:
@@ -191,24 +196,22 @@ def _needed(n: np.ndarray, m: np.ndarray, threshold: float) -> np.ndarray:
     return np.ceil((n + m) * (threshold / (1 + threshold)) - 1e-9)
 
 
-def entries(piece: Piece, counts: np.ndarray, threshold: float, sets: bool = False) -> tuple[dict[str, np.ndarray], np.ndarray]:
+def entries(piece: Piece, levels: np.ndarray, threshold: float, *, sets: bool = False, only: np.ndarray | None = None) -> tuple[dict[str, np.ndarray], np.ndarray]:
     """Prefix entries of a piece's lines, and the (key, twin, line) of lines that equal an earlier one of the piece.
 
-    With ``sets`` each entry has all tokens of its line.
+    With ``sets`` each entry has all tokens of its line; with ``only`` there are entries of the tokens in that table alone.
     """
-    token, of = piece.tokens(counts)
+    token, of = piece.tokens(levels)
     if not len(token):
         none = {name: np.zeros(0, kind) for name, kind in _FIELDS.items()}
         return none | ({"set": np.zeros(0, object)} if sets else {}), np.zeros((0, 3), np.int64)
     start = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
     n = np.diff(np.r_[start, len(of)])
     mixed = _mixed(token + np.uint64(1))
-    bit = mixed & np.uint64(127)
-    one = np.uint64(1) << (bit & np.uint64(63))
-    b1 = np.bitwise_or.reduceat(np.where(bit < 64, one, np.uint64(0)), start)
-    b2 = np.bitwise_or.reduceat(np.where(bit < 64, np.uint64(0), one), start)
     sig = np.add.reduceat(_mixed(mixed), start)
-    order = np.lexsort((piece.twin, piece.line, piece.key, n, sig))
+    order = np.lexsort((piece.twin, piece.line, piece.key, sig)) if piece.twin.any() else np.argsort(sig, kind="stable")  # lines of a piece are in their documents' order
+    if not piece.twin.any() and (np.diff(piece.key) < 0).any():
+        order = np.lexsort((piece.line, piece.key, sig))
     head = np.r_[True, (sig[order][1:] != sig[order][:-1]) | (n[order][1:] != n[order][:-1])]
     lead = order[np.flatnonzero(head)[np.cumsum(head) - 1]]
     later = np.logical_or.reduce([c[order] != c[lead] for c in (piece.key, piece.line, piece.twin)])
@@ -216,8 +219,15 @@ def entries(piece: Piece, counts: np.ndarray, threshold: float, sets: bool = Fal
     leads = np.zeros(len(n), bool)
     leads[order[head]] = True
     pos = np.arange(len(of)) - np.repeat(start, n)
-    prefix = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
-    keep = (pos < prefix[of]) & leads[of]
+    prefix = np.where(leads, n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1, 0)
+    keep = pos < np.repeat(prefix, n)
+    if only is not None:
+        keep &= _marked(only, token)
+    # each token flips one bit of its line: the bits in which two lines differ are no more than the tokens in which they do
+    bit = mixed & np.uint64(127)
+    one = np.uint64(1) << (bit & np.uint64(63))
+    b1 = np.bitwise_xor.reduceat(np.where(bit < 64, one, np.uint64(0)), start)
+    b2 = np.bitwise_xor.reduceat(np.where(bit < 64, np.uint64(0), one), start)
     line = of[keep]
     values = {"token": token[keep], "key": piece.key[line], "twin": piece.twin[line], "line": piece.line[line], "n": n[line], "pos": pos[keep], "sig": sig[line], "b1": b1[line], "b2": b2[line]}
     columns = {name: values[name].astype(kind) for name, kind in _FIELDS.items()}
@@ -251,7 +261,7 @@ def _dealt(columns: dict[str, np.ndarray], cells: int, hot: int) -> Iterator[tup
     """Blocks of entries by cell. Tokens that may be hot go to every cell of a grid that holds their line's part."""
     # the level bounds how many lines share a word: it occurs less than 2^(level + 1) times
     most = np.float64(2.0) ** ((columns["token"] >> np.uint64(_HASH_BITS)).astype(float) + 1)
-    parts = np.maximum(1, np.ceil(most / (2 * hot))).astype(np.int64)
+    parts = np.clip(np.ceil(most / (2 * hot)), 1, MOST_PARTS).astype(np.int64)
     cell = (_mixed(columns["token"]) % np.uint64(cells)).astype(np.int64)
     plain = np.flatnonzero(parts == 1)
     rows, at = [plain], [cell[plain]]
@@ -269,7 +279,7 @@ def _dealt(columns: dict[str, np.ndarray], cells: int, hot: int) -> Iterator[tup
             yield int(at_[some[0]]), _packed({name: c[row[some]] for name, c in columns.items()})
 
 
-def _blocks(docs: DataFrame, counts, cells: int, threshold: float, hot: int, *, probe: bool = False, sets: bool = False) -> DataFrame:
+def _blocks(docs: DataFrame, levels, cells: int, threshold: float, hot: int, *, probe: bool = False, sets: bool = False, only=None) -> DataFrame:
     """Rows (kind, cell, block): entries (kind 0, or 1 for probes) and lines gone already (kind 2)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,7 +295,7 @@ def _blocks(docs: DataFrame, counts, cells: int, threshold: float, hot: int, *,
 
         for batch in batches:
             for piece in _pieces(batch, powers):
-                found, gone = entries(piece, counts.value, threshold, sets)
+                found, gone = entries(piece, levels.value, threshold, sets=sets, only=only and only.value)
                 if len(gone) and not sets:
                     yield rows([(2, -1 - int(piece.key[0] % 997), gone.astype("<i8").tobytes())])
                 if len(found["token"]):
@@ -300,108 +310,186 @@ def _blocks(docs: DataFrame, counts, cells: int, threshold: float, hot: int, *,
     return docs.mapInArrow(run, "kind int, cell long, block binary")
 
 
-def _passes(x: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
-    """Whether entries a (later lines) and b (earlier ones) of one token pass all filters that need no words."""
-    n, m = x["n"][a].astype(np.int64), x["n"][b].astype(np.int64)
+def _order_of(x: dict[str, np.ndarray]) -> np.ndarray:
+    """A number for each entry by which lines are ordered: by key, line number and twin."""
+    key, twin, line = (x[c] for c in _PLACE)
+    if len(key) and not twin.any():
+        low, span = int(key.min()), int(line.max()) + 1
+        if (int(key.max()) - low + 1) * span < 1 << 62:
+            return (key - low) * span + line
+    order = np.lexsort((twin, line, key))
+    new = np.zeros(len(order), bool)
+    new[1:] = np.logical_or.reduce([c[order][1:] != c[order][:-1] for c in (key, twin, line)])
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(new)
+    return out
+
+
+def _distance(s: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs pass the positional, length and bitmap filters, and in how many bits they differ."""
+    n, m = s["n"][i], s["n"][j]
     need = _needed(n, m, threshold)
-    ok = (np.minimum(n - x["pos"][a], m - x["pos"][b]) >= need) & (np.minimum(n, m) >= threshold * np.maximum(n, m) - 1e-9)
-    ok &= np.logical_or.reduce([x[c][a] != x[c][b] for c in ("key", "line", "twin")])
-    a1, a2, b1, b2 = x["b1"][a], x["b2"][a], x["b1"][b], x["b2"][b]
-    ok &= n - np.bitwise_count(a1 & ~b1).astype(np.int64) - np.bitwise_count(a2 & ~b2) >= need
-    return ok & (m - np.bitwise_count(b1 & ~a1).astype(np.int64) - np.bitwise_count(b2 & ~a2) >= need)
+    on = np.flatnonzero(np.minimum(n - s["pos"][i], m - s["pos"][j]) >= need)
+    spare = (n + m - 2 * need)[on]
+    i, j = i[on], j[on]
+    bits = np.bitwise_count(s["b1"][i] ^ s["b1"][j]).astype(np.int64) + np.bitwise_count(s["b2"][i] ^ s["b2"][j])
+    near = bits <= spare
+    return on[near], bits[near]
+
+
+def _nearest(later: np.ndarray, earlier: np.ndarray, bits: np.ndarray, few: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the pairs of each later entry the ``few`` of least difference; of each pair, whether the entry had more."""
+    order = np.lexsort((earlier, bits, later))
+    later, earlier = later[order], earlier[order]
+    start = np.flatnonzero(np.r_[True, later[1:] != later[:-1]]) if len(later) else np.zeros(0, np.int64)
+    size = np.diff(np.r_[start, len(later)])
+    keep = np.arange(len(later)) - np.repeat(start, size) < few
+    return later[keep], earlier[keep], np.repeat(size > few, size)[keep]
+
+
+def _ranges(start: np.ndarray, size: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, start[i] + 0 ... size[i] - 1), about ``most`` at a time."""
+    done = np.cumsum(size)
+    i = 0
+    while i < len(size):
+        j = max(i + 1, int(np.searchsorted(done, (done[i - 1] if i else 0) + most, "right")))
+        some = size[i:j]
+        of = np.repeat(np.arange(i, j), some)
+        yield of, np.arange(len(of)) - np.repeat(np.cumsum(some) - some, some) + start[of]
+        i = j
+
+
+def _scanned(s: dict[str, np.ndarray], threshold: float, few: int, parted: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (later, earlier) of entries that may be similar, and whether the later one may have others; entries are ordered by group and length."""
+    group, n, pos, place = (s[c] for c in ("group", "n", "pos", "place"))
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def met(i: np.ndarray, j: np.ndarray, parts: list) -> None:
+        on, bits = _distance(s, i, j, threshold)
+        i, j = i[on], j[on]
+        swap = place[i] < place[j]
+        other = place[i] != place[j]
+        parts.append(tuple(c[other] for c in (np.where(swap, j, i), np.where(swap, i, j), bits)))
+
+    span = int(n.max()) + 2 if len(n) else 1
+    at = group * span + n
+    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.zeros(0, np.int64)
+    sizes = np.diff(np.r_[starts, len(group)])
+    # lengths of the longer lines that the entry's position still allows
+    most = np.minimum(np.floor((n - pos + 1e-9) * ((1 + threshold) / threshold)).astype(np.int64) - n, span - 1)
+    large = np.repeat(sizes > parted, sizes)
+    plain = np.flatnonzero(~large & (most >= n))
+    high = np.searchsorted(at, group[plain] * span + most[plain], "right")
+    held: list = []
+    for i, j in _ranges(plain + 1, high - plain - 1, _PAIRS):
+        met(plain[i], j, held)
+    if held:
+        out.append(_nearest(*map(np.concatenate, zip(*held, strict=True)), few))
+    for a, size in zip(starts[sizes > parted].tolist(), sizes[sizes > parted].tolist(), strict=True):
+        out += _led(s, np.arange(a, a + size), threshold, few, met)
+    if not out:
+        none = np.zeros(0, np.int64)
+        return none, none, np.zeros(0, bool)
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
 
+def _led(s: dict[str, np.ndarray], rows: np.ndarray, threshold: float, few: int, met) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of a large group: its earliest open lines meet all others; lines that they may be similar to are settled with these pairs.
 
-def joined(x: dict[str, np.ndarray], threshold: float, small: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a cell's entries: rows gone as equal sets; later and earlier rows of pairs; whether the pair is only the first; rows of the groups with such pairs."""
+    As long as that settles a tenth of the open lines it goes on; the rest then meet all earlier lines of near length.
+    """
+    n, place = s["n"][rows], s["place"][rows]
+    open_ = np.ones(len(rows), bool)
+
+    def window(some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        low = np.searchsorted(n, np.ceil(threshold * n[some] - 1e-9), "left")
+        return low, np.searchsorted(n, np.floor((n[some] + 1e-9) / threshold), "right") - low
+
+    def search(some: np.ndarray, wanted) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        held, (low, size) = [(np.zeros(0, np.int64),) * 3], window(some)
+        for i, j in _ranges(low, size, _PAIRS):
+            a = some[i]
+            on = wanted(a, j)
+            met(rows[a[on]], rows[j[on]], held)
+        return tuple(map(np.concatenate, zip(*held, strict=True)))
+
+    while open_.sum() > _LEADERS:
+        left = np.flatnonzero(open_)
+        lead = left[np.argpartition(place[left], _LEADERS)[:_LEADERS]]
+        leads = np.zeros(len(rows), bool)
+        leads[lead] = True
+        # a leader meets all earlier lines and all other open ones, which are later
+        later, earlier, bits = search(lead, lambda a, b: (place[b] < place[a]) | (open_[b] & ~leads[b]))
+        own = leads[later - rows[0]]
+        yield _nearest(later[own], earlier[own], bits[own], few)
+        open_[lead] = False
+        near = ~own & open_[later - rows[0]]
+        found = _nearest(later[near], earlier[near], bits[near], few)
+        yield found[0], found[1], np.ones(len(found[0]), bool)
+        open_[found[0] - rows[0]] = False
+        if len(np.unique(found[0])) < len(left) // 10:
+            break
+    yield _nearest(*search(np.flatnonzero(open_), lambda a, b: place[b] < place[a]), few)
+
+
+#: Pairs held at a time, lines of a large group that lead at a time.
+_PAIRS, _LEADERS = 1 << 20, 64
+
+
+def joined(x: dict[str, np.ndarray], threshold: float, few: int, parted: int = 2_000) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a cell's entries: rows gone as equal sets; later and earlier rows of pairs; whether the later may have other pairs."""
     order = np.argsort(x["token"])
     token = x["token"][order]
     alone = np.r_[True, token[1:] != token[:-1]] & np.r_[token[1:] != token[:-1], True]
-    order = order[~alone[: len(order)]]  # most tokens occur in one line and are done
-    order = order[np.lexsort(tuple(x[c][order] for c in ("twin", "line", "key", "n", "sig", "token")))]
-    s = {name: x[name][order] for name in _FIELDS}
-    same = np.zeros(len(order), bool)
-    same[1:] = (s["token"][1:] == s["token"][:-1]) & (s["sig"][1:] == s["sig"][:-1]) & (s["n"][1:] == s["n"][:-1])
-    lead = np.flatnonzero(~same)[np.cumsum(~same) - 1] if len(order) else order
-    gone = order[same & (s["pos"] == 0) & np.logical_or.reduce([s[c] != s[c][lead] for c in ("key", "line", "twin")])]
-    rows = order[~same]
-    rows = rows[np.lexsort(tuple(x[c][rows] for c in ("twin", "line", "key", "token")))]
-    token = x["token"][rows]
-    start = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if len(rows) else np.zeros(0, np.int64)
-    size = np.diff(np.r_[start, len(rows)])
-    many = size > 1
-    keep = np.repeat(many, size)
-    rows, size = rows[keep], size[many]
-    if not len(rows):
-        none = np.zeros(0, np.int64)
-        return gone, none, none, np.zeros(0, bool), none
-    start = np.r_[0, np.cumsum(size)[:-1]]
-    first, of_size = np.repeat(start, size), np.repeat(size, size)
-    at = np.arange(len(rows)) - first
-    # by length, the lines that can be similar are neighbours
-    by_length = np.lexsort((x["n"][rows], first))
-    n, pos = (x[c][rows[by_length]].astype(np.int64) for c in ("n", "pos"))
-    at_length = (first << 32) + n
-    low = np.searchsorted(at_length, (first << 32) + np.ceil(threshold * n - 1e-9).astype(np.int64), "left")
-    high = np.searchsorted(at_length, (first << 32) + np.floor((n + 1e-9) / threshold).astype(np.int64), "right")
-    large = np.zeros(len(rows), bool)
-    large[by_length] = high - low > small
-    firsts = np.flatnonzero(large & (at > 0))
-    firsts = firsts[_passes(x, rows[firsts], rows[first[firsts]], threshold)]
-    settled = np.zeros(len(rows), bool)
-    settled[firsts] = True
-    members = np.zeros(len(rows), bool)
-    members[first[firsts]] = True
-    members = members[first]
-    later, earlier = [rows[firsts]], [rows[first[firsts]]]
-    # neighbours on one side are enough in groups where no line is settled
-    both = np.zeros(len(rows), bool)
-    both[first[settled]] = True
-    both = both[first]
-    for step in (-1, 1):
-        open_ = np.flatnonzero(~settled[by_length] & (both[by_length] | (step < 0)))
-        other = open_ + step
-        while len(open_):
-            on = other >= low[open_] if step < 0 else other < high[open_]
-            open_, other = open_[on], other[on]
-            i, j = by_length[open_], by_length[other]
-            near = (j < i) | ~both[i]
-            near &= np.minimum(n[open_] - pos[open_], n[other] - pos[other]) >= _needed(n[open_], n[other], threshold)
-            i, j = rows[np.maximum(i, j)[near]], rows[np.minimum(i, j)[near]]
-            ok = _passes(x, i, j, threshold)
-            later.append(i[ok])
-            earlier.append(j[ok])
-            other = other + step
-    a, b = np.concatenate(later), np.concatenate(earlier)
-    return gone, a, b, np.arange(len(a)) < len(firsts), rows[members]
+    order = order[~alone[: len(order)]]  # many tokens occur in one line and are done
+    if not len(order):
+        return order, order, order, np.zeros(0, bool)
+    token = x["token"][order]
+    group = np.cumsum(np.r_[True, token[1:] != token[:-1]])
+    # of equal sets the earliest goes on; that two sets part a run of equal ones costs time alone
+    room = np.uint64(64 - int(group[-1]).bit_length())
+    by_set = np.argsort((group.astype(np.uint64) << room) | (x["sig"][order] >> (np.uint64(64) - room)))
+    order, group = order[by_set], group[by_set]
+    s = {c: x[c][order] for c in ("sig", "n")}
+    place = _order_of(x)[order]
+    start = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]) | np.logical_or.reduce([c[1:] != c[:-1] for c in s.values()])])
+    run = np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(order)]))
+    first = np.minimum.reduceat(place, start)[run] == place
+    gone = order[~first & (x["pos"][order] == 0)]
+    lead = np.flatnonzero(first)
+    lead = lead[np.r_[True, run[lead][1:] != run[lead][:-1]]]
+    order, group, place = order[lead], group[lead], place[lead]
+    size = np.bincount(group)[group]
+    order, group, place = order[size > 1], group[size > 1], place[size > 1]
+    n = x["n"][order].astype(np.int64)
+    by_length = np.argsort(group * (int(n.max(initial=0)) + 1) + n)
+    order = order[by_length]
+    s = {"group": group[by_length], "place": place[by_length], "n": n[by_length], "pos": x["pos"][order].astype(np.int64), "b1": x["b1"][order], "b2": x["b2"][order]}
+    later, earlier, more = _scanned(s, threshold, few, parted)
+    return gone, order[later], order[earlier], more
 
 
 def _probed(x: dict[str, np.ndarray], probe: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Rows of each probe and of the earliest entry of its token whose set of tokens is similar enough."""
+    place = _order_of(x)
     plain = np.flatnonzero(~probe)
-    plain = plain[np.lexsort(tuple(x[c][plain] for c in ("twin", "line", "key", "n", "sig", "token")))]
-    again = np.zeros(len(plain), bool)  # of equal sets the earliest is partner enough
-    again[1:] = np.logical_and.reduce([x[c][plain[1:]] == x[c][plain[:-1]] for c in ("token", "sig", "n")])
-    plain = plain[~again]
-    plain = plain[np.lexsort(tuple(x[c][plain] for c in ("twin", "line", "key", "token")))]
+    plain = plain[np.lexsort((place[plain], x["token"][plain]))]
     tokens = x["token"][plain]
+    s = {c: x[c].astype(np.int64) if c in ("n", "pos") else x[c] for c in ("n", "pos", "b1", "b2")}
     later, earlier = [], []
     for i in np.flatnonzero(probe).tolist():
         b = plain[np.searchsorted(tokens, x["token"][i], "left") : np.searchsorted(tokens, x["token"][i], "right")]
-        before, level = np.zeros(len(b), bool), np.ones(len(b), bool)
-        for c in ("key", "line", "twin"):
-            before |= level & (x[c][b] < x[c][i])
-            level &= x[c][b] == x[c][i]
-        b = b[before]
-        b = b[_passes(x, np.full(len(b), i), b, threshold)]
-        for j in b.tolist():
-            if len(np.intersect1d(x["set"][i], x["set"][j], assume_unique=True)) >= _needed(x["n"][i].astype(np.int64), x["n"][j].astype(np.int64), threshold):
+        b = b[: np.searchsorted(place[b], place[i], "left")]
+        on, _ = _distance(s, np.full(len(b), i), b, threshold)
+        for j in b[on].tolist():
+            if len(np.intersect1d(x["set"][i], x["set"][j], assume_unique=True)) >= _needed(s["n"][i], s["n"][j], threshold):
                 later.append(i)
                 earlier.append(j)
                 break
     return np.array(later, np.int64), np.array(earlier, np.int64)
 
 
-def _matched(blocks: DataFrame, threshold: float, small: int, *, probing: bool = False) -> DataFrame:
+def _matched(blocks: DataFrame, threshold: float, few: int, *, probing: bool = False) -> DataFrame:
     """Rows of ``_FOUND``: lines gone and pairs to verify. When ``probing``, entries meet probes only."""
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -433,11 +521,12 @@ def _matched(blocks: DataFrame, threshold: float, small: int, *, probing: bool =
             return
         if probing:
             return
+        del kinds, raws, blocks_
         x = _unpacked(plain)
-        gone, a, b, first, members = joined(x, threshold, small)
-        for kind, rows in ((GONE, gone), (MEMBER, members)):
-            yield out(np.full(len(rows), kind), place(x, rows), np.zeros((len(rows), 3), np.int64))
-        yield out(np.where(first, FIRST_PAIR, PAIR), place(x, a), place(x, b))
+        del plain
+        gone, a, b, more = joined(x, threshold, few)
+        yield out(np.full(len(gone), GONE), place(x, gone), np.zeros((len(gone), 3), np.int64))
+        yield out(np.where(more, CUT_PAIR, PAIR), place(x, a), place(x, b))
 
     return blocks.groupBy("cell").applyInArrow(run, _FOUND)
 
@@ -450,41 +539,52 @@ def similar(a: bytes, b: bytes, threshold: float) -> bool:
 _PLACE = ["key", "twin", "line"]
 
 
-def _place_bits(key: np.ndarray, twin: np.ndarray, line: np.ndarray) -> np.ndarray:
-    """The bit of the table of asked lines for each place."""
-    mixed = _mixed(_mixed(key.view(np.uint64) * np.uint64(_BASE) + twin.view(np.uint64)) + line.astype(np.uint64))
-    return (mixed & np.uint64(_ASKED - 1)).view(np.int64)
+def _place_hash(key: np.ndarray, twin: np.ndarray, line: np.ndarray) -> np.ndarray:
+    return _mixed(_mixed(key.view(np.uint64) * np.uint64(_BASE) + twin.view(np.uint64)) + line.astype(np.uint64))
 
 
-#: Bits in the table of asked lines that is sent to executors.
-_ASKED = 1 << 23
+#: Bits in a table of marks that is sent to executors: sixteen for each mark, within these bounds.
+_LEAST_BITS, _MOST_BITS = 1 << 20, 1 << 26
 
 
-def _asked(pairs: DataFrame) -> np.ndarray:
-    """A table of ``_ASKED`` bits that marks the places that pairs name."""
+def _marked(marks: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether the table of marks may hold the hashes; it holds all that were put in."""
+    slot = hashes & np.uint64(32 * len(marks) - 1)
+    return (marks[(slot >> np.uint64(5)).view(np.int64)] >> (slot & np.uint64(31)).astype(np.uint32)) & np.uint32(1) > 0
+
+
+def _marks(rows: DataFrame, count: int, hashes) -> np.ndarray:
+    """The table of marks of what ``hashes`` gives for batches of the rows."""
+    bits = min(_MOST_BITS, max(_LEAST_BITS, 1 << (16 * count).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(_ASKED, bool)
+        held = np.zeros(bits, bool)
         for batch in batches:
-            columns = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
-            for i in (0, 3):
-                bits[_place_bits(*columns[i : i + 3])] = True
-        words = np.packbits(bits, bitorder="little").view("<u4").reshape(-1, SLICE)
+            for some in hashes(batch):
+                held[(some & np.uint64(bits - 1)).view(np.int64)] = True
+        words = np.packbits(held, bitorder="little").view("<u4").reshape(-1, SLICE)
         kept = [(i, w.tobytes()) for i, w in enumerate(words) if w.any()]
         yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in kept], pa.int32()), pa.array([w for _, w in kept], pa.binary())], names=["part", "block"])
 
-    got = _summed(pairs.select(*_PLACE, "key2", "twin2", "line2").mapInArrow(run, "part int, block binary"), SLICE, bits=True)
-    out = np.zeros((_ASKED // 32 // SLICE, SLICE), "<u4")
+    got = _summed(rows.mapInArrow(run, "part int, block binary"), SLICE, bits=True)
+    out = np.zeros((bits // 32 // SLICE, SLICE), np.uint32)
     out[: len(got)] = got
-    return np.unpackbits(out.ravel().view(np.uint8), bitorder="little").astype(bool)
+    return out.ravel()
+
+
+def _asked_places(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    columns = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
+    for i in (0, 3):
+        yield _place_hash(*columns[i : i + 3])
 
 
 def _texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Rows (key, twin, line, text) of at least the lines that pairs name.
 
-    A table of bits of fixed size lets documents be read where they lie, without a shuffle of their texts.
+    A table of marks of bounded size lets documents be read where they lie, without a shuffle of their texts.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(_asked(pairs))
+    marks = _marks(pairs.select(*_PLACE, "key2", "twin2", "line2"), 2 * pairs.count(), _asked_places)
+    sent = docs.sparkSession.sparkContext.broadcast(marks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -492,7 +592,7 @@ def _texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             rows, lines, texts = [], [], []
             for i, data in enumerate(as_bytes(batch.column(2))):
                 numbers = np.arange(data.count(b"\n") + 1)
-                found = np.flatnonzero(sent.value[_place_bits(np.full(len(numbers), keys[i]), np.full(len(numbers), twins[i]), numbers)])
+                found = np.flatnonzero(_marked(sent.value, _place_hash(np.full(len(numbers), keys[i]), np.full(len(numbers), twins[i]), numbers)))
                 if len(found):
                     parts = data.split(b"\n")
                     rows += [i] * len(found)
@@ -524,39 +624,49 @@ def _identity(df: DataFrame, key: str, text: str) -> tuple[Column, Column]:
     return order, F.coalesce(F.xxhash64(F.col(text)), F.lit(0)) if repeated else F.lit(0).cast("long")
 
 
-def removed_lines(df: DataFrame, order: Column, twin: Column, text: str, *, threshold: float = THRESHOLD, small: int = SMALL, hot: int = HOT) -> DataFrame:
+def removed_lines(df: DataFrame, order: Column, twin: Column, text: str, *, threshold: float = THRESHOLD, few: int = FEW, hot: int = HOT) -> DataFrame:
     """Rows (key, twin, removed): the sorted numbers, from 0, of the lines to remove, where there are any."""
     spark = df.sparkSession
     modest_batches(spark)
     docs = df.where(F.col(text).isNotNull()).select(order.alias("key"), twin.alias("twin"), F.col(text).alias("text"), F.lit(0).alias("first"))
-    counts, words = word_counts(docs)
-    sent = spark.sparkContext.broadcast(counts)
+    levels, words = word_counts(docs)
+    sent = spark.sparkContext.broadcast(levels)
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # about one word in four begins a prefix token; tasks follow the input where the session's number is too small for it
     cells, tasks = (max(least, math.ceil(words / 4 / size)) for size in (CELL, TASK))
-    found = written(_matched(_blocks(docs, sent, cells, threshold, hot).repartition(tasks, "cell"), threshold, small), "found")
-    texts = _texts(docs, found.where(f"kind != {GONE}"))
-    pairs = found.where(f"kind in ({PAIR}, {FIRST_PAIR})")
+    found = written(_matched(_blocks(docs, sent, cells, threshold, hot).repartition(tasks, "cell"), threshold, few), "found")
+    pairs = found.where(f"kind != {GONE}")
+    texts = _texts(docs, pairs)
     alike = written(_verified(pairs.drop("kind").distinct(), texts, threshold), "similar")
     gone = found.where(f"kind = {GONE}").select(*_PLACE).union(alike)
-    missed = found.where(f"kind = {FIRST_PAIR}").select(*_PLACE).distinct().join(alike, _PLACE, "left_anti")
-    missed = written(missed, "missed")
-    if not missed.isEmpty():  # their words cleared them of the earliest line of a large group: search all its lines
-        alone = lambda places: places.join(texts, _PLACE).select("key", "twin", F.col("text").cast("string").alias("text"), F.col("line").alias("first"))
-        members = found.where(f"kind = {MEMBER}").select(*_PLACE).distinct()
-        blocks = [_blocks(alone(x), sent, cells, threshold, hot, probe=probe, sets=True) for x, probe in ((missed, True), (members, False))]
-        again = _matched(blocks[0].union(blocks[1]), threshold, small, probing=True)
-        gone = gone.union(_verified(written(again.drop("kind").distinct(), "again"), texts, threshold))
+    missed = found.where(f"kind = {CUT_PAIR}").select(*_PLACE).distinct().join(alike, _PLACE, "left_anti")
+    missed = written(missed.join(texts, _PLACE).select("key", "twin", F.col("text").cast("string").alias("text"), F.col("line").alias("first")), "missed")
+    many = missed.count()
+    if many:  # their words cleared them of all lines that they were given: search all lines again that share a token
+        only = spark.sparkContext.broadcast(_prefix_marks(missed, sent, many, threshold))
+        blocks = [_blocks(x, sent, cells, threshold, hot, probe=probe, sets=True, only=only) for x, probe in ((missed, True), (docs, False))]
+        again = written(_matched(blocks[0].union(blocks[1]).repartition(tasks, "cell"), threshold, few, probing=True).drop("kind").distinct(), "again")
+        gone = gone.union(_verified(again, _texts(docs, again), threshold))
     return gone.groupBy("key", "twin").agg(F.array_sort(F.collect_set("line")).alias("removed"))
 
 
-def deduplicated(df: DataFrame, key: str, text: str, *, threshold: float = THRESHOLD, small: int = SMALL, hot: int = HOT, changed: str | None = None) -> DataFrame:
+def _prefix_marks(lines: DataFrame, levels, count: int, threshold: float) -> np.ndarray:
+    """The table of marks of the lines' prefix tokens."""
+
+    def hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for piece in _pieces(batch, _Powers()):
+            yield entries(piece, levels.value, threshold)[0]["token"]
+
+    return _marks(lines, 16 * count, hashes)
+
+
+def deduplicated(df: DataFrame, key: str, text: str, *, threshold: float = THRESHOLD, few: int = FEW, hot: int = HOT, changed: str | None = None) -> DataFrame:
     """The rows and columns of ``df`` with removed lines cut out of ``text``.
 
     With ``changed`` a column of that name tells whether a row has lost a line.
     """
     order, twin = _identity(df, key, text)
-    gone = written(removed_lines(df, order, twin, text, threshold=threshold, small=small, hot=hot), "removed")
+    gone = written(removed_lines(df, order, twin, text, threshold=threshold, few=few, hot=hot), "removed")
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), order.alias("key"), twin.alias("twin"))
     cut = F.array_join(F.filter(F.split(F.col("row")[text], "\n"), lambda x, i: ~F.array_contains("removed", i)), "\n")
     joined_ = rows.join(gone, ["key", "twin"], "left")

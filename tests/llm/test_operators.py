@@ -258,8 +258,8 @@ def test_removed_lines_equal_brute_force(spark):
     df = spark.createDataFrame([(i, t, n, 1) for n, (i, t) in enumerate(rows)], "doc_id long, text string, key int, removed int")
     gone = line_dedup.brute_force(rows)
     expected = [None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in g) for (_, t), g in zip(rows, gone, strict=True)]
-    for small, hot in ((64, 10**6), (2, 3)):  # the second uses the search of large groups and the grid of hot tokens
-        out = line_dedup.deduplicated(df, "doc_id", "text", small=small, hot=hot)
+    for few, hot in ((4, 10**6), (1, 3)):  # the second searches again and deals hot tokens to a grid
+        out = line_dedup.deduplicated(df, "doc_id", "text", few=few, hot=hot)
         assert out.columns == df.columns
         assert [r.text for r in out.orderBy("key").collect()] == expected
 
@@ -281,11 +281,57 @@ def test_lines_that_differ_by_an_inner_word_go(spark):
         texts.append(" ".join(line) + "\n" + " ".join(line[:-1]))
     expected = plain(texts)
     assert {(1, 0), (3, 0), (6, 0)} <= expected and not expected & {(0, 0), (2, 0), (4, 0), (5, 0), (7, 0)}
-    for small in (64, 4):
-        rows = line_dedup.removed_lines(documents(spark, *texts), F.col("doc_id"), F.lit(0).cast("long"), "text", small=small).collect()
+    for few in (4, 1):
+        rows = line_dedup.removed_lines(documents(spark, *texts), F.col("doc_id"), F.lit(0).cast("long"), "text", few=few).collect()
         assert {(r.key, n) for r in rows for n in r.removed} == expected
 
 
+def _entries(lines):
+    """Prefix entries of lines of words, all under one key, and the set of tokens of each line."""
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([0]), pa.array(["\n".join(lines)]), pa.array([0])], names=list("abcd"))
+    levels = np.zeros(line_dedup.COUNTERS, np.uint8)
+    parts = [(p, line_dedup.entries(p, levels, 0.8)[0]) for p in line_dedup._pieces(batch, line_dedup._Powers())]
+    sets = {}
+    for p, _ in parts:
+        token, of = p.tokens(levels)
+        for t, i in zip(token.tolist(), p.line[of].tolist(), strict=True):
+            sets.setdefault(i, set()).add(t)
+    return {c: np.concatenate([e[c] for _, e in parts]) for c in line_dedup._FIELDS}, sets
+
+
+def test_a_cell_gives_each_similar_line_a_pair_or_a_second_search():
+    rng = random.Random(9)
+    base = [[f"w{rng.randrange(90)}" for _ in range(n)] for n in (4, 6, 9, 14, 25, 60)]
+    lines = []
+    for _ in range(700):
+        line = list(rng.choice(base))
+        for _ in range(rng.choice([0, 1, 1, 2, 3, 6])):
+            line[rng.randrange(len(line))] = f"x{rng.randrange(400)}"
+        lines.append(" ".join(line))
+    x, sets = _entries(lines)
+    alike = lambda i, j: 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j])) - 1e-6
+    lead = set(x["line"].tolist())  # lines that equal an earlier one have no entries
+    expected = {i for i in lead if any(j < i and alike(i, j) for j in sets)}
+    for few, parted in ((10**6, 10**6), (4, 10**6), (4, 70), (1, 70)):
+        gone, a, b, more = line_dedup.joined(x, 0.8, few, parted)
+        pairs = list(zip(x["line"][a].tolist(), x["line"][b].tolist(), more.tolist(), strict=True))
+        assert all(j < i for i, j, _ in pairs)
+        sure = set(x["line"][gone].tolist()) | {i for i, j, _ in pairs if alike(i, j)}
+        assert sure <= expected <= sure | {i for i, _, m in pairs if m}
+        if few > 700:
+            assert sure == expected
+            assert len(a) > 0
+
+
+def test_a_frequent_token_takes_linear_work_in_similar_lines():
+    lines = [" ".join([*(f"c{i}" for i in range(30)), f"u{n}"]) for n in range(20_000)]
+    x, _ = _entries(lines)
+    gone, a, b, _ = line_dedup.joined(x, 0.8, line_dedup.FEW)
+    assert {*x["line"][a].tolist(), *x["line"][gone].tolist()} == set(range(1, 20_000)) and len(a) <= 30 * line_dedup.FEW * len(lines)
+
+
 def test_line_dedup_of_an_empty_table(spark):
     assert line_dedup.deduplicated(spark.createDataFrame([], DOCS), "doc_id", "text").count() == 0
 
