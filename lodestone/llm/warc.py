@@ -1,34 +1,40 @@
 """WARC archives in seekable Zstandard bundles.
 
-A bundle groups records into independent Zstandard frames of about ``FRAME`` bytes. Two skippable frames
+A bundle is a file of records grouped into independent Zstandard frames of about ``FRAME`` bytes. Two skippable frames
 end it: a map from record identifier to frame and offset within the frame's content, then the seek table of
-the seekable format, with each frame's compressed and plain size. A record is read by decompressing its
-frame alone.
+the seekable format, with each frame's compressed and plain size. A record is read by two reads of the file's end and one of its
+frame, which alone is decompressed.
 
-Bundles are rows of a table in the shared folder, written by Spark's own committed writer, so a
-lost executor's bundles are made again and none appears twice; ``export`` gives a bundle's bytes as a file would hold them.
+Tasks write bundles under names of their own into a folder of the shared one, and a manifest, a table written by Spark's own committed writer,
+names those of the tasks that ended: files that a lost executor left behind are in no manifest. The shared folder is reached through
+Arrow's file systems, so it may be a mounted path or a store that Arrow knows.
 
 Of records with equal payloads of ``LEAST`` bytes or more the one with the greatest identifier is a response
-and the others revisit it.
+and the others revisit it. A response holds its payload behind the headers of an HTTP response, a revisit those headers alone.
 
 Defined cases: a null payload is empty; a null url is an empty target; null identifiers take part as responses
 of their own and are revisited by none; rows that repeat an identifier are written each, and of equal payloads under
-the greatest identifier each is a response; an empty table gives an empty archive.
+the greatest identifier each is a response; a record's WARC-Record-ID follows from its identifier and payload, so equal rows share it; an empty table gives an empty archive.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import json
+import os
+import re
 import struct
+import uuid
 
 import pyarrow as pa
 import zstandard
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import as_bytes, modest_batches, table, written
+from lodestone.llm.common import as_bytes, modest_batches, shared_dir, table, written
 
 LEAST = 1000
 FRAME, BUNDLE = 256 << 10, 8 << 20
@@ -37,23 +43,43 @@ SKIPPABLE_MAP, SKIPPABLE_SEEK, SEEKABLE = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
+#: Into so many groups the records of one payload are dealt when they learn which of them is the response.
+SALTS = 32
+
+
+def record_id(identifier: int | None, digest: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{identifier}:{digest}')}>"
+
+
 def record(identifier: int | None, target: str, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
-    """A WARC/1.1 record; a revisit (``refers_to`` given) has no body but names its payload's size."""
+    """A WARC/1.1 record of an HTTP response; a revisit (``refers_to`` given) holds its headers alone. ``digest`` is the payload's SHA-1 in hex."""
     revisit = refers_to is not None
-    body = b"" if revisit else payload
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    block = http if revisit else http + payload
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: <urn:page:{'' if identifier is None else identifier}>",
+        f"WARC-Record-ID: {record_id(identifier, digest)}",
         f"WARC-Date: {date}",
         f"WARC-Target-URI: {''.join(target.split())}",
-        f"WARC-Payload-Digest: sha1:{digest}",
-        f"X-Payload-Length: {len(payload)}",
+        f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}",
+        f"WARC-Block-Digest: sha1:{base64.b32encode(hashlib.sha1(block).digest()).decode()}",
+        f"X-Page-Id: {'' if identifier is None else identifier}",
     ]
     if revisit:
-        head += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: <urn:page:{refers_to}>"]
-    head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}", "", ""]
-    return "\r\n".join(head).encode() + body + b"\r\n\r\n"
+        head += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {record_id(refers_to, digest)}", f"X-Refers-To-Page: {refers_to}"]
+    head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}", "", ""]
+    return "\r\n".join(head).encode() + block + b"\r\n\r\n"
+
+
+def response(block: bytes) -> tuple[int, bytes]:
+    """The payload's length that the headers of an HTTP response tell, and what follows them."""
+    stop = block.index(b"\r\n\r\n")
+    lines = block[:stop].decode().split("\r\n")
+    if not lines[0].startswith("HTTP/"):
+        raise ValueError("the block is no HTTP response")
+    fields = {name.lower(): value.strip() for name, _, value in (line.partition(":") for line in lines[1:])}
+    return int(fields["content-length"]), block[stop + 4 :]
 
 
 def parsed(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
@@ -90,43 +116,54 @@ def bundle(frames: list[list[tuple[str, bytes]]], level: int = 3) -> bytes:
 
 
 class Bundle:
-    """Random access to a bundle's records."""
+    """Random access to the records of a bundle; ``file`` is a binary file that can be sought in."""
 
-    def __init__(self, data: bytes) -> None:
-        self.data = data
-        count, flags, magic = struct.unpack("<IBI", data[-9:])
+    def __init__(self, file) -> None:
+        self.file = file
+        end = file.seek(0, 2)
+        count, flags, magic = struct.unpack("<IBI", self._bytes(max(0, end - 9), 9))
         if magic != SEEKABLE or flags & 0x7C:
             raise ValueError("not a seekable bundle")
         width = 12 if flags & 0x80 else 8
-        low = len(data) - 9 - count * width
-        if struct.unpack("<II", data[low - 8 : low]) != (SKIPPABLE_SEEK, count * width + 9):
+        low = end - 9 - count * width
+        table_ = self._bytes(low - 8, 8 + count * width)
+        if struct.unpack("<II", table_[:8]) != (SKIPPABLE_SEEK, count * width + 9):
             raise ValueError("the seek table's frame is damaged")
         self.frames, at = [], 0
         for i in range(count):
-            packed, plain = struct.unpack("<II", data[low + i * width : low + i * width + 8])
+            packed, plain = struct.unpack("<II", table_[8 + i * width : 16 + i * width])
             self.frames.append((at, packed, plain))
             at += packed
         start, packed, _ = self.frames.pop()
-        if struct.unpack("<I", data[start : start + 4])[0] != SKIPPABLE_MAP:
+        index = self._bytes(start, packed)
+        if struct.unpack("<I", index[:4])[0] != SKIPPABLE_MAP:
             raise ValueError("the record map is missing")
-        self.places = [tuple(x) for x in json.loads(zstandard.ZstdDecompressor().decompress(data[start + 8 : start + packed]))]
+        self.places = [tuple(x) for x in json.loads(zstandard.ZstdDecompressor().decompress(index[8:]))]
+        self.by_name: dict[str, tuple[int, int, int]] = {}
+        for name, *place in self.places:
+            self.by_name.setdefault(name, tuple(place))
+
+    def _bytes(self, at: int, size: int) -> bytes:
+        self.file.seek(at)
+        out = self.file.read(size)
+        if len(out) != size:
+            raise ValueError("the bundle is cut short")
+        return out
 
     def frame(self, number: int) -> bytes:
         at, packed, plain = self.frames[number]
-        out = zstandard.ZstdDecompressor().decompress(self.data[at : at + packed], max_output_size=plain) if plain else b""
+        out = zstandard.ZstdDecompressor().decompress(self._bytes(at, packed), max_output_size=plain) if plain else b""
         if len(out) != plain:
             raise ValueError(f"frame {number} is damaged")
         return out
 
     def read(self, name: str) -> bytes:
         """The first record under an identifier, from its frame alone."""
-        for held, number, offset, length in self.places:
-            if held == name:
-                return self.frame(number)[offset : offset + length]
-        raise KeyError(name)
+        number, offset, length = self.by_name[name]
+        return self.frame(number)[offset : offset + length]
 
     def records(self):
-        """All records in order, each frame decompressed once, placed by the record map."""
+        """All records in order, each frame read once, placed by the record map."""
         open_, data = -1, b""
         for _, number, offset, length in self.places:
             if number != open_:
@@ -138,26 +175,40 @@ def decided(df: DataFrame, key: str, payload: str, *, least: int = LEAST) -> Dat
     """The columns of ``df`` in ``row``, with payload_bytes, payload_digest and refers_to (null: a response)."""
     body = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(key).alias("id"), F.sha1(body).alias("payload_digest"), F.octet_length(body).cast("long").alias("payload_bytes"))
-    large = rows.where((F.col("payload_bytes") >= least) & F.col("id").isNotNull())
-    several = large.groupBy("payload_digest").agg(F.max("id").alias("kept"), F.min("id").alias("low")).where("kept != low").select("payload_digest", "kept")
-    met = rows.join(several, "payload_digest", "left")
+    takes_part = (F.col("payload_bytes") >= least) & F.col("id").isNotNull()
+    several = rows.where(takes_part).groupBy("payload_digest").agg(F.max("id").alias("kept"), F.min("id").alias("low")).where("kept != low")
+    several = several.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda i: F.concat("payload_digest", F.lit(":"), i.cast("string")))).alias("group"), "kept")
+    # the records of a frequent payload are dealt to several groups, those without part in it to groups of their own
+    group = F.when(takes_part, F.concat("payload_digest", F.lit(":"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("string"))).otherwise(F.coalesce(F.col("id").cast("string"), F.uuid()))
+    met = rows.withColumn("group", group).join(several, "group", "left")
     return met.select("row", "payload_bytes", "payload_digest", F.when(F.col("id") != F.col("kept"), F.col("kept")).alias("refers_to"))
 
 
+def file_system(folder: str) -> tuple[fs.FileSystem, str]:
+    """The file system and path of a folder given as a path or a URI."""
+    return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", folder) if "://" in folder or folder.startswith("file:") else os.path.abspath(folder))
+
+
 def archived(df: DataFrame, key: str, target: str, payload: str, *, date: str = "2024-01-01T00:00:00Z", frame: int = FRAME, size: int = BUNDLE) -> DataFrame:
-    """A written table of bundles (name, content, records), with one record per row of ``df``."""
-    modest_batches(df.sparkSession)
+    """The manifest (path, bytes, records) of the bundles written, with one record per row of ``df``."""
+    spark = df.sparkSession
+    modest_batches(spark)
+    folder = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
     rows = decided(df, key, payload).select(F.col("row")[key].alias("id"), F.coalesce(F.col("row")[target], F.lit("")).alias("target"), F.col("row")[payload].alias("payload"), "payload_digest", "refers_to")
 
     def run(batches):
+        store, path = file_system(folder)
         frames: list[list[tuple[str, bytes]]] = [[]]
         held = total = 0
 
         def close():
             content = bundle([f for f in frames if f])
-            name = hashlib.sha1(content).hexdigest()
-            columns = [pa.array([f"{name}.warc.zst"]), pa.array([content], pa.binary()), pa.array([sum(map(len, frames))], pa.int64())]
-            return pa.RecordBatch.from_arrays(columns, names=["name", "content", "records"])
+            name = f"{uuid.uuid4().hex}.warc.zst"  # another attempt at this task writes other files
+            store.create_dir(path)
+            with store.open_output_stream(f"{path}/{name}", compression=None) as file:
+                file.write(content)
+            columns = [pa.array([f"{folder}/{name}"]), pa.array([len(content)], pa.int64()), pa.array([sum(map(len, frames))], pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, names=["path", "bytes", "records"])
 
         for batch in batches:
             ids, targets, _, digests, refers = (c.to_pylist() for c in batch.columns)
@@ -175,7 +226,20 @@ def archived(df: DataFrame, key: str, target: str, payload: str, *, date: str =
         if total:
             yield close()
 
-    return written(rows.mapInArrow(run, "name string, content binary, records long"), "archive")
+    return written(rows.mapInArrow(run, "path string, bytes long, records long"), "manifest")
+
+
+def opened(path: str):
+    """A bundle's file, to be sought in; a context manager."""
+    folder, _, name = path.rpartition("/")
+    store, at = file_system(folder)
+    return store.open_input_file(f"{at}/{name}")
+
+
+def read_record(path: str, identifier: int | None) -> bytes:
+    """One record of a bundle's file, by reads of the file's end and of its frame."""
+    with opened(path) as file:
+        return Bundle(file).read("" if identifier is None else str(identifier))
 
 
 READ = T.StructType([
@@ -187,32 +251,29 @@ READ = T.StructType([
 ])
 
 
-def read_archive(bundles: DataFrame) -> DataFrame:
-    """One row per record of a table of bundles; bodies are checked against their digests."""
+def read_archive(manifest: DataFrame) -> DataFrame:
+    """One row per record of the bundles that a manifest names; payloads are checked against their digests."""
 
     def number(value: str | None) -> int | None:
-        digits = value.removeprefix("<urn:page:").removesuffix(">") if value else ""
-        return int(digits) if digits else None
+        return int(value) if value else None
 
     def run(batches):
         for batch in batches:
-            for content in batch.column(0):
+            for path in batch.column(0).to_pylist():
                 rows = []
-                for data in Bundle(content.as_py()).records():
-                    fields, body, _ = parsed(data)
-                    digest, kind = fields["warc-payload-digest"].removeprefix("sha1:"), fields["warc-type"]
-                    if kind == "response" and hashlib.sha1(body).hexdigest() != digest:
-                        raise ValueError(f"record {fields['warc-record-id']} does not match its digest")
-                    rows.append((number(fields["warc-record-id"]), int(fields["x-payload-length"]), digest, kind, number(fields.get("warc-refers-to"))))
+                with opened(path) as file:
+                    for data in Bundle(file).records():
+                        fields, block, _ = parsed(data)
+                        digest, kind = base64.b32decode(fields["warc-payload-digest"].removeprefix("sha1:")).hex(), fields["warc-type"]
+                        size, payload = response(block)
+                        if kind == "response" and (len(payload) != size or hashlib.sha1(payload).hexdigest() != digest):
+                            raise ValueError(f"record {fields['warc-record-id']} does not match its digest")
+                        rows.append((number(fields["x-page-id"]), size, digest, kind, number(fields.get("x-refers-to-page"))))
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=READ.names)
 
-    return bundles.select("content").mapInArrow(run, READ)
-
-
-def export(bundles: DataFrame, name: str) -> bytes:
-    """The bytes of one bundle of an archive."""
-    return bytes(bundles.where(F.col("name") == name).select("content").first()[0])
+    spread = max(1, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return manifest.select("path").repartition(spread).mapInArrow(run, READ)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
