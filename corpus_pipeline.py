@@ -23,8 +23,8 @@ def _row(docs: DataFrame):
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on the labels outside the held-out fold, does not reject."""
-    model = toxicity.fitted(docs, table(spark, sf_dir, "labels"))
-    return toxicity.scored(docs, [_row(docs)], "text", model).where("score < 0.5").select("c0.*")
+    fit = toxicity.fitted(docs, table(spark, sf_dir, "labels"))
+    return toxicity.scored(docs, [_row(docs)], "doc_id", "text", fit).where("score < 0.5").select("c0.*")
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
