@@ -23,5 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op2_topk_search": topk.SQL,
     "op4_decontaminate": decontaminate.SQL,
+    "op6_license_scan": licenses.SQL,
+    "op7_line_dedup": line_dedup.SQL,
     "op9_warc": warc.SQL,
 }
