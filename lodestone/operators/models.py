@@ -89,25 +89,19 @@ def embedded_with_cache(chunks: DataFrame, text: str, cache: DataFrame, client:
     return chunks.join(cache.select("key", "embedding").unionByName(fresh), "key"), fresh
 
 
-def reranked(candidates: DataFrame, question: str, text: str, client: Factory = OfflineClient) -> DataFrame:
-    """Add ``rerank`` to (question, text) rows, asked for per question of a batch."""
+def reranked(candidates: DataFrame, question: str, text: str, client: Factory = OfflineClient, *, by: str | None = None) -> DataFrame:
+    """Add ``rerank`` to (question, text) rows, asked for once per question, or per value of ``by``.
 
-    def call():
-        model = client()
-
-        def fn(questions: list[str], texts: list[str]) -> list[float]:
-            out = [0.0] * len(texts)
-            rows: dict[str, list[int]] = {}
-            for i, q in enumerate(questions):
-                rows.setdefault(q or "", []).append(i)
-            for q, at in rows.items():
-                for i, score in zip(at, model.rerank(q, [texts[i] or "" for i in at]), strict=True):
-                    out[i] = float(score)
-            return out
+    All rows of a question are scored by one call, so candidates must be few per question.
+    """
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in candidates.schema.fields)
 
-        return fn
+    def run(table: pa.Table) -> pa.Table:
+        asked = table.column(question)[0].as_py() or ""
+        scores = client().rerank(asked, [t or "" for t in table.column(text).to_pylist()])
+        return table.append_column("rerank", pa.array([float(s) for s in scores], pa.float64()))
 
-    return _mapped(candidates, [question, text], "rerank", "double", pa.float64(), call)
+    return candidates.groupBy(by or question).applyInArrow(run, f"{kinds}, rerank double")
 
 
 def answered(prompts: DataFrame, client: Factory = OfflineClient, *, name: str = "answer", message: str = "message") -> DataFrame:

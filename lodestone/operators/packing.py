@@ -27,18 +27,20 @@ def packed(retrieved: DataFrame, available: Column, *, by: str = "query_id", tex
     enough room is left, later ones go.
     """
     most = settings.max_doc_tokens
+    if settings.max_packed_docs > 0:  # no later row can stay, so the others are cut before their texts are shuffled
+        first = retrieved.withColumn("_i", F.row_number().over(W.partitionBy(by).orderBy("rank")))
+        retrieved = first.where(F.col("_i") <= settings.max_packed_docs).drop("_i")
     rows = retrieved.withColumn("_fit", F.when(token_count(text) > most, truncated(text, most)).otherwise(F.col(text)))
     rows = rows.withColumn("_t", token_count("_fit")).withColumn("_budget", available)
     order = W.partitionBy(by).orderBy("rank")
-    rows = rows.withColumns({"_c": F.sum("_t").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)), "_i": F.row_number().over(order)})
+    rows = rows.withColumn("_c", F.sum("_t").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
     before = F.col("_c") - F.col("_t")
     room = F.col("_budget") - before
-    limit = F.lit(True) if settings.max_packed_docs <= 0 else F.col("_i") <= settings.max_packed_docs
-    visited = rows.where(limit & (before <= F.col("_budget")))
+    visited = rows.where(before <= F.col("_budget"))
     whole = F.col("_c") <= F.col("_budget")
     kept = visited.withColumns({"partial": ~whole, "packed_text": F.when(whole, F.col("_fit")).otherwise(truncated("_fit", room)), "trimmed": F.col("_fit") != F.col(text)})
     kept = kept.where(whole | (room >= LEAST_PARTIAL)).withColumn("n_tokens", F.when(F.col("partial"), room).otherwise(F.col("_t")).cast("long"))
-    return kept.drop("_fit", "_t", "_c", "_i", "_budget")
+    return kept.drop("_fit", "_t", "_c", "_budget")
 
 
 def packing_stats(packed_rows: DataFrame, by: str = "query_id") -> DataFrame:

@@ -20,6 +20,11 @@ DEFAULTS = Settings()
 MAX_BROADCAST_BYTES = 64 << 20
 
 
+def sizes(rows: DataFrame) -> Column:
+    """About the bytes of a row in memory: of its text form, and of what strings and arrays take beside it."""
+    return 64 + 2 * F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns])))
+
+
 def small(queries: DataFrame, size: Column, limit: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """``queries`` marked for broadcast if the sum of ``size`` over its rows allows it."""
     total = queries.agg(F.sum(size)).first()[0] or 0
@@ -32,15 +37,15 @@ def merged_queries(question: Column, expansions: Column) -> Column:
     return F.when(F.size(merged) > 0, merged).otherwise(F.array(question))
 
 
-def dense_scores(chunks: DataFrame, queries: DataFrame, chunk_key: str = "chunk_id", vector: str = "embedding") -> DataFrame:
-    """(query_id, chunk, dense): the best cosine over a query's variants, moved to 0..1.
+def dense_scores(chunks: DataFrame, queries: DataFrame, chunk_key: str = "chunk_id", vector: str = "embedding", *, carry: Sequence[str] = (), asked: Sequence[str] = ()) -> DataFrame:
+    """(query_id, chunk, dense): the best cosine over a query's variants, moved to 0..1, with the columns ``carry`` of chunks and ``asked`` of queries.
 
     ``queries`` has query_id and vectors, an array of variants, so the best variant is found
     within a row and nothing is shuffled. All pairs of a query set and the chunks are the operator's result.
     """
-    asked = small(queries.select("query_id", "vectors"), F.size("vectors") * 8 * 1024)
+    rows = queries.select("query_id", "vectors", *asked)
     best = F.array_max(F.transform("vectors", lambda v: dot(v, vector)))
-    return chunks.join(asked).select("query_id", chunk_key, ((best + 1) / 2).alias("dense"))
+    return chunks.join(small(rows, sizes(rows))).select("query_id", chunk_key, ((best + 1) / 2).alias("dense"), *carry, *asked)
 
 
 def dense_topk(chunks: DataFrame, queries: DataFrame, k: int, *, chunk_key: str = "chunk_id", vector: str = "embedding", digits: int = 9, limit: int = MAX_BROADCAST_BYTES) -> DataFrame:
@@ -93,7 +98,7 @@ def lexical_scores(chunks: DataFrame, queries: DataFrame, chunk_key: str = "chun
     asked = queries.select("query_id", F.array_distinct("tokens").alias("t")).withColumn("n", F.size("t"))
     asked = asked.select("query_id", "n", F.explode("t").alias("token"))
     index = chunks.select(chunk_key, F.explode("vocab").alias("token"))
-    hits = index.join(small(asked, F.lit(64)), "token").groupBy("query_id", chunk_key, "n").agg(F.count("*").alias("hits"))
+    hits = index.join(small(asked, sizes(asked)), "token").groupBy("query_id", chunk_key, "n").agg(F.count("*").alias("hits"))
     return hits.select("query_id", chunk_key, (F.col("hits") / F.col("n")).alias("overlap"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions import values as V
-from lodestone.functions.text import token_count
+from lodestone.functions.text import content_tokens, dot, overlap_share, token_count
 from lodestone.operators import conflicts, feedback, models, packing, scoring, selection
 from lodestone.operators.models import Factory, OfflineClient
 from lodestone.settings import Settings
@@ -33,45 +33,88 @@ def indexed(chunks: DataFrame, client: Factory = OfflineClient, settings: Settin
     return ready.withColumns({"vocab": scoring.vocabulary(F.col("title"), F.col("source_path"), F.col("_r")), "cmodes": scoring.modes_of(named)}).drop("_r")
 
 
-def prepared(questions: DataFrame, client: Factory = OfflineClient) -> DataFrame:
-    """Questions (query_id, question, expansions) with variants' vectors, tokens and modes."""
-    variants = questions.select("query_id", F.posexplode(scoring.merged_queries(F.col("question"), F.col("expansions"))).alias("i", "variant"))
-    vectors = models.embedded(variants, "variant", client).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("i", "embedding"))).alias("v"))
-    joined = F.concat_ws(" ", F.array("question"), F.coalesce("expansions", F.array().cast("array<string>")))
-    from lodestone.functions.text import content_tokens
+def prepared(questions: DataFrame, client: Factory = OfflineClient, settings: Settings = DEFAULTS) -> DataFrame:
+    """Questions (query_id, question, expansions) with variants' vectors, tokens and modes, and the queries of the coverage passes.
 
-    return questions.join(vectors.select("query_id", F.transform("v", lambda x: x["embedding"]).alias("vectors")), "query_id").withColumns({"tokens": content_tokens(joined), "qmodes": scoring.modes_of(F.col("question"))})
+    ``clauses`` are parts of a question with a question of their own, ``extras`` queries made from its terms; each has its tokens, its
+    vector and, for clauses, the first tokens of the question beside them. Both are empty unless the settings ask for them.
+    """
+    asked = questions.select("query_id", "question", "expansions", F.array().cast("array<string>").alias("_none"))
+    variants = F.transform(scoring.merged_queries(F.col("question"), F.col("expansions")), lambda q: F.struct(F.lit("v").alias("role"), q.alias("text")))
+    modes = scoring.modes_of(F.col("question"))
+    clauses = scoring.subqueries(F.col("question"), settings.max_subqueries)
+    parts = [variants]
+    if settings.enable_clause_coverage:
+        parts.append(F.transform(clauses, lambda q: F.struct(F.lit("c").alias("role"), q.alias("text"))))
+    if settings.enable_query_expansion:
+        known = clauses if settings.enable_clause_coverage else F.col("_none")
+        parts.append(F.transform(scoring.expansion_queries(F.col("question"), known, modes, settings.max_expansion_queries), lambda q: F.struct(F.lit("x").alias("role"), q.alias("text"))))
+    texts = asked.select("query_id", F.posexplode(F.concat(*parts)).alias("i", "q")).select("query_id", "i", "q.role", "q.text")
+    rows = models.embedded(texts, "text", client, batch=settings.embed_batch).withColumn("tokens", content_tokens("text"))
+    row = F.struct("i", "role", "embedding", "tokens")
+    all_ = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(row)).alias("_q"))  # a few rows a question
+    of = lambda role: F.filter("_q", lambda x: x["role"] == role)
+    long = lambda role: F.filter(of(role), lambda x: F.size(x["tokens"]) >= 3)
+    merged = F.array_join(scoring.merged_queries(F.col("question"), F.col("expansions")), " ")
+    ready = questions.join(all_, "query_id").withColumns({"tokens": content_tokens(merged), "qmodes": modes})
+    beside = lambda x: F.slice(F.filter("tokens", lambda t: ~F.array_contains(x["tokens"], t)), 1, 8)
+    return ready.withColumns({
+        "vectors": F.transform(of("v"), lambda x: x["embedding"]),
+        "clauses": F.transform(long("c"), lambda x: F.struct(x["tokens"].alias("tokens"), x["embedding"].alias("embedding"), beside(x).alias("beside"))),
+        "extras": F.transform(long("x"), lambda x: F.struct(x["tokens"].alias("tokens"), x["embedding"].alias("embedding"))),
+    }).drop("_q")
 
 
 def scored(chunks: DataFrame, questions: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """(query_id, chunk_id, dense, overlap, score) of indexed chunks for prepared questions."""
-    rows = scoring.dense_scores(chunks, questions).join(scoring.lexical_scores(chunks, questions), ["query_id", "chunk_id"], "left")
-    rows = rows.withColumn("overlap", F.coalesce("overlap", F.lit(0.0))).withColumn("lexical", scoring.max_normalized(F.col("overlap"), "query_id"))
-    score = scoring.hybrid(F.col("dense"), F.col("lexical"), settings.retrieval_alpha)
+    """All pairs of prepared questions and indexed chunks: dense, overlap and score, with what selection needs.
+
+    A question's greatest overlap comes from the inverted index; the rest of a pair is worked out where the chunk
+    lies, so no pair is shuffled.
+    """
+    most = scoring.lexical_scores(chunks, questions).groupBy("query_id").agg(F.max("overlap").alias("_most"))
+    wanted = questions.select("query_id", "vectors", F.array_distinct("tokens").alias("tokens"), "qmodes", "clauses", "extras").join(most, "query_id", "left")
+    pairs = chunks.join(scoring.small(wanted, scoring.sizes(wanted)))
+    best = F.array_max(F.transform("vectors", lambda v: dot(v, "embedding")))
+    overlap = overlap_share(F.col("tokens"), F.col("vocab"))
+    lexical = F.when(F.col("_most") > 0, F.col("overlap") / F.col("_most")).otherwise(F.col("overlap"))
+    score = scoring.hybrid(F.col("dense"), lexical, settings.retrieval_alpha)
+    late = F.lit(False)
     if settings.enable_mode_routing:
-        rows = rows.join(questions.select("query_id", "qmodes"), "query_id").join(chunks.select("chunk_id", "cmodes"), "chunk_id")
         score = scoring.clipped(score + scoring.mode_adjustment(F.col("qmodes"), F.col("cmodes"), settings))
-    return rows.withColumn("score", score)
+        late = F.array_contains("cmodes", "acan") & ~F.array_contains("qmodes", "acan")
+    match = F.arrays_overlap("qmodes", "cmodes")
+    near = lambda x: (dot(x["embedding"], "embedding") + 1) / 2
+
+    def clause(x):
+        own = overlap_share(x["tokens"], F.col("vocab"))
+        return F.when(own >= settings.clause_min_overlap, 0.75 * own + 0.25 * near(x) + 0.1 * overlap_share(x["beside"], F.col("vocab")))
+
+    def extra(x):
+        own = overlap_share(x["tokens"], F.col("vocab"))
+        return F.when(own >= settings.expansion_min_overlap, 0.55 * own + 0.35 * near(x) + F.when(match, 0.08).otherwise(0.0))
+
+    rows = pairs.withColumns({"dense": (best + 1) / 2, "overlap": overlap}).withColumns({"score": score, "late": late, "matched": match, "modes": F.array_intersect("cmodes", "qmodes")})
+    return rows.withColumns({"clause_parts": F.transform("clauses", clause), "extra_parts": F.transform("extras", extra)}).select(
+        "query_id", "chunk_id", F.col("source_path").alias("source"), "dense", "overlap", "score", "late", "matched", "modes", F.col("qmodes").alias("query_modes"), F.col("clause_parts").alias("clauses"), F.col("extra_parts").alias("expansions")
+    )
 
 
 def retrieved(chunks: DataFrame, questions: DataFrame, client: Factory = OfflineClient, settings: Settings = DEFAULTS) -> DataFrame:
-    """(query_id, rank, chunk_id, score) after rerank, coverage and capped fill; ``rank`` is the order of selection."""
+    """(query_id, rank, chunk_id, score) after rerank, coverage and capped fill; ``rank`` is the order of selection.
+
+    ``questions`` are prepared with the same settings.
+    """
     rows = scored(chunks, questions, settings)
+    k, cap, pool = settings.top_k, max(1, settings.max_chunks_per_source), max(settings.top_k, settings.retrieval_candidate_pool)
+    parts = [F.get(c, F.lit(i)) + share * F.col("score") for on, c, n, share in ((settings.enable_clause_coverage, "clauses", settings.max_subqueries, 0.05), (settings.enable_query_expansion, "expansions", settings.max_expansion_queries, 0.1)) if on for i in range(n)]
+    covered = settings.enable_mode_routing and settings.enable_mode_coverage
+    rows = selection.candidates(rows, k, cap=cap, pool=pool, scores=parts, modes=sorted(V.MODE_PHRASES) if covered else ())
     if settings.enable_rerank:
-        pool = scoring.ranked(rows, "score", "chunk_id", limit=max(settings.top_k, settings.retrieval_candidate_pool))
-        asked = pool.select("query_id", "chunk_id").join(chunks.select("chunk_id", F.col("text").alias("_t")), "chunk_id").join(questions.select("query_id", "question"), "query_id")
-        marks = models.reranked(asked, "question", "_t", client).select("query_id", "chunk_id", "rerank")
+        first = scoring.ranked(rows, "score", "chunk_id", limit=pool)
+        asked = first.select("query_id", "chunk_id").join(chunks.select("chunk_id", F.col("text").alias("_t")), "chunk_id").join(questions.select("query_id", "question"), "query_id")
+        marks = models.reranked(asked, "question", "_t", client, by="query_id").select("query_id", "chunk_id", "rerank")
         rows = scoring.rerank_blend(rows.join(marks, ["query_id", "chunk_id"], "left"), alpha=settings.rerank_alpha)
-    ranks = scoring.ranked(rows, "score", "chunk_id").join(chunks.select("chunk_id", F.col("source_path").alias("source"), F.col("cmodes").alias("_c")), "chunk_id").join(questions.select("query_id", F.col("qmodes").alias("_q")), "query_id")
-    late = F.lit(settings.enable_mode_routing) & F.array_contains("_c", "acan") & ~F.array_contains("_q", "acan")
-    chosen, order = None, "rank"
-    if settings.enable_mode_coverage:
-        one = ranks.withColumn("mode", F.explode(F.array_intersect("_c", "_q")))
-        taken = selection.mode_coverage(one, modes=sorted(V.MODE_PHRASES), each=settings.min_chunks_per_mode, cap=settings.max_chunks_per_source)
-        first = taken.groupBy("query_id", "chunk_id").agg(F.min("taken_order").alias("taken_order"))
-        ranks = ranks.join(first, ["query_id", "chunk_id"], "left")
-        chosen, order = F.col("taken_order").isNotNull(), "taken_order"
-    kept = selection.filled(ranks.withColumn("_late", late).withColumnRenamed("_late", "late"), settings.top_k, cap=settings.max_chunks_per_source, deferred=F.col("late"), chosen=chosen, chosen_order=order)
+    kept = selection.selected(rows, k, cap=cap, pool=pool, modes=covered, each_mode=max(1, settings.min_chunks_per_mode), each_clause=max(1, settings.min_chunks_per_clause), each_expansion=max(1, settings.min_chunks_per_expansion))
     return kept.select("query_id", F.col("position").alias("rank"), "chunk_id", "score")
 
 
@@ -81,7 +124,7 @@ def answered(chunks: DataFrame, questions: DataFrame, *, history: DataFrame | No
     ``history`` has conversation_id, turn, role, text; ``weights`` conversation_id, chunk_id, weight; ``complaints``
     conversation_id, thumb, comment. Questions for which no document fits get a fixed reply.
     """
-    ready = prepared(questions, client)
+    ready = prepared(questions, client, settings)
     found = retrieved(chunks, ready, client, settings).join(questions.select("query_id", "conversation_id"), "query_id")
     if weights is not None:
         # a conversation without weights keeps its selection order

@@ -96,9 +96,9 @@ def dense_multi_query_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.ranked(scoring.dense_topk(demo.chunks(spark, sf_dir), both, 10), "score", "chunk_id", limit=10).select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
 
 
-def _ranked_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = scoring.dense_scores(demo.chunks(spark, sf_dir), demo.queries(spark, sf_dir)).where("chunk_id != query_id").withColumn("score", F.round("dense", 9))
-    return scoring.ranked(scored, "score", "chunk_id").join(demo.chunks(spark, sf_dir).select("chunk_id", "source"), "chunk_id")
+def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = scoring.dense_scores(demo.chunks(spark, sf_dir), demo.queries(spark, sf_dir), carry=["source"])
+    return pairs.where("chunk_id != query_id").withColumn("score", F.round("dense", 9)).drop("dense")
 
 
 def _tier_sql(defer: str) -> str:
@@ -112,39 +112,67 @@ SELECT query_id, CAST(position AS INTEGER) AS position, chunk_id, CAST(tier AS I
 
 @query(_tier_sql("false"))
 def capped_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = selection.filled(_ranked_all(spark, sf_dir), 10, cap=2)
+    rows = selection.filled(selection.cut(_scores(spark, sf_dir), 10, cap=2), 10, cap=2)
     return rows.select("query_id", "position", "chunk_id", "tier", F.round("score", 6).alias("score"))
 
 
 @query(_tier_sql("source = 3"))
 def deferred_tier_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = selection.filled(_ranked_all(spark, sf_dir), 10, cap=2, deferred=F.col("source") == 3)
+    late = F.col("source") == 3
+    rows = selection.filled(selection.cut(_scores(spark, sf_dir), 10, cap=2, deferred=late), 10, cap=2, deferred=late)
     return rows.select("query_id", "position", "chunk_id", "tier", F.round("score", 6).alias("score"))
 
 
-@query(f"""WITH {_Q}, {_S}, {_R}, m AS (SELECT *, CAST(chunk_id % 3 AS VARCHAR) AS mode FROM r),
-a AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY rank) AS own FROM m WHERE mode = '0'),
-a1 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n FROM a WHERE own <= 2), ta AS (SELECT * FROM a1 WHERE n <= 2),
-b AS (SELECT m.*, coalesce(u.used, 0) AS used, row_number() OVER (PARTITION BY m.query_id, m.source ORDER BY rank) AS own FROM m LEFT JOIN (SELECT query_id, source, count(*) AS used FROM ta GROUP BY ALL) u USING (query_id, source) WHERE mode = '1'),
-b1 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n FROM b WHERE used + own <= 2), tb AS (SELECT * FROM b1 WHERE n <= 2)
-SELECT query_id, chunk_id, mode AS taken_for, CAST(rank AS INTEGER) AS rank FROM ta UNION ALL SELECT query_id, chunk_id, mode, CAST(rank AS INTEGER) FROM tb""")
+@query(f"""WITH {_Q}, {_S}, {_R},
+a AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY rank) AS own FROM r WHERE chunk_id % 2 = 0),
+a1 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n FROM a WHERE own <= 2), ta AS (SELECT * FROM a1 WHERE n <= 3),
+b AS (SELECT m.*, coalesce(u.used, 0) AS used, row_number() OVER (PARTITION BY m.query_id, m.source ORDER BY rank) AS own FROM r AS m LEFT JOIN (SELECT query_id, source, count(*) AS used FROM ta GROUP BY ALL) u USING (query_id, source)
+  WHERE chunk_id % 3 = 0 AND NOT EXISTS (SELECT 1 FROM ta WHERE ta.query_id = m.query_id AND ta.chunk_id = m.chunk_id)),
+b1 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n FROM b WHERE used + own <= 2), tb AS (SELECT * FROM b1 WHERE n <= 3)
+SELECT query_id, chunk_id, 'three' AS taken_for, CAST(n AS INTEGER) AS place FROM tb UNION ALL SELECT query_id, chunk_id, 'even', CAST(n AS INTEGER) FROM ta""")
 def mode_coverage_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _ranked_all(spark, sf_dir).withColumn("mode", (F.col("chunk_id") % 3).cast("string"))
-    return selection.mode_coverage(rows, modes=["0", "1"], each=2, cap=2).select("query_id", "chunk_id", "taken_for", "rank")
-
-
-_COVER = """SELECT query_id, chunk_id, taken_for, round(ps, 6) AS pass_score FROM a WHERE n <= 2 UNION ALL SELECT query_id, chunk_id, taken_for, round(ps, 6) FROM b WHERE n <= 2"""
+    modes = F.array_compact(F.array(F.when(F.col("chunk_id") % 2 == 0, "even"), F.when(F.col("chunk_id") % 3 == 0, "three")))
+    taken = selection.mode_coverage(_scores(spark, sf_dir).withColumn("modes", modes), modes=["even", "three"], each=3, cap=2)
+    return taken.select("query_id", "chunk_id", "taken_for", (F.col("taken_order") % 1_000_000).cast("int").alias("place"))
+
+
+def _passes_sql(first: str, second: str, least: float, each: int, name: str) -> str:
+    """Two coverage passes whose scores are ``first`` and ``second`` over shares o1 and o2, then the fill within the cap and beyond it."""
+    return f"""WITH {_Q}, {_S}, {_R}, qt AS (SELECT query_id, {_ctok('question')} AS t FROM q),
+qc AS (SELECT query_id, list_distinct(t[1:8]) AS c1, list_distinct(t[9:16]) AS c2 FROM qt), dv AS (SELECT doc_id AS chunk_id, list_distinct({_ctok('text')}) AS v FROM documents),
+x AS (SELECT r.*, CASE WHEN len(c1) = 0 THEN 0 ELSE len(list_intersect(c1, v)) / len(c1) END AS o1, CASE WHEN len(c2) = 0 THEN 0 ELSE len(list_intersect(c2, v)) / len(c2) END AS o2 FROM r JOIN qc USING (query_id) JOIN dv USING (chunk_id)),
+a AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {first} DESC, rank) AS n FROM x WHERE o1 >= {least}), ta AS (SELECT * FROM a WHERE n <= {each}),
+b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {second} DESC, rank) AS n FROM x WHERE o2 >= {least} AND NOT EXISTS (SELECT 1 FROM ta WHERE ta.query_id = x.query_id AND ta.chunk_id = x.chunk_id)),
+pre AS (SELECT query_id, chunk_id, source, n AS o FROM ta UNION ALL SELECT query_id, chunk_id, source, 100 + n FROM b WHERE n <= {each}),
+u AS (SELECT query_id, source, count(*) AS used FROM pre GROUP BY ALL),
+f AS (SELECT x.*, coalesce(u.used, 0) AS used, p.o, sum(CASE WHEN p.o IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY x.query_id, x.source ORDER BY rank ROWS UNBOUNDED PRECEDING) AS own
+  FROM x LEFT JOIN u USING (query_id, source) LEFT JOIN pre AS p ON p.query_id = x.query_id AND p.chunk_id = x.chunk_id),
+g AS (SELECT query_id, chunk_id, CASE WHEN o IS NULL THEN 'fill' ELSE '{name}' END AS taken_for, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN o IS NOT NULL THEN 0 WHEN used + own <= 2 THEN 1 ELSE 2 END, coalesce(o, rank)) AS position FROM f)
+SELECT query_id, chunk_id, taken_for, CAST(position AS INTEGER) AS position FROM g WHERE position <= 10"""
+
+
+def _covered(spark: SparkSession, sf_dir: str, kind: str, part, least: float, share: float, each: int) -> DataFrame:
+    """All passes over vectors with the texts of documents; a question's first and second eight tokens are what a pass covers."""
+    texts = demo.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), scoring.vocabulary(F.col("text")).alias("vocab"))
+    q = demo.queries(spark, sf_dir).select("query_id", "vectors", T.content_tokens("question").alias("t"))
+    wanted = q.select("query_id", "vectors", F.array(*[F.array_distinct(F.slice("t", i, 8)) for i in (1, 9)]).alias("wanted"))
+    rows = scoring.dense_scores(demo.chunks(spark, sf_dir).join(texts, "chunk_id"), wanted, carry=["source", "vocab"], asked=["wanted"]).where("chunk_id != query_id")
+    rows = rows.withColumns({"score": F.round("dense", 9), "late": F.lit(False), "matched": F.lit(False)}).withColumns({c: F.array().cast("array<string>") for c in ("modes", "query_modes")})
+    parts = F.transform("wanted", lambda x: F.when(T.overlap_share(x, F.col("vocab")) >= least, part(T.overlap_share(x, F.col("vocab")))))
+    none = F.array().cast("array<double>")
+    rows = rows.withColumns({c: parts if c == kind else none for c in ("clauses", "expansions")}).drop("dense", "vocab", "wanted")
+    few = selection.candidates(rows, 10, cap=2, pool=0, scores=[F.get(kind, F.lit(i)) + share * F.col("score") for i in (0, 1)])
+    return selection.selected(few, 10, cap=2, pool=0, each_clause=each, each_expansion=each).select("query_id", "chunk_id", "taken_for", "position")
+
+
+@query(_passes_sql("(0.75e0 * o1 + 0.25e0 * score) + 0.05e0 * score", "(0.75e0 * o2 + 0.25e0 * score) + 0.05e0 * score", 0.2, 2, "clause"))
+def clause_coverage_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _covered(spark, sf_dir, "clauses", lambda o: 0.75 * o + 0.25 * F.col("score"), 0.2, 0.05, 2)
 
 
-@query(f"""WITH {_Q}, {_S}, {_R}, x AS (SELECT *, CASE WHEN chunk_id % 4 = 0 THEN 1.0 ELSE 0.0 END AS near FROM r),
-a AS (SELECT *, 'even' AS taken_for, 0.75 * near + 0.25 * score AS ps, row_number() OVER (PARTITION BY query_id ORDER BY 0.75 * near + 0.25 * score DESC, rank) AS n FROM x WHERE near >= 0.2),
-y AS (SELECT * FROM r WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.n <= 2 AND a.query_id = r.query_id AND a.chunk_id = r.chunk_id)),
-b AS (SELECT *, 'rest' AS taken_for, 0.35 * score + 0.1 AS ps, row_number() OVER (PARTITION BY query_id ORDER BY 0.35 * score + 0.1 DESC, rank) AS n FROM y WHERE score >= 0.5)
-{_COVER}""")
-def clause_coverage_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = F.when(F.col("chunk_id") % 4 == 0, 1.0).otherwise(0.0)
-    passes = [("even", 0.75 * near + 0.25 * F.col("score"), near >= 0.2), ("rest", 0.35 * F.col("score") + 0.1, F.col("score") >= 0.5)]
-    return selection.coverage(_ranked_all(spark, sf_dir), passes, each=2).select("query_id", "chunk_id", "taken_for", F.round("pass_score", 6).alias("pass_score"))
+@query(_passes_sql("(0.55e0 * o1 + 0.35e0 * score) + 0.1e0 * score", "(0.55e0 * o2 + 0.35e0 * score) + 0.1e0 * score", 0.15, 1, "expansion"))
+def expansion_coverage_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _covered(spark, sf_dir, "expansions", lambda o: 0.55 * o + 0.35 * F.col("score"), 0.15, 0.1, 1)
 
 
 @query(f"""WITH qt AS (SELECT item_id AS query_id, list_distinct({_ctok('text')}) AS t FROM benchmark), qe AS (SELECT query_id, len(t) AS n, unnest(t) AS token FROM qt),
@@ -173,11 +201,11 @@ s2 AS (SELECT *, CASE WHEN len(qmodes) = 0 THEN 0e0 WHEN list_has_any(qmodes, cm
 @query(f"WITH {_Q}, {_HYBRID} SELECT query_id, chunk_id, round(dense, 6) AS dense, round(lexn, 6) AS lexical, round(adj, 6) AS adjustment, round(least(greatest(0.75 * dense + 0.25 * lexn + adj, 0.0), 1.0), 6) AS score FROM s2")
 def hybrid_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     texted = demo.texted_chunks(spark, sf_dir).select("chunk_id", "embedding", scoring.vocabulary(F.col("text")).alias("vocab"), scoring.modes_of(F.col("text"), PHRASES).alias("cmodes"))
-    q = demo.queries(spark, sf_dir).select("query_id", "vectors", T.content_tokens("question").alias("tokens"), scoring.modes_of(F.col("question"), PHRASES).alias("qmodes"))
-    dense = scoring.dense_scores(texted, q)
-    rows = dense.join(scoring.lexical_scores(texted, q), ["query_id", "chunk_id"], "left").withColumn("overlap", F.coalesce("overlap", F.lit(0.0)))
-    rows = rows.withColumn("lexical", scoring.max_normalized(F.col("overlap"), "query_id"))
-    rows = rows.join(q.select("query_id", "qmodes"), "query_id").join(texted.select("chunk_id", "cmodes"), "chunk_id")
+    q = demo.queries(spark, sf_dir).select("query_id", "vectors", F.array_distinct(T.content_tokens("question")).alias("tokens"), scoring.modes_of(F.col("question"), PHRASES).alias("qmodes"))
+    # the greatest overlap of a query comes from the inverted index, so no pair is shuffled
+    most = scoring.lexical_scores(texted, q).groupBy("query_id").agg(F.max("overlap").alias("most"))
+    rows = scoring.dense_scores(texted, q.join(most, "query_id", "left"), carry=["vocab", "cmodes"], asked=["tokens", "qmodes", "most"])
+    rows = rows.withColumn("overlap", T.overlap_share(F.col("tokens"), F.col("vocab"))).withColumn("lexical", F.when(F.col("most") > 0, F.col("overlap") / F.col("most")).otherwise(F.col("overlap")))
     adjustment = scoring.mode_adjustment(F.col("qmodes"), F.col("cmodes"))
     score = scoring.clipped(scoring.hybrid(F.col("dense"), F.col("lexical")) + adjustment)
     return rows.select("query_id", "chunk_id", F.round("dense", 6).alias("dense"), F.round("lexical", 6).alias("lexical"), F.round(adjustment, 6).alias("adjustment"), F.round(score, 6).alias("score"))
@@ -211,7 +239,8 @@ b AS (SELECT query_id, chunk_id, CASE WHEN rr IS NULL THEN score ELSE least(grea
 z AS (SELECT query_id, chunk_id, round(score, 6) AS score FROM b), y AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM z)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, chunk_id, score FROM y WHERE rank <= 10""")
 def rerank_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _ranked_all(spark, sf_dir).withColumn("rerank", F.when(F.col("rank") <= 60, ((F.col("chunk_id") * 37) % 101) / 100))
+    # of the rows that are no candidates only the first ten can come in
+    rows = scoring.ranked(_scores(spark, sf_dir), "score", "chunk_id", limit=70).withColumn("rerank", F.when(F.col("rank") <= 60, ((F.col("chunk_id") * 37) % 101) / 100))
     mixed = scoring.rerank_blend(rows.drop("rank")).withColumn("score", F.round("score", 6))
     return scoring.ranked(mixed, "score", "chunk_id", limit=10).select("query_id", "rank", "chunk_id", "score")
 
