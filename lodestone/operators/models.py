@@ -22,7 +22,7 @@ class ModelClient(Protocol):
 
     def rerank(self, query: str, documents: Sequence[str]) -> Sequence[float]: ...
 
-    def chat(self, message: str, documents: Sequence[tuple[str, str]], history: Sequence[tuple[str, str]]) -> str: ...
+    def chat(self, message: str, documents: Sequence[tuple[str, str]], history: Sequence[tuple[str, str]], max_tokens: int) -> str: ...
 
 
 class OfflineClient:
@@ -43,10 +43,11 @@ class OfflineClient:
         asked = set(self._tokens(query))
         return [len(asked.intersection(self._tokens(d))) / max(1, len(asked)) for d in documents]
 
-    def chat(self, message: str, documents: Sequence[tuple[str, str]], history: Sequence[tuple[str, str]]) -> str:
+    def chat(self, message: str, documents: Sequence[tuple[str, str]], history: Sequence[tuple[str, str]], max_tokens: int) -> str:
         if not documents:
-            return "Insufficient evidence in the documents."
-        return "\n".join(f"{text.split('. ')[0].strip().rstrip('.')}. [{chunk}]" for chunk, text in documents[:3]) + "\n\nConflict detected: none identified."
+            return "Insufficient evidence in the documents."[: 4 * max_tokens]
+        said = "\n".join(f"{text.split('. ')[0].strip().rstrip('.')}. [{chunk}]" for chunk, text in documents[:3]) + "\n\nConflict detected: none identified."
+        return said[: 4 * max_tokens]
 
 
 #: Makes the client within each task, so that nothing but its recipe is sent.
@@ -104,7 +105,14 @@ def reranked(candidates: DataFrame, question: str, text: str, client: Factory =
     return candidates.groupBy(by or question).applyInArrow(run, f"{kinds}, rerank double")
 
 
-def answered(prompts: DataFrame, client: Factory = OfflineClient, *, name: str = "answer", message: str = "message") -> DataFrame:
+def asked(rows: DataFrame, message: Column, client: Factory = OfflineClient, *, name: str, max_tokens: int) -> DataFrame:
+    """Add the model's reply to a message without documents; a failing call gives an empty one."""
+    none = {"_message": message, "_documents": F.array().cast("array<struct<chunk_id:string,text:string>>"), "_history": F.array().cast("array<struct<role:string,text:string>>")}
+    out = answered(rows.withColumns(none), client, name=name, message="_message", documents="_documents", history="_history", max_tokens=max_tokens)
+    return out.withColumn(name, F.coalesce(name, F.lit(""))).drop(*none, f"{name}_error")
+
+
+def answered(prompts: DataFrame, client: Factory = OfflineClient, *, name: str = "answer", message: str = "message", documents: str = "documents", history: str = "history", max_tokens: int = 400) -> DataFrame:
     """Add a reply to each row's ``message`` with ``documents`` (array of chunk_id, text) and ``history`` (array of role, text).
 
     A failing call gives null and its error in ``<name>_error``; the other rows go on.
@@ -114,16 +122,16 @@ def answered(prompts: DataFrame, client: Factory = OfflineClient, *, name: str =
     def call():
         model = client()
 
-        def one(message_: str, documents, history) -> dict:
+        def one(message_: str, documents_, history_) -> dict:
             try:
-                docs = [(d["chunk_id"], d["text"]) for d in documents or ()]
-                return {"text": model.chat(message_ or "", docs, [(h["role"], h["text"]) for h in history or ()]), "error": None}
+                docs = [(d["chunk_id"], d["text"]) for d in documents_ or ()]
+                return {"text": model.chat(message_ or "", docs, [(h["role"], h["text"]) for h in history_ or ()], max_tokens), "error": None}
             except Exception as error:  # any failure of a remote model is a row's outcome, not the job's
                 return {"text": None, "error": f"{type(error).__name__}: {error}"}
 
         return lambda *columns: [one(*row) for row in zip(*columns, strict=True)]
 
-    out = _mapped(prompts, [message, "documents", "history"], "_reply", "struct<text:string,error:string>", kind, call)
+    out = _mapped(prompts, [message, documents, history], "_reply", "struct<text:string,error:string>", kind, call)
     return out.withColumns({name: F.col("_reply.text"), f"{name}_error": F.col("_reply.error")}).drop("_reply")
 
 

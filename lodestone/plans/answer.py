@@ -14,21 +14,29 @@ from lodestone.functions.text import content_tokens, dot, overlap_share, token_c
 from lodestone.operators import conflicts, feedback, models, packing, scoring, selection
 from lodestone.operators.models import Factory, OfflineClient
 from lodestone.settings import Settings
+from lodestone.sources.writers import cache_key
 
 DEFAULTS = Settings()
 INSTRUCTIONS = (
-    "Instructions: Use only the provided documents. Cite CHUNK_ID values in square brackets for every policy claim. "
-    "If evidence is missing, explicitly say so. Always include a short 'Conflict detected' section in your response."
+    "Answer from the given documents alone. Put the CHUNK_ID that supports a claim in square brackets behind it. "
+    "Where the documents do not say, state that evidence is missing. End with a few words under the heading 'Conflict detected'."
 )
-FRENCH = "\n\nIMPORTANT: You must respond entirely in French (français). Translate any policy content into French in your answer."
+FRENCH = "\n\nThe reader speaks French: respond entirely in French, and translate what you quote."
 
 
-def indexed(chunks: DataFrame, client: Factory = OfflineClient, settings: Settings = DEFAULTS) -> DataFrame:
-    """Chunks with embedding, vocab, modes and source: what retrieval needs, made once and kept as a table."""
+def indexed(chunks: DataFrame, client: Factory = OfflineClient, settings: Settings = DEFAULTS, *, cache: DataFrame | None = None) -> DataFrame:
+    """Chunks with embedding, vocab, modes and source: what retrieval needs, made once and kept as a table.
+
+    Vectors that ``cache`` (key, embedding) holds under the settings' model are taken from there.
+    """
     from lodestone.operators.chunking import retrieval_text
 
     ready = chunks.withColumn("_r", retrieval_text(settings.embed_metadata))
-    ready = models.embedded(ready, "_r", client, batch=settings.embed_batch)
+    if cache is None:
+        ready = models.embedded(ready, "_r", client, batch=settings.embed_batch)
+    else:
+        keyed = ready.withColumn("key", cache_key(settings.embed_model, settings.embed_metadata, F.col("chunk_id"), F.col("_r")))
+        ready = models.embedded_with_cache(keyed, "_r", cache, client)[0].drop("key")
     named = F.concat_ws("\n", "title", "source_path", F.substring("text", 1, 240))
     return ready.withColumns({"vocab": scoring.vocabulary(F.col("title"), F.col("source_path"), F.col("_r")), "cmodes": scoring.modes_of(named)}).drop("_r")
 
@@ -65,6 +73,36 @@ def prepared(questions: DataFrame, client: Factory = OfflineClient, settings: Se
     }).drop("_q")
 
 
+def _recent(history: DataFrame | None, questions: DataFrame, most: int = 6) -> DataFrame:
+    """``questions`` with ``_said``, the last messages of their conversations as lines."""
+    if history is None:
+        return questions.withColumn("_said", F.lit("(none)"))
+    lines = packing.history_text(packing.history_tail(history, most, by="conversation_id"), by="conversation_id")
+    return questions.join(lines.withColumnRenamed("history", "_said"), "conversation_id", "left").withColumn("_said", F.coalesce("_said", F.lit("(none)")))
+
+
+def expanded(questions: DataFrame, history: DataFrame | None = None, client: Factory = OfflineClient, settings: Settings = DEFAULTS) -> DataFrame:
+    """Questions whose ``expansions`` also hold the search queries that the model makes of them and of what was said before."""
+    most = settings.rewrite_max_queries
+    if not settings.enable_rewrite or most <= 0:
+        return questions
+    task = f'Write up to {most} short search queries, in words that the documents would use, for the question below. Answer with JSON alone: {{"queries": ["..."]}}.'
+    message = F.concat(F.lit(task + "\n\nSaid before:\n"), "_said", F.lit("\n\nQuestion:\n"), "question")
+    rows = models.asked(_recent(history, questions), message, client, name="_raw", max_tokens=settings.max_output_tokens)
+    found = F.coalesce(models.rewritten(F.col("_raw"), F.col("question"), most), F.array().cast("array<string>"))
+    return rows.withColumn("expansions", F.concat(F.coalesce("expansions", F.array().cast("array<string>")), found)).select(*questions.columns)
+
+
+def classified(questions: DataFrame, history: DataFrame | None = None, client: Factory = OfflineClient, settings: Settings = DEFAULTS) -> DataFrame:
+    """Questions with ``classified``, the model's JSON on where they belong; what it does not answer well counts as a policy question."""
+    task = (
+        f"Sort the message for an assistant on purchasing rules. Answer with JSON alone, keys route (one of {', '.join(V.ROUTES)}) and clarifying_question. "
+        "A question that names a rule or a case is a policy_question. One on the subject that lacks what a search needs is needs_clarification, with the one question to ask back; else clarifying_question is empty."
+    )
+    message = F.concat(F.lit(task + "\n\nSaid before:\n"), "_said", F.lit("\n\nMessage:\n"), "question")
+    return models.asked(_recent(history, questions), message, client, name="classified", max_tokens=settings.max_output_tokens).drop("_said")
+
+
 def scored(chunks: DataFrame, questions: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """All pairs of prepared questions and indexed chunks: dense, overlap and score, with what selection needs.
 
@@ -124,7 +162,7 @@ def answered(chunks: DataFrame, questions: DataFrame, *, history: DataFrame | No
     ``history`` has conversation_id, turn, role, text; ``weights`` conversation_id, chunk_id, weight; ``complaints``
     conversation_id, thumb, comment. Questions for which no document fits get a fixed reply.
     """
-    ready = prepared(questions, client, settings)
+    ready = prepared(expanded(questions, history, client, settings), client, settings)
     found = retrieved(chunks, ready, client, settings).join(questions.select("query_id", "conversation_id"), "query_id")
     if weights is not None:
         # a conversation without weights keeps its selection order
@@ -136,7 +174,10 @@ def answered(chunks: DataFrame, questions: DataFrame, *, history: DataFrame | No
     fixed = questions.select("query_id", token_count("question").alias("_fixed"))
     packed = packing.packed(texts.join(fixed, "query_id"), packing.budget(F.col("_fixed"), settings), settings=settings)
     docs = packed.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", F.col("chunk_id").cast("string").alias("chunk_id"), F.col("packed_text").alias("text")))).alias("documents"))
-    section = conflicts.prompt_section(conflicts.pairs(texts, settings=settings), questions) if settings.enable_conflicts else questions.select("query_id", F.lit("Conflict detected:\n- not evaluated.").alias("section"))
+    opposed = conflicts.pairs(texts, settings=settings)
+    if settings.enable_conflict_classifier:
+        opposed = conflicts.classified(opposed, client, max_tokens=settings.max_output_tokens)
+    section = conflicts.prompt_section(opposed, questions) if settings.enable_conflicts else questions.select("query_id", F.lit("Conflict detected:\n- not evaluated.").alias("section"))
     prompts = questions.join(section, "query_id").join(docs, "query_id", "left")
     note = F.lit("")
     if complaints is not None:
@@ -150,21 +191,21 @@ def answered(chunks: DataFrame, questions: DataFrame, *, history: DataFrame | No
         prompts = prompts.join(said, "conversation_id", "left")
     else:
         prompts = prompts.withColumn("history", F.array().cast("array<struct<turn:int,role:string,text:string>>"))
-    replies = models.answered(prompts.select("query_id", "question", "message", "documents", "history"), client)
+    replies = models.answered(prompts.select("query_id", "question", "message", "documents", "history"), client, max_tokens=settings.max_output_tokens)
     if settings.enable_critique:
-        replies = revised(replies, client)
+        replies = revised(replies, client, settings)
     cited = packing.top_citations(packed, most=settings.top_citations)
     links = cited.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("citation", F.coalesce("source_title", "title").alias("title"), F.col("source_url").alias("link"), F.col("chunk_id").cast("string").alias("chunk_id")))).alias("citations"))
     answer = F.when(F.col("documents").isNull(), "No context docs fit. Try a shorter question.").otherwise(F.col("answer"))
     return replies.join(links, "query_id", "left").join(packing.packing_stats(packed), "query_id", "left").select("query_id", answer.alias("answer"), "answer_error", "citations", "n_docs", "n_tokens", "truncated_docs")
 
 
-def revised(replies: DataFrame, client: Factory = OfflineClient) -> DataFrame:
+def revised(replies: DataFrame, client: Factory = OfflineClient, settings: Settings = DEFAULTS) -> DataFrame:
     """Check each draft with the model and revise it where the check says so; a failed revision keeps the draft."""
     ask = F.concat(F.lit("Return strict JSON with revision_needed, unsupported_claims, missing_citations and notes.\n\nQUESTION:\n"), "question", F.lit("\n\nDRAFT_ANSWER:\n"), F.coalesce("answer", F.lit("")))
-    checked = models.answered(replies.withColumn("_ask", ask), client, name="_check", message="_ask").withColumn("_v", models.verdict(F.col("_check")))
+    checked = models.answered(replies.withColumn("_ask", ask), client, name="_check", message="_ask", max_tokens=settings.max_output_tokens).withColumn("_v", models.verdict(F.col("_check")))
     again = F.concat("message", F.lit("\n\nRevise the draft with the documents alone.\n\nDRAFT_ANSWER:\n"), F.coalesce("answer", F.lit("")), F.lit("\n\nFINDINGS:\n"), F.to_json("_v"))
-    needs = models.answered(checked.where("_v.revise").withColumn("_ask", again), client, name="_new", message="_ask")
+    needs = models.answered(checked.where("_v.revise").withColumn("_ask", again), client, name="_new", message="_ask", max_tokens=settings.max_output_tokens)
     done = needs.withColumn("answer", F.coalesce(F.nullif("_new", F.lit("")), "answer"))
     names = replies.columns
     return done.select(*names).unionByName(checked.where("not _v.revise").select(*names))

@@ -7,7 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import strip
+from lodestone.settings import Settings
 
+DEFAULTS = Settings()
 CLAIM = "struct<claim:string,evidence_doc_prefixes:array<string>,evidence_chunk_ids:array<string>>"
 CASE = (
     "struct<id:string,question:string,split:string,mode:string,question_type:string,source_family_needed:array<string>,"
@@ -31,8 +33,9 @@ RUN = (
 MANIFEST = "documents array<struct<doc_id:string,title:string,source_url:string,canonical_url:string,doc_type:string,authority_rank:int,date_modified:string,fetched_at:string,content_hash:string,word_count:int,text_path:string>>"
 
 
-def raw_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(source_path, text) of all ``.txt`` and ``.md`` files below a folder, bad bytes dropped."""
+def raw_files(spark: SparkSession, folder: str | None = None, settings: Settings = DEFAULTS) -> DataFrame:
+    """(source_path, text) of all ``.txt`` and ``.md`` files below a folder, the settings' own if none is named; bad bytes dropped."""
+    folder = folder or settings.raw_dir
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     kept = files.where(F.lower("path").rlike(r"\.(txt|md)$"))
     text = F.regexp_replace(F.decode("content", "UTF-8"), "�", "")
