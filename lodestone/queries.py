@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,8 @@ from lodestone.functions import urls
 from lodestone.functions import values as V
 from lodestone.operators import chunking, collect, conflicts, dashboard, feedback, metrics, models, packing, scoring, selection
 from lodestone.plans import demo
-from lodestone.sources import writers
+from lodestone.sources import readers, writers
+from lodestone.sources.shared import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -430,9 +432,23 @@ def vote_toggle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feedback.toggled(demo.events(spark, sf_dir), "conversation_id", "turn_id").select("line_no", "state")
 
 
-@query()
+_FACTOR = "CASE thumb WHEN 'up' THEN 1.05e0 WHEN 'side' THEN 0.95e0 WHEN 'down' THEN 0.8e0 END"
+
+
+@query(f"""WITH RECURSIVE {_EV}, c AS (SELECT conversation_id, turn_id AS target, line_no, thumb, unnest(CASE WHEN line_no % 3 = 0 THEN [turn_id, 'all'] WHEN line_no % 3 = 1 THEN ['all'] ELSE [turn_id] END) AS chunk_id FROM ev WHERE feedback_type = 'citation'),
+o AS (SELECT DISTINCT conversation_id, target, chunk_id FROM c), v AS (SELECT DISTINCT conversation_id, target, line_no, thumb FROM c),
+e AS (SELECT v.*, o.chunk_id, c.line_no IS NOT NULL AND v.thumb <> 'none' AS votes, row_number() OVER (PARTITION BY v.conversation_id, o.chunk_id ORDER BY v.line_no) AS n
+  FROM v JOIN o USING (conversation_id, target) LEFT JOIN c ON c.conversation_id = v.conversation_id AND c.target = v.target AND c.line_no = v.line_no AND c.chunk_id = o.chunk_id),
+f(conversation_id, chunk_id, n, w, kept) AS (SELECT DISTINCT conversation_id, chunk_id, CAST(0 AS BIGINT), CAST(NULL AS DOUBLE), CAST(MAP {{}} AS MAP(VARCHAR, DOUBLE)) FROM e
+  UNION ALL SELECT conversation_id, chunk_id, n, CASE WHEN votes THEN least(2e0, greatest(0.2e0, coalesce(u, 1e0) * {_FACTOR})) ELSE u END, CASE WHEN votes AND NOT known THEN map_concat(kept, MAP {{target: coalesce(u, 1e0)}}) ELSE kept END
+  FROM (SELECT e.*, f.kept, list_contains(map_keys(f.kept), e.target) AS known, CASE WHEN list_contains(map_keys(f.kept), e.target) THEN f.kept[e.target] ELSE f.w END AS u FROM f JOIN e ON e.conversation_id = f.conversation_id AND e.chunk_id = f.chunk_id AND e.n = f.n + 1)),
+l AS (SELECT conversation_id, chunk_id, arg_max(w, n) FILTER (w IS NOT NULL) AS w, max(n) AS n FROM f GROUP BY ALL)
+SELECT conversation_id, chunk_id, round(w, 6) AS weight FROM l WHERE w IS NOT NULL""")
 def vote_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feedback.vote_weights(demo.events(spark, sf_dir)).withColumn("weight", F.round("weight", 6))
+    """Votes on a turn that cite it, a chunk that all turns of the conversation share, or both, so that targets meet and re-votes cite other chunks."""
+    own, all_ = F.col("turn_id"), F.lit("all")
+    cited = F.when(F.col("line_no") % 3 == 0, F.array(own, all_)).when(F.col("line_no") % 3 == 1, F.array(all_)).otherwise(F.array(own))
+    return feedback.vote_weights(demo.events(spark, sf_dir).withColumn("cited_chunk_ids", cited)).withColumn("weight", F.round("weight", 6))
 
 
 # --- metrics ---------------------------------------------------------------------------------------------------------
@@ -528,15 +544,13 @@ def timing_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.timings(demo.table(spark, sf_dir, "events"), "value", ["event_type"])
 
 
-@query("""WITH RECURSIVE v AS (SELECT lang AS grp, doc_id, CAST(n_chars AS DOUBLE) AS x FROM documents WHERE doc_id IN (SELECT item_id FROM benchmark)), n AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY grp) AS n FROM v),
+@query("""WITH RECURSIVE n AS (SELECT user_id AS grp, event_id, value AS x, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events),
 g(i, x) AS (SELECT 0, CAST(1337 AS BIGINT) UNION ALL SELECT i + 1, xor(c, (c << 5) & 4294967295) FROM (SELECT i, xor(b, b >> 17) AS c FROM (SELECT i, xor(x, (x << 13) & 4294967295) AS b FROM g)) WHERE i < (SELECT 1000 * max(n) FROM n)),
 k AS (SELECT DISTINCT grp, n FROM n), m AS (SELECT k.grp, k.n, (g.i - 1) // k.n AS s, avg(n.x) AS a FROM k JOIN g ON g.i > 0 AND g.i <= 1000 * k.n JOIN n ON n.grp = k.grp AND n.i = g.x % k.n GROUP BY ALL)
 SELECT grp, round(quantile_cont(a, 0.025), 2) AS low, round(quantile_cont(a, 0.975), 2) AS high, n FROM m WHERE n > 1 GROUP BY grp, n UNION ALL SELECT grp, x, x, n FROM n WHERE n = 1""")
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Intervals over the documents that stand for evaluation cases, those with a benchmark item's id."""
-    cases = demo.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"))
-    rows = _documents(spark, sf_dir).join(cases, "doc_id", "left_semi").select(F.col("lang").alias("grp"), "doc_id", F.col("n_chars").cast("double").alias("x"))
-    return metrics.bootstrap(rows, "x", "doc_id", ["grp"], digits=2)
+    """Intervals of every user's event values."""
+    return metrics.bootstrap(demo.table(spark, sf_dir, "events").select(F.col("user_id").alias("grp"), "event_id", "value"), "value", "event_id", ["grp"], digits=2)
 
 
 @query()
@@ -685,11 +699,18 @@ def crawl_reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collect.reachable(keys.agg(F.max("a").cast("string").alias("url")), edges)
 
 
-@query("""SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'new' WHEN page_id % 5 = 1 THEN 'changed' ELSE 'unchanged' END AS status FROM pages""")
+_SITE = rf"{_HOST} || '/' || split_part({_PATH}, '/', 2)"
+
+
+@query(f"""WITH x AS (SELECT page_id, {_SITE} AS site, sha256(html) AS h FROM pages), now AS (SELECT site, arg_max(h, page_id) AS h FROM x GROUP BY site), old AS (SELECT site, arg_min(h, page_id) AS h FROM x GROUP BY site HAVING min(page_id) % 3 <> 0)
+SELECT site, CASE WHEN old.h IS NULL THEN 'new' WHEN old.h <> now.h THEN 'changed' ELSE 'unchanged' END AS status FROM now LEFT JOIN old USING (site)""")
 def change_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    now = demo.table(spark, sf_dir, "pages").select("page_id", F.col("page_id").alias("canonical_url"), collect.content_hash("html").alias("content_hash"))
-    before = now.where("page_id % 5 != 0").select("canonical_url", F.when(F.col("page_id") % 5 == 1, "old").otherwise(F.col("content_hash")).alias("content_hash"))
-    return collect.changed(now, before).select("page_id", "status")
+    """Each site's last page against its first one, as if that were the manifest's."""
+    path = F.concat(F.lower(F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1)), F.lit("/"), F.split_part(urls.path(F.col("url")), F.lit("/"), F.lit(2)))
+    rows = demo.table(spark, sf_dir, "pages").select(path.alias("site"), "page_id", collect.content_hash("html").alias("h"))
+    now = rows.groupBy("site").agg(F.max_by("h", "page_id").alias("content_hash"))
+    before = rows.groupBy("site").agg(F.min_by("h", "page_id").alias("content_hash"), F.min("page_id").alias("p")).where("p % 3 != 0").drop("p")
+    return collect.changed(now, before, key="site").select("site", "status")
 
 
 @query("SELECT source AS canonical_url, CAST(length(source) AS INTEGER) AS authority_rank, max(doc_id) AS doc_id FROM documents GROUP BY source")
@@ -712,15 +733,80 @@ def intent_reply(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.canned(rows).select("conv_id", "turn", "reply")
 
 
-@query("SELECT item_id, 'alpha|beta|gamma' AS rewritten FROM benchmark")
+@query(f"""WITH x AS (SELECT item_id, {_tok('text')} AS t FROM benchmark), y AS (SELECT item_id, [t[1], t[2], t[1], '', t[3] || ' ' || t[4], t[5]] AS q FROM x)
+SELECT item_id, array_to_string(list_filter(q, lambda v, i: v <> '' AND list_position(q, v) = i)[1:3], '|') AS rewritten FROM y""")
 def rewrite_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.concat(F.lit('Sure: {"queries": ["alpha", " beta ", "", "alpha", '), F.to_json(F.array("text")).substr(F.lit(2), F.length(F.to_json(F.array("text"))) - 2), F.lit(', "gamma", "delta"]}'))
-    return demo.table(spark, sf_dir, "benchmark").select("item_id", F.array_join(models.rewritten(raw, T.strip("text")), "|").alias("rewritten"))
+    """A rewriter's answer in words around JSON: words of the text, one twice, one blank, one padded, and the text itself."""
+    t = T.tokens("text")
+    said = F.to_json(F.struct(F.array(t[0], F.concat(F.lit(" "), t[1]), t[0], F.lit("  "), F.concat_ws(" ", t[2], t[3]), F.upper("text"), t[4]).alias("queries")))
+    return demo.table(spark, sf_dir, "benchmark").select("item_id", F.array_join(models.rewritten(F.concat(F.lit("Sure: "), said), F.col("text")), "|").alias("rewritten"))
 
 
-@query("SELECT item_id, CAST(least(2, item_id % 5) AS INTEGER) AS decision_correctness, 0.5e0 AS required_claim_recall, 1 AS forbidden_claim_violation FROM benchmark")
+@query("""WITH x AS (SELECT item_id, length(text) AS n, [item_id % 2, item_id // 2 % 2, item_id // 4 % 2] AS c FROM benchmark)
+SELECT item_id, CAST(least(2, n % 5) AS INTEGER) AS decision_correctness,
+  CASE WHEN n % 3 = 0 THEN least(1e0, (n % 7) / 4e0) ELSE round(list_sum(c[1:n % 3]) / (n % 3), 6) END AS required_claim_recall, CAST(CASE WHEN item_id % 2 = 0 THEN n % 2 ELSE item_id // 4 % 2 END AS INTEGER) AS forbidden_claim_violation FROM x""")
 def judge_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.concat(F.lit('```json\n{"decision_correctness": '), (F.col("item_id") % 5).cast("string"), F.lit(', "required_claim_recall": 9, "required_claim_checks": [{"claim":"a","covered":1},{"claim":"b","covered":0},{"claim":"c","covered":1}], "forbidden_claim_checks": [{"claim":"x","violated":1}]}\n```'))
-    two, one = T.words_array(["a", "b"]), T.words_array(["x"])
-    rows = demo.table(spark, sf_dir, "benchmark").select("item_id", metrics.judged(raw, two, one, F.lit(False)).alias("j"))
-    return rows.select("item_id", "j.decision_correctness", "j.required_claim_recall", "j.forbidden_claim_violation")
+    """A judge's answer in a code fence; lengths of the texts decide how many claims are asked about."""
+    n, i = F.length("text"), F.col("item_id")
+    flag = lambda name, b: F.struct(F.lit("c").alias("claim"), ((i / b).cast("long") % 2).cast("int").alias(name))
+    said = F.to_json(F.struct((n % 5).alias("decision_correctness"), ((n % 7) / 4).alias("required_claim_recall"), (n % 2).alias("forbidden_claim_violation"), F.array(*[flag("covered", b) for b in (1, 2, 4)]).alias("required_claim_checks"), F.array(flag("violated", 4)).alias("forbidden_claim_checks")))
+    raw = F.concat(F.lit("```json\n"), said, F.lit("\n```"))
+    claims = lambda k: F.slice(T.words_array(["a", "b", "c"]), 1, k)
+    rows = demo.table(spark, sf_dir, "benchmark").select("item_id", metrics.judged(raw, claims(n % 3), claims((i % 2).cast("int")), F.lit(False)).alias("j"))
+    return rows.select("item_id", "j.decision_correctness", F.round("j.required_claim_recall", 6).alias("required_claim_recall"), "j.forbidden_claim_violation")
+
+
+# --- sources and sinks -----------------------------------------------------------------------------------------------
+def _kept(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query(f"SELECT doc_id, source || ': ' || lang AS source_title, 'https://h/' || source AS source_url, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE CAST(doc_id % 10 AS INTEGER) END AS authority_rank, md5(text) AS digest FROM documents")
+def document_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written with a header and read back; a repeated key, an unknown one and a rank that is no number among them."""
+    rank = F.when(F.col("doc_id") % 3 == 0, "high").otherwise((F.col("doc_id") % 10).cast("string"))
+    head = F.concat_ws("\n", F.lit("title: first"), F.concat(F.lit("Title: "), "source", F.lit(": "), "lang"), F.lit("no pair"), F.lit("X: y"), F.concat(F.lit("SOURCE_URL: https://h/"), "source"), F.concat(F.lit("AUTHORITY_RANK:  "), rank))
+    files = _documents(spark, sf_dir).select(F.concat(F.lit("/d/"), "doc_id", F.lit(".txt")).alias("source_path"), F.concat(head, F.lit("\n---\n"), "text").alias("text"))
+    return readers.with_header(files).select(F.col("stem").cast("long").alias("doc_id"), "source_title", "source_url", "authority_rank", F.md5("body").alias("digest"))
+
+
+@query("SELECT item_id, text AS question, md5(text) AS reference, CASE WHEN item_id % 2 = 0 THEN 'dev' END AS split, item_id % 5 = 0 AS expect_abstain FROM benchmark")
+def case_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items written as a JSONL file of cases with comments, and read back."""
+    path = _kept(spark, "cases")
+    item = F.to_json(F.struct(F.col("item_id").cast("string").alias("id"), F.col("text").alias("question"), F.when(F.col("item_id") % 2 == 0, "dev").alias("split"), F.md5("text").alias("reference_answer"), F.when(F.col("item_id") % 5 == 0, True).alias("expect_abstain")))
+    items = demo.table(spark, sf_dir, "benchmark")
+    items.select(F.explode(F.array(F.lit("# a comment"), F.lit("  "), item)).alias("value")).write.text(path)
+    return readers.cases(spark, path).select(F.col("id").cast("long").alias("item_id"), "question", F.col("reference_answer").alias("reference"), "split", F.coalesce("expect_abstain", F.lit(False)).alias("expect_abstain"))
+
+
+@query("""SELECT event_id, CASE WHEN user_id % 7 = 0 THEN 'default' ELSE CAST(user_id AS VARCHAR) END AS conversation_id, CASE WHEN value >= 50 THEN 'answer' ELSE 'citation' END AS feedback_type, event_type AS thumb,
+  CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS timestamp, json_extract_string(props, '$.k') AS target_chunk_id FROM events""")
+def feedback_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events appended to a JSON log with broken and blank lines, read back and normalised."""
+    path = _kept(spark, "feedback")
+    e = demo.table(spark, sf_dir, "events")
+    turn = F.get_json_object("props", "$.k")
+    raw = e.select(F.unix_timestamp("ts").cast("string").alias("timestamp"), F.when(F.col("user_id") % 7 == 0, "  ").otherwise(F.col("user_id").cast("string")).alias("conversation_id"), F.col("event_id").cast("string").alias("turn_id"), F.when(F.col("value") >= 50, " Answer").otherwise("unknown").alias("feedback_type"), F.upper("event_type").alias("thumb"), F.array(F.lit(""), turn, F.lit("z")).alias("cited_chunk_ids"))
+    writers.append_feedback(raw, path)
+    demo.table(spark, sf_dir, "region").select(F.explode(F.array(F.lit("{broken"), F.lit(""), F.lit("[1]"))).alias("value")).write.mode("append").text(path)
+    rows = feedback.normalised(readers.feedback(spark, path))
+    return rows.select(F.col("turn_id").cast("long").alias("event_id"), "conversation_id", "feedback_type", "thumb", "timestamp", "target_chunk_id")
+
+
+@query("SELECT sha1('m' || chr(10) || 'True' || chr(10) || vec_id || chr(10) || label) AS key, len(embedding) AS n, embedding[1] AS first FROM embeddings")
+def vector_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors kept under their keys and read back."""
+    path = _kept(spark, "vectors")
+    v = demo.table(spark, sf_dir, "embeddings")
+    writers.append_cache(v.select(writers.cache_key("m", True, F.col("vec_id"), F.col("label").cast("string")).alias("key"), "embedding"), path)
+    return writers.read_cache(spark, path).select("key", F.size("embedding").cast("long").alias("n"), F.col("embedding")[0].alias("first"))
+
+
+@query("SELECT source AS canonical_url, CAST(length(source) AS INTEGER) AS authority_rank, CAST(max(doc_id) AS VARCHAR) AS doc_id, arg_max(lang, doc_id) AS title FROM documents GROUP BY source")
+def manifest_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest written as one JSON object and read back."""
+    path = _kept(spark, "manifest")
+    rows = _documents(spark, sf_dir).select(F.col("source").alias("canonical_url"), F.length("source").alias("authority_rank"), F.col("doc_id").alias("seq"), F.col("doc_id").cast("string").alias("doc_id"), F.col("lang").alias("title"))
+    writers.write_manifest(collect.manifest(rows, "seq").drop("seq"), path)
+    return readers.previous_manifest(spark, path).select("canonical_url", "authority_rank", "doc_id", "title")
