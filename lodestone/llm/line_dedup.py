@@ -375,8 +375,8 @@ def _scanned(s: dict[str, np.ndarray], threshold: float, few: int, parted: int)
     at = group * span + n
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.zeros(0, np.int64)
     sizes = np.diff(np.r_[starts, len(group)])
-    # lengths of the longer lines that the entry's position still allows
-    most = np.minimum(np.floor((n - pos + 1e-9) * ((1 + threshold) / threshold)).astype(np.int64) - n, span - 1)
+    # the greatest length of lines that the entry's position still allows
+    most = s["most"] = np.minimum(np.floor((n - pos + 1e-9) * ((1 + threshold) / threshold)).astype(np.int64) - n, span - 1)
     large = np.repeat(sizes > parted, sizes)
     plain = np.flatnonzero(~large & (most >= n))
     high = np.searchsorted(at, group[plain] * span + most[plain], "right")
@@ -398,19 +398,31 @@ def _led(s: dict[str, np.ndarray], rows: np.ndarray, threshold: float, few: int,
 
     As long as that settles a tenth of the open lines it goes on; the rest then meet all earlier lines of near length.
     """
-    n, place = s["n"][rows], s["place"][rows]
+    n, place, b1, b2, most = (s[c][rows] for c in ("n", "place", "b1", "b2", "most"))
     open_ = np.ones(len(rows), bool)
 
-    def window(some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        low = np.searchsorted(n, np.ceil(threshold * n[some] - 1e-9), "left")
-        return low, np.searchsorted(n, np.floor((n[some] + 1e-9) / threshold), "right") - low
-
     def search(some: np.ndarray, wanted) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        held, (low, size) = [(np.zeros(0, np.int64),) * 3], window(some)
-        for i, j in _ranges(low, size, _PAIRS):
-            a = some[i]
-            on = wanted(a, j)
-            met(rows[a[on]], rows[j[on]], held)
+        low = np.searchsorted(n, np.ceil(threshold * n[some] - 1e-9), "left")
+        high = np.maximum(low, np.searchsorted(n, np.minimum(np.floor((n[some] + 1e-9) / threshold), most[some]), "right"))
+        longest = n[high - 1]
+        spare = n[some] + longest - 2 * _needed(n[some], longest, threshold) + 1  # that of no pair of these lengths is greater
+        held, near, size = [(np.zeros(0, np.int64),) * 3], [], 0
+
+        def flush() -> None:
+            i, j = (np.concatenate(c) for c in zip(*near, strict=True))
+            met(rows[i], rows[j], held)
+            near.clear()
+
+        for i, a, b, differ in zip(some.tolist(), low.tolist(), high.tolist(), spare.tolist(), strict=True):
+            j = a + np.flatnonzero(np.bitwise_count(b1[a:b] ^ b1[i]) + np.bitwise_count(b2[a:b] ^ b2[i]) <= differ)
+            j = j[wanted(i, j)]
+            near.append((np.full(len(j), i), j))
+            size += len(j)
+            if size >= _PAIRS:
+                flush()
+                size = 0
+        if near:
+            flush()
         return tuple(map(np.concatenate, zip(*held, strict=True)))
 
     while open_.sum() > _LEADERS:
@@ -433,7 +445,7 @@ def _led(s: dict[str, np.ndarray], rows: np.ndarray, threshold: float, few: int,
 
 
 #: Pairs held at a time, lines of a large group that lead at a time.
-_PAIRS, _LEADERS = 1 << 20, 64
+_PAIRS, _LEADERS = 1 << 20, 16
 
 
 def joined(x: dict[str, np.ndarray], threshold: float, few: int, parted: int = 2_000) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -684,6 +696,30 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+SQL = r"""
+WITH l AS (
+  SELECT r, doc_id, coalesce(doc_id, 9223372036854775807) AS k, unnest(range(len(ls))) AS i, unnest(ls) AS t
+  FROM (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)
+), s AS (
+  SELECT r, k, i, list_distinct(regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS ws FROM l
+), x AS (
+  SELECT r, k, i, len(ws) AS n, unnest(ws) AS w FROM s WHERE len(ws) > 0
+), o AS (
+  SELECT x.*, row_number() OVER (PARTITION BY r, i ORDER BY c, w) AS pos FROM x JOIN (SELECT w, count(*) AS c FROM x GROUP BY w) USING (w)
+), p AS (
+  SELECT * FROM o WHERE pos <= n - (4 * n + 4) // 5 + 1
+), c AS (
+  SELECT DISTINCT a.r, a.i, b.r AS r2, b.i AS i2
+  FROM p AS a JOIN p AS b ON a.w = b.w AND (b.k < a.k OR (b.k = a.k AND b.i < a.i)) AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n
+), g AS (
+  SELECT DISTINCT c.r, c.i FROM c JOIN s AS a ON a.r = c.r AND a.i = c.i JOIN s AS b ON b.r = c.r2 AND b.i = c.i2
+  WHERE 9 * len(list_intersect(a.ws, b.ws)) >= 4 * (len(a.ws) + len(b.ws))
+)
+SELECT any_value(l.doc_id) AS doc_id, count(*) AS n_lines, count(g.i) AS n_removed, coalesce(string_agg(CAST(g.i AS VARCHAR), ',' ORDER BY g.i), '') AS removed_lines
+FROM l LEFT JOIN g ON g.r = l.r AND g.i = l.i GROUP BY l.r
+"""
+
+
 def brute_force(rows: list[tuple[int | None, str | None]], threshold: float = THRESHOLD) -> list[list[int]]:
     """The removed line numbers of each row, by comparing all lines; for tests."""
     twin = lambda t: int(np.uint64(xxhash.xxh64_intdigest(t.encode(), 42)).view(np.int64))
