@@ -69,6 +69,80 @@ def test_coverage_passes_take_the_best_of_what_is_left(spark):
     assert [(r.chunk_id, r.taken_for) for r in got.orderBy("taken_order").collect()] == [("c1", "odd"), ("c3", "odd"), ("c2", "any"), ("c4", "any")]
 
 
+def test_a_chunk_of_two_modes_is_taken_once(spark):
+    rows = [(1, "a", "s1", 0.9, ["m1", "m2"]), (1, "b", "s1", 0.8, ["m2"]), (1, "c", "s1", 0.7, ["m2"]), (1, "d", "s2", 0.6, ["m2"])]
+    df = spark.createDataFrame(rows, "query_id int, chunk_id string, source string, score double, modes array<string>")
+    got = selection.mode_coverage(df, modes=["m1", "m2"], each=2, cap=2).orderBy("taken_order").collect()
+    assert [(r.chunk_id, r.taken_for) for r in got] == [("a", "m1"), ("b", "m2"), ("d", "m2")]
+
+
+def all_passes(rows, k, cap, pool, wanted, each):
+    """The passes as plain loops; a row is (score, id, source, late, modes, matched, clause parts, expansion parts)."""
+    rows = sorted(rows, key=lambda r: (-r[0], r[1]))
+    out, used = [], {}
+
+    def add(r, capped):
+        if r in out or len(out) == k or (capped and used.get(r[2], 0) >= cap):
+            return False
+        out.append(r)
+        used[r[2]] = used.get(r[2], 0) + 1
+        return True
+
+    count = {}
+    for mode in wanted:
+        for r in rows[:pool]:
+            if mode in r[4] and count.get(mode, 0) < each and add(r, True):
+                count[mode] = count.get(mode, 0) + 1
+    for mode in wanted:
+        if count.get(mode, 0) < each:
+            next((True for r in rows if mode in r[4] and add(r, False)), None)
+    for column, share in ((6, 0.05), (7, 0.1)):
+        for i in range(2):
+            for _ in range(each):
+                able = [r for r in rows if r not in out and r[column][i] is not None and r[column][i] + share * r[0] > 0]
+                if column == 6 and any(r[5] for r in able):
+                    able = [r for r in able if r[5]]
+                if able:
+                    add(max(able, key=lambda r: (r[column][i] + share * r[0], -rows.index(r))), False)
+    for capped in (True, False):
+        for late in (False, True):
+            for r in rows:
+                if r[3] == late:
+                    add(r, capped)
+    return [r[1] for r in out]
+
+
+def test_all_passes_equal_plain_loops_over_all_rows(spark):
+    rng = random.Random(8)
+    cases, rows = {}, []
+    for q in range(40):
+        wanted = sorted(rng.sample(["m1", "m2", "m3"], rng.randrange(4)))
+        found = []
+        for i in range(rng.randrange(1, 90)):
+            modes = sorted(m for m in wanted if rng.random() < 0.15)
+            part = lambda: [round(rng.random(), 3) if rng.random() < 0.2 else None for _ in range(2)]
+            found.append((rng.randrange(100) / 100, i, rng.randrange(5), rng.random() < 0.2, modes, bool(modes), part(), part()))
+        cases[q] = (found, wanted)
+        rows += [(q, r[1], r[2], r[0], r[3], r[4], wanted, *r[5:]) for r in found]
+    df = spark.createDataFrame(rows, "query_id int, chunk_id int, source int, score double, late boolean, modes array<string>, query_modes array<string>, matched boolean, clauses array<double>, expansions array<double>")
+    scores = [F.get(c, F.lit(i)) + share * F.col("score") for c, share in (("clauses", 0.05), ("expansions", 0.1)) for i in (0, 1)]
+    for k, cap, pool, each in ((6, 1, 6, 1), (9, 2, 12, 2)):
+        few = selection.candidates(df, k, cap=cap, pool=pool, scores=scores, modes=["m1", "m2", "m3"])
+        got = selection.selected(few, k, cap=cap, pool=pool, modes=True, each_mode=each, each_clause=each, each_expansion=each).orderBy("query_id", "position").collect()
+        for q, (found, wanted) in cases.items():
+            assert [r.chunk_id for r in got if r.query_id == q] == all_passes(found, k, cap, pool, wanted, each), q
+        plain = selection.selected(selection.candidates(df, k, cap=cap, pool=0), k, cap=cap, pool=0).where("taken_for not in ('fill', 'late')")
+        assert {r.taken_for for r in plain.collect()} <= {"clause", "expansion"}
+
+
+def test_cuts_stand_above_the_scores(spark):
+    df = spark.createDataFrame([(1, 1, 1, 0.5)], "query_id int, chunk_id int, source int, score double")
+    text = selection.cut(df, 5, cap=2)._jdf.queryExecution().executedPlan().toString()
+    assert text.rindex("WindowGroupLimit") > text.rindex("Exchange")
+    packed = packing.packed(spark.createDataFrame([(1, 1, "t")], "query_id int, rank int, text string"), F.lit(99))
+    assert "WindowGroupLimit" in packed._jdf.queryExecution().executedPlan().toString()
+
+
 # --- scoring -------------------------------------------------------------------------------------------------------
 def test_mode_adjustment(spark):
     rows = [([], ["acan"]), (["rfp"], ["rfp", "acan"]), (["rfp"], ["acan"]), (["rfp"], ["rfsa"]), (["rfp", "rfso"], ["rfsa"]), (["rfp"], [])]
@@ -301,7 +375,7 @@ def test_offline_client(spark):
 
 def test_failing_model_is_a_row(spark):
     class Failing:  # local, so that it is sent to the workers whole
-        def chat(self, message, documents, history):
+        def chat(self, message, documents, history, max_tokens):
             raise RuntimeError("down")
 
     df = spark.createDataFrame([("q",)], "message string").withColumns({"documents": F.array().cast("array<struct<chunk_id:string,text:string>>"), "history": F.array().cast("array<struct<role:string,text:string>>")})
@@ -344,3 +418,24 @@ def test_a_long_chain_of_pages_is_reached_to_its_end(spark):
     edges = spark.createDataFrame([(f"p{i}", f"p{i + 1}") for i in range(53)] + [("p53", "p0")], "source string, target string").coalesce(1)
     rows = collect.reachable(spark.createDataFrame([("p0",)], "url string"), edges).collect()
     assert {r.url: r.level for r in rows} == {f"p{i}": i for i in range(54)}
+
+
+def test_votes_against_are_numbered_alike_with_and_without_a_limit(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice(["citation", "answer"]), rng.choice(["side", "down", "up"]), rng.randrange(9) or None, i) for i in range(300)]
+    df = spark.createDataFrame(rows, "feedback_type string, thumb string, timestamp long, first_line int")
+    all_ = {(r.feedback_type, r.first_line): r.position for r in feedback.negatives(df).collect()}
+    for kind in ("citation", "answer"):
+        order = sorted((r for r in rows if r[0] == kind and r[1] != "up"), key=lambda r: (-(r[2] or 0), r[3]))
+        assert [all_[kind, r[3]] for r in order] == list(range(1, len(order) + 1))
+    assert {(r.feedback_type, r.first_line): r.position for r in feedback.negatives(df, most=7).collect()} == {k: v for k, v in all_.items() if v <= 7}
+
+
+def test_every_setting_is_used():
+    from dataclasses import fields
+    from pathlib import Path
+
+    import lodestone
+
+    code = "\n".join(p.read_text() for p in Path(lodestone.__file__).parent.rglob("*.py") if p.name != "settings.py" and "llm" not in p.parts)
+    assert [f.name for f in fields(Settings) if f"settings.{f.name}" not in code and f"DEFAULTS.{f.name}" not in code] == []

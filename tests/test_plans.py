@@ -40,6 +40,70 @@ def test_coverage_switch(spark, chunks):
     assert {r.chunk_id[0] for r in found.collect()} == {"a", "b"}
 
 
+def test_clause_and_expansion_switches(spark, chunks):
+    q = spark.createDataFrame([(1, "c1", "How must suppliers send the offer and who books the travel tickets?", "en", [])], QUESTIONS)
+    plain = Settings(top_k=2, enable_rerank=False)
+    for more in ({"enable_clause_coverage": True, "min_chunks_per_clause": 1}, {"enable_query_expansion": True, "expansion_min_overlap": 0.01}):
+        settings = Settings(top_k=2, enable_rerank=False, **more)
+        ready = answer.prepared(q, settings=settings).first()
+        assert ready.clauses or ready.extras
+        found = answer.retrieved(chunks, answer.prepared(q, settings=settings), settings=settings).collect()
+        assert len(found) == 2
+        if "enable_clause_coverage" in more:
+            assert {r.chunk_id[0] for r in found} == {"a", "c"}
+    assert not answer.prepared(q, settings=plain).first().clauses
+
+
+class Talking:
+    """Answers the plan's own requests with JSON."""
+
+    def __init__(self):
+        from lodestone.operators.models import OfflineClient
+
+        self.offline = OfflineClient()
+        self.embed, self.rerank = self.offline.embed, self.offline.rerank
+
+    def chat(self, message, documents, history, max_tokens):
+        if "search queries" in message:
+            return 'Here: {"queries": ["travel tickets", "office"]}'
+        if message.startswith("Sort the message"):
+            return '{"route": "thanks"}' if "Message:\nthanks" in message else "?"
+        if "labels" in message.lower() and "PAIR_1" in message:
+            return '{"PAIR_1": "amplification"}'
+        return self.offline.chat(message, documents, history, max_tokens)
+
+
+def test_model_calls(spark, chunks):
+    import sys
+
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    q = spark.createDataFrame([(1, "c1", "thanks", "en", ["x"]), (2, "c2", "Who must keep the tickets?", "en", None)], QUESTIONS)
+    assert [r.expansions for r in answer.expanded(q, client=Talking).orderBy("query_id").collect()] == [["x", "travel tickets", "office"], ["travel tickets", "office"]]
+    assert answer.expanded(q, settings=Settings(enable_rewrite=False)) is q
+    assert [r.expansions for r in answer.expanded(q).orderBy("query_id").collect()] == [["x"], []]
+    rows = answer.routed(answer.classified(q, client=Talking)).orderBy("query_id").collect()
+    assert [r.route for r in rows] == ["thanks", "policy_question"] and rows[0].reply
+    found = spark.createDataFrame([(1, "PAIR_1", 1, "a", "b", "x", "y", "no_conflict")], "query_id int, pair_key string, n int, a_chunk_id string, b_chunk_id string, a_excerpt string, b_excerpt string, label string")
+    from lodestone.operators import conflicts
+
+    assert conflicts.classified(found, Talking).first().label == "amplification" and conflicts.classified(found).first().label == "no_conflict"
+    settings = Settings(top_k=2, enable_conflict_classifier=True, max_output_tokens=5)
+    assert all(len(r.answer) <= 20 for r in answer.answered(chunks, q, settings=settings).collect())
+
+
+def test_vectors_come_from_the_cache(spark, chunks):
+    from lodestone.operators.chunking import retrieval_text
+    from lodestone.sources.writers import cache_key
+
+    raw = chunks.drop("embedding", "vocab", "cmodes")
+    keyed = raw.select(cache_key("offline-hash", False, F.col("chunk_id"), retrieval_text(False)).alias("key"), F.array(F.lit(1.0).cast("float")).alias("embedding"))
+    assert {tuple(r.embedding) for r in answer.indexed(raw, cache=keyed).collect()} == {(1.0,)}
+    other = answer.indexed(raw, cache=keyed, settings=Settings(embed_model="another")).first()
+    assert len(other.embedding) > 1
+
+
 def test_routes(spark):
     q = spark.createDataFrame([(1, "en", '{"route":"greeting"}'), (2, "fr", "?")], "query_id int, language string, classified string")
     rows = {r.query_id: r for r in answer.routed(q).collect()}
