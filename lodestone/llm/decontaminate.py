@@ -22,7 +22,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,8 +30,10 @@ from lodestone.llm.common import as_bytes, map_columns, table, words_of, written
 
 SPAN, GRAM = 13, 8
 WINDOW = SPAN - GRAM + 1
-#: Item texts of more bytes in all are not sent to executors; fingerprints are then joined by a shuffle.
-MAX_SENT_BYTES = 32 << 20
+#: An index of more bytes is not sent to executors; fingerprints are then joined by a shuffle.
+MAX_SENT_BYTES = 64 << 20
+#: What a distinct word takes in an index beside its bytes: a dictionary's entry, a byte string and a number.
+_WORD_BYTES = 160
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 HITS = T.StructType([
@@ -68,42 +70,64 @@ def winnow(hashes: np.ndarray, window: int) -> np.ndarray:
     return at[hashes[at] != _NONE]
 
 
+def _runs(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where equal hashes at consecutive places begin, and how many they are; ``at`` ascends."""
+    if not len(at):
+        return at, at
+    begins = np.flatnonzero(np.r_[True, (np.diff(at) != 1) | (hashes[at[1:]] != hashes[at[:-1]])])
+    return at[begins], np.diff(np.r_[begins, len(at)])
+
+
 class Index:
-    """Fingerprints of items, with the items themselves for extension."""
+    """Fingerprints of items as sorted arrays, with the items themselves, one after the other, for extension."""
 
     def __init__(self, items: list[tuple[str, list[bytes]]]) -> None:
         self.number: dict[bytes, int] = {}
         self.names = [name for name, _ in items]
-        self.items = [np.array([self.number.setdefault(w, len(self.number) + 1) for w in words], np.uint64) for _, words in items]
-        self.postings: dict[int, dict[int, list[tuple[int, int]]]] = {}
-        for i, ids in enumerate(self.items):
-            size, window = (GRAM, WINDOW) if len(ids) >= SPAN else (len(ids), 1)
-            of = self.postings.setdefault(size if window == 1 else 0, defaultdict(list))
-            hashes = gram_hashes(ids, size)
-            for p in winnow(hashes, window).tolist():
-                of[int(hashes[p])].append((i, p))
-        self.keys = {size: np.array(sorted(of), np.uint64) for size, of in self.postings.items()}
+        ids = [np.array([self.number.setdefault(w, len(self.number) + 1) for w in words], np.uint32) for _, words in items]
+        self.words = np.concatenate([*ids, np.zeros(0, np.uint32)])
+        self.ends = np.cumsum([0, *map(len, ids)])
+        found: dict[int, list[tuple[np.ndarray, ...]]] = {}
+        for i, some in enumerate(ids):
+            size, window = (GRAM, WINDOW) if len(some) >= SPAN else (len(some), 1)
+            hashes = gram_hashes(some, size)
+            at = winnow(hashes, window)
+            start, length = _runs(hashes, at)
+            found.setdefault(size if window == 1 else 0, []).append((hashes[start], np.full(len(start), i, np.int32), start.astype(np.int32), length.astype(np.int32)))
+        #: By gram (0: winnowed): sorted fingerprints, and of each the item, the first place and how many follow each other.
+        self.postings: dict[int, tuple[np.ndarray, ...]] = {}
+        for size, parts in found.items():
+            columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+            order = np.argsort(columns[0], kind="stable")
+            self.postings[size] = tuple(c[order] for c in columns)
+
+    def size(self) -> int:
+        """About how many bytes the index takes."""
+        arrays = [self.words, *(x for p in self.postings.values() for x in p)]
+        return sum(a.nbytes for a in arrays) + sum(_WORD_BYTES + len(w) for w in self.number) + sum(_WORD_BYTES + len(n) for n in self.names)
 
     def hits(self, words: list[bytes]) -> tuple[np.ndarray, set[int]]:
         """Which words lie in an occurrence of an item's window, and the items that occur."""
         number = self.number.get
-        ids = np.fromiter((number(w, 0) for w in words), np.uint64, len(words))
+        ids = np.fromiter((number(w, 0) for w in words), np.uint32, len(words))
         hit = np.zeros(len(ids), bool)
         found: set[int] = set()
-        for size, keys in self.keys.items():
+        for size, (keys, items, places, lengths) in self.postings.items():
             gram, window = (GRAM, WINDOW) if size == 0 else (size, 1)
             hashes = gram_hashes(ids, gram)
             if not (hashes != _NONE).any():
                 continue
-            at = winnow(hashes, window)
-            at = at[np.isin(hashes[at], keys)]
+            start, length = _runs(hashes, winnow(hashes, window))
+            low, high = (np.searchsorted(keys, hashes[start], side) for side in ("left", "right"))
             seen: set[tuple[int, int]] = set()
-            for p in at.tolist():
-                for item, q in self.postings[size][int(hashes[p])]:
-                    if (item, p - q) not in seen:
-                        seen.add((item, p - q))
-                        if self._extend(ids, self.items[item], p - q, hit):
-                            found.add(item)
+            for p, n, a, b in zip(*(c[high > low].tolist() for c in (start, length, low, high)), strict=True):
+                # item word 0 lies at document word p - q, for each place p of the document's run and q of the item's
+                for item, q, m in zip(items[a:b].tolist(), places[a:b].tolist(), lengths[a:b].tolist(), strict=True):
+                    for shift in range(p - q - m + 1, p - q + n):
+                        if (item, shift) not in seen:
+                            seen.add((item, shift))
+                            if self._extend(ids, self.words[self.ends[item] : self.ends[item + 1]], shift, hit):
+                                found.add(item)
         return hit, found
 
     @staticmethod
@@ -144,16 +168,19 @@ def contaminated_words(df: DataFrame, carry: list, text: str, benchmark: DataFra
     """The columns ``carry`` of each row of ``df`` (as c0, c1, ...) with n_words, n_hit and items.
 
     ``items`` are the ids, as sorted strings, of the items with a window that occurs. A
-    benchmark of more than ``max_sent_bytes`` is joined by fingerprint instead of sent.
+    benchmark whose index takes more than ``max_sent_bytes`` is joined by fingerprint instead of sent.
     """
     items = _items(benchmark, item_key, item_text)
-    size = items.agg(F.sum(F.octet_length("words") + F.octet_length("item"))).first()[0] or 0
     carry = [F.col(c) if isinstance(c, str) else c for c in carry]
-    if size > max_sent_bytes:
-        return _joined(df, carry, text, items)
-    rows = [(r.item, words_of(r.words.encode())) for r in items.collect()]
-    index = df.sparkSession.sparkContext.broadcast(Index(sorted(r for r in rows if r[1])))
-    return map_columns(df, carry, [F.col(text)], lambda: _judged(index.value), HITS)
+    # larger texts are not collected to learn how large their index would be
+    size = items.agg(F.sum(F.octet_length("words") + F.octet_length("item"))).first()[0] or 0
+    if size <= max_sent_bytes // 4:
+        rows = [(r.item, words_of(r.words.encode())) for r in items.collect()]
+        index = Index(sorted(r for r in rows if r[1]))
+        if index.size() <= max_sent_bytes:
+            sent = df.sparkSession.sparkContext.broadcast(index)
+            return map_columns(df, carry, [F.col(text)], lambda: _judged(sent.value), HITS)
+    return _joined(df, carry, text, items)
 
 
 def _word_hashes(words: list[bytes]) -> np.ndarray:
@@ -183,6 +210,13 @@ def _fingerprints(df: DataFrame, carry: list, text: str, sizes: tuple[int, ...]
     return out.select(*[f"c{i}" for i in range(len(carry))], F.inline("fps"))
 
 
+def _covered(spans) -> Column:
+    """How many places sorted spans (a, b), both inclusive, cover."""
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("end"))
+    step = lambda held, x: F.struct((held["n"] + F.greatest(x["b"] - F.greatest(x["a"] - 1, held["end"]), F.lit(0))).alias("n"), F.greatest(held["end"], x["b"]).alias("end"))
+    return F.aggregate(spans, start, step, lambda held: held["n"])
+
+
 def _joined(df: DataFrame, carry: list, text: str, items: DataFrame) -> DataFrame:
     """As contaminated_words, for benchmarks of any size: fingerprints meet in a join."""
     items = written(items.select("item", "words"), "items")
@@ -212,7 +246,7 @@ def _joined(df: DataFrame, carry: list, text: str, items: DataFrame) -> DataFram
     span = T.ArrayType(T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
     hits = map_columns(both, [F.col("digest"), F.col("item")], [F.col("text"), F.col("words")], make, T.StructType([T.StructField("spans", span)]))
     hits = written(hits.where(F.size("spans") > 0), "hits")
-    marked = hits.select("c0", F.inline("spans")).select("c0", F.explode(F.sequence("a", "b")).alias("p")).groupBy("c0").agg(F.count_distinct("p").alias("n_hit"))
+    marked = hits.groupBy("c0").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans")).select("c0", _covered(F.col("spans")).alias("n_hit"))
     named = hits.groupBy("c0").agg(F.array_sort(F.collect_set("c1")).alias("items"))
     by_text = marked.join(named, "c0").withColumnRenamed("c0", "digest")
 
