@@ -1,4 +1,5 @@
 import json
+import os
 import random
 
 import numpy as np
@@ -277,18 +278,36 @@ def test_stream_weights_equal_the_batch(spark, tmp_path):
     from lodestone.streaming import feedback as stream
 
     rng = random.Random(2)
-    rows = [(rng.choice("AB"), rng.choice(["up", "down", "none"]), ["x"]) for _ in range(20)]
+    rows = [{"line_no": i, "conversation_id": rng.choice("cd"), "target": rng.choice("ABC"), "feedback_type": rng.choice(["citation"] * 5 + ["answer"]), "thumb": rng.choice(["up", "down", "none"]), "cited_chunk_ids": rng.sample("xyz", rng.randrange(1, 3)), "timestamp": i} for i in range(40)]
     log = tmp_path / "log"
     log.mkdir()
-    for part in (0, 1):
-        with open(log / f"{part}.json", "w") as f:
-            for i in range(part * 10, part * 10 + 10):
-                t, thumb, chunks = rows[i]
-                f.write(json.dumps({"line_no": i, "conversation_id": "c", "target": t, "feedback_type": "citation", "thumb": thumb, "cited_chunk_ids": chunks, "timestamp": i}) + "\n")
-    q = (stream.stream_weights(stream.read_log(spark, str(log), files_per_trigger=1)).writeStream.outputMode("update").format("memory").queryName("w")
-         .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start())
-    q.awaitTermination(120)
-    assert spark.table("w").collect()[-1].weight == pytest.approx(fold(rows)["x"])
+    for part in range(4):
+        (log / f"{part}.json").write_text("\n".join(json.dumps(r) for r in rows[part * 10 : part * 10 + 10]))
+        os.utime(log / f"{part}.json", (1_700_000_000 + 60 * part,) * 2)  # a stream takes files by age
+    for name, sink in (("weights", stream.stream_weights), ("latest", stream.stream_latest)):
+        q = sink(stream.read_log(spark, str(log), files_per_trigger=1), str(tmp_path / name)).option("checkpointLocation", str(tmp_path / f"cp-{name}")).trigger(availableNow=True).start()
+        q.awaitTermination(300)
+        assert q.exception() is None
+    batch = feedback.vote_weights(spark.createDataFrame(rows, stream.EVENT))
+    key = lambda r: (r.conversation_id, r.chunk_id)
+    expected = {key(r): pytest.approx(r.weight) for r in batch.collect()}
+    assert len(expected) == 6 and {key(r): r.weight for r in stream.weights(spark, str(tmp_path / "weights")).collect()} == expected
+    last = {(r["conversation_id"], r["target"]): r["line_no"] for r in rows}
+    assert {(r.conversation_id, r.target): r.line_no for r in stream.latest_events(spark, str(tmp_path / "latest")).collect()} == last
+
+
+def test_a_batch_run_again_changes_nothing(spark, tmp_path):
+    from lodestone.streaming.tables import Buckets
+
+    kept = Buckets(spark, str(tmp_path / "t"), "k string, n long", ("k",), buckets=3)
+    one = spark.createDataFrame([(str(i), 0) for i in range(12)], "k string, n long")
+    kept.write(one, 0)
+    for version in (1, 2, 2, 3):
+        new = spark.createDataFrame([("5", version)], "k string, n long")
+        only = kept.touched(new)
+        kept.write(kept.read(version, only).where("k != '5'").unionByName(new), version)
+    assert {r.k: r.n for r in kept.read().collect()} == {**{str(i): 0 for i in range(12)}, "5": 3}
+    assert {r.k: r.n for r in kept.read(3).collect()}["5"] == 2 and sorted(map(len, kept.versions().values())) == [1, 1, 2]
 
 
 # --- metrics -------------------------------------------------------------------------------------------------------
