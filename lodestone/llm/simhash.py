@@ -109,7 +109,7 @@ def linked(nodes: DataFrame) -> DataFrame:
 
 
 def grouped(prints: DataFrame, least: Column) -> DataFrame:
-    """Rows (fp, first): each fingerprint with the least value of ``least`` over its component's rows."""
+    """Rows (fp, first, copies): each fingerprint with the least value of ``least`` over its component's rows, and its own rows."""
     nodes = checkpoint(prints.groupBy("fp").agg(F.min(least).alias("own"), F.count("*").alias("copies")))
     links = checkpoint(linked(nodes))
     of = nodes.join(links, "fp").select("fp", "component", "own")
@@ -117,13 +117,27 @@ def grouped(prints: DataFrame, least: Column) -> DataFrame:
     joined = links.join(firsts, "component").select("fp", "first")
     joined = joined.withColumn("known", F.lit(True))
     own = F.when(F.col("known"), F.col("first")).otherwise(F.col("own"))
-    return nodes.join(joined, "fp", "left").select("fp", own.alias("first"))
+    return nodes.join(joined, "fp", "left").select("fp", own.alias("first"), "copies")
 
 
 def near_duplicates(df: DataFrame, key: str, text: str) -> DataFrame:
     """One row per row of ``df``: ``key``, ``fp`` (signed long) and ``component``, the smallest key reachable."""
     prints = written(fingerprints(df, [F.col(key)], text), "fingerprints")
-    return prints.join(grouped(prints, F.col("c0")), "fp").select(F.col("c0").alias(key), "fp", F.col("first").alias("component"))
+    return _named(prints, checkpoint(grouped(prints, F.col("c0")))).select(F.col("c0").alias(key), "fp", F.col("first").alias("component"))
+
+
+#: A fingerprint of more than one in ``SHARE`` rows is dealt to ``SALTS`` tasks; there are fewer than ``SHARE`` such.
+SHARE, SALTS = 1_000, 64
+
+
+def _named(prints: DataFrame, groups: DataFrame) -> DataFrame:
+    """Each row of ``prints`` with what ``groups`` has of its fingerprint; frequent fingerprints do not meet in one task."""
+    total = groups.agg(F.sum("copies")).first()[0] or 0
+    hot = groups.where(F.col("copies") * SHARE > total).select("fp", F.lit(SALTS).alias("salts"))
+    salts = F.coalesce("salts", F.lit(1))
+    salted = groups.join(F.broadcast(hot), "fp", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    rows = prints.join(F.broadcast(hot), "fp", "left").withColumn("salt", F.pmod(F.xxhash64("c0"), salts).cast("int"))
+    return rows.join(salted.select("fp", "salt", "first"), ["fp", "salt"])
 
 
 def one_of_each(df: DataFrame, key: str, text: str) -> DataFrame:
