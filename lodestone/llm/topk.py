@@ -3,11 +3,11 @@
 Vectors are lifted by one coordinate to equal norm, so that the greatest inner product is the least
 distance. Each vector is keyed by its nearest pivot and the distance to it; sorted by that key, vectors are cut
 into blocks, each an annulus around a pivot. A query block first searches the annuli around its own
-distance, which bounds the k-th score from below. By the triangle inequality a vector at distance r from pivot p is no
-nearer to the query than |d(q, p) - r|, so only annuli that can still hold a vector within the bound are searched,
-all of them.
+distance, which bounds the k-th score from below. By the triangle inequality a vector at distance r from a pivot p is no
+nearer to the query than |d(q, p) - r|. Each block keeps its least and greatest distance from every pivot, and only blocks that can still hold a vector
+within the bound by all of them are searched, all of those. ``blocks_read`` tells how many that are.
 
-Pivots are fitted on a bounded sample (``SAMPLE`` vectors by hash of the id); every vector is indexed.
+The number of pivots follows the square root of the number of vectors between two bounds. They are fitted on a bounded sample (``SAMPLE`` vectors by hash of the id); every vector is indexed.
 A query's own id takes no place: it is left out at the end, so all earlier cuts keep at most k rows of one id and, of those,
 the first 2k, of which k are of other ids, or where that is less the rows of k + 1 ids. Equal vectors share their scores, so such a cut of
 each distinct vector's ids is indexed; equal queries are searched once. Scores are integers and exact: distances, in floating point, only
@@ -20,6 +20,9 @@ without candidates give no rows; an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,8 +32,10 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import checkpoint, table, written
 
 K, SCALE = 5, 256
-#: Vectors that the pivots are fitted on at most, pivots, vectors in a block, queries in a block.
-SAMPLE, PIVOTS, BLOCK, QUERIES = 4_096, 48, 512, 128
+#: Vectors that the pivots are fitted on at most, fewest and most pivots, vectors in a block, queries in a block.
+SAMPLE, PIVOTS, BLOCK, QUERIES = 4_096, (16, 128), 512, 128
+#: Results that a task of the search holds before it keeps the best of each query alone.
+HELD = 200_000
 
 
 def quantised(vectors: Column, scale: int = SCALE) -> Column:
@@ -58,9 +63,13 @@ class Pivots:
             points = np.stack([lifted[near == i].mean(0) if (near == i).any() else points[i] for i in range(len(points))])
         return Pivots(points, square)
 
+    def distances(self, vectors: np.ndarray) -> np.ndarray:
+        """Distances from lifted vectors to all pivots."""
+        return _distances(_lifted(vectors.astype(float), self.square), self.points)
+
     def keys(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Nearest pivot of each vector and the distance to it."""
-        far = _distances(_lifted(vectors.astype(float), self.square), self.points)
+        far = self.distances(vectors)
         near = far.argmin(1)
         return near, far[np.arange(len(far)), near]
 
@@ -95,21 +104,19 @@ def _matrix(column: pa.Array, dims: int) -> np.ndarray:
     return out
 
 
-def _unpacked(raw: bytes, dims: int) -> np.ndarray:
-    return np.frombuffer(raw, "<i8").reshape(-1, dims)
+def _unpacked(raw: bytes, dims: int, kind: str) -> np.ndarray:
+    return np.frombuffer(raw, kind).reshape(-1, dims).astype(np.int64)
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Positions of each row's k best, by score and then smaller id; ids ascend."""
-    k = min(k, scores.shape[1])
-    if k < scores.shape[1]:
-        kth = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
-        rows = []
-        for row, low in zip(scores, kth, strict=True):
-            at = np.flatnonzero(row >= low)
-            rows.append(at[np.lexsort((ids[at], -row[at]))[:k]])
-        return np.stack(rows)
-    return np.stack([np.lexsort((ids, -row)) for row in scores])
+    n = scores.shape[1]
+    k = min(k, n)
+    if scores.size and int(np.abs(scores).max()) < (1 << 62) // n:
+        ranked = scores * n - np.arange(n)  # one number holds score and place, so no two are equal
+        some = np.argpartition(-ranked, k - 1, axis=1)[:, :k]
+        return np.take_along_axis(some, np.argsort(-np.take_along_axis(ranked, some, 1), axis=1), 1)
+    return np.stack([np.lexsort((ids, -row))[:k] for row in scores])
 
 
 def _first(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -126,22 +133,35 @@ def _first(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.
     return np.repeat(np.arange(len(out)), [len(x) for x in out]), np.concatenate(out)
 
 
-def top_k(df: DataFrame, key: str, vector: str, is_query: Column, *, k: int = K, scale: int = SCALE, pivots: int = PIVOTS, block: int = BLOCK, queries: int = QUERIES) -> DataFrame:
-    """Rows (query_id, rank, vec_id, score): the k best candidates of each query, itself excluded."""
+@dataclass
+class _Search:
+    """All rows, the distinct query vectors, the blocks of queries and of the index, pairs of blocks to search, and the search."""
+
+    rows: DataFrame
+    asked: DataFrame
+    queries: DataFrame
+    index: DataFrame
+    pairs: DataFrame
+    best: Callable[[DataFrame], DataFrame]
+
+
+def _search(df: DataFrame, key: str, vector: str, is_query: Column, k: int, scale: int, pivots: int | tuple[int, int], block: int, queries: int) -> _Search | None:
     spark = df.sparkSession
     rows = df.where(usable(F.col(vector)) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), quantised(F.col(vector), scale).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
     squares = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    facts = rows.agg(F.max(squares).alias("square"), F.max(F.size("v")).alias("dims")).first()
-    schema = "query_id long, rank int, vec_id long, score long"
+    most = F.aggregate("v", F.lit(0).cast("long"), lambda a, x: F.greatest(a, F.abs(x)))
+    facts = rows.agg(F.max(squares).alias("square"), F.max(F.size("v")).alias("dims"), F.max(most).alias("most"), F.count("*").alias("n")).first()
     if not facts.dims:
-        return spark.createDataFrame([], schema)
+        return None
     dims = facts.dims
+    kind = "<i2" if facts.most < 1 << 15 else "<i4" if facts.most < 1 << 31 else "<i8"
+    count = pivots if isinstance(pivots, int) else max(pivots[0], min(pivots[1], int(facts.n**0.5 / 2)))
     # equal vectors are indexed with their smallest ids; equal queries are one with all query ids kept beside
     few = rows.select("id", "v", F.row_number().over(W.partitionBy("v", "id").orderBy("id")).alias("t")).where(F.col("t") <= k)
     same = few.select("id", "v", F.row_number().over(W.partitionBy("v").orderBy("id")).alias("n"), F.dense_rank().over(W.partitionBy("v").orderBy("id")).alias("d"))
     index_rows = checkpoint(same.where((F.col("n") <= 2 * k) & (F.col("d") <= k + 1)).select("id", "v"))
     sample = index_rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toArrow().column("v").combine_chunks()
-    fit = Pivots.fit(_matrix(sample, dims), facts.square, pivots)
+    fit = Pivots.fit(_matrix(sample, dims), facts.square, count)
     sent = spark.sparkContext.broadcast(fit)
     asked = rows.where("q").groupBy("v").agg(F.min("id").alias("id"))
 
@@ -159,8 +179,10 @@ def top_k(df: DataFrame, key: str, vector: str, is_query: Column, *, k: int = K,
                 rows_ = _matrix(some.column("v").combine_chunks(), dims)
                 order = np.argsort(ids, kind="stable")
                 name = f"{pivot}:{r[0].hex()}:{int(ids[0])}"
-                columns = [pa.array([name]), pa.array([pivot], pa.int32()), pa.array([float(r.min())]), pa.array([float(r.max())]), pa.array([ids[order].tobytes()], pa.binary()), pa.array([rows_[order].astype("<i8").tobytes()], pa.binary())]
-                return pa.RecordBatch.from_arrays(columns, names=["block", "pivot", "low", "high", "ids", "vectors"])
+                far = sent.value.distances(rows_)
+                columns = [pa.array([name]), pa.array([pivot], pa.int32()), pa.array([float(r.min())]), pa.array([float(r.max())]), pa.array([far.min(0).tolist()]), pa.array([far.max(0).tolist()])]
+                columns += [pa.array([ids[order].tobytes()], pa.binary()), pa.array([rows_[order].astype(kind).tobytes()], pa.binary())]
+                return pa.RecordBatch.from_arrays(columns, names=["block", "pivot", "low", "high", "lows", "highs", "ids", "vectors"])
 
             def drain(last: bool):
                 rows_ = pa.Table.from_batches(held)
@@ -184,7 +206,7 @@ def top_k(df: DataFrame, key: str, vector: str, is_query: Column, *, k: int = K,
 
         return run
 
-    keyed_schema, block_schema = "id long, v array<long>, pivot int, r double", "block string, pivot int, low double, high double, ids binary, vectors binary"
+    keyed_schema, block_schema = "id long, v array<long>, pivot int, r double", "block string, pivot int, low double, high double, lows array<double>, highs array<double>, ids binary, vectors binary"
 
     def cut(some: DataFrame, size: int, name: str) -> DataFrame:
         ordered = some.mapInArrow(keyed, keyed_schema).repartitionByRange("pivot", "r", "id").sortWithinPartitions("pivot", "r", "id")
@@ -192,32 +214,53 @@ def top_k(df: DataFrame, key: str, vector: str, is_query: Column, *, k: int = K,
 
     index, query_blocks = cut(index_rows, block, "index"), cut(asked.select("id", "v"), queries, "queries")
 
-    def bounded(batches):  # the annuli of each pivot that a query block must read, from the k-th scores so far
+    def bounded(batches):  # distances from all pivots that vectors for a query block must have, from the k-th scores so far
         for batch in batches:
             out = []
             for name, raw, low in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                vectors = _unpacked(raw, dims)
+                vectors = _unpacked(raw, dims, kind)
                 far = sent.value.query_distances(vectors)
                 bound = np.array([np.inf] * len(vectors)) if low is None else np.sqrt(np.maximum(0, (vectors.astype(float) ** 2).sum(1) + sent.value.square - 2 * np.frombuffer(low, "<i8").astype(float)))
                 slack = 1e-6 * (1 + far.max() + sent.value.square**0.5)
                 lows, highs = (far - bound[:, None]).min(0) - slack, (far + bound[:, None]).max(0) + slack
-                out += [(name, p, float(a), float(b)) for p, (a, b) in enumerate(zip(lows, highs, strict=True))]
-            kinds = (pa.string(), pa.int32(), pa.float64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], names=["qblock", "pivot", "from", "to"])
+                out.append((name, lows.tolist(), highs.tolist()))
+            kinds = (pa.string(), pa.list_(pa.float64()), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind_) for i, kind_ in enumerate(kinds)], names=["qblock", "froms", "tos"])
+
+    def searched(batches):  # the best of each query within the blocks that a task meets
+        names: dict[str, int] = {}
+        held: list[np.ndarray] = []
+        size = 0
+
+        def merged() -> np.ndarray:
+            rows_ = np.concatenate(held, axis=1)
+            return rows_[:, _kept(rows_, k)]
 
-    def searched(batches):  # the best of each query within one block
         for batch in batches:
             for name, qids, qraw, ids, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                scores = _products(_unpacked(qraw, dims), _unpacked(raw, dims))
+                scores = _products(_unpacked(qraw, dims, kind), _unpacked(raw, dims, kind))
                 ids_, queries_ = np.frombuffer(ids, "<i8"), np.frombuffer(qids, "<i8")
                 of, best = _first(scores, ids_, k)
-                columns = [pa.array([name] * len(best)), pa.array(queries_[of]), pa.array(ids_[best]), pa.array(scores[of, best])]
-                yield pa.RecordBatch.from_arrays(columns, names=["qblock", "qid", "id", "score"])
-
-    marks = index.select("block", "pivot", "low", "high")
+                held.append(np.stack([np.full(len(best), names.setdefault(name, len(names))), queries_[of], ids_[best], scores[of, best]]))
+                size += len(best)
+                if size >= HELD:
+                    held[:] = [merged()]
+                    size = held[0].shape[1]
+                    if size >= HELD // 2:
+                        yield found_batch(held[0], list(names))
+                        held.clear()
+                        size = 0
+        if held:
+            yield found_batch(merged(), list(names))
+
+    def found_batch(rows_: np.ndarray, names: list[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(names).take(pa.array(rows_[0])), *(pa.array(c) for c in rows_[1:])], names=["qblock", "qid", "id", "score"])
+
+    marks = index.select("block", "pivot", "low", "high", "lows", "highs")
     q = query_blocks.select(F.col("block").alias("qblock"), F.col("pivot").alias("qpivot"), ((F.col("low") + F.col("high")) / 2).alias("at"), F.col("ids").alias("qids"), F.col("vectors").alias("qvectors"))
 
     def search(pairs: DataFrame) -> DataFrame:
+        # a block of the index is moved once; what meets it is a block of queries for each pair
         met = pairs.join(q.select("qblock", "qids", "qvectors"), "qblock").join(index.select("block", "ids", "vectors"), "block")
         found = met.select("qblock", "qids", "qvectors", "ids", "vectors").mapInArrow(searched, "qblock string, qid long, id long, score long")
         few = found.select("*", F.row_number().over(W.partitionBy("qid", "id").orderBy(F.desc("score"))).alias("t")).where(F.col("t") <= k)
@@ -241,11 +284,38 @@ def top_k(df: DataFrame, key: str, vector: str, is_query: Column, *, k: int = K,
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["qblock", "vectors", "low"])
 
     known = q.join(lows, "qblock", "left").select("qblock", "qvectors", "qids", "m").mapInArrow(lowest, "qblock string, vectors binary, low binary")
-    ranges = known.mapInArrow(bounded, "qblock string, pivot int, from double, to double")
-    pairs = ranges.join(marks, "pivot").where((F.col("low") <= F.col("to")) & (F.col("high") >= F.col("from"))).select("qblock", "block")
-    best = search(pairs).select("qid", "id", "score")
+    ranges = known.mapInArrow(bounded, "qblock string, froms array<double>, tos array<double>")
+    own = ranges.select("qblock", "froms", "tos", F.posexplode(F.arrays_zip("froms", "tos")).alias("pivot", "at"))
+    met = own.join(marks, "pivot").where("low <= at.tos and high >= at.froms")
+    reached = F.forall(F.zip_with("lows", "tos", lambda a, b: a <= b), lambda x: x) & F.forall(F.zip_with("highs", "froms", lambda a, b: a >= b), lambda x: x)
+    return _Search(rows, asked, query_blocks, index, met.where(reached).select("qblock", "block"), search)
+
+
+def blocks_read(df: DataFrame, key: str, vector: str, is_query: Column, *, k: int = K, scale: int = SCALE, pivots: int | tuple[int, int] = PIVOTS, block: int = BLOCK, queries: int = QUERIES) -> tuple[int, int]:
+    """How many pairs of a query block and an index block are searched, and how many there are."""
+    found = _search(df, key, vector, is_query, k, scale, pivots, block, queries)
+    return (found.pairs.count(), found.queries.count() * found.index.count()) if found else (0, 0)
+
+
+def _kept(rows: np.ndarray, k: int) -> np.ndarray:
+    """Columns of (block, query, id, score) to keep: of each query k of an id at most, and of those the first 2k."""
+    _, query_, id_, score = rows
+    order = np.lexsort((-score, id_, query_))
+    new = np.r_[True, (query_[order][1:] != query_[order][:-1]) | (id_[order][1:] != id_[order][:-1])]
+    order = order[np.arange(len(order)) - np.flatnonzero(new)[np.cumsum(new) - 1] < k]
+    order = order[np.lexsort((id_[order], -score[order], query_[order]))]
+    new = np.r_[True, query_[order][1:] != query_[order][:-1]]
+    return order[np.arange(len(order)) - np.flatnonzero(new)[np.cumsum(new) - 1] < 2 * k]
+
+
+def top_k(df: DataFrame, key: str, vector: str, is_query: Column, *, k: int = K, scale: int = SCALE, pivots: int | tuple[int, int] = PIVOTS, block: int = BLOCK, queries: int = QUERIES) -> DataFrame:
+    """Rows (query_id, rank, vec_id, score): the k best candidates of each query, itself excluded."""
+    found = _search(df, key, vector, is_query, k, scale, pivots, block, queries)
+    if not found:
+        return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    best = found.best(found.pairs).select("qid", "id", "score")
     # equal queries take the results of the one searched, each without itself
-    named = rows.where("q").select(F.col("id").alias("query_id"), "v").join(asked.withColumnRenamed("id", "qid"), "v").select("query_id", "qid")
+    named = found.rows.where("q").select(F.col("id").alias("query_id"), "v").join(found.asked.withColumnRenamed("id", "qid"), "v").select("query_id", "qid")
     own = named.join(best, "qid").where("query_id != id")
     ranked = own.select("query_id", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id")).cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
     return ranked.where(F.col("rank") <= k)
