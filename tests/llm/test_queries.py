@@ -53,11 +53,10 @@ def test_packing_has_little_padding(spark):
 
 
 def test_licenses(spark, docs):
-    for r, d in zip(rows(spark, "op6_license_scan"), docs, strict=True):
-        words = decontaminate.words_of(d.text.encode())
-        places = [(i, label) for phrase, label in licenses.PHRASES for i in range(len(words)) if words[i : i + len(phrase.split())] == [w.encode() for w in phrase.split()]]
-        assert (r.n_words, r.n_base, r.base_labels) == (len(words), len(places), ",".join(sorted({x for _, x in places})))
-        assert (r.first_word, r.last_word) == (min([i for i, _ in places], default=None), max([i for i, _ in places], default=None))
+    got = [(*tuple(r)[1:5], r.base_labels, r.labels, r.score) for r in rows(spark, "op6_license_scan")]
+    expected = [licenses.brute_force(d.text) for d in docs]
+    assert got == [(*e[:4], ",".join(e[4]), ",".join(e[5]), e[6]) for e in expected]
+    assert any(r[1] for r in got)
 
 
 def test_line_dedup(spark, docs):
@@ -70,10 +69,13 @@ def test_secrets(spark, docs):
     assert got == [secrets.brute_force(d.text) for d in docs]
 
 
-def test_toxicity(spark):
-    labels = {r.doc_id: r.toxic for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
-    got = [r for r in QUERIES["op10_toxicity"](spark, "/root/testdata/sf0.01").collect() if r.held_out and r.doc_id in labels]
-    assert np.mean([r.predicted == labels[r.doc_id] for r in got]) > 0.9
+@pytest.mark.parametrize(("sf", "least"), [("sf0.01", 0.5), ("sf0.1", 0.85)])
+def test_toxicity(spark, sf, least):
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"/root/testdata/{sf}/labels.parquet").collect()}
+    got = [(r.predicted, labels[r.doc_id]) for r in QUERIES["op10_toxicity"](spark, f"/root/testdata/{sf}").collect() if r.held_out and labels.get(r.doc_id) is not None]
+    hits = sum(p and y for p, y in got)
+    assert hits >= least * sum(y for _, y in got) and hits >= least * sum(p for p, _ in got)
+    assert np.mean([p == y for p, y in got]) > 0.93
 
 
 def test_pipeline(spark):
