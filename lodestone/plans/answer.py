@@ -14,6 +14,7 @@ from lodestone.functions.text import content_tokens, dot, overlap_share, token_c
 from lodestone.operators import conflicts, feedback, models, packing, scoring, selection
 from lodestone.operators.models import Factory, OfflineClient
 from lodestone.settings import Settings
+from lodestone.sources.shared import checkpoint
 from lodestone.sources.writers import cache_key
 
 DEFAULTS = Settings()
@@ -162,8 +163,9 @@ def answered(chunks: DataFrame, questions: DataFrame, *, history: DataFrame | No
     ``history`` has conversation_id, turn, role, text; ``weights`` conversation_id, chunk_id, weight; ``complaints``
     conversation_id, thumb, comment. Questions for which no document fits get a fixed reply.
     """
-    ready = prepared(expanded(questions, history, client, settings), client, settings)
-    found = retrieved(chunks, ready, client, settings).join(questions.select("query_id", "conversation_id"), "query_id")
+    # kept in the shared folder: what follows reads them several times, and models are asked once
+    ready = checkpoint(prepared(expanded(questions, history, client, settings), client, settings))
+    found = checkpoint(retrieved(chunks, ready, client, settings).join(questions.select("query_id", "conversation_id"), "query_id"))
     if weights is not None:
         # a conversation without weights keeps its selection order
         voted = weights.select("conversation_id").distinct().withColumn("_v", F.lit(True))
@@ -172,7 +174,7 @@ def answered(chunks: DataFrame, questions: DataFrame, *, history: DataFrame | No
         found = met.withColumn("_rank", F.row_number().over(order)).select("query_id", "conversation_id", F.col("_rank").alias("rank"), "chunk_id", F.col("_s").alias("score"))
     texts = found.join(chunks.select("chunk_id", "text", "title", "source_title", "source_url", "source_path", "embedding"), "chunk_id")
     fixed = questions.select("query_id", token_count("question").alias("_fixed"))
-    packed = packing.packed(texts.join(fixed, "query_id"), packing.budget(F.col("_fixed"), settings), settings=settings)
+    packed = checkpoint(packing.packed(texts.join(fixed, "query_id"), packing.budget(F.col("_fixed"), settings), settings=settings))
     docs = packed.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", F.col("chunk_id").cast("string").alias("chunk_id"), F.col("packed_text").alias("text")))).alias("documents"))
     opposed = conflicts.pairs(texts, settings=settings)
     if settings.enable_conflict_classifier:
@@ -191,7 +193,7 @@ def answered(chunks: DataFrame, questions: DataFrame, *, history: DataFrame | No
         prompts = prompts.join(said, "conversation_id", "left")
     else:
         prompts = prompts.withColumn("history", F.array().cast("array<struct<turn:int,role:string,text:string>>"))
-    replies = models.answered(prompts.select("query_id", "question", "message", "documents", "history"), client, max_tokens=settings.max_output_tokens)
+    replies = checkpoint(models.answered(prompts.select("query_id", "question", "message", "documents", "history"), client, max_tokens=settings.max_output_tokens))
     if settings.enable_critique:
         replies = revised(replies, client, settings)
     cited = packing.top_citations(packed, most=settings.top_citations)

@@ -69,3 +69,14 @@ def intervals(rows: DataFrame) -> DataFrame:
 
 def subgroups(rows: DataFrame) -> DataFrame:
     return metrics.subgroup_means(named(rows), list(V.SUMMARY_METRICS), [["split"], ["mode"], ["question_type"], ["mode", "question_type"]])
+
+
+def report(rows: DataFrame) -> dict:
+    """The aggregate parts of a run's artifact: overall metrics, intervals and subgroups; as large as the metrics are many."""
+    overall = {r.metric: r.value for r in summary(rows).collect()}
+    ci95 = {r.metric: {"low": r.low, "high": r.high, "n": r.n} for r in intervals(rows).collect()}
+    groups: dict[str, dict] = {}
+    for r in subgroups(rows).collect():
+        held = r.asDict()
+        groups.setdefault("by_" + held.pop("grouping").replace("+", "_x_"), {})[held.pop("subgroup")] = {"count": held.pop("n"), "metrics": held}
+    return {"overall_metrics": overall, "overall_metric_ci95": ci95, "subgroup_metrics": groups}

@@ -135,3 +135,66 @@ def test_crawl(spark):
     got = collect.crawled(pages, spark.createDataFrame([(base,)], "url string"), Settings()).collect()
     assert sorted(r.canonical_url for r in got) == [base, f"{base}/a"]
     assert all(r.doc_type == "buyers_guide" and r.word_count == 131 for r in got)
+
+
+# --- command line and votes ------------------------------------------------------------------------------------------
+@pytest.fixture
+def folder(tmp_path):
+    (tmp_path / "docs").mkdir()
+    for stem, title, body in DOCS:
+        (tmp_path / "docs" / f"{stem}.txt").write_text(f"TITLE: {title}\nSOURCE_URL: https://x/{stem}\nDOC_TYPE: guide\n---\n{body}")
+    return tmp_path
+
+
+def test_answer_command(spark, folder):
+    from lodestone import cli
+
+    said = cli.main(["answer", "Who books travel tickets?", "--documents", str(folder / "docs")], spark=spark)
+    assert "Sources:" in said and "https://x/c" in said
+    (folder / "none").mkdir()
+    with pytest.raises(SystemExit):
+        cli.main(["answer", "?", "--documents", str(folder / "none")], spark=spark)
+
+
+def test_evaluate_and_compare_commands(spark, folder):
+    import json
+
+    from lodestone import cli
+
+    cases = [{"id": str(i), "question": f"Who books travel {i}?", "split": "dev" if i else "test", "gold_relevant_doc_prefixes": ["c"], "required_claims": ["Travel is booked by the office."]} for i in range(3)]
+    (folder / "cases.jsonl").write_text("# cases\n" + "\n".join(map(json.dumps, cases)))
+    common = ["evaluate", "--documents", str(folder / "docs"), "--cases", str(folder / "cases.jsonl"), "--top-k", "2", "--output"]
+    (folder / "runs").mkdir()
+    for name, more in (("one", ["--split", "dev", "--with-chat"]), ("two", ["--limit", "1"])):
+        said = cli.main([*common, str(folder / name), *more], spark=spark)
+        assert said.startswith("2 cases" if name == "one" else "1 cases")
+        text = spark.read.text(str(folder / name)).first().value
+        held = json.loads(text)
+        assert held["overall_metrics"]["retrieval_gold_doc_recall_at_k_mean"] == 1.0 and {"by_split", "by_mode_x_question_type"} <= set(held["subgroup_metrics"])
+        (folder / "runs" / f"{name}.json").write_text(text)
+    said = cli.main(["compare", str(folder / "runs"), "one", "two"], spark=spark)
+    assert "retrieval_gold_doc_recall_at_k_mean: 1.0 -> 1.0 (0.0, neutral)" in said
+
+
+def test_collect_command(spark, tmp_path):
+    from lodestone import cli
+
+    base = "https://canadabuys.canada.ca/en/buyer-s-portal/buyer-s-guide"
+    body = "<main><h1>T</h1><p>" + "word " * 130 + "</p></main>"
+    pages = str(tmp_path / "pages")
+    spark.createDataFrame([(base, body)], "url string, html string").write.parquet(pages)
+    args = ["collect", "--pages", pages, "--output", str(tmp_path / "out"), "--seeds", base]
+    assert cli.main(args, spark=spark) == "1 new" and cli.main(args, spark=spark) == "1 unchanged"
+
+
+def test_votes_are_taken_in_or_refused(spark, chunks):
+    from lodestone.plans import feedback
+
+    columns = "line_no long, timestamp string, conversation_id string, turn_id string, feedback_type string, thumb string, comment string, question string, answer string, cited_chunk_ids array<string>, target_chunk_id string"
+    first = chunks.select("chunk_id").orderBy("chunk_id").first()[0]
+    raw = [(1, "10", "c", "t", None, "DOWN", "", "", "", [first], None), (2, "20", "c", "u", "answer", "side", "no", "", "", [], None), (3, "30", "c", "t", "citation", "better", "", "", "", [], None), (4, "40", "c", "t", "praise", "up", "", "", "", [], None)]
+    good, bad = feedback.submitted(spark.createDataFrame(raw, columns))
+    assert [(r.line_no, r.status, r.error.split()[0]) for r in bad.orderBy("line_no").collect()] == [(3, 400, "thumb"), (4, 400, "feedback_type")]
+    summary, against = feedback.board(good, chunks, F.lit(50))
+    assert {(r.feedback_type, r.total) for r in summary.collect()} == {("citation", 1), ("answer", 1)}
+    assert {(r.target_chunk_id, r.source_title) for r in against.collect()} == {(first, "Rfp guide"), ("", None)}
