@@ -9,10 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from lodestone.functions import values as V
-from lodestone.functions.text import contains_any, content_tokens, distinct_ignoring_case, dot, normalized, overlap_share, strip
+from lodestone.functions.text import contains_any, content_tokens, distinct_ignoring_case, dot, normalized, strip
 from lodestone.settings import Settings
 
 DEFAULTS = Settings()
@@ -62,10 +61,11 @@ def dense_topk(chunks: DataFrame, queries: DataFrame, k: int, *, chunk_key: str
     if width.w * width.n * 8 > limit:
         scored = dense_scores(chunks, queries, chunk_key, vector).select("query_id", chunk_key, F.round("dense", digits).alias("score"))
         return ranked(scored, "score", chunk_key, limit=k).drop("rank")
-    rows = asked.where(F.size("vectors") > 0).collect()
-    starts = np.cumsum([0, *(len(r.vectors) for r in rows[:-1])])
-    sent = chunks.sparkSession.sparkContext.broadcast(np.array([v for r in rows for v in r.vectors], float))
-    ids = pa.array([r.query_id for r in rows], to_arrow_type(asked.schema["query_id"].dataType))
+    rows = asked.where(F.size("vectors") > 0).toArrow()  # within the limit
+    variants = rows.column("vectors").combine_chunks()
+    starts = variants.offsets.to_numpy()[:-1] - variants.offsets[0].as_py()
+    sent = chunks.sparkSession.sparkContext.broadcast(variants.flatten().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width.w))
+    ids = rows.column("query_id").combine_chunks()
     wanted = chunks.where(F.size(vector) == width.w).select(chunk_key, vector)
     kinds = {f.name: f.dataType.simpleString() for f in (*wanted.schema.fields, *asked.schema.fields)}
 
@@ -102,12 +102,6 @@ def lexical_scores(chunks: DataFrame, queries: DataFrame, chunk_key: str = "chun
     return hits.select("query_id", chunk_key, (F.col("hits") / F.col("n")).alias("overlap"))
 
 
-def max_normalized(score: Column, *by: str) -> Column:
-    """A score divided by its greatest value within ``by``, where that is positive."""
-    most = F.max(score).over(W.partitionBy(*by))
-    return F.when(most > 0, score / most).otherwise(score)
-
-
 def modes_of(text: Column, phrases: Mapping[str, Sequence[str]] = V.MODE_PHRASES) -> Column:
     """The sorted modes that a text's phrases hint at."""
     plain = normalized(text)

@@ -81,22 +81,6 @@ def mode_coverage(scores: DataFrame, *, modes: Sequence[str], each: int, cap: in
     return reduce(DataFrame.unionByName, taken)
 
 
-def coverage(ranked: DataFrame, passes: list[tuple[str, Column, Column]], *, each: int, by: str = "query_id", key: str = "chunk_id") -> DataFrame:
-    """Rows that coverage passes take without regard to the cap.
-
-    A pass is (name, score, condition); it takes the ``each`` best rows that no earlier pass has taken
-    and whose score is positive. The passes are few and unrolled, each an anti-join of the ones before.
-    """
-    taken: list[DataFrame] = []
-    for i, (name, score, condition) in enumerate(passes):
-        rows = ranked.withColumn("_score", score).where(condition & (F.col("_score") > 0))
-        if taken:
-            rows = rows.join(reduce(DataFrame.unionByName, taken).select(by, key), [by, key], "left_anti")
-        best = rows.withColumn("_n", F.row_number().over(W.partitionBy(by).orderBy(F.desc("_score"), "rank"))).where(F.col("_n") <= max(1, each))
-        taken.append(best.select(by, key, "rank", F.lit(name).alias("taken_for"), F.col("_score").alias("pass_score"), (F.lit(i * 1_000_000) + F.col("_n")).alias("taken_order")))
-    return reduce(DataFrame.unionByName, taken)
-
-
 def candidates(rows: DataFrame, k: int, *, cap: int, pool: int, scores: Sequence[Column] = (), modes: Sequence[str] = (), by: str = "query_id", source: str = "source", key: str = "chunk_id", score: str = "score", late: str = "late", held: str = "modes", matched: str = "matched") -> DataFrame:
     """The rows that ``selected`` can take, even if the scores of the ``pool`` best rows of a query still change.
 
