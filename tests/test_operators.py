@@ -64,12 +64,6 @@ def test_packing_equals_the_fold(spark):
     assert {q: [r.packed_text for r in rows if r.query_id == q] for q in cases} == {q: pack_fold(t, 300, settings) for q, t in cases.items()}
 
 
-def test_coverage_passes_take_the_best_of_what_is_left(spark):
-    df = spark.createDataFrame([(1, i, f"c{i}", 1.0 - i / 10, i % 2) for i in range(1, 8)], "query_id int, rank int, chunk_id string, score double, odd int")
-    got = selection.coverage(df, [("odd", F.col("score"), F.col("odd") == 1), ("any", F.col("score"), F.lit(True))], each=2)
-    assert [(r.chunk_id, r.taken_for) for r in got.orderBy("taken_order").collect()] == [("c1", "odd"), ("c3", "odd"), ("c2", "any"), ("c4", "any")]
-
-
 def test_a_chunk_of_two_modes_is_taken_once(spark):
     rows = [(1, "a", "s1", 0.9, ["m1", "m2"]), (1, "b", "s1", 0.8, ["m2"]), (1, "c", "s1", 0.7, ["m2"]), (1, "d", "s2", 0.6, ["m2"])]
     df = spark.createDataFrame(rows, "query_id int, chunk_id string, source string, score double, modes array<string>")
