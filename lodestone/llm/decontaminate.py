@@ -17,7 +17,6 @@ documents are judged each; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa

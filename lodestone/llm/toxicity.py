@@ -8,7 +8,7 @@ with the label. A threshold is set per language, the language being guessed from
 function words, and shifted to 0.5, so a score of 0.5 or more predicts the label.
 
 Four fifths of the labelled rows, by hash of their ids, may teach, but at most ``max_rows`` rows and ``max_bytes`` bytes of whole texts
-do. Every row's logit is computed once and written with what the caller carries. The logits of all other labelled rows set the thresholds: they are counted in
+do. Every row's logit is computed and written. The logits of all other labelled rows set the thresholds: they are counted in
 a histogram of fixed size, and a language's threshold is drawn to the common one the more the fewer toxic rows it has. Labels, language, source and ids are never
 inputs of a score.
 
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import as_bytes, map_columns, table, words_of, written
+from lodestone.llm.common import as_bytes, dropped, map_columns, table, words_of, written
 
 BUCKETS, WIDTH, FILTERS, SPANS = 1 << 18, 8, 8, (1, 2, 3)
 #: Bytes of the beginnings of a word that are hashed beside it, and buckets per word.
@@ -321,10 +321,14 @@ def fitted(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: s
 LOGIT = T.StructType([T.StructField("logit", T.DoubleType(), False), T.StructField("language", T.IntegerType(), False)])
 
 
-def scored(df: DataFrame, carry: list[Column], key: str, text: str, fit: Fit) -> DataFrame:
-    """The columns ``carry`` (as c0, c1, ...) with the score of each row's whole text; logits are computed once and written."""
-    n = len(carry)
-    names = [f"c{i}" for i in range(n)]
+def scored(df: DataFrame, carry: list[Column], key: str, text: str, fit: Fit, *, twice: bool = False) -> DataFrame:
+    """The columns ``carry`` (as c0, c1, ...) with the score of each row's whole text.
+
+    What is carried is written beside the logits. With ``twice`` it is not, as whole rows would be a copy of the table: logits for the thresholds
+    are then written alone, and texts are read and scored once more.
+    """
+    n = 0 if twice else len(carry)
+    names = [f"c{i}" for i in range(len(carry))]
     if fit.model.constant is not None:
         return df.select(*[c.alias(name) for c, name in zip(carry, names, strict=True)], F.lit(fit.model.constant).alias("score"))
     sent = df.sparkSession.sparkContext.broadcast(fit.model)
@@ -339,13 +343,16 @@ def scored(df: DataFrame, carry: list[Column], key: str, text: str, fit: Fit) ->
 
         return fn
 
-    out = written(map_columns(df, [*carry, F.col(key)], [F.col(text)], make, LOGIT), "logits")
+    out = written(map_columns(df, [*carry[:n], F.col(key)], [F.col(text)], make, LOGIT), "logits")
     judged = out.select(F.col(f"c{n}").alias("k"), "logit", "language").join(fit.judges, "k")
     step = F.greatest(F.lit(0), F.least(F.lit(SHAPE[2] - 1), F.floor((F.col("logit") + BOUND) * STEPS)))
     counts = np.zeros(SHAPE, np.int64)
     for r in judged.groupBy("language", "y", step.cast("int").alias("step")).count().collect():  # at most as many rows as the histogram has counts
         counts[r.language, r.y, r.step] = r["count"]
     set_thresholds(fit.model, counts)
+    if twice:
+        dropped(out)
+        out = map_columns(df, carry, [F.col(text)], make, LOGIT)
     threshold = F.element_at(F.array(*[F.lit(float(x)) for x in fit.model.thresholds]), F.col("language") + 1)
     return out.select(*names, (1 / (1 + F.exp(threshold - F.col("logit")))).alias("score"))
 
