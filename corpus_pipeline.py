@@ -1,8 +1,8 @@
 """The corpus pipeline: filters and edits documents, then packs them for training.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the columns
-of ``documents``. ``run`` writes each stage's result as Parquet in the shared folder and
-reads it again as the next one's documents.
+of ``documents``. ``run`` writes each stage's result as Parquet in the shared folder, reads it
+again as the next one's documents and deletes it when that one is written.
 
 Defined cases: null texts pass the filters as texts without words; null doc_ids are ordered last;
 empty tables give empty results; further columns pass through all stages but the last.
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import decontaminate, line_dedup, packing, simhash, toxicity
-from lodestone.llm.common import table, written
+from lodestone.llm.common import dropped, table, written
 
 
 def _row(docs: DataFrame):
@@ -24,7 +24,7 @@ def _row(docs: DataFrame):
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on the labels outside the held-out fold, does not reject."""
     fit = toxicity.fitted(docs, table(spark, sf_dir, "labels"))
-    return toxicity.scored(docs, [_row(docs)], "doc_id", "text", fit).where("score < 0.5").select("c0.*")
+    return toxicity.scored(docs, [_row(docs)], "doc_id", "text", fit, twice=True).where("score < 0.5").select("c0.*")
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,7 +69,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            dropped(before)
+        before = docs
     return docs
