@@ -10,7 +10,7 @@ token space. Within a cell length, positional and bitmap filters leave few pairs
 Equal sets are one entry per task, and one per token after the shuffle.
 
 Of each token a line gets the ``FEW`` likeliest earlier lines. If it had more, and the words then clear it of all that it got, it is searched
-again, with whole token sets, among all lines that share a token, so no pair is lost. In large groups the earliest lines lead: lines near to a leader
+again among all lines that share a token and gets all of them that may be similar, so no pair is lost. In large groups the earliest lines lead: lines near to a leader
 are settled with it and the rest goes on among themselves, so a large group of similar lines takes linear work. Words so frequent
 that more than ``HOT`` lines may share one are dealt to a grid of cells, each with two parts of their lines.
 
@@ -196,15 +196,14 @@ def _needed(n: np.ndarray, m: np.ndarray, threshold: float) -> np.ndarray:
     return np.ceil((n + m) * (threshold / (1 + threshold)) - 1e-9)
 
 
-def entries(piece: Piece, levels: np.ndarray, threshold: float, *, sets: bool = False, only: np.ndarray | None = None) -> tuple[dict[str, np.ndarray], np.ndarray]:
+def entries(piece: Piece, levels: np.ndarray, threshold: float, *, only: np.ndarray | None = None) -> tuple[dict[str, np.ndarray], np.ndarray]:
     """Prefix entries of a piece's lines, and the (key, twin, line) of lines that equal an earlier one of the piece.
 
-    With ``sets`` each entry has all tokens of its line; with ``only`` there are entries of the tokens in that table alone.
+    With ``only`` there are entries of the tokens in that table alone.
     """
     token, of = piece.tokens(levels)
     if not len(token):
-        none = {name: np.zeros(0, kind) for name, kind in _FIELDS.items()}
-        return none | ({"set": np.zeros(0, object)} if sets else {}), np.zeros((0, 3), np.int64)
+        return {name: np.zeros(0, kind) for name, kind in _FIELDS.items()}, np.zeros((0, 3), np.int64)
     start = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
     n = np.diff(np.r_[start, len(of)])
     mixed = _mixed(token + np.uint64(1))
@@ -231,17 +230,15 @@ def entries(piece: Piece, levels: np.ndarray, threshold: float, *, sets: bool =
     line = of[keep]
     values = {"token": token[keep], "key": piece.key[line], "twin": piece.twin[line], "line": piece.line[line], "n": n[line], "pos": pos[keep], "sig": sig[line], "b1": b1[line], "b2": b2[line]}
     columns = {name: values[name].astype(kind) for name, kind in _FIELDS.items()}
-    if sets:
-        columns["set"] = np.fromiter((token[start[i] : start[i] + n[i]].astype("<u8").tobytes() for i in line.tolist()), object, len(line))
     return columns, np.column_stack([piece.key[gone], piece.twin[gone], piece.line[gone]])
 
 
 def _packed(columns: dict[str, np.ndarray]) -> bytes:
     raw = b"".join(columns[name].astype(kind).tobytes() for name, kind in _FIELDS.items())
-    return zstandard.ZstdCompressor(level=1).compress(len(columns["token"]).to_bytes(8, "little") + raw + b"".join(columns.get("set", ())))
+    return zstandard.ZstdCompressor(level=1).compress(len(columns["token"]).to_bytes(8, "little") + raw)
 
 
-def _unpacked(blocks: list[bytes], sets: bool = False) -> dict[str, np.ndarray]:
+def _unpacked(blocks: list[bytes]) -> dict[str, np.ndarray]:
     parts = []
     for block in blocks:
         raw, at, part = zstandard.ZstdDecompressor().decompress(block), 8, {}
@@ -249,12 +246,8 @@ def _unpacked(blocks: list[bytes], sets: bool = False) -> dict[str, np.ndarray]:
         for name, kind in _FIELDS.items():
             part[name] = np.frombuffer(raw, kind, n, at)
             at += n * np.dtype(kind).itemsize
-        if sets:
-            ends = np.cumsum(part["n"].astype(np.int64))
-            part["set"] = np.fromiter((np.frombuffer(raw, "<u8", m, at + 8 * (e - m)) for e, m in zip(ends.tolist(), part["n"].tolist(), strict=True)), object, n)
         parts.append(part)
-    kinds = _FIELDS | ({"set": object} if sets else {})
-    return {name: np.concatenate([p[name] for p in parts]) if parts else np.zeros(0, kind) for name, kind in kinds.items()}
+    return {name: np.concatenate([p[name] for p in parts]) if parts else np.zeros(0, kind) for name, kind in _FIELDS.items()}
 
 
 def _dealt(columns: dict[str, np.ndarray], cells: int, hot: int) -> Iterator[tuple[int, bytes]]:
@@ -279,7 +272,7 @@ def _dealt(columns: dict[str, np.ndarray], cells: int, hot: int) -> Iterator[tup
             yield int(at_[some[0]]), _packed({name: c[row[some]] for name, c in columns.items()})
 
 
-def _blocks(docs: DataFrame, levels, cells: int, threshold: float, hot: int, *, probe: bool = False, sets: bool = False, only=None) -> DataFrame:
+def _blocks(docs: DataFrame, levels, cells: int, threshold: float, hot: int, *, probe: bool = False, only=None) -> DataFrame:
     """Rows (kind, cell, block): entries (kind 0, or 1 for probes) and lines gone already (kind 2)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,13 +288,13 @@ def _blocks(docs: DataFrame, levels, cells: int, threshold: float, hot: int, *,
 
         for batch in batches:
             for piece in _pieces(batch, powers):
-                found, gone = entries(piece, levels.value, threshold, sets=sets, only=only and only.value)
-                if len(gone) and not sets:
+                found, gone = entries(piece, levels.value, threshold, only=only and only.value)
+                if len(gone) and not only:  # else they are known
                     yield rows([(2, -1 - int(piece.key[0] % 997), gone.astype("<i8").tobytes())])
                 if len(found["token"]):
                     gathered.append(found)
                     held += len(found["token"])
-                if held >= (GATHER // 20 if sets else GATHER):
+                if held >= GATHER:
                     yield sent()
                     held = 0
         if gathered:
@@ -482,23 +475,22 @@ def joined(x: dict[str, np.ndarray], threshold: float, few: int, parted: int = 2
 
 
 def _probed(x: dict[str, np.ndarray], probe: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of each probe and of the earliest entry of its token whose set of tokens is similar enough."""
+    """Rows of probes and of all earlier entries of their tokens that may be similar."""
     place = _order_of(x)
-    plain = np.flatnonzero(~probe)
+    plain, asked = np.flatnonzero(~probe), np.flatnonzero(probe)
     plain = plain[np.lexsort((place[plain], x["token"][plain]))]
-    tokens = x["token"][plain]
+    tokens, places = x["token"][plain], place[plain]
+    low, high = (np.searchsorted(tokens, x["token"][asked], side) for side in ("left", "right"))
+    size = np.array([np.searchsorted(places[a:b], place[i], "left") for i, a, b in zip(asked.tolist(), low.tolist(), high.tolist(), strict=True)], np.int64)
     s = {c: x[c].astype(np.int64) if c in ("n", "pos") else x[c] for c in ("n", "pos", "b1", "b2")}
-    later, earlier = [], []
-    for i in np.flatnonzero(probe).tolist():
-        b = plain[np.searchsorted(tokens, x["token"][i], "left") : np.searchsorted(tokens, x["token"][i], "right")]
-        b = b[: np.searchsorted(place[b], place[i], "left")]
-        on, _ = _distance(s, np.full(len(b), i), b, threshold)
-        for j in b[on].tolist():
-            if len(np.intersect1d(x["set"][i], x["set"][j], assume_unique=True)) >= _needed(s["n"][i], s["n"][j], threshold):
-                later.append(i)
-                earlier.append(j)
-                break
-    return np.array(later, np.int64), np.array(earlier, np.int64)
+    found = [(np.zeros(0, np.int64),) * 2]
+    for of, at in _ranges(low, size, _PAIRS):
+        i, j = asked[of], plain[at]
+        near = np.minimum(s["n"][i], s["n"][j]) >= threshold * np.maximum(s["n"][i], s["n"][j]) - 1e-9
+        i, j = i[near], j[near]
+        on, _ = _distance(s, i, j, threshold)
+        found.append((i[on], j[on]))
+    return tuple(map(np.concatenate, zip(*found, strict=True)))
 
 
 def _matched(blocks: DataFrame, threshold: float, few: int, *, probing: bool = False) -> DataFrame:
@@ -525,7 +517,7 @@ def _matched(blocks: DataFrame, threshold: float, few: int, *, probing: bool = F
         place = lambda x, i: np.column_stack([x["key"][i], x["twin"][i], x["line"][i].astype(np.int64)])
         plain, probes = ([r for k, r in blocks_ if k == want] for want in (0, 1))
         if probes:
-            parts = [_unpacked(plain, True), _unpacked(probes, True)]
+            parts = [_unpacked(plain), _unpacked(probes)]
             x = {name: np.concatenate([p[name] for p in parts]) for name in parts[0]}
             probe = np.arange(len(x["key"])) >= len(parts[0]["key"])
             a, b = _probed(x, probe, threshold)
@@ -656,7 +648,7 @@ def removed_lines(df: DataFrame, order: Column, twin: Column, text: str, *, thre
     many = missed.count()
     if many:  # their words cleared them of all lines that they were given: search all lines again that share a token
         only = spark.sparkContext.broadcast(_prefix_marks(missed, sent, many, threshold))
-        blocks = [_blocks(x, sent, cells, threshold, hot, probe=probe, sets=True, only=only) for x, probe in ((missed, True), (docs, False))]
+        blocks = [_blocks(x, sent, cells, threshold, hot, probe=probe, only=only) for x, probe in ((missed, True), (docs, False))]
         again = written(_matched(blocks[0].union(blocks[1]).repartition(tasks, "cell"), threshold, few, probing=True).drop("kind").distinct(), "again")
         gone = gone.union(_verified(again, _texts(docs, again), threshold))
     return gone.groupBy("key", "twin").agg(F.array_sort(F.collect_set("line")).alias("removed"))
