@@ -40,6 +40,8 @@ COUNTERS, SLICE = 1 << 20, 1 << 12
 FEW, HOT, MOST_PARTS = 4, 1 << 16, 512
 #: Bytes of text worked on at a time, entries that a task gathers before it sends them, entries in a cell and in a task.
 PIECE, GATHER, CELL, TASK = 1 << 16, 100_000, 150_000, 2_000_000
+#: Lines to search again of so many bytes at most are sent to all tasks; more meet the others in a shuffle.
+SENT_BYTES = 4 << 20
 #: Null keys are ordered after all others.
 LAST = (1 << 63) - 1
 
@@ -104,6 +106,13 @@ class Piece:
         doc = np.searchsorted(starts, begins, "right") - 1
         passed = np.searchsorted(feeds, begins) - np.searchsorted(feeds, starts)[doc]
         self.key, self.twin, self.line = keys[doc], twins[doc], passed + lines[doc]
+        self.raw, self.begins, self.stops = raw, begins, (starts, feeds)
+
+    def text(self, i: int) -> bytes:
+        """The bytes of a line with words, given by its number among those."""
+        begin, (starts, feeds) = int(self.begins[i]), self.stops
+        after = [int(x[k]) for x, k in ((feeds, np.searchsorted(feeds, begin)), (starts, np.searchsorted(starts, begin, "right"))) if k < len(x)]
+        return self.raw[begin : min([len(self.raw), *after])].tobytes()
 
     def tokens(self, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sorted distinct tokens of each line, and the line of each."""
@@ -115,13 +124,18 @@ class Piece:
         return both & np.uint64((1 << _TOKEN_BITS) - 1), (both >> np.uint64(_TOKEN_BITS)).view(np.int64)
 
 
+def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where each text begins and ends in the bytes of all."""
+    column = texts.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    return offsets, np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] else np.zeros(0, np.uint8)
+
+
 def _pieces(batch: pa.RecordBatch, powers: _Powers) -> Iterator[Piece]:
     """A batch of (key, twin, text, first line number) in pieces of about ``PIECE`` bytes; a longer text is cut at line feeds."""
-    column = batch.column(2).cast(pa.large_binary())
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-    raw = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] else np.zeros(0, np.uint8)
+    offsets, raw = _bytes_of(batch.column(2))
     keys, twins, firsts = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (0, 1, 3))
-    i, n = 0, len(column)
+    i, n = 0, len(offsets) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + PIECE, "right")) - 1)
         low, high = int(offsets[i]), int(offsets[j])
@@ -196,14 +210,14 @@ def _needed(n: np.ndarray, m: np.ndarray, threshold: float) -> np.ndarray:
     return np.ceil((n + m) * (threshold / (1 + threshold)) - 1e-9)
 
 
-def entries(piece: Piece, levels: np.ndarray, threshold: float, *, only: np.ndarray | None = None) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """Prefix entries of a piece's lines, and the (key, twin, line) of lines that equal an earlier one of the piece.
+def entries(piece: Piece, levels: np.ndarray, threshold: float, *, only: np.ndarray | None = None) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """Prefix entries of a piece's lines, the (key, twin, line) of lines that equal an earlier one of the piece, and each entry's line.
 
     With ``only`` there are entries of the tokens in that table alone.
     """
     token, of = piece.tokens(levels)
     if not len(token):
-        return {name: np.zeros(0, kind) for name, kind in _FIELDS.items()}, np.zeros((0, 3), np.int64)
+        return {name: np.zeros(0, kind) for name, kind in _FIELDS.items()}, np.zeros((0, 3), np.int64), np.zeros(0, np.int64)
     start = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
     n = np.diff(np.r_[start, len(of)])
     mixed = _mixed(token + np.uint64(1))
@@ -230,7 +244,7 @@ def entries(piece: Piece, levels: np.ndarray, threshold: float, *, only: np.ndar
     line = of[keep]
     values = {"token": token[keep], "key": piece.key[line], "twin": piece.twin[line], "line": piece.line[line], "n": n[line], "pos": pos[keep], "sig": sig[line], "b1": b1[line], "b2": b2[line]}
     columns = {name: values[name].astype(kind) for name, kind in _FIELDS.items()}
-    return columns, np.column_stack([piece.key[gone], piece.twin[gone], piece.line[gone]])
+    return columns, np.column_stack([piece.key[gone], piece.twin[gone], piece.line[gone]]), line
 
 
 def _packed(columns: dict[str, np.ndarray]) -> bytes:
@@ -288,7 +302,7 @@ def _blocks(docs: DataFrame, levels, cells: int, threshold: float, hot: int, *,
 
         for batch in batches:
             for piece in _pieces(batch, powers):
-                found, gone = entries(piece, levels.value, threshold, only=only and only.value)
+                found, gone, _ = entries(piece, levels.value, threshold, only=only and only.value)
                 if len(gone) and not only:  # else they are known
                     yield rows([(2, -1 - int(piece.key[0] % 997), gone.astype("<i8").tobytes())])
                 if len(found["token"]):
@@ -593,17 +607,20 @@ def _texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, twins = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
-            rows, lines, texts = [], [], []
-            for i, data in enumerate(as_bytes(batch.column(2))):
-                numbers = np.arange(data.count(b"\n") + 1)
-                found = np.flatnonzero(_marked(sent.value, _place_hash(np.full(len(numbers), keys[i]), np.full(len(numbers), twins[i]), numbers)))
-                if len(found):
-                    parts = data.split(b"\n")
-                    rows += [i] * len(found)
-                    lines += found.tolist()
-                    texts += [parts[j] for j in found.tolist()]
-            take = np.array(rows, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[take]), pa.array(twins[take]), pa.array(lines, pa.int32()), pa.array(texts, pa.binary())], names=[*_PLACE, "text"])
+            offsets, raw = _bytes_of(batch.column(2))
+            low, n = int(offsets[0]), len(offsets) - 1
+            feeds = np.flatnonzero(raw[low : int(offsets[-1])] == 10) + low
+            of = np.searchsorted(offsets, feeds, "right") - 1
+            # the first line of each text, then those after a line feed
+            doc = np.r_[np.arange(n), of]
+            number = np.r_[np.zeros(n, np.int64), np.arange(len(feeds)) - np.searchsorted(feeds, offsets[of]) + 1]
+            begin = np.r_[offsets[:-1], feeds + 1]
+            take = np.flatnonzero(_marked(sent.value, _place_hash(keys[doc], twins[doc], number)))
+            doc, number, begin = doc[take], number[take], begin[take]
+            after = np.searchsorted(feeds, begin)
+            end = np.minimum(offsets[doc + 1], np.r_[feeds, offsets[-1]][after])
+            texts = [raw[a:b].tobytes() for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys[doc]), pa.array(twins[doc]), pa.array(number, pa.int32()), pa.array(texts, pa.binary())], names=[*_PLACE, "text"])
 
     return written(docs.select("key", "twin", "text").mapInArrow(run, "key long, twin long, line int, text binary").dropDuplicates(_PLACE), "texts")
 
@@ -628,7 +645,7 @@ def _identity(df: DataFrame, key: str, text: str) -> tuple[Column, Column]:
     return order, F.coalesce(F.xxhash64(F.col(text)), F.lit(0)) if repeated else F.lit(0).cast("long")
 
 
-def removed_lines(df: DataFrame, order: Column, twin: Column, text: str, *, threshold: float = THRESHOLD, few: int = FEW, hot: int = HOT) -> DataFrame:
+def removed_lines(df: DataFrame, order: Column, twin: Column, text: str, *, threshold: float = THRESHOLD, few: int = FEW, hot: int = HOT, sent_bytes: int = SENT_BYTES) -> DataFrame:
     """Rows (key, twin, removed): the sorted numbers, from 0, of the lines to remove, where there are any."""
     spark = df.sparkSession
     modest_batches(spark)
@@ -645,8 +662,11 @@ def removed_lines(df: DataFrame, order: Column, twin: Column, text: str, *, thre
     gone = found.where(f"kind = {GONE}").select(*_PLACE).union(alike)
     missed = found.where(f"kind = {CUT_PAIR}").select(*_PLACE).distinct().join(alike, _PLACE, "left_anti")
     missed = written(missed.join(texts, _PLACE).select("key", "twin", F.col("text").cast("string").alias("text"), F.col("line").alias("first")), "missed")
-    many = missed.count()
-    if many:  # their words cleared them of all lines that they were given: search all lines again that share a token
+    facts = missed.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    many = facts.n
+    if many and facts.bytes <= sent_bytes:  # their words cleared them of all lines that they were given: all lines meet them where they lie
+        gone = gone.union(written(_met_again(docs, missed, sent, threshold), "again"))
+    elif many:  # or search all lines again that share a token
         only = spark.sparkContext.broadcast(_prefix_marks(missed, sent, many, threshold))
         blocks = [_blocks(x, sent, cells, threshold, hot, probe=probe, only=only) for x, probe in ((missed, True), (docs, False))]
         again = written(_matched(blocks[0].union(blocks[1]).repartition(tasks, "cell"), threshold, few, probing=True).drop("kind").distinct(), "again")
@@ -654,6 +674,49 @@ def removed_lines(df: DataFrame, order: Column, twin: Column, text: str, *, thre
     return gone.groupBy("key", "twin").agg(F.array_sort(F.collect_set("line")).alias("removed"))
 
 
+def _met_again(docs: DataFrame, missed: DataFrame, levels, threshold: float) -> DataFrame:
+    """Places of those of the few ``missed`` lines that some earlier line is similar to; they are sent to all tasks."""
+    batches = missed.toArrow().combine_chunks().to_batches()
+    pieces = [p for batch in batches for p in _pieces(batch, _Powers())]
+    probes, texts = {name: [] for name in _FIELDS} | {"text": []}, []
+    for piece in pieces:
+        found, _, line = entries(piece, levels.value, threshold)
+        for name in _FIELDS:
+            probes[name].append(found[name])
+        probes["text"].append(len(texts) + line)
+        texts += [piece.text(i) for i in range(len(piece.key))]
+    asked = {name: np.concatenate(columns) for name, columns in probes.items()}
+    order = np.argsort(asked["token"], kind="stable")
+    asked = {name: c[order] for name, c in asked.items()}
+    marks = np.zeros(_LEAST_BITS, bool)
+    marks[(asked["token"] & np.uint64(_LEAST_BITS - 1)).view(np.int64)] = True
+    sent = docs.sparkSession.sparkContext.broadcast((asked, texts, np.packbits(marks, bitorder="little").view(np.uint32)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, texts, marks = sent.value
+        powers, done = _Powers(), set()
+        n = len(asked["token"])
+        for batch in batches:
+            for piece in _pieces(batch, powers):
+                x, _, line = entries(piece, levels.value, threshold, only=marks)
+                both = {c: np.concatenate([asked[c], x[c]]) for c in _FIELDS}
+                place = _order_of(both)
+                s = {c: both[c].astype(np.int64) if c in ("n", "pos") else both[c] for c in ("n", "pos", "b1", "b2")}
+                low, high = (np.searchsorted(asked["token"], x["token"], side) for side in ("left", "right"))
+                for of, i in _ranges(low, high - low, _PAIRS):
+                    j = of + n
+                    on = (place[j] < place[i]) & (np.minimum(s["n"][i], s["n"][j]) >= threshold * np.maximum(s["n"][i], s["n"][j]) - 1e-9)
+                    of, i, j = of[on], i[on], j[on]
+                    near, _ = _distance(s, i, j, threshold)
+                    for a, b in np.unique(np.column_stack([i[near], line[of[near]]]), axis=0).tolist():
+                        at = tuple(int(asked[c][a]) for c in _PLACE)
+                        if at not in done and similar(texts[asked["text"][a]], piece.text(b), threshold):
+                            done.add(at)
+        yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in done], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int32()))], names=_PLACE)
+
+    return docs.mapInArrow(run, "key long, twin long, line int").distinct()
+
+
 def _prefix_marks(lines: DataFrame, levels, count: int, threshold: float) -> np.ndarray:
     """The table of marks of the lines' prefix tokens."""
 
@@ -664,13 +727,13 @@ def _prefix_marks(lines: DataFrame, levels, count: int, threshold: float) -> np.
     return _marks(lines, 16 * count, hashes)
 
 
-def deduplicated(df: DataFrame, key: str, text: str, *, threshold: float = THRESHOLD, few: int = FEW, hot: int = HOT, changed: str | None = None) -> DataFrame:
+def deduplicated(df: DataFrame, key: str, text: str, *, threshold: float = THRESHOLD, few: int = FEW, hot: int = HOT, sent_bytes: int = SENT_BYTES, changed: str | None = None) -> DataFrame:
     """The rows and columns of ``df`` with removed lines cut out of ``text``.
 
     With ``changed`` a column of that name tells whether a row has lost a line.
     """
     order, twin = _identity(df, key, text)
-    gone = written(removed_lines(df, order, twin, text, threshold=threshold, few=few, hot=hot), "removed")
+    gone = written(removed_lines(df, order, twin, text, threshold=threshold, few=few, hot=hot, sent_bytes=sent_bytes), "removed")
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), order.alias("key"), twin.alias("twin"))
     cut = F.array_join(F.filter(F.split(F.col("row")[text], "\n"), lambda x, i: ~F.array_contains("removed", i)), "\n")
     joined_ = rows.join(gone, ["key", "twin"], "left")
