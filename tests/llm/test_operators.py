@@ -116,7 +116,7 @@ def plain_fingerprint(text):
 
 
 def test_fingerprints_of_odd_texts():
-    for text in [*ODD[1:6], "A b C d", "a b c d e f g a b c d", "É b\x0bc\x1cd e"]:
+    for text in [*ODD[1:], "A b C d", "a b c d e f g a b c d", "É b\x0bc\x1cd e"]:
         assert simhash.fingerprint((text or "").encode()) == plain_fingerprint(text)
 
 
@@ -282,8 +282,9 @@ def test_removed_lines_equal_brute_force(spark):
     df = spark.createDataFrame([(i, t, n, 1) for n, (i, t) in enumerate(rows)], "doc_id long, text string, key int, removed int")
     gone = line_dedup.brute_force(rows)
     expected = [None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in g) for (_, t), g in zip(rows, gone, strict=True)]
-    for few, hot in ((4, 10**6), (1, 3)):  # the second searches again and deals hot tokens to a grid
-        out = line_dedup.deduplicated(df, "doc_id", "text", few=few, hot=hot)
+    # the others search again, where lines lie or in a shuffle, and deal hot tokens to a grid
+    for few, hot, sent in ((4, 10**6, 4 << 20), (1, 3, 4 << 20), (1, 3, 0)):
+        out = line_dedup.deduplicated(df, "doc_id", "text", few=few, hot=hot, sent_bytes=sent)
         assert out.columns == df.columns
         assert [r.text for r in out.orderBy("key").collect()] == expected
 
@@ -305,8 +306,8 @@ def test_lines_that_differ_by_an_inner_word_go(spark):
         texts.append(" ".join(line) + "\n" + " ".join(line[:-1]))
     expected = plain(texts)
     assert {(1, 0), (3, 0), (6, 0)} <= expected and not expected & {(0, 0), (2, 0), (4, 0), (5, 0), (7, 0)}
-    for few in (4, 1):
-        rows = line_dedup.removed_lines(documents(spark, *texts), F.col("doc_id"), F.lit(0).cast("long"), "text", few=few).collect()
+    for few, sent in ((4, 4 << 20), (1, 4 << 20), (1, 0)):
+        rows = line_dedup.removed_lines(documents(spark, *texts), F.col("doc_id"), F.lit(0).cast("long"), "text", few=few, sent_bytes=sent).collect()
         assert {(r.key, n) for r in rows for n in r.removed} == expected
 
 
@@ -388,11 +389,13 @@ def test_spans_equal_ordinary_searches(text):
 
 
 def test_secret_rows(spark):
-    texts = [*ODD[:6], "é token=abcdef1 ghp_" + "a" * 36, "-----BEGIN RSA PRIVATE KEY-----"]
+    texts = [*ODD, "é token=abcdef1 ghp_" + "a" * 36, "-----BEGIN RSA PRIVATE KEY-----", "0" * 30_000 + " AKIA" + "B" * 40_000]
     rows = secrets.secret_scan(documents(spark, *texts), "doc_id", "text").orderBy("doc_id").collect()
-    assert [r.spans for r in rows[:6]] == [[]] * 6
-    assert [tuple(s) for s in rows[6].spans] == [("assign", 2, 15), ("github", 16, 56), ("hex", 20, 56)]
-    assert [s.kind for s in rows[7].spans] == ["pem"]
+    assert [r.spans for r in rows[:8]] == [[]] * 8
+    assert [tuple(s) for s in rows[8].spans] == [("assign", 2, 15), ("github", 16, 56), ("hex", 20, 56)]
+    assert [s.kind for s in rows[9].spans] == ["pem"]
+    assert [tuple(s) for s in rows[10].spans] == [("hex", 0, 30_000), ("access", 30_001, 70_005)]
+    assert secrets.secret_scan(spark.createDataFrame([], DOCS), "doc_id", "text").count() == 0
 
 
 # --- 9 WARC ----------------------------------------------------------------------------------------------------------
@@ -512,6 +515,8 @@ def test_thresholds_come_from_rows_that_do_not_teach(spark):
     fit.model.thresholds[:] = 99
     got = toxicity.scored(df, [F.col("doc_id")], "doc_id", "text", fit).collect()
     assert all((r.score >= 0.5) == (r.c0 % 3 == 0) for r in got)
+    again = toxicity.scored(df, [F.col("doc_id"), F.col("text")], "doc_id", "text", fit, twice=True).collect()
+    assert {(r.c0, r.score) for r in again} == {(r.c0, r.score) for r in got}
     small = toxicity.fitted(df, labels, max_bytes=sum(map(len, texts[:40])))
     assert len(free) - len({r.k for r in small.judges.collect()}) <= 41
 
