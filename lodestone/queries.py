@@ -206,8 +206,12 @@ def hybrid_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = demo.queries(spark, sf_dir).select("query_id", "vectors", F.array_distinct(T.content_tokens("question")).alias("tokens"), scoring.modes_of(F.col("question"), PHRASES).alias("qmodes"))
     # the greatest overlap of a query comes from the inverted index, so no pair is shuffled
     most = scoring.lexical_scores(texted, q).groupBy("query_id").agg(F.max("overlap").alias("most"))
-    rows = scoring.dense_scores(texted, q.join(most, "query_id", "left"), carry=["vocab", "cmodes"], asked=["tokens", "qmodes", "most"])
-    rows = rows.withColumn("overlap", T.overlap_share(F.col("tokens"), F.col("vocab"))).withColumn("lexical", F.when(F.col("most") > 0, F.col("overlap") / F.col("most")).otherwise(F.col("overlap")))
+    # a chunk makes a row for each query: spread the chunks over all tasks, however few files they lie in
+    spread = texted.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "chunk_id")
+    rows = scoring.dense_scores(spread, q.join(most, "query_id", "left"), carry=["vocab", "cmodes"], asked=["tokens", "qmodes", "most"])
+    # both sides are distinct already
+    share = F.when(F.size("tokens") == 0, 0.0).otherwise(F.size(F.array_intersect("tokens", "vocab")) / F.size("tokens"))
+    rows = rows.withColumn("overlap", share).withColumn("lexical", F.when(F.col("most") > 0, F.col("overlap") / F.col("most")).otherwise(F.col("overlap")))
     adjustment = scoring.mode_adjustment(F.col("qmodes"), F.col("cmodes"))
     score = scoring.clipped(scoring.hybrid(F.col("dense"), F.col("lexical")) + adjustment)
     return rows.select("query_id", "chunk_id", F.round("dense", 6).alias("dense"), F.round("lexical", 6).alias("lexical"), F.round(adjustment, 6).alias("adjustment"), F.round(score, 6).alias("score"))
