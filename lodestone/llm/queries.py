@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import decontaminate, licenses, line_dedup, packing, secrets, simhash, token_counts, topk, toxicity, warc
+from lodestone.llm import decontaminate, fill_middle, licenses, line_dedup, packing, secrets, simhash, token_counts, topk, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts.query,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": secrets.query,
     "op9_warc": warc.query,
     "op10_toxicity": toxicity.query,
+    "op11_fill_middle": fill_middle.query,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_topk_search": topk.SQL,
@@ -26,4 +27,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_license_scan": licenses.SQL,
     "op7_line_dedup": line_dedup.SQL,
     "op9_warc": warc.SQL,
+    "op11_fill_middle": fill_middle.SQL,
 }

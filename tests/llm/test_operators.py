@@ -11,7 +11,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lodestone.llm import components, decontaminate, licenses, line_dedup, packing, secrets, simhash, token_counts, topk, toxicity, warc
+from lodestone.llm import components, decontaminate, fill_middle, licenses, line_dedup, packing, secrets, simhash, token_counts, topk, toxicity, warc
 
 SLOW = settings(max_examples=40, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 DOCS = "doc_id long, text string, lang string, c0 int, score string"
@@ -524,3 +524,33 @@ def test_thresholds_come_from_rows_that_do_not_teach(spark):
 def test_held_out_fold(spark):
     got = spark.range(50).select("id", toxicity.held_out("id").alias("h")).collect()
     assert [r.h for r in got] == [zlib.crc32(str(r.id).encode()) % 5 == 0 for r in got]
+
+
+# --- 11 fill-in-middle -----------------------------------------------------------------------------------------------
+def middles(rows):
+    return sorted(((r.c0, r.n, r.form, r.prefix_chars, r.middle_chars, r.output) for r in rows), key=repr)
+
+
+@SLOW
+@given(st.lists(st.text("a\né🙂<PSM>", max_size=30), max_size=12), st.integers(1, 9), st.sampled_from([8, 64]))
+def test_chunks_find_the_cuts_of_lines(texts, chunk, slab):
+    data = [t.encode() for t in texts]
+    chunks = fill_middle.Chunks(np.frombuffer(b"".join(data), np.uint8), np.cumsum([len(d) for d in data], dtype=np.int64), chunk, slab)
+    for i, text in enumerate(texts):
+        units = re.findall(r"[^\n]*\n|[^\n]+", text)
+        assert chunks.total(chunks.units)[i] == len(units) and (chunks.total(chunks.marks)[i] > 0) == bool(re.search("<[PSM]>", text))
+        for rank in range(len(units) + 1):
+            head = "".join(units[:rank])
+            assert chunks.cut(i, rank) == (len(head.encode()), len(head))
+
+
+def test_fill_middle_of_odd_texts(spark):
+    texts = [*ODD, "a <S> b\nc", "<P", "\n", "\r\n\r\n", "tail<\n>S>\n<", "line\n" * 50_000, "ends <S\nmore <M"]
+    ids = [*range(len(texts) - 3), 3, None, 3]
+    df = documents(spark, *texts, ids=ids)
+    for options in ({}, {"rate": 50, "suffix_first": 20, "seed": 3}):
+        got = fill_middle.fill_middle(df, [F.col("doc_id")], F.col("doc_id"), "text", chunk=16, slab=64, **options)
+        assert middles(got.collect()) == sorted(((i, *fill_middle.brute_force(i, t, **options)) for i, t in zip(ids, texts, strict=True)), key=repr)
+    back = got.select(fill_middle.restored(F.col("output"), F.col("form")).alias("text")).collect()
+    assert sorted(r.text for r in back) == sorted(t or "" for t in texts)
+    assert fill_middle.fill_middle(df.limit(0), [F.col("doc_id")], F.col("doc_id"), "text").count() == 0
