@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import decontaminate, fill_middle, licenses, line_dedup, packing, secrets, simhash, token_counts, topk, toxicity, warc
+from lodestone.llm import decontaminate, fill_middle, licenses, line_dedup, merkle, packing, secrets, simhash, substring_dedup, token_counts, topk, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts.query,
@@ -20,6 +20,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc": warc.query,
     "op10_toxicity": toxicity.query,
     "op11_fill_middle": fill_middle.query,
+    "op12_merkle_manifest": merkle.query,
+    "op13_substring_dedup": substring_dedup.query,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_topk_search": topk.SQL,
@@ -28,4 +30,6 @@ ORACLE_SQL: dict[str, str] = {
     "op7_line_dedup": line_dedup.SQL,
     "op9_warc": warc.SQL,
     "op11_fill_middle": fill_middle.SQL,
+    "op12_merkle_manifest": merkle.SQL,
+    "op13_substring_dedup": substring_dedup.SQL,
 }

@@ -11,7 +11,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lodestone.llm import components, decontaminate, fill_middle, licenses, line_dedup, packing, secrets, simhash, token_counts, topk, toxicity, warc
+from lodestone.llm import components, decontaminate, fill_middle, licenses, line_dedup, merkle, packing, secrets, simhash, substring_dedup, token_counts, topk, toxicity, warc
 
 SLOW = settings(max_examples=40, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 DOCS = "doc_id long, text string, lang string, c0 int, score string"
@@ -554,3 +554,150 @@ def test_fill_middle_of_odd_texts(spark):
     back = got.select(fill_middle.restored(F.col("output"), F.col("form")).alias("text")).collect()
     assert sorted(r.text for r in back) == sorted(t or "" for t in texts)
     assert fill_middle.fill_middle(df.limit(0), [F.col("doc_id")], F.col("doc_id"), "text").count() == 0
+
+
+# --- 12 Merkle manifest ----------------------------------------------------------------------------------------------
+MERKLE = "doc_id long, source string, lang string, n_chars long, text string, c0 int, leaf string, tree int"
+
+
+def proved(spark, rows, **options):
+    df = spark.createDataFrame([(*r, 1, "x", 2) for r in rows], MERKLE).repartition(5)
+    changed = merkle.tampered(F.col("doc_id"), F.col("text"))
+    other = merkle.leaf([changed if c == "text" else F.col(c) for c in merkle.FIELDS])
+    made = merkle.manifest(df, "doc_id", "source", merkle.leaf([F.col(c) for c in merkle.FIELDS]), F.when(changed != F.col("text"), other), **options)
+    got = merkle.proofs(made, df.schema["doc_id"].dataType, siblings=True)
+    return made, [(r.key, r.leaf, r.subroot, r.root, r.proof_sha256, r.folded_root, r.folded_root == r.root) for r in got.collect()]
+
+
+def compared(rows, got):
+    expected = merkle.brute_force([dict(zip(merkle.FIELDS, r, strict=True)) for r in rows])
+    assert sorted(got, key=repr) == sorted(expected, key=repr)
+
+
+def test_manifest_of_trees_of_all_depths(spark):
+    sizes = {None: 1, "": 2, "b": 16, "a": 17, "ä": 256, "z": 257, "hot": 4097, "Z": 300}
+    rows = [(10 * i, s, "en" if i % 3 else None, None if i % 7 == 0 else i, f"Text {i}" if i % 11 else None) for s, n in sizes.items() for i in range(n)]
+    made, got = proved(spark, rows, merged=2)
+    compared(rows, got)
+    assert made.n_trees == len(sizes) and made.n_leaves == len(rows)
+    assert 0 < sum(not g[-1] for g in got) < len(got) / 4
+    runs = made.runs.collect()  # only what lies above blocks is kept
+    assert runs and all(r.tree == merkle.TOP or r.level >= merkle.HEIGHT for r in runs)
+
+
+def test_manifest_of_ties_one_group_and_no_rows(spark):
+    rows = [(5, "s", "en", 1, "Same")] * 40 + [(None, "s", None, None, t) for t in ODD] + [(5, "s", "en", 1, "Other")] * 3
+    compared(rows, proved(spark, rows)[1])
+    compared(rows[:1], proved(spark, rows[:1])[1])
+    made, got = proved(spark, [])
+    assert (made.root, got) == (None, [])
+
+
+@SLOW
+@given(st.lists(st.integers(1, 40), min_size=1, max_size=40), st.randoms(use_true_random=False))
+def test_forests_merge_in_any_order(sizes, random_):
+    leaves = [(t, n, 0, i, bytes([t, i])) for t, n in enumerate(sizes) for i in range(n)]
+    whole = merkle.Forest(len(sizes))
+    for x in leaves:
+        whole.add(*x)
+    random_.shuffle(leaves)
+    forests = [merkle.Forest(len(sizes)) for _ in range(4)]
+    for i, x in enumerate(leaves):
+        forests[i % 4].add(*x)
+    while len(forests) > 1:
+        a, b = forests.pop(random_.randrange(len(forests))), forests.pop()
+        for row in b.rows(0).to_pylist():
+            if row["kind"] == 0:
+                a.add(row["tree"], row["leaves"], row["level"], row["index"], row["nodes"][0])
+        a.root = a.root or b.root
+        forests.append(a)
+    assert forests[0].root == whole.root is not None and not forests[0].pending
+
+
+# --- 13 substring dedup ----------------------------------------------------------------------------------------------
+@SLOW
+@given(st.lists(st.lists(st.integers(1, 3), min_size=1, max_size=25), min_size=1, max_size=6), st.lists(st.lists(st.integers(1, 5), max_size=25), max_size=4), st.integers(1, 9))
+def test_matching_statistics(texts, streams, depth):
+    flat = np.array([x for t in texts for x in (*t, 0)], np.int64)
+    index = substring_dedup.FmIndex(flat, 4, depth)
+    streams = streams + texts
+    joined = np.array([x if x < 4 else -1 for s in streams for x in s], np.int64)
+    ends = np.cumsum([len(s) for s in streams])
+    length, first = index.matches(joined, ends - [len(s) for s in streams], ends)
+    stand = {}  # first place of each run of numbers
+    at = 0
+    for t in texts:
+        for i in range(len(t)):
+            for n in range(1, min(depth, len(t) - i) + 1):
+                stand.setdefault(tuple(t[i : i + n]), at + i)
+        at += len(t) + 1
+    at = 0
+    for s in streams:
+        for i in range(len(s)):
+            best = max((n for n in range(1, min(depth, len(s) - i) + 1) if tuple(s[i : i + n]) in stand), default=0)
+            assert length[at + i] == best and first[at + i] == (stand[tuple(s[i : i + depth])] if best == depth else -1)
+        at += len(s)
+
+
+@SLOW
+@given(st.lists(st.integers(0, 4), max_size=60), st.integers(2, 12), st.data())
+def test_stretches_and_ranks(words, window, data):
+    words = [b"%d" % w for w in words]
+    gram = data.draw(st.integers(1, window))
+    hashes = substring_dedup._Hashes()
+    grams = substring_dedup.gram_hashes(words, hashes, gram).tolist()
+    first = {}
+    assert all(first.setdefault(tuple(words[i : i + gram]), h) == h for i, h in enumerate(grams)) and len(set(grams)) == len(first)
+    least = [min(grams[i : i + window - gram + 1]) for i in range(len(words) - window + 1)]
+    begins, sizes, keys, times = substring_dedup.stretches(words, hashes, window, gram, 3)
+    assert [k for k, n in zip(keys.tolist(), sizes.tolist(), strict=True) for _ in range(n)] == least and all(n <= 3 for n in sizes)
+    assert begins.tolist() == np.cumsum([0, *sizes[:-1]]).tolist()[: len(sizes)]
+    assert times.tolist() == [grams[b : b + n + window - gram].count(k) for b, n, k in zip(begins.tolist(), sizes.tolist(), keys.tolist(), strict=True)]
+    numbers = np.array([int(w) for w in words], np.int64)
+    matrix = substring_dedup.WaveletMatrix(numbers, 5)
+    for c in range(5):
+        at = np.arange(len(words) + 1)
+        assert matrix.rank(np.full(len(at), c), at).tolist() == [int((numbers[:i] == c).sum()) for i in at]
+
+
+def kept_rows(df, **options):
+    return sorted(map(tuple, substring_dedup.deduplicated(df, "doc_id", "text", **options).collect()), key=repr)
+
+
+def passages(seed, n=120):
+    """Documents that share passages, one of them with most, some periodic, some whole copies."""
+    draw = random.Random(seed)
+    word = lambda k: f"w{draw.randrange(k)}"
+    shared = [" ".join(word(500) for _ in range(draw.randrange(15, 60))) for _ in range(8)]
+    texts = []
+    for i in range(n):
+        parts = [" ".join(word(400) for _ in range(draw.randrange(0, 40))) for _ in range(4)]
+        parts.insert(2, draw.choice(shared))
+        if i % 2:
+            parts.insert(1, shared[0])
+        if i % 9 == 0:
+            parts.append("tick tock " * draw.randrange(5, 90))
+        texts.append(draw.choice(["\n", "  ", "\t"]).join(parts))
+    return texts + texts[:10] + ["same " * 300] * 12
+
+
+@pytest.mark.parametrize("options", [{}, {"shard": 5, "hot": 10}, {"shard": 40, "hot": 2, "most_hot": 3}])
+def test_substring_dedup_equals_brute_force(spark, options):
+    texts = passages(3)
+    ids = [*range(0, 2 * len(texts) - 2, 2), None]
+    df = documents(spark, *texts, ids=ids).repartition(3)
+    assert kept_rows(df, **options) == sorted(substring_dedup.brute_force(list(zip(ids, texts, strict=True))), key=repr)
+
+
+def test_substring_dedup_of_odd_and_repeated_rows(spark):
+    long = " ".join(f"x{i}" for i in range(50))
+    texts = [*ODD, long, long, "Ä" + long, long + "\n" + long, None, " ".join(f"x{i}" for i in range(19)), "a\x1cb " * 30]
+    ids = [*range(len(texts) - 4), 8, None, 5, 1]
+    rows = list(zip(ids, texts, strict=True))
+    df = documents(spark, *texts, ids=ids)
+    assert kept_rows(df) == sorted(substring_dedup.brute_force(rows), key=repr)
+    # rows of equal id and text: one of them counts as the first
+    again = [(8, long)] * 30
+    for options in ({}, {"hot": 5}):
+        assert kept_rows(documents(spark, *[long] * 30, ids=[8] * 30).repartition(4), **options) == sorted(substring_dedup.brute_force(again), key=repr)
+    assert kept_rows(df.limit(0)) == []
