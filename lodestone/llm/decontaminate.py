@@ -3,8 +3,8 @@
 Every text is read as words. Of each run of ``WINDOW`` consecutive k-gram hashes the least
 is a fingerprint; a span of ``SPAN`` shared words holds such a run on either side, so it
 shares a fingerprint. Fingerprints of documents and items are joined, and each hit is
-extended word by word over its alignment; runs of ``SPAN`` equal words (or the whole item,
-if that is shorter) mark the document's words.
+extended over the words of all windows that can choose it; ``SPAN`` equal words in a row (or the whole item,
+if that is shorter) are marked in the document. A longer span holds a fingerprint for each of its windows.
 
 Items shorter than ``SPAN`` words take their whole word sequence as the only fingerprint, and
 documents are fingerprinted once more for each such length that occurs.
@@ -69,31 +69,34 @@ def winnow(hashes: np.ndarray, window: int) -> np.ndarray:
     return at[hashes[at] != _NONE]
 
 
-def _runs(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where equal hashes at consecutive places begin, and how many they are; ``at`` ascends."""
-    if not len(at):
-        return at, at
-    begins = np.flatnonzero(np.r_[True, (np.diff(at) != 1) | (hashes[at[1:]] != hashes[at[:-1]])])
-    return at[begins], np.diff(np.r_[begins, len(at)])
-
-
 class Index:
-    """Fingerprints of items as sorted arrays, with the items themselves, one after the other, for extension."""
+    """Fingerprints of items as sorted arrays, with the items themselves, one after the other, for extension.
+
+    A window of ``SPAN`` words and its fingerprint lie in the fingerprint's surroundings: the words of all winnowing windows
+    that can choose it. So a hit is extended by comparing the surroundings of both places. Surroundings that repeat, as in
+    periodic texts, are looked at once: an item keeps one place of each, and a document asks for one place of each.
+    """
 
-    def __init__(self, items: list[tuple[str, list[bytes]]]) -> None:
+    def __init__(self, items: list[tuple[str, list[bytes]]], hits: int = 1 << 16) -> None:
         self.number: dict[bytes, int] = {}
         self.names = [name for name, _ in items]
+        self.slice = hits
         ids = [np.array([self.number.setdefault(w, len(self.number) + 1) for w in words], np.uint32) for _, words in items]
         self.words = np.concatenate([*ids, np.zeros(0, np.uint32)])
         self.ends = np.cumsum([0, *map(len, ids)])
         found: dict[int, list[tuple[np.ndarray, ...]]] = {}
         for i, some in enumerate(ids):
-            size, window = (GRAM, WINDOW) if len(some) >= SPAN else (len(some), 1)
-            hashes = gram_hashes(some, size)
-            at = winnow(hashes, window)
-            start, length = _runs(hashes, at)
-            found.setdefault(size if window == 1 else 0, []).append((hashes[start], np.full(len(start), i, np.int32), start.astype(np.int32), length.astype(np.int32)))
-        #: By gram (0: winnowed): sorted fingerprints, and of each the item, the first place and how many follow each other.
+            size = 0 if len(some) >= SPAN else len(some)
+            hashes = gram_hashes(some, size or GRAM)
+            at = winnow(hashes, 1 if size else WINDOW)
+            around = _around(some, at, size)
+            one = _distinct(around)[0]
+            # surroundings cut by an item's end say nothing more if the same stand whole elsewhere
+            inner = (around[one] != 0).all(1)
+            full = around[one[inner]]
+            at = at[[i for i, whole in zip(one.tolist(), inner.tolist(), strict=True) if whole or not ((around[i] == full) | (around[i] == 0)).all(1).any()]]
+            found.setdefault(size, []).append((hashes[at], np.full(len(at), i, np.int32), at.astype(np.int32)))
+        #: By gram (0: winnowed): sorted fingerprints, and of each the item and the place there.
         self.postings: dict[int, tuple[np.ndarray, ...]] = {}
         for size, parts in found.items():
             columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
@@ -109,40 +112,61 @@ class Index:
         """Which words lie in an occurrence of an item's window, and the items that occur."""
         number = self.number.get
         ids = np.fromiter((number(w, 0) for w in words), np.uint32, len(words))
-        hit = np.zeros(len(ids), bool)
+        turns = np.zeros(len(ids) + 1, np.int64)
         found: set[int] = set()
-        for size, (keys, items, places, lengths) in self.postings.items():
-            gram, window = (GRAM, WINDOW) if size == 0 else (size, 1)
-            hashes = gram_hashes(ids, gram)
+        for size, (keys, items, places) in self.postings.items():
+            hashes = gram_hashes(ids, size or GRAM)
             if not (hashes != _NONE).any():
                 continue
-            start, length = _runs(hashes, winnow(hashes, window))
-            low, high = (np.searchsorted(keys, hashes[start], side) for side in ("left", "right"))
-            seen: set[tuple[int, int]] = set()
-            for p, n, a, b in zip(*(c[high > low].tolist() for c in (start, length, low, high)), strict=True):
-                # item word 0 lies at document word p - q, for each place p of the document's run and q of the item's
-                for item, q, m in zip(items[a:b].tolist(), places[a:b].tolist(), lengths[a:b].tolist(), strict=True):
-                    for shift in range(p - q - m + 1, p - q + n):
-                        if (item, shift) not in seen:
-                            seen.add((item, shift))
-                            if self._extend(ids, self.words[self.ends[item] : self.ends[item + 1]], shift, hit):
-                                found.add(item)
-        return hit, found
-
-    @staticmethod
-    def _extend(ids: np.ndarray, item: np.ndarray, shift: int, hit: np.ndarray) -> bool:
-        """Mark the runs of equal words long enough, with item word 0 at document word ``shift``."""
-        low, high = max(0, shift), min(len(ids), shift + len(item))
-        need = min(SPAN, len(item))
-        same = np.zeros(high - low + 2, np.int8)
-        same[1:-1] = ids[low:high] == item[low - shift : high - shift]
-        turns = np.flatnonzero(np.diff(same))
-        any_ = False
-        for a, b in zip(turns[::2].tolist(), turns[1::2].tolist(), strict=True):
-            if b - a >= need:
-                hit[low + a : low + b] = True
-                any_ = True
-        return any_
+            at = winnow(hashes, 1 if size else WINDOW)
+            low, high = (np.searchsorted(keys, hashes[at], side) for side in ("left", "right"))
+            at, low, high = (c[high > low] for c in (at, low, high))
+            for a in range(0, len(at), self.slice):
+                self._extend(ids, size, at[a : a + self.slice], low[a : a + self.slice], high[a : a + self.slice], items, places, turns, found)
+        return np.cumsum(turns)[:-1] > 0, found
+
+    def _extend(self, ids, size, at, low, high, items, places, turns, found) -> None:
+        """Mark the windows around the places ``at`` that also stand around one of their postings."""
+        around = _around(ids, at, size)
+        one, which = _distinct(around)
+        need = size or SPAN
+        offsets = around.shape[1] - need + 1
+        whole = np.zeros((len(one), offsets), bool)
+        pairs = np.r_[0, np.cumsum(high[one] - low[one])]
+        i = 0
+        while i < len(one):  # about as many pairs at a time as places
+            j = max(i + 1, int(np.searchsorted(pairs, pairs[i] + self.slice, "right")) - 1)
+            own = np.repeat(np.arange(i, j), np.diff(pairs[i : j + 1]))
+            posting = np.arange(pairs[i], pairs[j]) - pairs[own] + low[one][own]
+            item = items[posting]
+            other = _around(self.words, places[posting] + self.ends[item], size, self.ends[item], self.ends[item + 1])
+            same = (around[one[own]] == other) & (other != 0)
+            for o in range(offsets):
+                met = same[:, o : o + need].all(1)
+                whole[own[met], o] = True
+                found.update(np.unique(item[met]).tolist())
+            i = j
+        for o in range(offsets):
+            begin = at[whole[which, o]] - (0 if size else WINDOW - 1) + o
+            np.add.at(turns, begin, 1)
+            np.add.at(turns, begin + need, -1)
+
+
+def _around(words: np.ndarray, at: np.ndarray, size: int, low: np.ndarray | int = 0, high: np.ndarray | int | None = None) -> np.ndarray:
+    """The words around fingerprints at ``at``: the gram alone if it has ``size`` words, else those of all windows that can choose it; 0 beyond ``low`` and ``high``."""
+    before = 0 if size else WINDOW - 1
+    spots = np.asarray(at, np.int64)[:, None] + np.arange(-before, size or GRAM + WINDOW - 1)
+    high = len(words) if high is None else np.asarray(high)[..., None]
+    inside = (spots >= np.asarray(low)[..., None]) & (spots < high)
+    return np.where(inside, words[np.clip(spots, 0, max(0, len(words) - 1))] if len(words) else 0, 0).astype(np.uint32)
+
+
+def _distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first place of each different row, and for every row which of these it equals."""
+    if not len(rows):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    flat = np.ascontiguousarray(rows).view(np.dtype((np.void, rows.shape[1] * rows.itemsize))).ravel()
+    return np.unique(flat, return_index=True, return_inverse=True)[1:]
 
 
 def _judged(index: Index):

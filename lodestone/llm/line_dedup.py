@@ -7,7 +7,8 @@ Tokens are words, ordered by rarity: first by their count, from a table of ``COU
 summed over all lines and sent to executors (its size is fixed), then by hash. Similar lines share a token of their
 prefixes, so prefix tokens are the join key. Their entries travel as packed columns, one block per task and cell of the
 token space. Within a cell length, positional and bitmap filters leave few pairs, and the words of both lines decide.
-Equal sets are one entry per task, and one per token after the shuffle.
+Equal sets are one entry per task, and one per token after the shuffle; sets are equal if the sums of two independent 64-bit
+hashes over their words are, 128 bits together.
 
 Of each token a line gets the ``FEW`` likeliest earlier lines. If it had more, and the words then clear it of all that it got, it is searched
 again among all lines that share a token and gets all of them that may be similar, so no pair is lost. In large groups the earliest lines lead: lines near to a leader
@@ -48,10 +49,11 @@ LAST = (1 << 63) - 1
 #: What a byte adds to the hash of its word; 0 parts words.
 _VALUES = np.array([0 if b == 32 else b + 1 for b in WORD_TABLE], np.uint64)
 _BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Bases of a word's two hashes; lines are equal if the sums of both over their words are.
+_BASES = _BASE, 0xC2B2AE3D27D4EB4F
 #: A token is a rarity level (6 bits) and a hash; with a line's number in a piece it fits 64 bits.
 _TOKEN_BITS, _HASH_BITS = 44, 38
-_FIELDS = {"token": "<u8", "key": "<i8", "twin": "<i8", "line": "<u4", "n": "<u4", "pos": "<u4", "sig": "<u8", "b1": "<u8", "b2": "<u8"}
+_FIELDS = {"token": "<u8", "key": "<i8", "twin": "<i8", "line": "<u4", "n": "<u4", "pos": "<u4", "sig": "<u8", "sig2": "<u8", "b1": "<u8", "b2": "<u8"}
 _ROW = pa.schema([("kind", pa.int32()), ("cell", pa.int64()), ("block", pa.binary())])
 _FOUND = "kind int, key long, twin long, line int, key2 long, twin2 long, line2 int"
 GONE, PAIR, CUT_PAIR = 0, 1, 2
@@ -63,19 +65,21 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 class _Powers:
-    """Powers of the hash base and of its inverse, as far as they have been needed."""
+    """Powers of a hash base and of its inverse, as far as they have been needed."""
 
     def __init__(self) -> None:
-        self.up = self.down = np.ones(1, np.uint64)
+        self.held = [(np.ones(1, np.uint64),) * 2 for _ in _BASES]
 
-    def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
+    def of(self, which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.held[which][0]) < n:
             size = max(n, PIECE + (PIECE >> 3))
-            for name, base in (("up", _BASE), ("down", _INVERSE)):
+            made = []
+            for base in (_BASES[which], pow(_BASES[which], -1, 1 << 64)):
                 steps = np.full(size, base, np.uint64)
                 steps[0] = 1
-                setattr(self, name, np.cumprod(steps))
-        return self.up[:n], self.down[:n]
+                made.append(np.cumprod(steps))
+            self.held[which] = tuple(made)
+        return tuple(x[:n] for x in self.held[which])
 
 
 class Piece:
@@ -93,10 +97,8 @@ class Piece:
         at, end = np.flatnonzero(edges).reshape(-1, 2).T
         if len(cuts):
             at, end = (np.sort(np.r_[x, cuts]) for x in (at, end))
-        up, down = powers.of(n)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(np.multiply(text, up, out=text), out=sums[1:])
-        self.words = _mixed((sums[end] - sums[at]) * down[at])
+        self.at, self.end, self.powers = at, end, powers
+        self.words = self.hashed(0, text)
         # a line begins at a text's start or after a line feed
         begins = np.sort(np.r_[starts, feeds + 1])
         first = np.searchsorted(at, begins)
@@ -108,20 +110,36 @@ class Piece:
         self.key, self.twin, self.line = keys[doc], twins[doc], passed + lines[doc]
         self.raw, self.begins, self.stops = raw, begins, (starts, feeds)
 
+    def hashed(self, which: int, text: np.ndarray | None = None) -> np.ndarray:
+        """A hash of each word by one of the bases."""
+        text = _VALUES[self.raw] if text is None else text
+        up, down = self.powers.of(which, len(text))
+        sums = np.zeros(len(text) + 1, np.uint64)
+        np.cumsum(np.multiply(text, up, out=text), out=sums[1:])
+        return _mixed((sums[self.end] - sums[self.at]) * down[self.at])
+
     def text(self, i: int) -> bytes:
         """The bytes of a line with words, given by its number among those."""
         begin, (starts, feeds) = int(self.begins[i]), self.stops
         after = [int(x[k]) for x, k in ((feeds, np.searchsorted(feeds, begin)), (starts, np.searchsorted(starts, begin, "right"))) if k < len(x)]
         return self.raw[begin : min([len(self.raw), *after])].tobytes()
 
-    def tokens(self, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted distinct tokens of each line, and the line of each."""
+    def tokens(self, levels: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Sorted tokens of each line's distinct words, the line of each, and both hashes of its word.
+
+        Different words of a line may have equal tokens; each of them counts.
+        """
         h = self.words
         value = (levels[(h & np.uint64(COUNTERS - 1)).view(np.int64)].astype(np.uint64) << np.uint64(_HASH_BITS)) | (h >> np.uint64(64 - _HASH_BITS))
         both = (self.of.astype(np.uint64) << np.uint64(_TOKEN_BITS)) | value
-        both.sort()
-        both = both[np.r_[True, both[1:] != both[:-1]]] if len(both) else both
-        return both & np.uint64((1 << _TOKEN_BITS) - 1), (both >> np.uint64(_TOKEN_BITS)).view(np.int64)
+        second = self.hashed(1)
+        order = np.argsort(both)
+        if ((both[order][1:] == both[order][:-1]) & (h[order][1:] != h[order][:-1])).any():
+            order = np.lexsort((second, h, both))
+        both, h, second = both[order], h[order], second[order]
+        new = np.r_[True, (both[1:] != both[:-1]) | (h[1:] != h[:-1]) | (second[1:] != second[:-1])] if len(both) else np.zeros(0, bool)
+        both = both[new]
+        return both & np.uint64((1 << _TOKEN_BITS) - 1), (both >> np.uint64(_TOKEN_BITS)).view(np.int64), h[new], second[new]
 
 
 def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -215,17 +233,15 @@ def entries(piece: Piece, levels: np.ndarray, threshold: float, *, only: np.ndar
 
     With ``only`` there are entries of the tokens in that table alone.
     """
-    token, of = piece.tokens(levels)
+    token, of, h1, h2 = piece.tokens(levels)
     if not len(token):
         return {name: np.zeros(0, kind) for name, kind in _FIELDS.items()}, np.zeros((0, 3), np.int64), np.zeros(0, np.int64)
     start = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
     n = np.diff(np.r_[start, len(of)])
     mixed = _mixed(token + np.uint64(1))
-    sig = np.add.reduceat(_mixed(mixed), start)
-    order = np.lexsort((piece.twin, piece.line, piece.key, sig)) if piece.twin.any() else np.argsort(sig, kind="stable")  # lines of a piece are in their documents' order
-    if not piece.twin.any() and (np.diff(piece.key) < 0).any():
-        order = np.lexsort((piece.line, piece.key, sig))
-    head = np.r_[True, (sig[order][1:] != sig[order][:-1]) | (n[order][1:] != n[order][:-1])]
+    sig, sig2 = (np.add.reduceat(_mixed(h), start) for h in (h1, h2))
+    order = np.lexsort((piece.twin, piece.line, piece.key, sig2, sig))
+    head = np.r_[True, np.logical_or.reduce([c[order][1:] != c[order][:-1] for c in (sig, sig2, n)])]
     lead = order[np.flatnonzero(head)[np.cumsum(head) - 1]]
     later = np.logical_or.reduce([c[order] != c[lead] for c in (piece.key, piece.line, piece.twin)])
     gone = order[later]
@@ -242,7 +258,7 @@ def entries(piece: Piece, levels: np.ndarray, threshold: float, *, only: np.ndar
     b1 = np.bitwise_xor.reduceat(np.where(bit < 64, one, np.uint64(0)), start)
     b2 = np.bitwise_xor.reduceat(np.where(bit < 64, np.uint64(0), one), start)
     line = of[keep]
-    values = {"token": token[keep], "key": piece.key[line], "twin": piece.twin[line], "line": piece.line[line], "n": n[line], "pos": pos[keep], "sig": sig[line], "b1": b1[line], "b2": b2[line]}
+    values = {"token": token[keep], "key": piece.key[line], "twin": piece.twin[line], "line": piece.line[line], "n": n[line], "pos": pos[keep], "sig": sig[line], "sig2": sig2[line], "b1": b1[line], "b2": b2[line]}
     columns = {name: values[name].astype(kind) for name, kind in _FIELDS.items()}
     return columns, np.column_stack([piece.key[gone], piece.twin[gone], piece.line[gone]]), line
 
@@ -469,7 +485,7 @@ def joined(x: dict[str, np.ndarray], threshold: float, few: int, parted: int = 2
     room = np.uint64(64 - int(group[-1]).bit_length())
     by_set = np.argsort((group.astype(np.uint64) << room) | (x["sig"][order] >> (np.uint64(64) - room)))
     order, group = order[by_set], group[by_set]
-    s = {c: x[c][order] for c in ("sig", "n")}
+    s = {c: x[c][order] for c in ("sig", "sig2", "n")}
     place = _order_of(x)[order]
     start = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]) | np.logical_or.reduce([c[1:] != c[:-1] for c in s.values()])])
     run = np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(order)]))

@@ -196,6 +196,36 @@ def test_index_finds_every_window(words, items):
     assert (int(hit.sum()), len(found)) == (n_hit, n_items)
 
 
+def periodic(n, period, name="p"):
+    return [b"%s%d" % (name.encode(), i % period) for i in range(n)]
+
+
+def test_periodic_texts_take_linear_work():
+    import time
+
+    items = [(f"i{n}", periodic(40, 2)) for n in range(50)] + [("long", periodic(2_000, 2)), ("three", periodic(300, 3))]
+    index = decontaminate.Index(items)
+    hit, found = index.hits(periodic(200, 2) + [b"z"] + periodic(200, 3))
+    assert hit.sum() == 400 and len(found) == 52
+    seconds = []
+    for n in (20_000, 80_000):
+        began = time.process_time()
+        hit, found = index.hits(periodic(n, 2))
+        seconds.append(time.process_time() - began)
+        assert hit.all() and len(found) == 51
+    assert seconds[1] < 12 * seconds[0] + 0.5 and seconds[0] < 2
+
+
+@SLOW
+@given(st.lists(st.tuples(st.integers(0, 60), st.integers(1, 4), st.integers(0, 2)), min_size=1, max_size=4), st.lists(st.tuples(st.integers(0, 40), st.integers(1, 4), st.integers(0, 2)), min_size=1, max_size=4), st.integers(1, 3))
+def test_hits_in_periodic_texts_equal_brute_force(doc, items, slice_):
+    words = [w for n, p, k in doc for w in periodic(n, p, "abc"[k])]
+    named = [(str(i), periodic(n, p, "abc"[k])) for i, (n, p, k) in enumerate(items) if n]
+    hit, found = decontaminate.Index(named, slice_).hits(words)
+    _, n_hit, n_items, *_ = decontaminate.brute_force([b" ".join(words).decode()], [(i, b" ".join(x).decode()) for i, x in named])[0]
+    assert (hit.sum(), len(found)) == (n_hit, n_items)
+
+
 # --- 5 packing -------------------------------------------------------------------------------------------------------
 def test_first_fit_decreasing_equals_a_scan():
     rng = random.Random(1)
@@ -311,6 +341,20 @@ def test_lines_that_differ_by_an_inner_word_go(spark):
         assert {(r.key, n) for r in rows for n in r.removed} == expected
 
 
+@pytest.mark.parametrize("pair", [("item521699", "item360281"), ("item2783925", "item2692806")])
+def test_words_whose_tokens_collide_are_not_equal(spark, pair):
+    """The first 38 bits of these words' hashes are equal."""
+    a, b = pair
+    seven = " ".join(f"w{i}" for i in range(7))
+    texts = [b, a, f"{seven} {b}", f"{seven} {a}", f"{a} {b} x", f"{a} y x", f"{a} x", f"{a} {b} x"]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    expected = {(i, n) for i, g in enumerate(line_dedup.brute_force(rows)) for n in g}
+    assert expected == {(7, 0)}
+    for few, sent in ((4, 4 << 20), (1, 0)):
+        got = line_dedup.removed_lines(documents(spark, *texts), F.col("doc_id"), F.lit(0).cast("long"), "text", few=few, sent_bytes=sent).collect()
+        assert {(r.key, n) for r in got for n in r.removed} == expected
+
+
 def _entries(lines):
     """Prefix entries of lines of words, all under one key, and the set of tokens of each line."""
     import pyarrow as pa
@@ -320,7 +364,7 @@ def _entries(lines):
     parts = [(p, line_dedup.entries(p, levels, 0.8)[0]) for p in line_dedup._pieces(batch, line_dedup._Powers())]
     sets = {}
     for p, _ in parts:
-        token, of = p.tokens(levels)
+        token, of, *_ = p.tokens(levels)
         for t, i in zip(token.tolist(), p.line[of].tolist(), strict=True):
             sets.setdefault(i, set()).add(t)
     return {c: np.concatenate([e[c] for _, e in parts]) for c in line_dedup._FIELDS}, sets
