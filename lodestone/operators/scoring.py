@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -12,21 +12,15 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import values as V
 from lodestone.functions.text import contains_any, content_tokens, distinct_ignoring_case, dot, normalized, strip
+from lodestone.operators import grid
 from lodestone.settings import Settings
 
 DEFAULTS = Settings()
-#: Query batches of more bytes are joined by Spark's own choice instead of broadcast.
-MAX_BROADCAST_BYTES = 64 << 20
 
 
-def sizes(rows: DataFrame) -> Column:
-    """About the bytes of a row in memory: of its text form, and of what strings and arrays take beside it."""
-    return 64 + 2 * F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns])))
-
-
-def small(queries: DataFrame, size: Column, limit: int = MAX_BROADCAST_BYTES) -> DataFrame:
-    """``queries`` marked for broadcast if the sum of ``size`` over its rows allows it."""
-    total = queries.agg(F.sum(size)).first()[0] or 0
+def small(queries: DataFrame, limit: int = grid.MAX_BROADCAST_BYTES) -> DataFrame:
+    """``queries`` marked for broadcast if the sizes of its rows allow it."""
+    total = queries.agg(F.sum(grid.sizes(queries))).first()[0] or 0
     return F.broadcast(queries) if total <= limit else queries
 
 
@@ -44,44 +38,62 @@ def dense_scores(chunks: DataFrame, queries: DataFrame, chunk_key: str = "chunk_
     """
     rows = queries.select("query_id", "vectors", *asked)
     best = F.array_max(F.transform("vectors", lambda v: dot(v, vector)))
-    return chunks.join(small(rows, sizes(rows))).select("query_id", chunk_key, ((best + 1) / 2).alias("dense"), *carry, *asked)
-
-
-def dense_topk(chunks: DataFrame, queries: DataFrame, k: int, *, chunk_key: str = "chunk_id", vector: str = "embedding", digits: int = 9, limit: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    return chunks.join(small(rows)).select("query_id", chunk_key, ((best + 1) / 2).alias("dense"), *carry, *asked)
+
+
+class _Nearest:
+    """The k best chunks of each query by rounded score, then smaller key, of all batches so far."""
+
+    def __init__(self, table: pa.Table, k: int, digits: int, names: Sequence[str]) -> None:
+        self.k, self.digits, self.names = k, digits, ["query_id", *names, "score"]
+        self.ids = table.column("query_id").combine_chunks()
+        variants = table.column("vectors").combine_chunks()
+        starts = variants.offsets.to_numpy() - variants.offsets[0].as_py()
+        self.starts = starts[:-1]
+        self.vectors = variants.flatten().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(int(starts[-1]), -1)
+        self.held: list[pa.Table] = []
+
+    def add(self, chunks: pa.Table) -> None:
+        key, vector = chunks.column_names[:2]
+        own = chunks.sort_by(key).combine_chunks()
+        vectors = own.column(vector).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(own.num_rows, -1).astype(float)
+        scores = np.round((np.maximum.reduceat(self.vectors @ vectors.T, self.starts, axis=0) + 1) / 2, self.digits)
+        n = min(self.k, own.num_rows)
+        at = np.argsort(-scores, axis=1, kind="stable")[:, :n]  # rows are in key order, so ties go to smaller keys
+        keys = own.column(key).combine_chunks().take(pa.array(at.ravel()))
+        query = pa.array(np.repeat(np.arange(len(at)), n))
+        self.held.append(pa.table([query, keys, pa.array(np.take_along_axis(scores, at, 1).ravel())], names=self.names))
+        if sum(t.num_rows for t in self.held) > 8 * self.k * len(at):
+            self.held = [self._best()]
+
+    def _best(self) -> pa.Table:
+        query, key, score = self.names
+        rows = pa.concat_tables(self.held).sort_by([(query, "ascending"), (score, "descending"), (key, "ascending")])
+        of = rows.column(query).to_numpy()
+        begins = np.searchsorted(of, of)
+        return rows.filter(pa.array(np.arange(len(of)) - begins < self.k))
+
+    def rows(self) -> pa.Table:
+        if not self.held:
+            return pa.schema([]).empty_table()
+        best = self._best()
+        return best.set_column(0, "query_id", self.ids.take(best.column(0).combine_chunks()))
+
+
+def dense_topk(chunks: DataFrame, queries: DataFrame, k: int, *, chunk_key: str = "chunk_id", vector: str = "embedding", digits: int = 9, limit: int = grid.MAX_BROADCAST_BYTES, tile: int = grid.TILE_BYTES) -> DataFrame:
     """(query_id, chunk, score): at least the ``k`` best chunks of each query, by rounded score and then smaller key.
 
-    A batch of chunks meets the matrix of all queries in one product and sends on its own k best per query only, so
-    what is shuffled is k rows per query and batch instead of all pairs. A query set of more than ``limit`` bytes
-    takes the plan of ``dense_scores``.
+    A batch of chunks meets the vectors of all queries, or of a tile of them, in one product, and a task, or a cell of the grid, sends its own
+    k best per query only, so what is shuffled is k rows per query and task instead of all pairs.
     """
-    asked = queries.select("query_id", "vectors")
-    width = asked.agg(F.max(F.size(F.get("vectors", F.lit(0)))).alias("w"), F.sum(F.size("vectors")).alias("n")).first()
-    if not width.w:
-        return dense_scores(chunks, queries, chunk_key, vector).select("query_id", chunk_key, F.round("dense", digits).alias("score")).limit(0)
-    if width.w * width.n * 8 > limit:
-        scored = dense_scores(chunks, queries, chunk_key, vector).select("query_id", chunk_key, F.round("dense", digits).alias("score"))
-        return ranked(scored, "score", chunk_key, limit=k).drop("rank")
-    rows = asked.where(F.size("vectors") > 0).toArrow()  # within the limit
-    variants = rows.column("vectors").combine_chunks()
-    starts = variants.offsets.to_numpy()[:-1] - variants.offsets[0].as_py()
-    sent = chunks.sparkSession.sparkContext.broadcast(variants.flatten().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width.w))
-    ids = rows.column("query_id").combine_chunks()
-    wanted = chunks.where(F.size(vector) == width.w).select(chunk_key, vector)
+    asked = queries.select("query_id", "vectors").where(F.size("vectors") > 0)
+    wide = asked.agg(F.max(F.size(F.get("vectors", F.lit(0))))).first()[0] or 0
+    wanted = chunks.where(F.size(vector) == wide).select(chunk_key, vector)
     kinds = {f.name: f.dataType.simpleString() for f in (*wanted.schema.fields, *asked.schema.fields)}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            own = pa.Table.from_batches([batch]).sort_by(chunk_key).combine_chunks()
-            vectors = own.column(vector).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(own.num_rows, -1).astype(float)
-            scores = np.round((np.maximum.reduceat(sent.value @ vectors.T, starts, axis=0) + 1) / 2, digits)
-            n = min(k, own.num_rows)
-            at = np.argsort(-scores, axis=1, kind="stable")[:, :n]  # rows are in key order, so ties go to smaller keys
-            out = [ids.take(pa.array(np.repeat(np.arange(len(at)), n))), own.column(chunk_key).combine_chunks().take(pa.array(at.ravel())), pa.array(np.take_along_axis(scores, at, 1).ravel())]
-            yield pa.RecordBatch.from_arrays(out, names=["query_id", chunk_key, "score"])
-
-    return wanted.mapInArrow(run, f"query_id {kinds['query_id']}, `{chunk_key}` {kinds[chunk_key]}, score double")
+    schema = f"query_id {kinds['query_id']}, `{chunk_key}` {kinds[chunk_key]}, score double"
+    if not wide:
+        return chunks.sparkSession.createDataFrame([], schema)
+    return grid.reduced(wanted, asked, lambda table: _Nearest(table, k, digits, [chunk_key]), schema, limit=limit, tile=tile)
 
 
 def vocabulary(*texts: Column) -> Column:
@@ -98,7 +110,7 @@ def lexical_scores(chunks: DataFrame, queries: DataFrame, chunk_key: str = "chun
     asked = queries.select("query_id", F.array_distinct("tokens").alias("t")).withColumn("n", F.size("t"))
     asked = asked.select("query_id", "n", F.explode("t").alias("token"))
     index = chunks.select(chunk_key, F.explode("vocab").alias("token"))
-    hits = index.join(small(asked, sizes(asked)), "token").groupBy("query_id", chunk_key, "n").agg(F.count("*").alias("hits"))
+    hits = index.join(small(asked), "token").groupBy("query_id", chunk_key, "n").agg(F.count("*").alias("hits"))
     return hits.select("query_id", chunk_key, (F.col("hits") / F.col("n")).alias("overlap"))
 
 

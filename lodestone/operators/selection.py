@@ -2,7 +2,7 @@
 
 The fill passes have a closed form: a chunk's tier follows from running counts per source, and
 the result is the order by (tier, rank). ``selected`` runs all passes of a query over the rows that any of them can
-take, which ``candidates`` leaves; these are few, whatever the number of chunks.
+take, which the lists of ``hybrid`` leave; these are few, whatever the number of chunks and sources.
 """
 
 from __future__ import annotations
@@ -47,17 +47,6 @@ def filled(ranked: DataFrame, k: int, *, cap: int, by: str = "query_id", source:
     return rows.withColumn("position", F.row_number().over(order)).where(F.col("position") <= k)
 
 
-def cut(scores: DataFrame, k: int, *, cap: int, by: str = "query_id", source: str = "source", key: str = "chunk_id", score: str = "score", deferred: Column | None = None) -> DataFrame:
-    """The rows that ``filled`` can take, with ``rank`` among them: of each query, source and kind at most ``max(k, cap)``.
-
-    The cut stands directly above the scores, so it is made before they are shuffled.
-    """
-    late = F.lit(False) if deferred is None else F.coalesce(deferred, F.lit(False))
-    group = W.partitionBy(by, source, "_late").orderBy(F.desc(score), key)
-    few = scores.withColumn("_late", late).withColumn("_n", F.row_number().over(group)).where(F.col("_n") <= max(k, cap)).drop("_n", "_late")
-    return few.withColumn("rank", F.row_number().over(W.partitionBy(by).orderBy(F.desc(score), key)))
-
-
 def mode_coverage(scores: DataFrame, *, modes: Sequence[str], each: int, cap: int, by: str = "query_id", source: str = "source", key: str = "chunk_id", score: str = "score", held: str = "modes") -> DataFrame:
     """Rows taken so that every mode has ``each`` chunks, modes in sorted order, within the cap.
 
@@ -81,27 +70,6 @@ def mode_coverage(scores: DataFrame, *, modes: Sequence[str], each: int, cap: in
     return reduce(DataFrame.unionByName, taken)
 
 
-def candidates(rows: DataFrame, k: int, *, cap: int, pool: int, scores: Sequence[Column] = (), modes: Sequence[str] = (), by: str = "query_id", source: str = "source", key: str = "chunk_id", score: str = "score", late: str = "late", held: str = "modes", matched: str = "matched") -> DataFrame:
-    """The rows that ``selected`` can take, even if the scores of the ``pool`` best rows of a query still change.
-
-    Rows of the pool, and of each list that a pass goes through as many of the first as all passes can take and the pool can
-    displace: by source and kind, by mode, and by each coverage score (null where its pass refuses the row), of matching rows apart.
-    """
-    each = pool + 2 * k + 1
-
-    def first(part: DataFrame, n: int, order: Column, *groups: str) -> DataFrame:
-        return part.withColumn("_n", F.row_number().over(W.partitionBy(by, *groups).orderBy(F.desc(order), key))).where(F.col("_n") <= n).drop("_n")
-
-    base = F.col(score)
-    lists = [first(rows, pool + 2 * k + cap, base, source, late)]
-    lists += [first(rows.where(F.array_contains(held, mode)), each, base) for mode in modes]
-    for own in scores:
-        found = rows.where(own.isNotNull())
-        lists += [first(found, each, own), first(found.where(matched), each, own)]
-    kept = reduce(DataFrame.unionByName, lists)
-    return kept.dropDuplicates([by, key]) if len(lists) > 1 else kept
-
-
 def selected(rows: DataFrame, k: int, *, cap: int, pool: int, modes: bool = False, each_mode: int = 1, each_clause: int = 1, each_expansion: int = 1, by: str = "query_id") -> DataFrame:
     """(by, position, chunk_id, score, taken_for): ``k`` rows of each query in the order of selection.
 

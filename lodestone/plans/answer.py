@@ -10,8 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions import values as V
-from lodestone.functions.text import content_tokens, dot, overlap_share, token_count
-from lodestone.operators import conflicts, feedback, models, packing, scoring, selection
+from lodestone.functions.text import content_tokens, token_count
+from lodestone.operators import conflicts, feedback, grid, hybrid, models, packing, scoring, selection
 from lodestone.operators.models import Factory, OfflineClient
 from lodestone.settings import Settings
 from lodestone.sources.shared import checkpoint
@@ -104,38 +104,18 @@ def classified(questions: DataFrame, history: DataFrame | None = None, client: F
     return models.asked(_recent(history, questions), message, client, name="classified", max_tokens=settings.max_output_tokens).drop("_said")
 
 
-def scored(chunks: DataFrame, questions: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """All pairs of prepared questions and indexed chunks: dense, overlap and score, with what selection needs.
+def candidates(chunks: DataFrame, questions: DataFrame, settings: Settings = DEFAULTS, *, limit: int = grid.MAX_BROADCAST_BYTES) -> DataFrame:
+    """The rows of prepared questions and indexed chunks that selection can take: dense, overlap and score, with what the passes need.
 
-    A question's greatest overlap comes from the inverted index; the rest of a pair is worked out where the chunk
-    lies, so no pair is shuffled.
+    A question's greatest overlap, which scales the others, takes a pass over the vocabularies alone.
     """
-    most = scoring.lexical_scores(chunks, questions).groupBy("query_id").agg(F.max("overlap").alias("_most"))
-    wanted = questions.select("query_id", "vectors", F.array_distinct("tokens").alias("tokens"), "qmodes", "clauses", "extras").join(most, "query_id", "left")
-    pairs = chunks.join(scoring.small(wanted, scoring.sizes(wanted)))
-    best = F.array_max(F.transform("vectors", lambda v: dot(v, "embedding")))
-    overlap = overlap_share(F.col("tokens"), F.col("vocab"))
-    lexical = F.when(F.col("_most") > 0, F.col("overlap") / F.col("_most")).otherwise(F.col("overlap"))
-    score = scoring.hybrid(F.col("dense"), lexical, settings.retrieval_alpha)
-    late = F.lit(False)
-    if settings.enable_mode_routing:
-        score = scoring.clipped(score + scoring.mode_adjustment(F.col("qmodes"), F.col("cmodes"), settings))
-        late = F.array_contains("cmodes", "acan") & ~F.array_contains("qmodes", "acan")
-    match = F.arrays_overlap("qmodes", "cmodes")
-    near = lambda x: (dot(x["embedding"], "embedding") + 1) / 2
-
-    def clause(x):
-        own = overlap_share(x["tokens"], F.col("vocab"))
-        return F.when(own >= settings.clause_min_overlap, 0.75 * own + 0.25 * near(x) + 0.1 * overlap_share(x["beside"], F.col("vocab")))
-
-    def extra(x):
-        own = overlap_share(x["tokens"], F.col("vocab"))
-        return F.when(own >= settings.expansion_min_overlap, 0.55 * own + 0.35 * near(x) + F.when(match, 0.08).otherwise(0.0))
-
-    rows = pairs.withColumns({"dense": (best + 1) / 2, "overlap": overlap}).withColumns({"score": score, "late": late, "matched": match, "modes": F.array_intersect("cmodes", "qmodes")})
-    return rows.withColumns({"clause_parts": F.transform("clauses", clause), "extra_parts": F.transform("extras", extra)}).select(
-        "query_id", "chunk_id", F.col("source_path").alias("source"), "dense", "overlap", "score", "late", "matched", "modes", F.col("qmodes").alias("query_modes"), F.col("clause_parts").alias("clauses"), F.col("extra_parts").alias("expansions")
-    )
+    k, cap, pool = settings.top_k, max(1, settings.max_chunks_per_source), max(settings.top_k, settings.retrieval_candidate_pool)
+    modes = sorted(V.MODE_PHRASES)
+    covered = settings.enable_mode_routing and settings.enable_mode_coverage
+    most = hybrid.greatest_overlaps(chunks, questions, limit=limit)
+    ready = questions.drop("most").join(most, "query_id", "left")
+    named = chunks.withColumn("source", F.col("source_path"))
+    return hybrid.candidates(named, ready, hybrid.Lists(k, cap, pool, len(modes) if covered else 0), modes, settings, limit=limit)
 
 
 def retrieved(chunks: DataFrame, questions: DataFrame, client: Factory = OfflineClient, settings: Settings = DEFAULTS) -> DataFrame:
@@ -143,12 +123,11 @@ def retrieved(chunks: DataFrame, questions: DataFrame, client: Factory = Offline
 
     ``questions`` are prepared with the same settings.
     """
-    rows = scored(chunks, questions, settings)
     k, cap, pool = settings.top_k, max(1, settings.max_chunks_per_source), max(settings.top_k, settings.retrieval_candidate_pool)
-    parts = [F.get(c, F.lit(i)) + share * F.col("score") for on, c, n, share in ((settings.enable_clause_coverage, "clauses", settings.max_subqueries, 0.05), (settings.enable_query_expansion, "expansions", settings.max_expansion_queries, 0.1)) if on for i in range(n)]
     covered = settings.enable_mode_routing and settings.enable_mode_coverage
-    rows = selection.candidates(rows, k, cap=cap, pool=pool, scores=parts, modes=sorted(V.MODE_PHRASES) if covered else ())
+    rows = candidates(chunks, questions, settings)
     if settings.enable_rerank:
+        rows = checkpoint(rows)  # read twice
         first = scoring.ranked(rows, "score", "chunk_id", limit=pool)
         asked = first.select("query_id", "chunk_id").join(chunks.select("chunk_id", F.col("text").alias("_t")), "chunk_id").join(questions.select("query_id", "question"), "query_id")
         marks = models.reranked(asked, "question", "_t", client, by="query_id").select("query_id", "chunk_id", "rerank")

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as T
 from lodestone.functions import urls
 from lodestone.functions import values as V
-from lodestone.operators import chunking, collect, conflicts, dashboard, feedback, metrics, models, packing, scoring, selection
+from lodestone.operators import chunking, collect, conflicts, dashboard, feedback, hybrid, metrics, models, packing, scoring, selection
 from lodestone.plans import demo
+from lodestone.settings import Settings
 from lodestone.sources import readers, writers
 from lodestone.sources.shared import shared_folder
 
@@ -112,19 +113,65 @@ p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY tier, rank) AS
 SELECT query_id, CAST(position AS INTEGER) AS position, chunk_id, CAST(tier AS INTEGER) AS tier, round(score, 6) AS score FROM p WHERE position <= 10"""
 
 
+#: Scores are cosines alone, and a chunk's mode only defers it.
+_COSINES = Settings(retrieval_alpha=1.0, mode_match_bonus=0.0, mode_mismatch_penalty=0.0, acan_mismatch_penalty=0.0)
+
+
+def _candidates(spark: SparkSession, sf_dir: str, cmodes=None, qmodes: tuple[str, ...] = (), *, k: int = 10, cap: int = 2, pool: int = 0, modes: tuple[str, ...] = ("acan",), listed: bool = False) -> DataFrame:
+    """What selection can take of every query's chunks but its own, which may fill one place of each list."""
+    none = F.array().cast("array<string>")
+    chunks = demo.chunks(spark, sf_dir).withColumns({"vocab": none, "cmodes": none if cmodes is None else cmodes})
+    asked = demo.queries(spark, sf_dir).select("query_id", "vectors", F.array(*map(F.lit, qmodes)).cast("array<string>").alias("qmodes"))
+    lists = hybrid.Lists(k + 1, cap + 1, pool + 1 if pool else 0, len(modes) if listed else 0)
+    rows = hybrid.candidates(chunks, asked, lists, modes, _COSINES, digits=9).where("chunk_id != query_id")
+    return scoring.ranked(rows, "score", "chunk_id")
+
+
 @query(_tier_sql("false"))
 def capped_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = selection.filled(selection.cut(_scores(spark, sf_dir), 10, cap=2), 10, cap=2)
+    rows = selection.filled(_candidates(spark, sf_dir), 10, cap=2)
     return rows.select("query_id", "position", "chunk_id", "tier", F.round("score", 6).alias("score"))
 
 
 @query(_tier_sql("source = 3"))
 def deferred_tier_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    late = F.col("source") == 3
-    rows = selection.filled(selection.cut(_scores(spark, sf_dir), 10, cap=2, deferred=late), 10, cap=2, deferred=late)
+    held = F.array_compact(F.array(F.when(F.col("source") == 3, "acan")))
+    rows = selection.filled(_candidates(spark, sf_dir, held), 10, cap=2, deferred=F.col("late"))
     return rows.select("query_id", "position", "chunk_id", "tier", F.round("score", 6).alias("score"))
 
 
+_PLAN_MODES = {"late_offer": "chunk_id % 89 = 0", "rfp": "chunk_id % 7 = 0", "rfsa": "chunk_id % 5 = 0"}
+
+
+def _coverage_plan_sql() -> str:
+    """One row of each mode from the first 20 within the cap, one of any rank for modes that still lack one, then the fill."""
+    steps, done = [], []
+    free = lambda: " AND ".join(["true", *[f"NOT EXISTS (SELECT 1 FROM {t} WHERE {t}.query_id = r.query_id AND {t}.chunk_id = r.chunk_id)" for t in done]])
+    used = lambda: " + ".join(["0", *[f"(SELECT count(*) FROM {t} WHERE {t}.query_id = r.query_id AND {t}.source = r.source)" for t in done]])
+    best = "SELECT query_id, chunk_id, source, rank FROM (SELECT r.*, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n FROM r WHERE {}) WHERE n = 1"
+    for i, rule in enumerate(_PLAN_MODES[m] for m in sorted(_PLAN_MODES)):
+        steps.append(f"m{i} AS (" + best.format(f"rank <= 20 AND {rule} AND {used()} < 2 AND {free()}") + ")")
+        done.append(f"m{i}")
+    for i, rule in enumerate(_PLAN_MODES[m] for m in sorted(_PLAN_MODES)):
+        steps.append(f"x{i} AS (" + best.format(f"{rule} AND NOT EXISTS (SELECT 1 FROM m{i} WHERE m{i}.query_id = r.query_id) AND {free()}") + ")")
+        done.append(f"x{i}")
+    pre = " UNION ALL ".join(f"SELECT query_id, chunk_id, source, {n} AS o FROM {t}" for n, t in enumerate(done))
+    return f"""WITH {_Q}, {_S}, {_R}, {', '.join(steps)}, pre AS ({pre}), u AS (SELECT query_id, source, count(*) AS used FROM pre GROUP BY ALL),
+f AS (SELECT r.*, coalesce(u.used, 0) AS used, p.o, sum(CASE WHEN p.o IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY r.query_id, r.source ORDER BY rank ROWS UNBOUNDED PRECEDING) AS own
+  FROM r LEFT JOIN u USING (query_id, source) LEFT JOIN pre AS p ON p.query_id = r.query_id AND p.chunk_id = r.chunk_id),
+g AS (SELECT query_id, chunk_id, CASE WHEN o IS NULL THEN 'fill' ELSE 'mode' END AS taken_for, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN o IS NOT NULL THEN 0 WHEN used + own <= 2 THEN 1 ELSE 2 END, coalesce(o, rank)) AS position FROM f)
+SELECT query_id, chunk_id, taken_for, CAST(position AS INTEGER) AS position FROM g WHERE position <= 10"""
+
+
+@query(_coverage_plan_sql())
+def coverage_plan_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plan's own passes over modes: those of the first 20 rows, then of any rank."""
+    names = tuple(sorted(_PLAN_MODES))
+    held = F.array_compact(F.array(*[F.when(F.expr(_PLAN_MODES[m]), m) for m in names]))
+    rows = _candidates(spark, sf_dir, held, names, pool=20, modes=names, listed=True)
+    return selection.selected(rows, 10, cap=2, pool=20, modes=True).select("query_id", "chunk_id", "taken_for", "position")
+
+
 @query(f"""WITH {_Q}, {_S}, {_R},
 a AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY rank) AS own FROM r WHERE chunk_id % 2 = 0),
 a1 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n FROM a WHERE own <= 2), ta AS (SELECT * FROM a1 WHERE n <= 3),
@@ -153,28 +200,26 @@ g AS (SELECT query_id, chunk_id, CASE WHEN o IS NULL THEN 'fill' ELSE '{name}' E
 SELECT query_id, chunk_id, taken_for, CAST(position AS INTEGER) AS position FROM g WHERE position <= 10"""
 
 
-def _covered(spark: SparkSession, sf_dir: str, kind: str, part, least: float, share: float, each: int) -> DataFrame:
+def _covered(spark: SparkSession, sf_dir: str, kind: str, settings: Settings, each: int) -> DataFrame:
     """All passes over vectors with the texts of documents; a question's first and second eight tokens are what a pass covers."""
     texts = demo.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), scoring.vocabulary(F.col("text")).alias("vocab"))
+    none = F.array().cast("array<string>")
     q = demo.queries(spark, sf_dir).select("query_id", "vectors", T.content_tokens("question").alias("t"))
-    wanted = q.select("query_id", "vectors", F.array(*[F.array_distinct(F.slice("t", i, 8)) for i in (1, 9)]).alias("wanted"))
-    rows = scoring.dense_scores(demo.chunks(spark, sf_dir).join(texts, "chunk_id"), wanted, carry=["source", "vocab"], asked=["wanted"]).where("chunk_id != query_id")
-    rows = rows.withColumns({"score": F.round("dense", 9), "late": F.lit(False), "matched": F.lit(False)}).withColumns({c: F.array().cast("array<string>") for c in ("modes", "query_modes")})
-    parts = F.transform("wanted", lambda x: F.when(T.overlap_share(x, F.col("vocab")) >= least, part(T.overlap_share(x, F.col("vocab")))))
-    none = F.array().cast("array<double>")
-    rows = rows.withColumns({c: parts if c == kind else none for c in ("clauses", "expansions")}).drop("dense", "vocab", "wanted")
-    few = selection.candidates(rows, 10, cap=2, pool=0, scores=[F.get(kind, F.lit(i)) + share * F.col("score") for i in (0, 1)])
+    part = lambda i: F.struct(F.array_distinct(F.slice("t", i, 8)).alias("tokens"), F.col("vectors")[0].alias("embedding"), none.alias("beside"))
+    asked = q.select("query_id", "vectors", F.array(part(1), part(9)).alias("clauses" if kind == "clauses" else "extras"))
+    chunks = demo.chunks(spark, sf_dir).join(texts, "chunk_id").withColumn("cmodes", none)
+    few = hybrid.candidates(chunks, asked, hybrid.Lists(11, 3, 0), (), settings, digits=9).where("chunk_id != query_id")
     return selection.selected(few, 10, cap=2, pool=0, each_clause=each, each_expansion=each).select("query_id", "chunk_id", "taken_for", "position")
 
 
 @query(_passes_sql("(0.75e0 * o1 + 0.25e0 * score) + 0.05e0 * score", "(0.75e0 * o2 + 0.25e0 * score) + 0.05e0 * score", 0.2, 2, "clause"))
 def clause_coverage_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _covered(spark, sf_dir, "clauses", lambda o: 0.75 * o + 0.25 * F.col("score"), 0.2, 0.05, 2)
+    return _covered(spark, sf_dir, "clauses", Settings(retrieval_alpha=1.0, enable_mode_routing=False, clause_min_overlap=0.2), 2)
 
 
 @query(_passes_sql("(0.55e0 * o1 + 0.35e0 * score) + 0.1e0 * score", "(0.55e0 * o2 + 0.35e0 * score) + 0.1e0 * score", 0.15, 1, "expansion"))
 def expansion_coverage_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _covered(spark, sf_dir, "expansions", lambda o: 0.55 * o + 0.35 * F.col("score"), 0.15, 0.1, 1)
+    return _covered(spark, sf_dir, "expansions", Settings(retrieval_alpha=1.0, enable_mode_routing=False, expansion_min_overlap=0.15), 1)
 
 
 @query(f"""WITH qt AS (SELECT item_id AS query_id, list_distinct({_ctok('text')}) AS t FROM benchmark), qe AS (SELECT query_id, len(t) AS n, unnest(t) AS token FROM qt),
@@ -202,19 +247,12 @@ s2 AS (SELECT *, CASE WHEN len(qmodes) = 0 THEN 0e0 WHEN list_has_any(qmodes, cm
 
 @query(f"WITH {_Q}, {_HYBRID} SELECT query_id, chunk_id, round(dense, 6) AS dense, round(lexn, 6) AS lexical, round(adj, 6) AS adjustment, round(least(greatest(0.75 * dense + 0.25 * lexn + adj, 0.0), 1.0), 6) AS score FROM s2")
 def hybrid_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texted = demo.texted_chunks(spark, sf_dir).select("chunk_id", "embedding", scoring.vocabulary(F.col("text")).alias("vocab"), scoring.modes_of(F.col("text"), PHRASES).alias("cmodes"))
-    q = demo.queries(spark, sf_dir).select("query_id", "vectors", F.array_distinct(T.content_tokens("question")).alias("tokens"), scoring.modes_of(F.col("question"), PHRASES).alias("qmodes"))
-    # the greatest overlap of a query comes from the inverted index, so no pair is shuffled
-    most = scoring.lexical_scores(texted, q).groupBy("query_id").agg(F.max("overlap").alias("most"))
+    texted = demo.texted_chunks(spark, sf_dir).select("chunk_id", "embedding", F.col("source_path").alias("source"), scoring.vocabulary(F.col("text")).alias("vocab"), scoring.modes_of(F.col("text"), PHRASES).alias("cmodes"))
     # a chunk makes a row for each query: spread the chunks over all tasks, however few files they lie in
-    spread = texted.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "chunk_id")
-    rows = scoring.dense_scores(spread, q.join(most, "query_id", "left"), carry=["vocab", "cmodes"], asked=["tokens", "qmodes", "most"])
-    # both sides are distinct already
-    share = F.when(F.size("tokens") == 0, 0.0).otherwise(F.size(F.array_intersect("tokens", "vocab")) / F.size("tokens"))
-    rows = rows.withColumn("overlap", share).withColumn("lexical", F.when(F.col("most") > 0, F.col("overlap") / F.col("most")).otherwise(F.col("overlap")))
-    adjustment = scoring.mode_adjustment(F.col("qmodes"), F.col("cmodes"))
-    score = scoring.clipped(scoring.hybrid(F.col("dense"), F.col("lexical")) + adjustment)
-    return rows.select("query_id", "chunk_id", F.round("dense", 6).alias("dense"), F.round("lexical", 6).alias("lexical"), F.round(adjustment, 6).alias("adjustment"), F.round(score, 6).alias("score"))
+    texted = texted.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "chunk_id")
+    q = demo.queries(spark, sf_dir).select("query_id", "vectors", F.array_distinct(T.content_tokens("question")).alias("tokens"), scoring.modes_of(F.col("question"), PHRASES).alias("qmodes"))
+    rows = hybrid.pairs(texted, q.join(hybrid.greatest_overlaps(texted, q), "query_id", "left"), sorted(PHRASES))
+    return rows.select("query_id", "chunk_id", *[F.round(c, 6).alias(c) for c in ("dense", "lexical", "adjustment", "score")])
 
 
 @query(f"SELECT doc_id, array_to_string({_modes_sql(_norm('text'))}, ',') AS modes FROM documents")
@@ -246,7 +284,8 @@ z AS (SELECT query_id, chunk_id, round(score, 6) AS score FROM b), y AS (SELECT
 SELECT query_id, CAST(rank AS INTEGER) AS rank, chunk_id, score FROM y WHERE rank <= 10""")
 def rerank_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
     # of the rows that are no candidates only the first ten can come in
-    rows = scoring.ranked(_scores(spark, sf_dir), "score", "chunk_id", limit=70).withColumn("rerank", F.when(F.col("rank") <= 60, ((F.col("chunk_id") * 37) % 101) / 100))
+    found = scoring.dense_topk(demo.chunks(spark, sf_dir), demo.queries(spark, sf_dir), 71).where("chunk_id != query_id")
+    rows = scoring.ranked(found, "score", "chunk_id", limit=70).withColumn("rerank", F.when(F.col("rank") <= 60, ((F.col("chunk_id") * 37) % 101) / 100))
     mixed = scoring.rerank_blend(rows.drop("rank")).withColumn("score", F.round("score", 6))
     return scoring.ranked(mixed, "score", "chunk_id", limit=10).select("query_id", "rank", "chunk_id", "score")
 

@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import chunking, collect, conflicts, dashboard, feedback, metrics, models, packing, scoring, selection
+from lodestone.functions.text import dot, overlap_share
+from lodestone.operators import chunking, collect, conflicts, dashboard, feedback, hybrid, metrics, models, packing, scoring, selection
 from lodestone.settings import Settings
 
 
@@ -120,24 +121,110 @@ def test_all_passes_equal_plain_loops_over_all_rows(spark):
         cases[q] = (found, wanted)
         rows += [(q, r[1], r[2], r[0], r[3], r[4], wanted, *r[5:]) for r in found]
     df = spark.createDataFrame(rows, "query_id int, chunk_id int, source int, score double, late boolean, modes array<string>, query_modes array<string>, matched boolean, clauses array<double>, expansions array<double>")
-    scores = [F.get(c, F.lit(i)) + share * F.col("score") for c, share in (("clauses", 0.05), ("expansions", 0.1)) for i in (0, 1)]
     for k, cap, pool, each in ((6, 1, 6, 1), (9, 2, 12, 2)):
-        few = selection.candidates(df, k, cap=cap, pool=pool, scores=scores, modes=["m1", "m2", "m3"])
+        few = hybrid.merged(df, hybrid.Lists(k, cap, pool, 3), ["m1", "m2", "m3"])
         got = selection.selected(few, k, cap=cap, pool=pool, modes=True, each_mode=each, each_clause=each, each_expansion=each).orderBy("query_id", "position").collect()
         for q, (found, wanted) in cases.items():
             assert [r.chunk_id for r in got if r.query_id == q] == all_passes(found, k, cap, pool, wanted, each), q
-        plain = selection.selected(selection.candidates(df, k, cap=cap, pool=0), k, cap=cap, pool=0).where("taken_for not in ('fill', 'late')")
+        plain = selection.selected(hybrid.merged(df, hybrid.Lists(k, cap, 0)), k, cap=cap, pool=0).where("taken_for not in ('fill', 'late')")
         assert {r.taken_for for r in plain.collect()} <= {"clause", "expansion"}
 
 
-def test_cuts_stand_above_the_scores(spark):
-    df = spark.createDataFrame([(1, 1, 1, 0.5)], "query_id int, chunk_id int, source int, score double")
-    text = selection.cut(df, 5, cap=2)._jdf.queryExecution().executedPlan().toString()
-    assert text.rindex("WindowGroupLimit") > text.rindex("Exchange")
+def test_packing_limits_before_it_sorts(spark):
     packed = packing.packed(spark.createDataFrame([(1, 1, "t")], "query_id int, rank int, text string"), F.lit(99))
     assert "WindowGroupLimit" in packed._jdf.queryExecution().executedPlan().toString()
 
 
+# --- hybrid candidates -----------------------------------------------------------------------------------------------
+def hybrid_tables(spark, n, sources, seed=4):
+    rng, draw = np.random.default_rng(seed), random.Random(seed)
+    words = [f"t{i}" for i in range(30)]
+    some = lambda k: draw.sample(words, draw.randrange(k))
+    chunks = [(i, f"s{draw.randrange(sources)}", rng.normal(size=3).round(1).tolist(), some(9), draw.choice([[], [], ["acan"], ["rfp"], ["acan", "rfp"]])) for i in range(n)]
+    part = lambda: {"tokens": some(4), "embedding": rng.normal(size=3).round(1).tolist(), "beside": some(3)}
+    questions = [(q, [rng.normal(size=3).round(1).tolist() for _ in range(1 + q % 3)], some(8), [[], ["rfp"], ["acan", "rfp"]][q % 3], 0.5 if q % 2 else None, [part() for _ in range(q % 3)], [part() for _ in range(q % 2)]) for q in range(7)]
+    kind = "array<struct<tokens:array<string>,embedding:array<float>,beside:array<string>>>"
+    return (
+        spark.createDataFrame(chunks, "chunk_id int, source string, embedding array<float>, vocab array<string>, cmodes array<string>").repartition(4),
+        spark.createDataFrame(questions, f"query_id int, vectors array<array<float>>, tokens array<string>, qmodes array<string>, most double, clauses {kind}, extras {kind}"),
+    )
+
+
+def plain_scores(chunks, questions, settings):
+    """All pairs by the columns of ``scoring``."""
+    pairs = chunks.join(questions)
+    near = lambda v: (dot(v, "embedding") + 1) / 2
+    overlap = overlap_share(F.col("tokens"), F.col("vocab"))
+    lexical = F.when(F.coalesce(F.col("most"), F.lit(0.0)) > 0, overlap / F.col("most")).otherwise(overlap)
+    dense = F.array_max(F.transform("vectors", near))
+    score = scoring.clipped(scoring.hybrid(dense, lexical, settings.retrieval_alpha) + scoring.mode_adjustment(F.col("qmodes"), F.col("cmodes"), settings))
+    match = F.arrays_overlap("qmodes", "cmodes")
+    own = lambda x: overlap_share(x["tokens"], F.col("vocab"))
+    clause = lambda x: F.when(own(x) >= settings.clause_min_overlap, 0.75 * own(x) + 0.25 * near(x["embedding"]) + 0.1 * overlap_share(x["beside"], F.col("vocab")))
+    extra = lambda x: F.when(own(x) >= settings.expansion_min_overlap, 0.55 * own(x) + 0.35 * near(x["embedding"]) + F.when(match, 0.08).otherwise(0.0))
+    return pairs.select("query_id", "chunk_id", "source", dense.alias("dense"), overlap.alias("overlap"), score.alias("score"), (F.array_contains("cmodes", "acan") & ~F.array_contains("qmodes", "acan")).alias("late"), match.alias("matched"),
+                        F.array_sort(F.array_intersect("cmodes", "qmodes")).alias("modes"), F.col("qmodes").alias("query_modes"), F.transform("clauses", clause).alias("clauses"), F.transform("extras", extra).alias("expansions"))
+
+
+def shown_rows(df):
+    near = lambda v: round(v, 9) if isinstance(v, float) else [near(x) for x in v] if isinstance(v, list) else v
+    return sorted((tuple(near(v) for v in r) for r in df.collect()), key=repr)
+
+
+def test_batches_score_as_columns_do(spark):
+    chunks, questions = hybrid_tables(spark, 150, 12)
+    settings = Settings(retrieval_alpha=0.6)
+    every = hybrid.Lists(200, 200, 200)
+    want = shown_rows(plain_scores(chunks, questions, settings))
+    for limit, tile in ((1 << 20, 1 << 20), (0, 1 << 20), (0, 1500)):
+        got = hybrid.candidates(chunks, questions, every, ["acan", "rfp"], settings, limit=limit, tile=tile)
+        assert shown_rows(got) == want
+        assert "NestedLoop" not in got._jdf.queryExecution().toString() and "CartesianProduct" not in got._jdf.queryExecution().toString()
+    flat = hybrid.pairs(chunks, questions, ["acan", "rfp"], settings)
+    assert [r[2:3] + r[5:] for r in shown_rows(flat)] == [(r[3], r[5]) for r in want]
+    most = {r.query_id: r.most for r in hybrid.greatest_overlaps(chunks, questions).collect()}
+    assert most == pytest.approx({q: max(r[4] for r in want if r[0] == q) for q in range(7)})
+    assert hybrid.candidates(chunks.limit(0), questions, every, ["acan"]).count() == hybrid.candidates(chunks, questions.limit(0), every, ["acan"]).count() == 0
+
+
+@pytest.mark.parametrize("sources", [3, 40, 5000])
+def test_candidates_are_enough_for_every_selection(spark, sources, monkeypatch):
+    chunks, questions = hybrid_tables(spark, 2_000, sources, seed=sources)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 150)  # many batches a task
+    settings = Settings(retrieval_alpha=0.6)
+    rows = plain_scores(chunks, questions, settings).cache()
+    for k, cap, pool in ((4, 1, 0), (5, 2, 9)):
+        few = hybrid.candidates(chunks, questions, hybrid.Lists(k, cap, pool, 2), ["acan", "rfp"], settings)
+        pick = lambda df: [tuple(r)[:3] for r in selection.selected(df, k, cap=cap, pool=pool, modes=True).orderBy("query_id", "position").collect()]  # noqa: E731, B023
+        assert pick(few) == pick(rows)
+        # the pool's scores change: the lists still hold what can move up
+        changed = lambda df: scoring.ranked(df, "score", "chunk_id").withColumn("score", F.when(F.col("rank") <= pool, F.col("score") * ((F.col("chunk_id") * 37) % 11) / 10).otherwise(F.col("score")))  # noqa: E731, B023
+        assert pick(changed(few)) == pick(changed(rows))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_a_task_sends_few_rows_whatever_the_sources(spark):
+    chunks = spark.range(20_000, numPartitions=2).select(F.col("id").alias("chunk_id"), F.concat(F.lit("s"), F.col("id").cast("string")).alias("source"), F.array(F.sin("id"), F.cos("id")).cast("array<float>").alias("embedding"), F.array(F.lit("a")).alias("vocab"), F.array().cast("array<string>").alias("cmodes"))
+    questions = spark.createDataFrame([(1, [[1.0, 0.0]])], "query_id int, vectors array<array<float>>")
+    for k, cap, pool in ((10, 2, 60), (3, 1, 0)):
+        lists = hybrid.Lists(k, cap, pool)
+        rows = hybrid.grid.reduced(chunks, hybrid.asked(questions), lambda t: hybrid.Candidates(hybrid.Scorer(t, []), lists, hybrid.pa.int64(), hybrid.pa.string()), "query_id int, chunk_id long, " + hybrid._ROW.format(source="string"))  # noqa: B023
+        assert rows.count() <= 2 * (pool + 2 * (pool + 2 * k) + 6 * k)
+
+
+def test_lists_of_a_union_are_the_lists_of_the_lists():
+    draw = np.random.default_rng(1)
+    lists = hybrid.Lists(2, 1, 3, 2)
+    for _ in range(60):
+        n = int(draw.integers(1, 80))
+        rows = {"key": draw.permutation(n).astype(object), "source": draw.integers(0, 6, n), "score": draw.integers(0, 9, n) / 8, "late": draw.random(n) < 0.3, "matched": draw.random(n) < 0.5, "modes": draw.integers(0, 4, n)}
+        value = np.where(draw.random(n) < 0.3, draw.random(n), np.nan)
+        whole = set(lists.kept(rows, [value]).tolist())
+        part = draw.integers(0, 3, n)
+        few = np.concatenate([at[lists.kept({c: v[at] for c, v in rows.items()}, [value[at]])] for at in (np.flatnonzero(part == i) for i in range(3)) if len(at)])
+        assert set(few[lists.kept({c: v[few] for c, v in rows.items()}, [value[few]])].tolist()) == whole
+
+
 # --- scoring -------------------------------------------------------------------------------------------------------
 def test_mode_adjustment(spark):
     rows = [([], ["acan"]), (["rfp"], ["rfp", "acan"]), (["rfp"], ["acan"]), (["rfp"], ["rfsa"]), (["rfp", "rfso"], ["rfsa"]), (["rfp"], [])]
