@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import chunking, collect, dashboard
 from lodestone.operators.models import Factory, OfflineClient
-from lodestone.plans import answer, evaluate
+from lodestone.plans import answer, crawl, evaluate
 from lodestone.settings import Settings
 from lodestone.sources import fetch, readers, writers
 from lodestone.sources.shared import checkpoint
@@ -36,10 +36,13 @@ def parser() -> argparse.ArgumentParser:
         run.add_argument(f"--{name}-threshold", type=float)
     for command in (one, run):
         command.add_argument("--documents", help="the folder of documents; RAW_DIR or data by default")
-    crawl = commands.add_parser("collect", help="crawl fetched pages into documents and a manifest")
-    crawl.add_argument("--pages", required=True, help="a Parquet table of url and html")
-    crawl.add_argument("--output", required=True)
-    crawl.add_argument("--seeds", nargs="*", default=[])
+    site = commands.add_parser("collect", help="crawl pages into documents and a manifest")
+    site.add_argument("--pages", help="a Parquet table of url and html; pages are fetched without it")
+    site.add_argument("--max-pages", type=int)
+    site.add_argument("--forms", action="store_true", help="forms and templates too")
+    site.add_argument("--directive-html", action="store_true", help="the directive's HTML page too")
+    site.add_argument("--output", required=True)
+    site.add_argument("--seeds", nargs="*", default=[])
     both = commands.add_parser("compare", help="compare two runs of a folder")
     both.add_argument("runs")
     both.add_argument("base")
@@ -95,13 +98,19 @@ def _evaluate(spark: SparkSession, args: argparse.Namespace, client: Factory, se
 
 
 def _collect(spark: SparkSession, args: argparse.Namespace, settings: Settings) -> str:
-    pages = spark.read.parquet(args.pages)
-    seeds = spark.createDataFrame([(u,) for u in args.seeds], "url string") if args.seeds else fetch.seeds(spark)
-    docs = collect.crawled(pages, seeds, settings)
+    seeds = spark.createDataFrame([(u,) for u in args.seeds], "url string").coalesce(1) if args.seeds else fetch.seeds(spark, forms=args.forms, directive_html=args.directive_html)
+    if args.max_pages is not None:
+        settings = replace(settings, max_pages=args.max_pages)
+    get = crawl.stored(checkpoint(spark.read.parquet(args.pages))) if args.pages else crawl.fetching()
+    made = crawl.crawl(spark, seeds, get, settings, forms=args.forms, directive_html=args.directive_html)
+    docs = made.documents()
     before = readers.previous_manifest(spark, f"{args.output}/manifest")
     rows = checkpoint(collect.changed(docs, before))  # the manifest that it was read from is overwritten below
     writers.write_documents(rows, f"{args.output}/documents")
     told = rows.groupBy("status").count().orderBy("status").collect()
+    failed, short = made.errors(), made.skipped()
+    failed.write.mode("overwrite").json(f"{args.output}/errors")
+    short.write.mode("overwrite").json(f"{args.output}/skipped")
     listed = rows.select("canonical_url", "authority_rank", "title", F.col("url").alias("source_url"), "doc_type", "date_modified", "content_hash", F.col("word_count").cast("string").alias("word_count"))
     writers.write_manifest(listed, f"{args.output}/manifest")
     return ", ".join(f"{r['count']} {r.status}" for r in told) or "nothing collected"

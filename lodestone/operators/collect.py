@@ -177,6 +177,13 @@ def page_lines(within: _Node) -> list[str]:
     return [t for t in (_space(n.text()) for n in leaves) if t]
 
 
+def page_parts(html: str, portal: bool) -> tuple[str, str | None, list[str]]:
+    """(title, date, lines) of a page's HTML."""
+    root = tree(html)
+    within = container(root, portal)
+    return page_title(root, within), page_date(root, _space(root.text())), page_lines(within)
+
+
 def extracted(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(key, url, title, date_modified, text): pages as documents. Lines are cleaned by Columns."""
 
@@ -184,9 +191,7 @@ def extracted(pages: DataFrame, *, key: str = "page_id", url: str = "url", html:
         for batch in batches:
             out = []
             for host, source in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                root = tree(source or "")
-                within = container(root, host == V.PORTAL_HOST)
-                out.append((page_title(root, within), page_date(root, _space(root.text())), page_lines(within)))
+                out.append(page_parts(source or "", host == V.PORTAL_HOST))
             own = [pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.string()), pa.array([o[2] for o in out], pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *own], names=["k", "u", "title", "date_modified", "lines"])
 
@@ -198,7 +203,13 @@ def extracted(pages: DataFrame, *, key: str = "page_id", url: str = "url", html:
 
 
 def directive_document(xml: str) -> tuple[str, str, str | None]:
-    """(title, text, date) of a directive's XML: titles of its parts and whole clauses, each after its anchor."""
+    """(title, text, date) of a directive's XML."""
+    title, date, lines = directive_lines(xml)
+    return title, _space("\n".join(lines)), date
+
+
+def directive_lines(xml: str) -> tuple[str, str | None, list[str]]:
+    """(title, date, lines) of a directive's XML: titles of its parts and whole clauses, each after its anchor."""
     root = ET.fromstring(xml)
     lines: list[str] = []
 
@@ -219,7 +230,7 @@ def directive_document(xml: str) -> tuple[str, str, str | None]:
             say(node, _space(node.attrib.get("title", "")))
         todo.extend(reversed(list(node)))
     said = re.search(r"Date modified:\s*(\d{4}-\d{2}-\d{2})", _space(" ".join(root.itertext())), re.IGNORECASE)
-    return _space(root.attrib.get("title", "Directive on the Management of Procurement")), _space("\n".join(lines)), said[1] if said else None
+    return _space(root.attrib.get("title", "Directive on the Management of Procurement")), said[1] if said else None, lines
 
 
 def links(pages: DataFrame, *, url: str = "url", html: str = "html") -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -22,7 +22,7 @@ class Response(NamedTuple):
 
 #: Makes, within a task, the function that fetches one URL.
 Fetcher = Callable[[], Callable[[str, float], Response]]
-_OUT = "url string, final_url string, status int, content_type string, html string, error string"
+_OUT = "final_url string, status int, content_type string, html string, error string"
 
 
 def passing(status: int) -> bool:
@@ -45,11 +45,14 @@ def urllib_fetcher() -> Callable[[str, float], Response]:
     return get
 
 
-def fetched(urls: DataFrame, fetcher: Fetcher = urllib_fetcher, *, timeout: float = 45, retries: int = 3, pause: float = 0.2, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+def fetched(urls: DataFrame, fetcher: Fetcher = urllib_fetcher, *, timeout: float = 45, retries: int = 3, pause: float = 0.2, sleep: Callable[[float], None] = time.sleep, keep: Sequence[str] = ()) -> DataFrame:
     """(url, final_url, status, content_type, html, error) of the distinct ``url``s. A failing page is a row with its error.
 
-    Waits 2, 4, 6, 8, 8, ... seconds before each further try.
+    Waits 2, 4, 6, 8, 8, ... seconds before each further try. With ``keep``, columns to keep behind ``url``, the addresses must be
+    distinct already and are fetched in the tasks where they lie.
     """
+    wanted = urls.select("url", *keep).where("url is not null")
+    names = ["url", *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = fetcher()
@@ -60,7 +63,7 @@ def fetched(urls: DataFrame, fetcher: Fetcher = urllib_fetcher, *, timeout: floa
                 try:
                     r = get(url, timeout)
                     if r.status < 400:
-                        return url, r.final_url, r.status, r.content_type, r.body, None
+                        return r.final_url, r.status, r.content_type, r.body, None
                     error = f"status {r.status}"
                     if not passing(r.status):
                         break
@@ -68,17 +71,19 @@ def fetched(urls: DataFrame, fetcher: Fetcher = urllib_fetcher, *, timeout: floa
                     error = f"{type(failure).__name__}: {failure}"
                 if attempt < retries:
                     sleep(min(2.0 * attempt, 8.0))
-            return url, None, None, None, None, error
+            return None, None, None, None, error
 
         for batch in batches:
             rows = []
             for url in batch.column(0).to_pylist():
                 rows.append(one(url))
                 sleep(pause)
-            kinds = pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=["url", "final_url", "status", "content_type", "html", "error"])
+            kinds = pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()
+            made = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*names, "final_url", "status", "content_type", "html", "error"])
 
-    return urls.select("url").where("url is not null").distinct().mapInArrow(run, _OUT)
+    kinds_ = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in wanted.schema.fields)
+    return (wanted if keep else wanted.distinct()).mapInArrow(run, f"{kinds_}, {_OUT}")
 
 
 def seeds(spark: SparkSession, *, forms: bool = False, directive_html: bool = False) -> DataFrame:

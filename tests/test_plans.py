@@ -1,10 +1,14 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.functions import values as V
 from lodestone.operators import chunking, collect
-from lodestone.plans import answer, evaluate
+from lodestone.plans import answer, crawl, evaluate
 from lodestone.settings import Settings
-from lodestone.sources import readers
+from lodestone.sources import fetch, readers
 
 DOCS = [("a", "Rfp guide", "An rfp is a request for proposal.\n\nSuppliers must send the offer before closing."),
         ("b", "Acan guide", "An acan names a single known business.\n\nFiles must hold the reason."),
@@ -137,6 +141,101 @@ def test_crawl(spark):
     assert all(r.doc_type == "buyers_guide" and r.word_count == 131 for r in got)
 
 
+def site(pages, log):
+    """A fetcher over {url: (status, final url, content type, body)} that notes every request."""
+
+    def make():
+        def get(url, timeout):
+            with open(log, "a") as f:
+                f.write(url + "\n")
+            if url not in pages:
+                return fetch.Response(404, url, "", "")
+            status, final, kind, body = pages[url]
+            if isinstance(status, str):
+                raise OSError(status)
+            return fetch.Response(status, final or url, kind, body)
+
+        return get
+
+    return make
+
+
+def queue_crawl(pages, seeds, scope, follow, most, least_words):
+    """The crawl as a plain queue; the pages here are read by their words alone."""
+    queue, seen, done, docs, errors, skipped = list(dict.fromkeys(seeds)), set(), set(), [], [], []
+    while queue and len(seen) < most:
+        url = queue.pop(0)
+        if url in seen:
+            continue
+        seen.add(url)
+        status, final, kind, body = pages.get(url, (404, None, "", ""))
+        final = final or url
+        if status != 200:
+            errors.append(url)
+            continue
+        if not scope(final) or final in done:
+            continue
+        if "html" in kind and follow(final):
+            queue += [x for x in re.findall('href="([^"]*)"', body) if scope(x)]
+        if "<broken" in body:
+            errors.append(url)
+            continue
+        words = re.sub("<[^>]*>", " ", body).split()
+        (skipped if len(words) < least_words else docs).append(final)
+        done.add(final)
+    return docs, errors, skipped, seen
+
+
+def test_crawl_equals_a_queue(spark, tmp_path):
+    base = f"https://{V.PORTAL_HOST}{V.GUIDE_PATH}"
+    draw = random.Random(2)
+    names = [f"{base}/p{i}" for i in range(60)]
+    outside = "https://example.org/x"
+    pages = {}
+    for i, url in enumerate(names):
+        links = [names[draw.randrange(60)] for _ in range(draw.randrange(4))] + [outside, f"{base}/p{(i + 1) % 60}", f"{base}/lost{i % 3}"] * (i % 2)
+        body = f"<main><p>{'word ' * draw.choice([20, 30])}</p>" + "".join(f'<a href="{x}"></a>' for x in links) + "</main>"
+        pages[url] = (200, draw.choice([None, None, None, names[draw.randrange(60)], outside]), "text/html", body)
+    directive = f"https://{V.DIRECTIVE_HOST}{V.DIRECTIVE_PATH}?id={V.DIRECTIVE_ID}&section=xml"
+    pages[directive] = (200, None, "application/xml", '<doc title="D"><chapter title="One" anchor="1"><clause anchor="1.1">' + "word " * 40 + "</clause></chapter></doc>")
+    pages[names[7]] = (200, None, "application/xml", "<broken " + "word " * 40)
+    pages[names[9]] = ("down", None, "", "")
+    inside = lambda u: u.startswith(base) or u == directive
+    seeds = spark.createDataFrame([(directive,), (names[0],), (outside,), (names[5],)], "url string").coalesce(1)
+    for most, few in ((1000, crawl.FEW), (25, 5), (1000, 3)):
+        log = tmp_path / f"log{most}-{few}"
+        get = crawl.fetching(site(pages, str(log)), retries=1, pause=0)
+        made = crawl.crawl(spark, seeds, get, Settings(max_pages=most, min_guide_words=25), few=few)
+        docs, errors, skipped, seen = queue_crawl(pages, [directive, names[0], names[5]], inside, lambda u: u != directive, most, 25)
+        found = made.documents().collect()
+        assert sorted(r.canonical_url for r in found) == sorted(docs)
+        assert sorted(r.url for r in made.errors().collect()) == sorted(errors)
+        assert sorted(r.url for r in made.skipped().collect()) == sorted(skipped)
+        asked = log.read_text().split()
+        assert sorted(asked) == sorted(seen) and made.visited == len(seen)
+        assert next(r for r in found if r.canonical_url == directive).text.startswith("1 One")
+    counts = made.counts()
+    assert counts["document_count"] == len(docs) and counts["visited_count"] == len(seen) and counts["raw_url_count"] > counts["canonical_url_count"] >= len(seen)
+
+
+def test_crawl_of_a_long_chain(spark, tmp_path):
+    base = f"https://{V.PORTAL_HOST}{V.GUIDE_PATH}"
+    pages = {f"{base}/c{i}": (200, None, "text/html", f'<p>{"word " * 3}{i}</p><a href="{base}/c{i + 1}"></a><a href="{base}/c{i // 2}"></a>') for i in range(25)}
+    log = tmp_path / "log"
+    made = crawl.crawl(spark, spark.createDataFrame([(f"{base}/c0",)], "url string"), crawl.fetching(site(pages, str(log)), retries=1, pause=0), Settings(min_guide_words=1), few=10)
+    assert made.documents().count() == 25 and made.levels == 26 and made.visited == 26  # the last link leads nowhere
+    assert len(log.read_text().split()) == 26
+
+
+def test_crawl_of_stored_pages_and_nothing(spark):
+    base = f"https://{V.PORTAL_HOST}{V.GUIDE_PATH}"
+    pages = spark.createDataFrame([(f"{base}/a/", f'<p>{"w " * 9}</p><a href="../b/">x</a>'), (f"{base}/b", "<p>w w w</p>"), (f"{base}/lost", "<p>w</p>")], "url string, html string")
+    made = crawl.crawl(spark, spark.createDataFrame([(f"{base}/a",)], "url string"), crawl.stored(pages), Settings(min_guide_words=1))
+    assert sorted(r.canonical_url for r in made.documents().collect()) == [f"{base}/a", f"{base}/b"] and made.errors().count() == 0
+    none = crawl.crawl(spark, spark.createDataFrame([("https://example.org",)], "url string"), crawl.stored(pages))
+    assert none.documents().count() == 0 and none.visited == 0
+
+
 # --- command line and votes ------------------------------------------------------------------------------------------
 @pytest.fixture
 def folder(tmp_path):
