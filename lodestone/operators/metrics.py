@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import cache
 
 import numpy as np
@@ -12,10 +12,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import abstained, citations, clean_list, dot, sentences, squeeze
+from lodestone.operators.hybrid import matrix
+from lodestone.operators.scoring import small
 
 # Resamples, seed and shifts of the bootstrap's generator.
 RESAMPLES, SEED, SHIFTS = 1000, 1337, (13, 17, 5)
 
+#: Claims, and sentences, of a case that meet in a cell.
+CLAIM_TILE = 4096
+
 
 def retrieval_metrics(retrieved: DataFrame, gold: DataFrame, *, by: str = "case_id", digits: int = 6) -> DataFrame:
     """Recall, precision, top-1, MRR, nDCG and distinct share per case.
@@ -68,13 +73,38 @@ def evidence_coverage(claims: DataFrame, retrieved: DataFrame, *, by: str = "cas
     return met.groupBy(by).agg(F.count("*").alias("claim_count"), F.count_if("hit").alias("covered_count"), F.round(F.avg(F.col("hit").cast("double")), digits).alias("claim_evidence_coverage"))
 
 
-def claim_similarity(claims: DataFrame, sentence_vectors: DataFrame, *, by: str = "case_id") -> DataFrame:
+def claim_similarity(claims: DataFrame, sentence_vectors: DataFrame, *, by: str = "case_id", apart: str | None = None, tile: int = CLAIM_TILE) -> DataFrame:
     """(case, claim_id, similarity): the greatest cosine with a sentence of the case; 0 without sentences.
 
-    Claims meet only sentences of their own case, of which an answer has few.
+    Claims meet only sentences of their own case, in a grid of tiles of about ``tile`` rows a side, each cell one matrix product that
+    keeps a claim's best; so a case may have any number of both. With ``apart`` a sentence whose column of that name is the claim's id does not count.
     """
-    pairs = claims.join(sentence_vectors.select(by, F.col("embedding").alias("_s")), by, "left")
-    return pairs.groupBy(by, "claim_id").agg(F.coalesce(F.max(dot("embedding", "_s")), F.lit(0.0)).alias("similarity"))
+    mine, said = claims.select(by, "claim_id", "embedding"), sentence_vectors.select(by, F.col(apart).alias("sentence_id") if apart else F.lit(None).alias("sentence_id"), F.col("embedding").alias("vector"))
+    count = lambda df, name: df.groupBy(by).agg(F.ceil(F.count("*") / tile).cast("int").alias(name))
+    counts = small(count(mine, "_across").join(count(said, "_down"), by, "left"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.greatest(F.coalesce(n, F.lit(1)), F.lit(1)) - 1))
+    part = lambda column, n: F.pmod(F.xxhash64(column), F.greatest(F.coalesce(n, F.lit(1)), F.lit(1))).cast("int")
+    asked = mine.join(counts, by).select(by, "claim_id", "embedding", part("claim_id", F.col("_across")).alias("_t"), every(F.col("_down")).alias("_c"))
+    met = said.join(counts, by).select(by, "sentence_id", "vector", part("vector", F.col("_down")).alias("_c"), every(F.col("_across")).alias("_t"))
+    kind = asked.schema
+
+    def cell(left: pa.Table, right: pa.Table) -> pa.Table:
+        best = pa.nulls(left.num_rows, pa.float64())
+        if left.num_rows and right.num_rows:
+            own, other = left.column("embedding").combine_chunks(), right.column("vector").combine_chunks()
+            wide = max(len(x) for x in (own[0], other[0]))
+            near = matrix(own, wide) @ matrix(other, wide).T
+            if apart:
+                ids = np.array(right.column("sentence_id").to_pylist(), object)
+                near[np.array(left.column("claim_id").to_pylist(), object)[:, None] == ids[None, :]] = -np.inf
+            top = near.max(1)
+            best = pa.array(top, mask=np.isneginf(top))
+        return left.select([by, "claim_id"]).append_column("best", best)
+
+    keys = [by, "_t", "_c"]
+    schema = f"`{by}` {kind[by].dataType.simpleString()}, claim_id {kind['claim_id'].dataType.simpleString()}, best double"
+    found = asked.groupBy(*keys).cogroup(met.groupBy(*keys)).applyInArrow(cell, schema)
+    return found.groupBy(by, "claim_id").agg(F.coalesce(F.max("best"), F.lit(0.0)).alias("similarity"))
 
 
 def claim_metrics(similarities: DataFrame, threshold: float, *, by: str = "case_id", digits: int = 6) -> DataFrame:
@@ -186,8 +216,22 @@ def sample_sums(x: np.ndarray, low: int, n: int, samples: np.ndarray) -> np.ndar
     return out
 
 
-#: Values in a block, draws in a task for each block, and states that are moved at once.
-BOOTSTRAP_BLOCK, BOOTSTRAP_DRAWS, LANES = 1 << 20, 200_000_000, 1 << 16
+#: Values in a block, draws in a task for each block, states that are moved at once, and draws that meet a block at a time.
+BOOTSTRAP_BLOCK, BOOTSTRAP_DRAWS, LANES, MET_DRAWS = 1 << 20, 200_000_000, 1 << 16, 50_000_000
+#: Draws made at a time when a group has several blocks.
+STRETCH = 1 << 22
+
+
+def drawn(n: int, first: int, count: int) -> np.ndarray:
+    """The values, by number below ``n``, that ``count`` draws from number ``first`` on fall on; each is made once."""
+    lanes = max(1, min(count, LANES))
+    length = -(-count // lanes)
+    state = states(first + np.arange(lanes, dtype=np.int64) * length)
+    out = np.empty((length, lanes), np.int64)
+    for t in range(length):
+        state = _step(state)
+        out[t] = state % np.uint32(n) if n < 1 << 32 else state
+    return out.T.ravel()[:count]
 
 
 def _numbered(rows: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
@@ -210,9 +254,9 @@ def _numbered(rows: DataFrame, keys: list[str], value: str, order: str) -> DataF
 def bootstrap(rows: DataFrame, value: str, order: str, by: Sequence[str], *, resamples: int = RESAMPLES, digits: int = 6, block: int = BOOTSTRAP_BLOCK, draws: int = BOOTSTRAP_DRAWS) -> DataFrame:
     """(by, low, high, n): the 95 % interval of the mean over resamples drawn by one generator in case order.
 
-    Groups may have any size. Their values are numbered and cut into blocks; tasks take some samples of one block,
-    start the generator where those samples begin and add up the draws that fall on the block. Values of equal order are
-    numbered by value.
+    Groups may have any size. Their values are numbered and cut into blocks. A task takes some samples of a group of one block,
+    starts the generator where they begin and adds up. Draws of larger groups are made once, parted by the block that they fall
+    on, and meet it some samples at a time, so n values take as many draws as n values of one block do. Values of equal order are numbered by value.
     """
     keys = list(by)
     names = {f.name: f.dataType for f in rows.schema.fields}
@@ -225,7 +269,7 @@ def bootstrap(rows: DataFrame, value: str, order: str, by: Sequence[str], *, res
 
     packs = numbered.groupBy(*keys, "n", "block").applyInArrow(packed, f"{kinds}n long, block long, raw binary")
     some = F.greatest(F.lit(1), F.least(F.lit(resamples), F.expr(f"{draws} div n"))).cast("long")
-    tasks = packs.withColumn("some", some).withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long"), F.col("some"))))
+    tasks = packs.where(F.col("n") <= block).withColumn("some", some).withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long"), F.col("some"))))
 
     def summed(table: pa.Table) -> pa.Table:
         n, number, some_, first, raw = (table.column(c)[0].as_py() for c in ("n", "block", "some", "from", "raw"))
@@ -235,12 +279,54 @@ def bootstrap(rows: DataFrame, value: str, order: str, by: Sequence[str], *, res
         return pa.Table.from_arrays([*held, pa.array([n] * len(samples)), pa.array(samples), pa.array(sums)], names=[*keys, "n", "sample", "total"])
 
     sums = tasks.groupBy(*keys, "block", "from").applyInArrow(summed, f"{kinds}n long, sample long, total double")
+    sums = sums.unionByName(_large_sums(numbered, packs.where(F.col("n") > block), keys, kinds, resamples, block))
     means_ = sums.groupBy(*keys, "n", "sample").agg((F.sum("total") / F.col("n")).alias("m"))
     ends = means_.groupBy(*keys, "n").agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"), F.min("m").alias("least"))
     end = lambda i: F.when(F.col("n") == 1, F.col("least")).otherwise(F.round(F.col("q")[i], digits))
     return ends.select(*keys, end(0).alias("low"), end(1).alias("high"), "n")
 
 
+def _large_sums(numbered: DataFrame, packs: DataFrame, keys: list[str], kinds: str, resamples: int, block: int) -> DataFrame:
+    """(keys, n, sample, total) of groups of several blocks."""
+    at_once = max(1, MET_DRAWS // block)
+    groups = numbered.where(F.col("n") > block).select(*keys, "n").distinct()
+    long_ = lambda i: F.lit(i).cast("long")
+    parts = groups.withColumn("sample", F.explode(F.sequence(long_(0), long_(resamples - 1))))
+    parts = parts.withColumn("first", F.explode(F.sequence(long_(0), F.col("n") - 1, long_(STRETCH))))
+    spread = parts.repartition(*[F.col(k) for k in keys], "sample", "first")
+    names = [*keys, "n", "block", "range", "sample", "raw"]
+
+    def parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                n, sample, first = (row.column(c)[0].as_py() for c in ("n", "sample", "first"))
+                at = drawn(n, sample * n + first, min(STRETCH, n - first))
+                of = at // block
+                order = np.argsort(of, kind="stable")
+                of, at = of[order], (at[order] - of[order] * block).astype("<u4")
+                begins = np.flatnonzero(np.diff(of, prepend=-1))
+                raws = [at[a:b].tobytes() for a, b in zip(begins, [*begins[1:], len(at)], strict=True)]
+                held = [row.column(k).take(pa.array([0] * len(raws))) for k in keys]
+                same = lambda v: pa.array([v] * len(raws), pa.int64())  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([*held, same(n), pa.array(of[begins]), same(sample // at_once), same(sample), pa.array(raws, pa.binary())], names=names)
+
+    fallen = spread.mapInArrow(parted, f"{kinds}n long, block long, range long, sample long, raw binary")
+    ranges = packs.withColumn("range", F.explode(F.sequence(long_(0), long_((resamples - 1) // at_once))))
+    together = [*keys, "n", "block", "range"]
+
+    def met(some: pa.Table, held: pa.Table) -> pa.Table:
+        x = np.frombuffer(held.column("raw")[0].as_py(), float)
+        totals: dict[int, float] = {}
+        for sample, raw in zip(some.column("sample").to_pylist(), some.column("raw"), strict=True):
+            totals[sample] = totals.get(sample, 0.0) + float(x[np.frombuffer(raw.as_buffer(), "<u4")].sum())
+        first = held.slice(0, 1)
+        same = [first.column(k).take(pa.array([0] * len(totals))) for k in [*keys, "n"]]
+        return pa.Table.from_arrays([*same, pa.array(list(totals), pa.int64()), pa.array(list(totals.values()), pa.float64())], names=[*keys, "n", "sample", "total"])
+
+    return fallen.groupBy(*together).cogroup(ranges.groupBy(*together)).applyInArrow(met, f"{kinds}n long, sample long, total double")
+
+
 def judged(raw: Column, required: Column, forbidden: Column, has_reference: Column) -> Column:
     """A judge's JSON answer as clamped scores; null if it is no object."""
     from lodestone.functions.text import json_object

@@ -536,9 +536,9 @@ SELECT case_id, count(*) AS n_claims, count(*) FILTER (m >= {threshold}) AS n_ov
 def _claims(spark: SparkSession, sf_dir: str, threshold: float) -> DataFrame:
     e = demo.table(spark, sf_dir, "embeddings")
     claims = e.select(F.col("label").alias("case_id"), F.col("vec_id").alias("claim_id"), "embedding")
-    said = e.select(F.col("label").alias("case_id"), F.col("vec_id").alias("sentence_id"), F.col("embedding").alias("_s"))
-    best = claims.join(said, "case_id").where("claim_id != sentence_id").groupBy("case_id", "claim_id").agg(F.round(F.max(T.dot("embedding", "_s")), 9).alias("similarity"))
-    return metrics.claim_metrics(best, threshold)
+    found = metrics.claim_similarity(claims, e.select(F.col("label").alias("case_id"), F.col("vec_id").alias("sentence_id"), "embedding"), apart="sentence_id")
+    # a claim without another vector of its label is in no pair
+    return metrics.claim_metrics(found.withColumn("similarity", F.round("similarity", 9)), threshold)
 
 
 @query(_claim_sql(0.4))

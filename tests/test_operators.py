@@ -445,6 +445,38 @@ def test_bootstrap_in_blocks_equals_a_plain_loop(spark):
         assert {g: r.n for g, r in got.items()} == {"a": 57, "b": 2, None: 23}
 
 
+def test_draws_of_large_groups_are_made_once(spark, monkeypatch):
+    n = 5_000
+    state, want = np.full(1, metrics.SEED, np.uint32), []
+    for _ in range(3 * n):
+        state = metrics._step(state)
+        want.append(int(state[0] % n))
+    assert metrics.drawn(n, 0, n).tolist() == want[:n] and metrics.drawn(n, 2 * n + 17, 900).tolist() == want[2 * n + 17 : 2 * n + 917]
+    df = spark.createDataFrame([("a", i, float(i * 7919 % 101)) for i in range(n)], "g string, i int, v double")
+    plans = {b: metrics.bootstrap(df, "v", "i", ["g"], resamples=6, block=b) for b in (n, 64)}
+    assert plans[n].collect() == plans[64].collect()
+    # of 79 blocks each takes part in one meeting for all samples, and no task makes a draw for each block
+    numbered = metrics._numbered(df, ["g"], "v", "i").withColumn("block", F.expr("i div 64"))
+    packs = numbered.groupBy("g", "n", "block").agg(F.lit(b"").alias("raw"))
+    left = metrics._large_sums(numbered, packs, ["g"], "g string, ", 6, 64)
+    text = left._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("MapInArrow") == 1
+
+
+def test_claims_meet_sentences_in_tiles(spark):
+    rng = np.random.default_rng(5)
+    vector = lambda: rng.normal(size=5).tolist()
+    claims = [(c, i, vector()) for c, n in (("a", 30), ("b", 1), ("none", 3), (None, 2)) for i in range(n)]
+    said = [(c, i, vector()) for c, n in (("a", 45), ("b", 2), ("other", 4)) for i in range(n)]
+    kinds = "case_id string, {} int, embedding array<double>"
+    c, s = spark.createDataFrame(claims, kinds.format("claim_id")), spark.createDataFrame(said, kinds.format("sentence_id"))
+    for apart in (None, "sentence_id"):
+        want = {(k, i): max((float(np.dot(v, w)) for k2, j, w in said if k == k2 and not (apart and i == j)), default=0.0) for k, i, v in claims if k is not None}
+        for tile in (4096, 7):
+            got = {(r.case_id, r.claim_id): r.similarity for r in metrics.claim_similarity(c, s, apart=apart, tile=tile).collect()}
+            assert got == pytest.approx(want)
+
+
 def test_bootstrap_of_a_large_group(spark):
     df = spark.range(30_000).selectExpr("'g' AS g", "id AS i", "CAST(id % 100 AS DOUBLE) AS v")
     r = metrics.bootstrap(df, "v", "i", ["g"], resamples=20, block=7_000).first()
