@@ -46,7 +46,7 @@ class OfflineClient:
     def chat(self, message: str, documents: Sequence[tuple[str, str]], history: Sequence[tuple[str, str]], max_tokens: int) -> str:
         if not documents:
             return "Insufficient evidence in the documents."[: 4 * max_tokens]
-        said = "\n".join(f"{text.split('. ')[0].strip().rstrip('.')}. [{chunk}]" for chunk, text in documents[:3]) + "\n\nConflict detected: none identified."
+        said = "\n".join(f"{text.split('. ')[0].strip().rstrip('.')}. [{chunk}]" for chunk, text in documents[:3]) + "\n\nConflict detected: no."
         return said[: 4 * max_tokens]
 
 

@@ -658,9 +658,10 @@ def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 _COUNTS = f"WITH {_EV}, c AS (SELECT conversation_id, count(*) FILTER (thumb = 'up') AS up, count(*) FILTER (thumb = 'side') AS side, count(*) FILTER (thumb = 'down') AS down, up + side + down AS total FROM ev GROUP BY conversation_id)"
 
 
-@query(f"""{_COUNTS} SELECT conversation_id, CASE WHEN up > side + down THEN 'Mostly positive' WHEN side + down > up THEN 'Needs attention' WHEN total > 0 THEN 'Mixed signal' ELSE 'No signal yet' END AS overall,
-CASE WHEN up > down AND up > side THEN 'Upvotes are leading' WHEN down > up AND down > side THEN 'Downvotes are leading' WHEN side > up AND side > down THEN 'Sideways feedback is leading' WHEN total > 0 THEN 'No single signal is dominating' ELSE 'No signal yet' END AS dominant,
-CASE WHEN total = 0 THEN 'Waiting for the first feedback events.' WHEN side + down = 0 THEN 'Feedback is currently positive without open concerns.' WHEN down > up THEN 'Users are flagging more issues than approvals right now.' WHEN side + down = up THEN 'Feedback is split between approvals and issues.' ELSE 'There are some concerns, but positive feedback still leads.' END AS snapshot FROM c""")
+@query(f"""{_COUNTS} SELECT conversation_id, CASE WHEN up > side + down THEN 'good' WHEN side + down > up THEN 'to be looked at' WHEN total > 0 THEN 'even' ELSE 'no votes' END AS overall,
+CASE WHEN total = 0 THEN 'no votes' WHEN up > down AND up > side THEN 'up leads' WHEN down > up AND down > side THEN 'down leads' WHEN side > up AND side > down THEN 'side leads' ELSE 'shared lead' END AS dominant,
+CASE WHEN total = 0 THEN 'no vote has come in' WHEN side + down = 0 THEN 'nobody objects' WHEN down > up THEN 'more readers reject answers than approve of them'
+  WHEN side + down = up THEN 'as many objections as approvals' ELSE 'fewer rejections than approvals, with objections left' END AS snapshot FROM c""")
 def quick_take(spark: SparkSession, sf_dir: str) -> DataFrame:
     take = dashboard.quick_take(*[F.col(c) for c in ("up", "side", "down", "total")])
     return _counts(spark, sf_dir).select("conversation_id", take.alias("t")).select("conversation_id", "t.*")

@@ -301,8 +301,8 @@ def test_conflict_labels(spark):
 def test_conflict_section(spark):
     found = spark.createDataFrame([(1, 1, "x", "y", 0.5, "amplification"), (1, 2, "x", "z", 0.4, "no_conflict")], "query_id int, n int, a_chunk_id string, b_chunk_id string, confidence double, label string")
     got = {r.query_id: r.section for r in conflicts.prompt_section(found, spark.createDataFrame([(1,), (2,)], "query_id int")).collect()}
-    assert got[1] == "Conflict detected:\n- amplification between [x] and [y] (confidence=0.5).\nWhen conflicts appear, explicitly label them in your answer."
-    assert got[2].endswith("none identified in the retrieved excerpts.")
+    assert got[1].startswith("Conflict detected:\n* [x] against [y] -> amplification @0.5\n") and "[z]" not in got[1]
+    assert got[2].startswith("Conflict detected:\n* ") and "[" not in got[2]
 
 
 # --- feedback ------------------------------------------------------------------------------------------------------
@@ -377,6 +377,33 @@ def test_stream_weights_equal_the_batch(spark, tmp_path):
     assert {(r.conversation_id, r.target): r.line_no for r in stream.latest_events(spark, str(tmp_path / "latest")).collect()} == last
 
 
+def test_keyed_state_equals_the_batch_after_a_restart(spark, tmp_path):
+    from lodestone.streaming import feedback as stream
+    from lodestone.streaming import state
+
+    rng = random.Random(6)
+    rows = [{"line_no": i, "conversation_id": rng.choice("cd"), "target": rng.choice("ABCD"), "feedback_type": rng.choice(["citation"] * 6 + ["answer"]), "thumb": rng.choice(["up", "down", "side", "none"]), "cited_chunk_ids": rng.sample("wxyz", rng.randrange(1, 3)), "timestamp": i} for i in range(60)]
+    rows[45:] = [{**r, "conversation_id": "e", "target": "A"} for r in rows[45:]]
+    log, out = tmp_path / "log", str(tmp_path / "weights")
+    log.mkdir()
+    reports = []
+    for parts in (range(2), range(2, 4)):  # the query is started again, from its checkpoint
+        for part in parts:
+            (log / f"{part}.json").write_text("\n".join(json.dumps(r) for r in rows[part * 15 : part * 15 + 15]))
+            os.utime(log / f"{part}.json", (1_700_000_000 + 60 * part,) * 2)
+        found = state.stateful_weights(stream.read_log(spark, str(log), files_per_trigger=1))
+        q = found.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination(300)
+        assert q.exception() is None
+        reports += [p for p in q.recentProgress if p["numInputRows"]]
+    key = lambda r: (r.conversation_id, r.chunk_id)
+    expected = {key(r): pytest.approx(r.weight) for r in feedback.vote_weights(spark.createDataFrame(rows, stream.EVENT)).collect()}
+    assert {key(r): r.weight for r in state.latest_weights(spark, out).collect()} == expected and len(expected) > 9
+    # the last batch votes in one conversation only, and writes state of its keys alone
+    fold = next(o for o in reports[-1]["stateOperators"] if o["numRowsTotal"] == max(x["numRowsTotal"] for x in reports[-1]["stateOperators"]))
+    assert len(reports) == 4 and fold["numRowsUpdated"] < fold["numRowsTotal"] / 2
+
+
 def test_a_batch_run_again_changes_nothing(spark, tmp_path):
     from lodestone.streaming.tables import Buckets
 
