@@ -31,6 +31,7 @@ def parser() -> argparse.ArgumentParser:
     run.add_argument("--limit", type=int, default=0)
     run.add_argument("--top-k", type=int)
     run.add_argument("--with-chat", action="store_true")
+    run.add_argument("--with-judge", action="store_true", help="let a model grade the answers; takes --with-chat")
     run.add_argument("--output", required=True)
     for name in ("required-claim", "forbidden-claim", "citation-support"):
         run.add_argument(f"--{name}-threshold", type=float)
@@ -67,6 +68,8 @@ def _answer(spark: SparkSession, args: argparse.Namespace, client: Factory, sett
 
 
 def _evaluate(spark: SparkSession, args: argparse.Namespace, client: Factory, settings: Settings) -> str:
+    if args.with_judge and not args.with_chat:
+        raise SystemExit("--with-judge takes --with-chat")
     given = {"top_k": args.top_k, "required_claim_threshold": args.required_claim_threshold, "forbidden_claim_threshold": args.forbidden_claim_threshold, "citation_support_threshold": args.citation_support_threshold}
     settings = replace(settings, **{k: v for k, v in given.items() if v is not None})
     splits = [s.strip() for s in args.split.split(",") if s.strip()]
@@ -85,9 +88,15 @@ def _evaluate(spark: SparkSession, args: argparse.Namespace, client: Factory, se
         began = time.perf_counter()
         said = checkpoint(answer.answered(chunks, questions, client=client, settings=replace(settings, enable_rewrite=False)).select(F.col("query_id").alias("case_id"), "answer"))
         seconds["chat"] = time.perf_counter() - began
-    rows = checkpoint(evaluate.case_metrics(cases, found, said, chunks, client, settings))
+    rows = evaluate.case_metrics(cases, found, said, chunks, client, settings)
+    if args.with_judge:
+        began = time.perf_counter()
+        graded = evaluate.judged(cases, found, said, chunks, client, settings)
+        seconds["judge"] = time.perf_counter() - began
+        rows = evaluate.with_judge(rows, graded)
+    rows = checkpoint(rows)
     report = evaluate.report(rows) | {
-        "config": {"cases_file": args.cases, "split_filter": splits or ["all"], "top_k": settings.top_k, "with_chat": args.with_chat, "with_judge": False, "case_count": n},
+        "config": {"cases_file": args.cases, "split_filter": splits or ["all"], "top_k": settings.top_k, "with_chat": args.with_chat, "with_judge": args.with_judge, "case_count": n},
         # cases run as one batch, so a case's time is its share
         "timing_summary_ms": {k: dict.fromkeys(("p50", "p95", "mean"), round(1000 * s / n, 3)) for k, s in seconds.items()},
     }

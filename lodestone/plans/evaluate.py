@@ -10,6 +10,7 @@ from lodestone.functions import values as V
 from lodestone.operators import metrics, models
 from lodestone.operators.models import Factory, OfflineClient
 from lodestone.settings import Settings
+from lodestone.sources.shared import checkpoint
 
 DEFAULTS = Settings()
 INTERVALS = tuple(m for m in V.SUMMARY_METRICS if m.endswith("_mean") and "count" not in m and "unique" not in m and m not in ("judge_required_claim_recall_mean", "judge_forbidden_claim_violation_mean"))
@@ -49,6 +50,53 @@ def case_metrics(cases: DataFrame, retrieved: DataFrame, answers: DataFrame, chu
     return out.join(reference, "case_id", "left").join(stats.select("case_id", "answer_sentence_count", "answer_word_count", "citation_count", "citation_sentence_rate"), "case_id", "left")
 
 
+#: What a judge is asked for, from 0 to 2 each.
+JUDGED = ("decision_correctness", "groundedness", "completeness", "mandatory_optional_precision", "uncertainty_handling", "reference_alignment")
+#: Retrieved chunks that a judge sees, and characters of each.
+SNIPPETS, SNIPPET_CHARS = 6, 600
+
+
+def judge_message(question, required, forbidden, abstain, reference, answer, snippets):
+    """What a judge is asked about an answer, as a Column of Columns."""
+    task = (
+        "Grade an answer about purchasing rules by the question, the claims and the excerpts below, and by nothing else. Reply with one JSON object. "
+        f"Keys {', '.join(JUDGED)}: 2 good, 1 in part, 0 wrong or without support. required_claim_recall: share of the required claims that the answer makes. "
+        "forbidden_claim_violation: 1 if it makes a forbidden one, else 0. required_claim_checks and forbidden_claim_checks: a list with claim, covered (or violated) as 0 or 1, and reason for each claim. notes: one sentence."
+    )
+    part = lambda title, value: F.concat(F.lit(f"\n\n{title}\n"), value)
+    return F.concat(
+        F.lit(task), part("QUESTION", question), part("REQUIRED", F.to_json(required)), part("FORBIDDEN", F.to_json(forbidden)), part("SHOULD DECLINE", F.coalesce(abstain.cast("string"), F.lit("not said"))),
+        part("REFERENCE", F.coalesce(reference, F.lit("none"))), part("ANSWER", answer), part("EXCERPTS", F.coalesce(snippets, F.lit("none"))),
+    )
+
+
+def judged(cases: DataFrame, retrieved: DataFrame, answers: DataFrame, chunks: DataFrame, client: Factory = OfflineClient, settings: Settings = DEFAULTS) -> DataFrame:
+    """(case_id, judge, judge_error): a judge's clamped scores of every case with an answer; what is no JSON object is an error.
+
+    A judge sees the first SNIPPETS chunks of a case. Without a reference answer nothing can align with it.
+    """
+    near = retrieved.where(F.col("rank") <= SNIPPETS).join(chunks.select("chunk_id", "text"), "chunk_id")
+    line = F.concat(F.lit("["), F.col("chunk_id").cast("string"), F.lit("] "), F.substring(T.strip(F.regexp_replace("text", "\n", " ")), 1, SNIPPET_CHARS))
+    shown = near.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).alias("_s")).select("case_id", F.array_join(F.transform("_s", lambda x: x["line"]), "\n").alias("_shown"))
+    said = answers.where(T.strip(F.coalesce("answer", F.lit(""))) != "")
+    rows = said.select("case_id", "answer").join(cases.withColumnRenamed("id", "case_id").select("case_id", "question", "required", "forbidden", "expect_abstain", "reference_answer"), "case_id").join(shown, "case_id", "left")
+    reference = F.nullif(T.strip(F.coalesce("reference_answer", F.lit(""))), F.lit(""))
+    none = F.array().cast("array<string>")
+    claims = {c: F.coalesce(c, none) for c in ("required", "forbidden")}
+    rows = rows.withColumns({**claims, "_reference": reference})
+    ask = judge_message(F.col("question"), F.col("required"), F.col("forbidden"), F.col("expect_abstain"), F.col("_reference"), F.col("answer"), F.col("_shown"))
+    empty = {"_documents": F.array().cast("array<struct<chunk_id:string,text:string>>"), "_history": F.array().cast("array<struct<role:string,text:string>>")}
+    told = checkpoint(models.answered(rows.withColumns({"_ask": ask, **empty}), client, name="_raw", message="_ask", documents="_documents", history="_history", max_tokens=settings.max_output_tokens))  # asked once
+    scores = metrics.judged(F.col("_raw"), F.col("required"), F.col("forbidden"), F.col("_reference").isNotNull())
+    return told.withColumn("judge", scores).select("case_id", "judge", F.when(F.col("_raw_error").isNotNull(), F.col("_raw_error")).when(F.col("judge").isNull(), "no JSON object").alias("judge_error"))
+
+
+def with_judge(rows: DataFrame, judged_: DataFrame) -> DataFrame:
+    """Case metrics with the judge's scores beside them."""
+    names = ("decision_correctness", "reference_alignment", "required_claim_recall", "forbidden_claim_violation")
+    return rows.join(judged_.select("case_id", *[F.col(f"judge.{n}").cast("double").alias(f"judge_{n}") for n in names], "judge_error"), "case_id", "left")
+
+
 def named(rows: DataFrame) -> DataFrame:
     """Case metrics under their report names; metrics that the rows lack are null."""
     have = set(rows.columns)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as T
 from lodestone.functions import urls
 from lodestone.functions import values as V
-from lodestone.operators import chunking, collect, conflicts, dashboard, feedback, hybrid, metrics, models, packing, scoring, selection
+from lodestone.operators import chunking, collect, conflicts, dashboard, feedback, hybrid, metrics, models, packing, runs, scoring, selection
 from lodestone.plans import demo
 from lodestone.settings import Settings
 from lodestone.sources import readers, writers
@@ -651,6 +651,54 @@ def bar_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dashboard.bar_widths(demo.runs(spark, sf_dir), "value", "metric").select("run_id", "metric", "width")
 
 
+_PATHS = (("metrics", "retrieval", "value"), ("metrics", "answer", "hit"), ("metrics", "answer", "note"), ("judge", "scores", "value"), ("metrics", "none"))
+
+
+def _payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A case of every event as JSON: a number, a boolean, a text, a number under a key that signups lack, an error and an answer."""
+    e = demo.table(spark, sf_dir, "events")
+    signup = F.col("event_type") == "signup"
+    case = F.struct(
+        F.struct(F.struct("value").alias("retrieval"), F.struct((F.col("event_type") == "click").alias("hit"), F.col("event_type").alias("note")).alias("answer")).alias("metrics"),
+        F.when(~signup, F.struct(F.struct("value").alias("scores"), F.when(F.col("event_type") == "error", "failed").alias("error"))).alias("judge"),
+        F.when(F.col("value") < 20, "late").otherwise("").alias("chat_error"), F.when(F.col("event_type") != "view", F.col("props")).alias("answer"),
+    )
+    return e.select("event_id", "user_id", "event_type", "value", F.to_json(case).alias("case"))
+
+
+@query("""SELECT path, count(v) AS n, round(avg(v), 6) AS mean FROM (
+  SELECT 'metrics.retrieval.value' AS path, value AS v FROM events UNION ALL SELECT 'metrics.answer.hit', CASE WHEN event_type = 'click' THEN 1.0 ELSE 0.0 END FROM events
+  UNION ALL SELECT 'metrics.answer.note', NULL FROM events UNION ALL SELECT 'judge.scores.value', CASE WHEN event_type <> 'signup' THEN value END FROM events
+  UNION ALL SELECT 'metrics.none', NULL FROM events) GROUP BY path""")
+def numeric_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means of nested values over the cases of all events."""
+    rows = _payloads(spark, sf_dir).select(F.parse_json("case").alias("payload"))
+    return runs.collected(rows, "payload", _PATHS).withColumn("mean", F.round("mean", 6))
+
+
+@query("""SELECT CAST(user_id AS VARCHAR) AS run_id, path, count(*) AS n, round(sum(v), 4) AS total FROM (
+  SELECT user_id, 'metrics.retrieval.value' AS path, value AS v FROM events UNION ALL SELECT user_id, 'metrics.answer.hit', CASE WHEN event_type = 'click' THEN 1.0 ELSE 0.0 END FROM events
+  UNION ALL SELECT user_id, 'judge.scores.value', value FROM events WHERE event_type <> 'signup') WHERE v IS NOT NULL GROUP BY user_id, path""")
+def numeric_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every number in the cases of all events, found without naming its path."""
+    rows = _payloads(spark, sf_dir).select(F.col("user_id").cast("string").alias("run_id"), F.parse_json("case").alias("payload"))
+    return runs.leaves(rows, "run_id", "payload", 4).groupBy("run_id", "path").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query("""SELECT CAST(user_id AS VARCHAR) AS run_id, count(*) AS total_cases, count(*) FILTER (value < 20) AS chat_error_count, count(*) FILTER (event_type = 'error') AS judge_error_count,
+  count(*) FILTER (event_type = 'view' OR trim(coalesce(props, '')) = '') AS empty_answer_count, round(avg(value) FILTER (event_type = 'click'), 6) AS recall_at_k, count(*) AS case_count FROM events GROUP BY user_id""")
+def run_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An artifact of every user's events, written as a JSON file, read back as VARIANT and summed up."""
+    path = f"{_kept(spark, 'runs')}"
+    cases = _payloads(spark, sf_dir)
+    listed = cases.groupBy("user_id").agg(F.array_join(F.collect_list("case"), ",").alias("cases"), F.avg(F.when(F.col("event_type") == "click", F.col("value"))).alias("recall"), F.count("*").alias("n"))  # a run is one object
+    text = F.concat(F.lit('{"config":{"case_count":'), F.col("n").cast("string"), F.lit('},"overall_metrics":{"retrieval_gold_doc_recall_at_k_mean":'), F.coalesce(F.round("recall", 6).cast("string"), F.lit("null")), F.lit('},"cases":['), "cases", F.lit("]}"))
+    listed.select(F.col("user_id").cast("string").alias("run_id"), text.alias("value")).write.parquet(path)
+    rows = spark.read.schema("run_id string, value string").parquet(path).select("run_id", F.try_parse_json("value").alias("payload"))
+    found = runs.summaries(rows, "run_id", "payload")
+    return found.select("run_id", "error_breakdown.*", F.col("key_metrics.retrieval.recall_at_k").alias("recall_at_k"), F.try_variant_get("config", "$.case_count", "bigint").alias("case_count"))
+
+
 def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return demo.events(spark, sf_dir).groupBy("conversation_id").agg(*[F.count_if(F.col("thumb") == t).alias(t) for t in ("up", "side", "down")]).withColumn("total", F.expr("up + side + down"))
 

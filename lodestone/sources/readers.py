@@ -110,6 +110,13 @@ def run(spark: SparkSession, folder: str, run_id: str) -> DataFrame:
     return found
 
 
+def run_payloads(spark: SparkSession, folder: str) -> DataFrame:
+    """(run_id, modified, payload): runs with their whole content as VARIANT; that of a broken file is null."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(folder)
+    name = F.regexp_extract("path", "([^/]*)$", 1)
+    return files.select(F.regexp_replace(name, r"\.json$", "").alias("run_id"), F.col("modificationTime").alias("modified"), F.try_parse_json(F.decode("content", "UTF-8")).alias("payload"))
+
+
 def latest_run(listed: DataFrame) -> DataFrame:
     """The run changed last; the smaller id of equals."""
     return listed.orderBy(F.desc("modified"), "run_id").limit(1)

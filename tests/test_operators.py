@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import dot, overlap_share
-from lodestone.operators import chunking, collect, conflicts, dashboard, feedback, hybrid, metrics, models, packing, scoring, selection
+from lodestone.operators import chunking, collect, conflicts, dashboard, feedback, hybrid, metrics, models, packing, runs, scoring, selection
 from lodestone.settings import Settings
 
 
@@ -418,6 +418,30 @@ def test_a_batch_run_again_changes_nothing(spark, tmp_path):
     assert {r.k: r.n for r in kept.read(3).collect()}["5"] == 2 and sorted(map(len, kept.versions().values())) == [1, 1, 2]
 
 
+# --- run artifacts ---------------------------------------------------------------------------------------------------
+def test_nested_numbers_of_payloads(spark):
+    texts = ['{"a":{"b":1,"c":true,"d":"7","e":null,"f":[1],"g":{"h":2.5}}}', '{"a":{"b":false}}', '{"a":3}', "[1]", "{broken", None, '{"a":{"b":{"c":9}}}']
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", F.try_parse_json("t").alias("p"))
+    paths = [("a", "b"), ("a", "c"), ("a", "d"), ("a", "e"), ("a", "f"), ("a", "g", "h"), ("a",), ("a", "b", "c")]
+    got = {r.path: (r.n, r.mean) for r in runs.collected(rows, "p", paths).collect()}
+    assert got == {"a.b": (2, 0.5), "a.c": (1, 1.0), "a.d": (0, None), "a.e": (0, None), "a.f": (0, None), "a.g.h": (1, 2.5), "a": (1, 3.0), "a.b.c": (1, 9.0)}
+    found = sorted((r.i, r.path, r.value) for r in runs.leaves(rows, "i", "p").collect())
+    assert found == [(0, "a.b", 1.0), (0, "a.c", 1.0), (0, "a.g.h", 2.5), (1, "a.b", 0.0), (2, "a", 3.0), (6, "a.b.c", 9.0)]
+
+
+def test_run_summaries(spark, tmp_path):
+    from lodestone.sources import readers
+
+    cases = [{"chat_error": "x", "answer": " "}, {"chat_error": "", "judge": {"error": "y"}, "answer": "yes"}, {"judge": None, "answer": None}, {"answer": 4}, "odd", {"chat_error": None, "judge": "z", "answer": "no"}]
+    (tmp_path / "one.json").write_text(json.dumps({"config": {"top_k": 3}, "overall_metrics": {"retrieval_gold_doc_mrr_mean": 0.5}, "cases": cases}))
+    (tmp_path / "two.json").write_text(json.dumps({"cases": {"no": "list"}, "subgroup_metrics": {"by_mode": {"rfp": {"count": 2}}}}))
+    (tmp_path / "three.json").write_text("{broken")
+    got = {r.run_id: r for r in runs.summaries(readers.run_payloads(spark, str(tmp_path)), "run_id", "payload").collect()}
+    assert tuple(got["one"].error_breakdown) == (6, 1, 1, 3) and got["one"].key_metrics.retrieval.mrr == 0.5 and got["one"].config.toPython() == {"top_k": 3}
+    assert tuple(got["two"].error_breakdown) == (0, 0, 0, 0) == tuple(got["three"].error_breakdown)
+    assert got["two"].subgroup_metrics.toPython()["by_mode"]["rfp"]["count"] == 2 and got["three"].overall_metrics is None and got["two"].key_metrics.retrieval.mrr is None
+
+
 # --- metrics -------------------------------------------------------------------------------------------------------
 def test_worked_retrieval_examples(spark):
     retrieved = spark.createDataFrame([(1, 1, "z"), (1, 2, "b"), (1, 3, "a"), (2, 1, "a"), (2, 2, "a"), (2, 3, "a"), (2, 4, "b"), (4, 1, "q")], "case_id int, rank int, prefix string")

@@ -132,6 +132,37 @@ def test_evaluation(spark, chunks, tmp_path):
     assert any(r.subgroup == "unknown" for r in evaluate.subgroups(table).collect())
 
 
+class Judging(Talking):
+    """Grades answers with JSON, but for those on travel."""
+
+    def chat(self, message, documents, history, max_tokens):
+        if message.startswith("Grade an answer"):
+            if "QUESTION\nWho books" in message:
+                return "no verdict"
+            assert "EXCERPTS\n[a__" in message and 'REQUIRED\n["Offers close."]' in message
+            return '```json\n{"decision_correctness": 5, "groundedness": 1, "reference_alignment": 2, "required_claim_checks": [{"claim": "x", "covered": 1}], "forbidden_claim_violation": 1, "notes": " ok "}\n```'
+        return super().chat(message, documents, history, max_tokens)
+
+
+def test_judge(spark, chunks):
+    import sys
+
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    cases = spark.createDataFrame([("1", "When must suppliers send the offer?", ["Offers close."], [], None, " "), ("2", "Who books travel?", None, None, True, "the office"), ("3", "unanswered", [], [], None, None)],
+                                  "id string, question string, required array<string>, forbidden array<string>, expect_abstain boolean, reference_answer string")
+    found = spark.createDataFrame([("1", r + 1, f"a__{r}") for r in range(2)] + [("2", 9, "c__0")], "case_id string, rank int, chunk_id string")
+    said = spark.createDataFrame([("1", "Before closing."), ("2", "The office."), ("3", " ")], "case_id string, answer string")
+    rows = {r.case_id: r for r in evaluate.judged(cases, found, said, chunks, Judging).collect()}
+    assert set(rows) == {"1", "2"} and rows["2"].judge is None and rows["2"].judge_error == "no JSON object"
+    one = rows["1"].judge
+    assert (one.decision_correctness, one.groundedness, one.completeness, one.reference_alignment, one.required_claim_recall, one.forbidden_claim_violation, one.notes) == (2, 1, 0, None, 1.0, 1, "ok") and rows["1"].judge_error is None
+    base = cases.select(F.col("id").alias("case_id"), F.lit("dev").alias("split"), F.lit("rfp").alias("mode"), F.lit("q").alias("question_type"))
+    means = {r.metric: r.value for r in evaluate.summary(evaluate.with_judge(base, evaluate.judged(cases, found, said, chunks, Judging))).collect()}
+    assert means["judge_decision_correctness_mean"] == 2.0 and means["judge_reference_alignment_mean"] is None and means["judge_required_claim_recall_mean"] == 1.0
+
+
 def test_crawl(spark):
     base = "https://canadabuys.canada.ca/en/buyer-s-portal/buyer-s-guide"
     body = lambda *links: "<main><h1>T</h1><p>" + "word " * 130 + "</p>" + "".join(f'<a href="{x}">l</a>' for x in links) + "</main>"
