@@ -15,6 +15,7 @@ from lodestone.functions import values as V
 from lodestone.operators import chunking, collect, conflicts, dashboard, feedback, hybrid, metrics, models, packing, runs, scoring, selection
 from lodestone.plans import demo
 from lodestone.settings import Settings
+from lodestone.sources import conversations as store
 from lodestone.sources import readers, writers
 from lodestone.sources.shared import shared_folder
 
@@ -853,6 +854,33 @@ def _kept(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_CHATS = """m AS (SELECT conv_id, turn, role, text, min(turn) OVER (PARTITION BY conv_id) AS low FROM conversations),
+u AS (SELECT conv_id, text AS first FROM m WHERE turn = low), s AS (SELECT * FROM u WHERE conv_id % 5 <> 0)"""
+
+
+@query(f"""WITH {_CHATS} SELECT s.conv_id % 7 AS user_id, CASE WHEN length(first) > 50 THEN left(first, 50) || '...' ELSE first END AS title, count(*) AS n_messages,
+  count(*) FILTER (m.role = 'assistant') AS n_replies, arg_max(m.text, m.turn) AS last_text, CASE WHEN (s.conv_id % 7) % 2 = 0 THEN 'fr' ELSE 'en' END AS language
+FROM s JOIN m ON m.conv_id = s.conv_id GROUP BY s.conv_id, first""")
+def conversation_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All chats written to the log by three writers, a fifth of them deleted before their replies come in; what stands, with users' last languages."""
+    path = _kept(spark, "chats")
+    rows = demo.table(spark, sf_dir, "conversations").withColumn("low", F.min("turn").over(W.partitionBy("conv_id")))
+    at = (F.col("conv_id") * 1000 + F.col("turn")).cast("double").alias("created_at")
+    user = (F.col("conv_id") % 7).cast("string").alias("user_id")
+    opening = rows.where("turn = low").select("conv_id", user, F.lit(None).cast("string").alias("conversation_id"), "text", F.lit("en").alias("language"), at)
+    store.append(store.asked(opening.drop("conv_id")), path)
+    started = store.log(spark, path).where(f"kind = '{store.START}'").select("conversation_id", F.floor(F.col("created_at") / 1000).alias("conv_id"))
+    gone = started.where("conv_id % 5 = 0").select("conversation_id", F.lit(0.0).alias("created_at"))
+    said = gone.sparkSession.range(7).select(F.col("id").cast("string").alias("user_id"), F.explode(F.array(F.struct(F.lit("de").alias("language"), F.lit(1.0).alias("created_at")), F.struct(F.when(F.col("id") % 2 == 0, "fr").otherwise("en").alias("language"), F.lit(2.0).alias("created_at")))).alias("l")).select("user_id", "l.*")
+    store.append(store.deleted(gone).unionByName(store.languages_logged(said)), path)
+    later = rows.where("turn > low").join(started, "conv_id").select("conversation_id", "role", "text", F.lit("en").alias("language"), at)
+    store.append(store.messages_logged(later), path)
+    log = store.log(spark, path)
+    counted = store.messages(log).groupBy("conversation_id").agg(F.count("*").alias("n_messages"), F.count_if(F.col("role") == "assistant").alias("n_replies"), F.max_by("text", "place").alias("last_text"))
+    met = store.conversations(log).join(counted, F.col("id") == F.col("conversation_id")).join(store.languages(log), "user_id")
+    return met.select(F.col("user_id").cast("long").alias("user_id"), "title", "n_messages", "n_replies", "last_text", "language")
+
+
 @query(f"SELECT doc_id, source || ': ' || lang AS source_title, 'https://h/' || source AS source_url, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE CAST(doc_id % 10 AS INTEGER) END AS authority_rank, md5(text) AS digest FROM documents")
 def document_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents written with a header and read back; a repeated key, an unknown one and a rank that is no number among them."""
