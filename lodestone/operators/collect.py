@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
+from functools import reduce
 from html.parser import HTMLParser
 from itertools import count
 from urllib.parse import urljoin
@@ -18,6 +19,8 @@ from lodestone.functions import urls
 from lodestone.functions import values as V
 from lodestone.functions.text import col, let, strip
 
+#: Levels of a search that are kept apart.
+JOINED = 16
 TEXT_TAGS = ("h1", "h2", "h3", "h4", "h5", "h6", "p", "li")
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _DATE = re.compile(r"\d{4}-\d{2}-\d{2}")
@@ -247,18 +250,20 @@ def links(pages: DataFrame, *, url: str = "url", html: str = "html") -> DataFram
 def reachable(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """(url, level): pages reached from ``seeds`` (url) over ``edges`` (source, target), level by level until none is new.
 
-    Each level is one join of the new pages with the links; lineage is cut by a checkpoint per level.
+    Links are worked out once. Each level joins its new pages with them, leaves out all known pages and keeps its own rows only; lineage is cut by a
+    checkpoint per level, and the known pages are put together after every ``JOINED`` levels.
     """
-    known = seeds.select("url").distinct().withColumn("level", F.lit(0))
-    fresh = known
+    edges = _kept(edges.select("source", "target").where("source is not null and target is not null").distinct())
+    known, fresh = [], _kept(seeds.select("url").distinct().withColumn("level", F.lit(0)))
     for level in count(1):
+        known.append(fresh)
+        if len(known) > JOINED:
+            known = [_kept(reduce(DataFrame.unionByName, known))]
         found = edges.join(fresh.select(F.col("url").alias("source")), "source").select(F.col("target").alias("url")).distinct()
-        fresh = found.join(known.select("url"), "url", "left_anti").withColumn("level", F.lit(level))
-        fresh = _kept(fresh)
+        fresh = _kept(found.join(reduce(DataFrame.unionByName, known).select("url"), "url", "left_anti").withColumn("level", F.lit(level)))
         if fresh.isEmpty():
-            break
-        known = _kept(known.unionByName(fresh))
-    return known
+            return reduce(DataFrame.unionByName, known)
+    raise AssertionError
 
 
 def _kept(df: DataFrame) -> DataFrame:

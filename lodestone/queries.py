@@ -783,13 +783,16 @@ def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return demo.table(spark, sf_dir, "pages").select("page_id", collect.content_hash("html").alias("content_hash"), collect.word_count("html").cast("long").alias("n_words"), F.substring(F.sha1("url"), 1, 12).alias("doc_id"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT CAST(o_custkey AS BIGINT) AS a, CAST(o_custkey AS BIGINT) // 3 AS b FROM orders), w(url, level) AS (SELECT DISTINCT CAST(max(o_custkey) AS BIGINT), 0 FROM orders UNION ALL SELECT e.b, w.level + 1 FROM w JOIN e ON e.a = w.url WHERE w.level < 50 AND e.b <> w.url)
-SELECT CAST(url AS VARCHAR) AS url, min(level) AS level FROM w GROUP BY url""")
+@query(f"""WITH RECURSIVE h AS (SELECT 'page ' || page_id AS p, unnest({_HREFS}) AS l FROM pages), e AS (SELECT DISTINCT p AS s, l AS t FROM h UNION SELECT DISTINCT l, p FROM h),
+w(url, level) USING KEY (url) AS (SELECT 'page ' || min(page_id) AS url, 0 AS level FROM pages
+  UNION SELECT e.t, min(w.level) + 1 FROM w JOIN e ON e.s = w.url WHERE NOT EXISTS (SELECT 1 FROM recurring.w AS r WHERE r.url = e.t) GROUP BY e.t)
+SELECT url, CAST(level AS INTEGER) AS level FROM w""")
 def crawl_reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every customer links to a third of its number; what the greatest one reaches."""
-    keys = demo.table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("long").alias("a")).distinct()
-    edges = keys.select(F.col("a").cast("string").alias("source"), F.floor(F.col("a") / 3).cast("string").alias("target"))
-    return collect.reachable(keys.agg(F.max("a").cast("string").alias("url")), edges)
+    """What the first page reaches over the links of all pages, and from a link back to every page that has it."""
+    pages = demo.table(spark, sf_dir, "pages")
+    held = pages.select(F.concat(F.lit("page "), F.col("page_id").cast("string")).alias("source"), F.explode(collect.anchors("html")).alias("target"))
+    edges = held.unionByName(held.select(F.col("target").alias("source"), F.col("source").alias("target")))
+    return collect.reachable(pages.agg(F.concat(F.lit("page "), F.min("page_id").cast("string")).alias("url")), edges)
 
 
 _SITE = rf"{_HOST} || '/' || split_part({_PATH}, '/', 2)"

@@ -1,4 +1,4 @@
-"""Vote weights as a stream over a keyed state store.
+"""Vote weights, and counts of the votes that stand, as streams over a keyed state store.
 
 Two stateful operators follow each other. The first is keyed by conversation and target and knows every chunk that a target has
 ever cited, so that a new vote reaches all of them; the second is keyed by conversation and chunk and holds the chunk's weight, and
@@ -10,11 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from lodestone.operators.feedback import Votes
+from lodestone.operators.feedback import Votes, summary_of_changes
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _REACHED = "conversation_id string, chunk_id string, line_no long, target string, thumb string, cites boolean"
@@ -96,3 +96,42 @@ def latest_weights(spark: SparkSession, path: str) -> DataFrame:
     """(conversation_id, chunk_id, weight) after all updates that a file sink has written to ``path``."""
     rows = spark.read.schema(UPDATE).parquet(path)
     return rows.groupBy("conversation_id", "chunk_id").agg(F.max_by("weight", "line_no").alias("weight"))
+
+
+CHANGE = "feedback_type string, thumb string, timestamp long, n int"
+
+
+class Change(StatefulProcessor):
+    """What a target's new votes change: the vote that stood is taken back, the last one stands. Votes older than that are passed over."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "line_no long, thumb string, timestamp long")
+
+    def handleInputRows(self, key, rows, timer_values) -> Iterator[Row]:
+        held = self.last.get() if self.last.exists() else None
+        new = max(rows, key=lambda r: r.line_no)
+        if held is not None and held[0] >= new.line_no:
+            return
+        if held is not None:
+            yield Row(feedback_type=key[0], thumb=held[1], timestamp=held[2], n=-1)
+        self.last.update((new.line_no, new.thumb, new.timestamp))
+        yield Row(feedback_type=key[0], thumb=new.thumb, timestamp=new.timestamp, n=1)
+
+    def close(self) -> None:
+        pass
+
+
+def standing_changes(events: DataFrame) -> DataFrame:
+    """(feedback_type, thumb, timestamp, n): votes that come to stand (n = 1) and votes that no longer do (n = -1), a target's last vote being the one that stands.
+
+    Sums of n are the counts over latest votes, in any window of event time: ``feedback.summary_of_changes`` makes the board of them. A batch
+    writes at most two rows for each of its targets; votes that come late by their line are passed over, as the log's order decides.
+    """
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    rows = events.select("feedback_type", "conversation_id", "target", "line_no", "thumb", "timestamp")
+    return rows.groupBy("feedback_type", "conversation_id", "target").transformWithState(Change(), CHANGE, "Append", "None")
+
+
+def activity(spark: SparkSession, path: str, now: Column) -> DataFrame:
+    """The board from the changes that a file sink has written to ``path``."""
+    return summary_of_changes(spark.read.schema(CHANGE).parquet(path), now)

@@ -404,6 +404,30 @@ def test_keyed_state_equals_the_batch_after_a_restart(spark, tmp_path):
     assert len(reports) == 4 and fold["numRowsUpdated"] < fold["numRowsTotal"] / 2
 
 
+def test_standing_counts_equal_the_summary_at_every_batch(spark, tmp_path):
+    from lodestone.streaming import feedback as stream
+    from lodestone.streaming import state
+
+    rng = random.Random(9)
+    day = 86_400
+    rows = [{"line_no": i, "conversation_id": rng.choice("cd"), "target": rng.choice("ABCDE"), "feedback_type": rng.choice(["citation", "answer"]), "thumb": rng.choice(["up", "down", "side", "none"]), "cited_chunk_ids": [], "timestamp": i * day // 6 + rng.randrange(day)} for i in range(60)]
+    late = rows.pop(20)  # comes with the last batch, older by its line than what stands then
+    log, out = tmp_path / "log", str(tmp_path / "changes")
+    log.mkdir()
+    shown = lambda df: sorted((tuple(r) for r in df.collect()), key=repr)
+    seen = []
+    for part in range(4):
+        batch = rows[part * 15 : part * 15 + 15] + [late] * (part == 3)
+        seen += batch
+        (log / f"{part}.json").write_text("\n".join(json.dumps(r) for r in batch))
+        q = state.standing_changes(stream.read_log(spark, str(log))).writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination(300)
+        assert q.exception() is None
+        now = F.lit(max(r["timestamp"] for r in seen))
+        current = feedback.latest(spark.createDataFrame(seen, stream.EVENT), "feedback_type", "conversation_id", "target")
+        assert shown(state.activity(spark, out, now)) == shown(feedback.summary(current, now))
+
+
 def test_a_batch_run_again_changes_nothing(spark, tmp_path):
     from lodestone.streaming.tables import Buckets
 

@@ -121,3 +121,29 @@ def test_functions_in_sql(spark):
     assert [tuple(r) for r in spark.sql("select * from chunk_text('d', 'One', 100, 0)").collect()] == [("d__0", "One", "One")]
     assert [r.line for r in spark.sql("select * from page_lines('<h1>A</h1><p>b')").collect()] == ["A", "b"]
     assert len(spark.sql("select embed_text('alpha') as v").first().v) == 64
+
+
+def test_conversation_log(spark, tmp_path):
+    from lodestone.sources import conversations as store
+
+    turns = spark.createDataFrame([("u1", None, "x" * 60, "fr", 1.0), ("u1", "c9", "more", None, 2.0), (None, None, "nobody", "en", 3.0), ("u2", None, "short", "en", 4.0), ("u2", None, "short", "en", 4.0)],
+                                  "user_id string, conversation_id string, text string, language string, created_at double")
+    path = str(tmp_path / "log")
+    store.append(store.asked(turns), path)
+    log = store.log(spark, path)
+    standing = {r.user_id: r for r in store.conversations(log).collect()}
+    assert set(standing) == {"u1", "u2"} and standing["u1"].title == "x" * 50 + "..." and standing["u2"].title == "short"  # a turn written twice counts once
+    one = standing["u1"].id
+    reply = spark.createDataFrame([(one, "bot", "reply", "fr", [("t", "l", "c")], 5.0), ("c9", "bot", "to nobody", None, None, 6.0)], "conversation_id string, role string, text string, language string, citations array<struct<title:string,link:string,chunk_id:string>>, created_at double")
+    store.append(store.messages_logged(reply), path)
+    said = store.messages(store.log(spark, path)).orderBy("conversation_id", "place").where(F.col("conversation_id") == one).collect()
+    assert [(r.role, r.text, r.language, r.place) for r in said] == [("user", "x" * 60, "fr", 1), ("bot", "reply", "fr", 2)] and said[1].citations[0].link == "l"
+    assert store.messages(store.log(spark, path)).where("conversation_id = 'c9'").count() == 0  # never started
+    gone = spark.createDataFrame([(one, 7.0)], "conversation_id string, created_at double")
+    spoken = spark.createDataFrame([("u1", "de", 1.0), ("u1", "fr", 2.0), ("u2", None, 1.0)], "user_id string, language string, created_at double")
+    # two writers at once: each only adds rows
+    store.append(store.deleted(gone), path)
+    store.append(store.languages_logged(spoken).unionByName(store.messages_logged(reply.withColumn("text", F.lit("late")))), path)
+    log = store.log(spark, path)
+    assert {r.user_id for r in store.conversations(log).collect()} == {"u2"} and {r.text for r in store.messages(log).collect()} == {"short"}
+    assert {r.user_id: r.language for r in store.languages(log).collect()} == {"u1": "fr", "u2": "en"}
