@@ -21,12 +21,13 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from lodestone.operators import grid
 from lodestone.settings import Settings
+from lodestone.sources.shared import checkpoint
 
 DEFAULTS = Settings()
 #: Matches of words and questions that are counted at a time.
 _MATCHES = 4 << 20
-#: Parts to which a question's rows from all tasks are dealt before its last merge.
-PARTS = 32
+#: Tasks whose rows of a question are merged together before it is selected from.
+MERGED = 64
 
 
 # --- scores of a batch -----------------------------------------------------------------------------------------------
@@ -170,11 +171,12 @@ class Lists:
     pool: int
     modes: int = 0
 
-    def kept(self, rows: dict[str, np.ndarray], values: Sequence[np.ndarray] = ()) -> np.ndarray:
-        """The rows (key, source, score, late, matched, modes as bits) to keep, ascending."""
+    def kept(self, rows: dict[str, np.ndarray], values: Sequence[np.ndarray] = (), *, ordered: bool = False) -> np.ndarray:
+        """The rows (key, source, score, late, matched, modes as bits) to keep, ascending; ``ordered`` says that keys ascend."""
         score = rows["score"]
-        place = np.empty(len(score), np.int64)
-        place[np.argsort(rows["key"], kind="stable")] = np.arange(len(score))
+        place = np.arange(len(score))
+        if not ordered:
+            place[np.argsort(rows["key"], kind="stable")] = np.arange(len(score))
         order = np.lexsort((place, -score))
         keep = np.zeros(len(score), bool)
         keep[order[: self.pool]] = True
@@ -235,10 +237,12 @@ class Candidates:
     def add(self, chunks: pa.Table) -> None:
         if not self.scorer.questions:
             return
+        chunks = chunks.sort_by("chunk_id")
         found = self.scorer.scores(chunks)
         if self.digits is not None:
             found["score"] = np.round(found["score"], self.digits)
         keys, sources = (np.array(_column(chunks, c).to_pylist(), object) for c in ("chunk_id", "source"))
+        codes = pd.factorize(sources, use_na_sentinel=False)[0]
         for q in range(self.scorer.questions):
             values = np.array([*found["clauses"][q], *found["expansions"][q]]).reshape(-1, len(keys))
             wanted = np.ones(len(keys), bool)
@@ -249,8 +253,14 @@ class Candidates:
                 if self.lists.modes:
                     wanted |= found["modes"][q] != 0
             at = np.flatnonzero(wanted)
-            rows = {"key": keys[at], "source": sources[at], **{c: found[c][q][at] for c in _HELD[2:]}, "values": values[:, at]}
-            self._merge(q, rows)
+            own = {"source": codes[at], **{c: found[c][q][at] for c in ("score", "late", "matched", "modes")}}
+            at = at[self.lists.kept(own, self._totals(q, values[:, at], own["score"]), ordered=True)]
+            self._merge(q, {"key": keys[at], "source": sources[at], **{c: found[c][q][at] for c in _HELD[2:]}, "values": values[:, at]})
+
+    def _totals(self, q: int, values: np.ndarray, score: np.ndarray) -> list[np.ndarray]:
+        """What the coverage passes go by: their parts and their shares of the score."""
+        n_clauses = len(self.scorer.clauses[q])
+        return [v + SHARES["clauses" if i < n_clauses else "expansions"] * score for i, v in enumerate(values)]
 
     def _merge(self, q: int, rows: dict[str, np.ndarray]) -> None:
         if len(self.held) > q:
@@ -258,10 +268,8 @@ class Candidates:
             if not len(rows["key"]):
                 return
             rows = {c: np.concatenate([old[c], rows[c]], axis=-1) for c in rows}
-        n_clauses = len(self.scorer.clauses[q])
-        totals = [v + SHARES["clauses" if i < n_clauses else "expansions"] * rows["score"] for i, v in enumerate(rows["values"])]
-        keep = self.lists.kept(rows, totals)
-        rows = {c: v[..., keep] for c, v in rows.items()}
+            keep = self.lists.kept(rows, self._totals(q, rows["values"], rows["score"]))
+            rows = {c: v[..., keep] for c, v in rows.items()}
         rows["least"] = self.lists.least(rows)
         if len(self.held) > q:
             self.held[q] = rows
@@ -298,7 +306,7 @@ def _kinds(chunks: DataFrame, questions: DataFrame) -> dict[str, str]:
 
 
 def asked(questions: DataFrame) -> DataFrame:
-    """The columns of questions that scoring needs; what is missing is empty."""
+    """The columns of questions that scoring needs; what is missing is empty. They are read twice, to be summed and to be sent, so they are kept first."""
     none = {"most": "double", "qmodes": "array<string>", "tokens": "array<string>", "clauses": "array<struct<tokens:array<string>,embedding:array<float>,beside:array<string>>>", "extras": "array<struct<tokens:array<string>,embedding:array<float>,beside:array<string>>>"}
     have = set(questions.columns)
     return questions.select("query_id", "vectors", *[c if c in have else F.lit(None).cast(kind).alias(c) for c, kind in none.items()]).where(F.size("vectors") > 0)
@@ -345,38 +353,42 @@ def pairs(chunks: DataFrame, questions: DataFrame, modes: Sequence[str], setting
 
     kind = _kinds(chunks, questions)
     schema = f"query_id {kind['query_id']}, chunk_id {kind['chunk_id']}, dense double, lexical double, adjustment double, score double"
-    return grid.reduced(chunks.select("chunk_id", "embedding", "vocab", "cmodes"), asked(questions), Every, schema, limit=limit)
+    return grid.reduced(chunks.select("chunk_id", "embedding", "vocab", "cmodes"), checkpoint(asked(questions)), Every, schema, limit=limit)
 
 
 def candidates(chunks: DataFrame, questions: DataFrame, lists: Lists, modes: Sequence[str] = (), settings: Settings = DEFAULTS, *, digits: int | None = None, limit: int = grid.MAX_BROADCAST_BYTES, tile: int = grid.TILE_BYTES) -> DataFrame:
     """The rows of each question that ``lists`` keep: (query_id, chunk_id, source, dense, overlap, score, late, matched, modes, query_modes, clauses, expansions).
 
-    ``chunks`` has chunk_id, source, embedding, vocab and cmodes. Each task scores its chunks once and sends what the lists hold, each part of
-    a question's rows is merged, and then the parts are.
+    ``chunks`` has chunk_id, source, embedding, vocab and cmodes. Each task scores its chunks once and sends what the lists hold; those of many tasks are
+    merged together.
     """
     kind = _kinds(chunks, questions)
     types = {f.name: to_arrow_type(f.dataType) for f in chunks.schema.fields}
     schema = f"query_id {kind['query_id']}, chunk_id {kind['chunk_id']}, " + _ROW.format(**kind)
     wanted = chunks.select("chunk_id", "source", "embedding", "vocab", "cmodes")
-    found = grid.reduced(wanted, asked(questions), lambda table: Candidates(Scorer(table, modes, settings), lists, types["chunk_id"], types["source"], digits), schema, limit=limit, tile=tile)
+    found = grid.reduced(wanted, checkpoint(asked(questions)), lambda table: Candidates(Scorer(table, modes, settings), lists, types["chunk_id"], types["source"], digits), schema, limit=limit, tile=tile)
     return merged(found, lists, modes)
 
 
 def merged(found: DataFrame, lists: Lists, modes: Sequence[str] = ()) -> DataFrame:
-    """Of each question's rows those that ``lists`` keep, in two steps."""
-    names = list(modes)
+    """Of each question's rows from ``MERGED`` tasks together those that ``lists`` keep; a bucket of questions is merged by one task."""
+    names, columns = list(modes), found.columns
 
-    def merge(key: tuple, table: pa.Table) -> pa.Table:
+    def merge(table: pa.Table) -> pa.Table:
+        query = pd.factorize(np.array(table.column("query_id").to_pylist(), object))[0]
         rows = {"source": np.array(table.column("source").to_pylist(), object), "key": np.array(table.column("chunk_id").to_pylist(), object)}
         rows |= {"score": table.column("score").to_numpy(), "modes": _bits(_column(table, "modes"), names)}
         rows |= {c: table.column(c).to_numpy().astype(bool) for c in ("late", "matched")}
-        values = []
-        for name, share in SHARES.items():
-            column = np.array(table.column(name).to_pylist(), object)
-            width = max((len(x) for x in column), default=0)
-            values += [np.array([x[i] if x[i] is not None else np.nan for x in column], float) + share * rows["score"] for i in range(width)]
-        return table.take(pa.array(lists.kept(rows, values)))
-
-    part = F.pmod(F.xxhash64("chunk_id"), F.lit(PARTS))
-    once = found.groupBy("query_id", part).applyInArrow(merge, found.schema)
-    return once.groupBy("query_id").applyInArrow(merge, found.schema)
+        parts = {c: np.array([*table.column(c).to_pylist(), None], object)[:-1] for c in SHARES}
+        order, keep = np.argsort(query, kind="stable"), []
+        for at in np.split(order, np.flatnonzero(np.diff(query[order])) + 1):
+            some, values = {c: v[at] for c, v in rows.items()}, []
+            for name, share in SHARES.items():
+                own = parts[name][at]
+                values += [np.array([x[i] if x[i] is not None else np.nan for x in own], float) + share * some["score"] for i in range(len(own[0]))]
+            keep.append(at[lists.kept(some, values)])
+        return table.select(columns).take(pa.array(np.concatenate(keep)))
+
+    buckets = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = found.withColumns({"_part": F.floor(F.spark_partition_id() / MERGED), "_bucket": F.pmod(F.xxhash64("query_id"), F.lit(buckets))})
+    return dealt.groupBy("_bucket", "_part").applyInArrow(merge, found.schema)

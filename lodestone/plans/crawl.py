@@ -23,7 +23,7 @@ from lodestone.functions import values as V
 from lodestone.operators import collect
 from lodestone.settings import Settings
 from lodestone.sources import fetch
-from lodestone.sources.shared import shared_folder
+from lodestone.sources.shared import checkpoint, shared_folder
 
 DEFAULTS = Settings()
 #: Fetches a frontier (url, place): rows (url, place, final_url, status, content_type, html, error).
@@ -206,7 +206,7 @@ class Visited:
             byte = F.conv(F.hex(F.substring("bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
             held = F.coalesce(F.pmod(F.floor(byte / F.pow(F.lit(2.0), at % 8)), F.lit(2)) == 1, F.lit(False))
             rows = rows.withColumn("_part", F.bitmap_bucket_number(slot)).join(bits, F.col("_part") == F.col("part"), "left").withColumn("_maybe", F.col("_maybe") & held).select(*names, "_maybe")
-        rows = rows.withColumn("_bucket", F.pmod(F.xxhash64("url"), F.lit(BUCKETS)).cast("int"))
+        rows = checkpoint(rows.withColumn("_bucket", F.pmod(F.xxhash64("url"), F.lit(BUCKETS)).cast("int")))  # read three times
         maybe = rows.where("_maybe")
         touched = [r[0] for r in maybe.select("_bucket").distinct().collect()]  # at most BUCKETS numbers
         near = known.where(F.col("bucket").isin(*touched)) if touched else known.limit(0)

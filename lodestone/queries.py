@@ -17,7 +17,7 @@ from lodestone.plans import demo
 from lodestone.settings import Settings
 from lodestone.sources import conversations as store
 from lodestone.sources import readers, writers
-from lodestone.sources.shared import shared_folder
+from lodestone.sources.shared import checkpoint, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -250,7 +250,7 @@ s2 AS (SELECT *, CASE WHEN len(qmodes) = 0 THEN 0e0 WHEN list_has_any(qmodes, cm
 def hybrid_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     texted = demo.texted_chunks(spark, sf_dir).select("chunk_id", "embedding", F.col("source_path").alias("source"), scoring.vocabulary(F.col("text")).alias("vocab"), scoring.modes_of(F.col("text"), PHRASES).alias("cmodes"))
     # a chunk makes a row for each query: spread the chunks over all tasks, however few files they lie in
-    texted = texted.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "chunk_id")
+    texted = checkpoint(texted.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "chunk_id"))  # words are read twice
     q = demo.queries(spark, sf_dir).select("query_id", "vectors", F.array_distinct(T.content_tokens("question")).alias("tokens"), scoring.modes_of(F.col("question"), PHRASES).alias("qmodes"))
     rows = hybrid.pairs(texted, q.join(hybrid.greatest_overlaps(texted, q), "query_id", "left"), sorted(PHRASES))
     return rows.select("query_id", "chunk_id", *[F.round(c, 6).alias(c) for c in ("dense", "lexical", "adjustment", "score")])
