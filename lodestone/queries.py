@@ -362,7 +362,33 @@ def abstained(spark: SparkSession, sf_dir: str) -> DataFrame:
     return demo.table(spark, sf_dir, "conversations").select("conv_id", "turn", T.abstained(said).alias("abstained"))
 
 
-@query()
+#: Blocks by a walk over lines, pieces of long blocks by a walk over their lines, chunks by a walk over pieces.
+_CHUNKS = rf"""WITH RECURSIVE d AS (SELECT doc_id, {_strip("replace(text, chr(13) || chr(10), chr(10))")} AS body FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, unnest(string_split(body, chr(10))) AS line, generate_subscripts(string_split(body, chr(10)), 1) AS i FROM d WHERE body <> ''),
+k AS (SELECT *, {_strip('line')} AS bare, CASE WHEN {_strip('line')} = '' THEN 'blank' WHEN regexp_matches(line, '^\s*(```|~~~)') THEN 'fence' WHEN length(line) - length(replace(line, '|', '')) >= 2 THEN 'table'
+  WHEN regexp_matches(line, '^\s*([-*+] |[0-9][0-9]\.)') THEN 'list' ELSE 'plain' END AS kind FROM l),
+r(doc_id, i, kind, mark, start) AS (SELECT doc_id, i, kind, left(bare, 3), i FROM k WHERE i = 1
+  UNION ALL SELECT doc_id, i, CASE WHEN goes AND was = 'fence' AND starts_with(bare, mark) THEN 'closed' WHEN goes THEN was ELSE kind END, CASE WHEN goes THEN mark ELSE left(bare, 3) END, CASE WHEN goes THEN start ELSE i END
+  FROM (SELECT k.*, r.kind AS was, r.mark, r.start, CASE r.kind WHEN 'fence' THEN true WHEN 'table' THEN k.kind = 'table' WHEN 'list' THEN k.kind IN ('blank', 'list') OR starts_with(k.line, '  ') WHEN 'plain' THEN k.kind = 'plain' ELSE false END AS goes
+    FROM r JOIN k ON k.doc_id = r.doc_id AND k.i = r.i + 1)),
+b AS (SELECT doc_id, start, line, length(line) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS o, sum(length(line) + 1) OVER (PARTITION BY doc_id, start) - 1 > 1200 AS large FROM r JOIN k USING (doc_id, i) WHERE r.kind <> 'blank'),
+p(doc_id, o, start, size, piece) AS (SELECT doc_id, o, start, n, CAST(1 AS BIGINT) FROM b WHERE o = 1
+  UNION ALL SELECT b.doc_id, b.o, b.start, CASE WHEN b.start = p.start AND NOT (b.large AND p.size + 1 + b.n > 1200) THEN p.size + 1 + b.n ELSE b.n END, p.piece + CASE WHEN b.start = p.start AND NOT (b.large AND p.size + 1 + b.n > 1200) THEN 0 ELSE 1 END
+  FROM p JOIN b ON b.doc_id = p.doc_id AND b.o = p.o + 1),
+c AS (SELECT doc_id, piece AS m, string_agg(line, chr(10) ORDER BY o) AS t, {_strip("arg_min(line, o)")} AS head FROM p JOIN b USING (doc_id, o) GROUP BY doc_id, piece),
+h AS (SELECT doc_id, m, t, length(t) AS n, sum(length(t)) OVER w AS s,
+  last_value(CASE WHEN head <> '' AND (regexp_full_match(lower(head), 'step\s+[0-9]+[:.]?|([0-9]+(\.[0-9]+)+|[0-9]+)\s+.+') OR (len(list_filter(regexp_split_to_array(head, '\s+'), lambda x: x <> '')) <= 12 AND upper(head[1]) = head[1] AND lower(head[1]) <> head[1] AND NOT ends_with(head, '.'))) THEN head END IGNORE NULLS) OVER w AS title
+  FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY m ROWS UNBOUNDED PRECEDING)),
+g AS (SELECT x.*, (SELECT max(y.m) FROM h AS y WHERE y.doc_id = x.doc_id AND y.m <= x.m AND x.s - y.s + y.n >= 200) AS tail FROM h AS x),
+f(doc_id, m, a, no) AS (SELECT doc_id, m, m, 0 FROM g WHERE m = 1
+  UNION ALL SELECT doc_id, m, CASE WHEN fits THEN a ELSE greatest(a, coalesce(tail, a)) END, CASE WHEN fits THEN no ELSE no + 1 END
+  FROM (SELECT z.doc_id, z.m, f.a, f.no, x.tail, x.s - y.s + y.n + 2 * (x.m - f.a) + 2 + z.n <= 1200 AS fits FROM f JOIN g AS x USING (doc_id, m) JOIN g AS y ON y.doc_id = f.doc_id AND y.m = f.a JOIN g AS z ON z.doc_id = f.doc_id AND z.m = f.m + 1)),
+e AS (SELECT doc_id, no, max(m) AS m, arg_max(a, m) AS a FROM f GROUP BY doc_id, no)
+SELECT e.doc_id, 'doc' || e.doc_id || '__' || e.no AS chunk_id, CAST(e.no AS INTEGER) AS chunk_no, coalesce(any_value(x.title), '') AS section_title, {_strip("string_agg(y.t, chr(10) || chr(10) ORDER BY y.m)")} AS text
+FROM e JOIN g AS x ON x.doc_id = e.doc_id AND x.m = e.m JOIN g AS y ON y.doc_id = e.doc_id AND y.m BETWEEN e.a AND e.m GROUP BY e.doc_id, e.no"""
+
+
+@query(_CHUNKS)
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select(F.col("doc_id"), F.concat(F.lit("doc"), "doc_id").alias("stem"), F.col("text").alias("body"))
     return chunking.chunked(docs, carry=("doc_id",))
