@@ -20,9 +20,14 @@ from pyspark.sql.pandas.types import to_arrow_schema
 MAX_BROADCAST_BYTES = 64 << 20
 #: Bytes of queries, and of chunks, that meet in a cell of the grid.
 TILE_BYTES = 32 << 20
+#: The same where a cell's pairs are all sent on.
+PAIR_TILE_BYTES = 1 << 20
 
 
 class Reducer(Protocol):
+    #: Whether rows are given up after every batch, as they are the result and not a choice from it.
+    streams: bool
+
     def add(self, chunks: pa.Table) -> None: ...
 
     def rows(self) -> pa.Table: ...
@@ -71,6 +76,8 @@ def reduced(chunks: DataFrame, queries: DataFrame, make: Callable[[pa.Table], Re
             for batch in batches:
                 if batch.num_rows:
                     reducer.add(pa.Table.from_batches([batch]))
+                    if getattr(reducer, "streams", False):
+                        yield from typed(reducer.rows()).to_batches()
             yield from typed(reducer.rows()).to_batches()
 
         return chunks.mapInArrow(run, schema)

@@ -336,6 +336,8 @@ def pairs(chunks: DataFrame, questions: DataFrame, modes: Sequence[str], setting
     """(query_id, chunk_id, dense, lexical, adjustment, score) of all pairs, which are the result."""
 
     class Every:
+        streams = True
+
         def __init__(self, table: pa.Table) -> None:
             self.scorer, self.parts = Scorer(table, modes, settings), []
 
@@ -353,7 +355,7 @@ def pairs(chunks: DataFrame, questions: DataFrame, modes: Sequence[str], setting
 
     kind = _kinds(chunks, questions)
     schema = f"query_id {kind['query_id']}, chunk_id {kind['chunk_id']}, dense double, lexical double, adjustment double, score double"
-    return grid.reduced(chunks.select("chunk_id", "embedding", "vocab", "cmodes"), checkpoint(asked(questions)), Every, schema, limit=limit)
+    return grid.reduced(chunks.select("chunk_id", "embedding", "vocab", "cmodes"), checkpoint(asked(questions)), Every, schema, limit=limit, tile=grid.PAIR_TILE_BYTES)
 
 
 def candidates(chunks: DataFrame, questions: DataFrame, lists: Lists, modes: Sequence[str] = (), settings: Settings = DEFAULTS, *, digits: int | None = None, limit: int = grid.MAX_BROADCAST_BYTES, tile: int = grid.TILE_BYTES) -> DataFrame:

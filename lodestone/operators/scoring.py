@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from lodestone.functions import values as V
 from lodestone.functions.text import contains_any, content_tokens, distinct_ignoring_case, dot, normalized, strip
 from lodestone.operators import grid
+from lodestone.operators.hybrid import TokenSets
 from lodestone.settings import Settings
+from lodestone.sources.shared import checkpoint
 
 DEFAULTS = Settings()
 
@@ -101,17 +103,33 @@ def vocabulary(*texts: Column) -> Column:
     return F.array_distinct(content_tokens(F.concat_ws("\n", *texts)))
 
 
-def lexical_scores(chunks: DataFrame, queries: DataFrame, chunk_key: str = "chunk_id") -> DataFrame:
-    """(query_id, chunk, overlap): the share of a query's distinct tokens in a chunk's vocabulary.
+def lexical_scores(chunks: DataFrame, queries: DataFrame, chunk_key: str = "chunk_id", *, limit: int = grid.MAX_BROADCAST_BYTES, tile: int = grid.PAIR_TILE_BYTES) -> DataFrame:
+    """(query_id, chunk, overlap): the share of a query's distinct tokens in a chunk's vocabulary, which has no repeats.
 
-    Meets through an inverted index, so pairs without a common token are never built; they
-    have an overlap of 0. ``chunks`` has vocab, ``queries`` has query_id and tokens.
+    Pairs without a common token are left out; they have an overlap of 0. Words of a batch of chunks are looked up among those of all queries, or
+    of a tile of them, and counted where the chunks lie, so a word that is everywhere makes no large group. ``chunks`` has vocab, ``queries`` has query_id and tokens.
     """
-    asked = queries.select("query_id", F.array_distinct("tokens").alias("t")).withColumn("n", F.size("t"))
-    asked = asked.select("query_id", "n", F.explode("t").alias("token"))
-    index = chunks.select(chunk_key, F.explode("vocab").alias("token"))
-    hits = index.join(small(asked), "token").groupBy("query_id", chunk_key, "n").agg(F.count("*").alias("hits"))
-    return hits.select("query_id", chunk_key, (F.col("hits") / F.col("n")).alias("overlap"))
+
+    class Shared:
+        streams = True
+
+        def __init__(self, table: pa.Table) -> None:
+            self.ids, self.sets = table.column("query_id").combine_chunks(), TokenSets(table.column("tokens").to_pylist())
+            self.parts: list[pa.Table] = []
+
+        def add(self, table: pa.Table) -> None:
+            shares = self.sets.shares(table.column("vocab").combine_chunks())
+            query, chunk = np.nonzero(shares)
+            keys = table.column(0).combine_chunks()
+            self.parts.append(pa.table([self.ids.take(pa.array(query)), keys.take(pa.array(chunk)), pa.array(shares[query, chunk])], names=["query_id", chunk_key, "overlap"]))
+
+        def rows(self) -> pa.Table:
+            out, self.parts = self.parts, []
+            return pa.concat_tables(out) if out else pa.schema([]).empty_table()
+
+    kinds = {f.name: f.dataType.simpleString() for f in (*chunks.schema.fields, *queries.schema.fields)}
+    asked = checkpoint(queries.select("query_id", "tokens"))  # read twice, to be summed and to be sent
+    return grid.reduced(chunks.select(chunk_key, "vocab"), asked, Shared, f"query_id {kinds['query_id']}, `{chunk_key}` {kinds[chunk_key]}, overlap double", limit=limit, tile=tile)
 
 
 def modes_of(text: Column, phrases: Mapping[str, Sequence[str]] = V.MODE_PHRASES) -> Column:

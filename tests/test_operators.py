@@ -187,6 +187,16 @@ def test_batches_score_as_columns_do(spark):
     assert hybrid.candidates(chunks.limit(0), questions, every, ["acan"]).count() == hybrid.candidates(chunks, questions.limit(0), every, ["acan"]).count() == 0
 
 
+def test_shared_words_of_all_pairs(spark):
+    chunks, questions = hybrid_tables(spark, 90, 5)
+    want = sorted((r.query_id, r.chunk_id, round(r.o, 9)) for r in chunks.join(questions).select("query_id", "chunk_id", overlap_share(F.col("tokens"), F.col("vocab")).alias("o")).where("o > 0").collect())
+    for limit, tile in ((1 << 20, 1 << 20), (0, 1 << 20), (0, 700)):
+        got = scoring.lexical_scores(chunks, questions, limit=limit, tile=tile)
+        assert sorted((r.query_id, r.chunk_id, round(r.overlap, 9)) for r in got.collect()) == want
+        assert "NestedLoop" not in got._jdf.queryExecution().toString()
+    assert scoring.lexical_scores(chunks.limit(0), questions).count() == scoring.lexical_scores(chunks, questions.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("sources", [3, 40, 5000])
 def test_candidates_are_enough_for_every_selection(spark, sources, monkeypatch):
     chunks, questions = hybrid_tables(spark, 2_000, sources, seed=sources)
