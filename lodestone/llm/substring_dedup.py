@@ -5,9 +5,9 @@ of a GRAM-word run, so that hash deals them to shards: a segment is a stretch of
 the same least hash, and all equal windows meet in one shard. Only segments whose hash occurs twice can hold
 a repeated window; a bitmap of fixed size, made from exact counts, keeps most others from being sent.
 
-A shard orders its segments by document and place, keeps one of each equal text and indexes those: a
+A shard orders its segments by document and place, keeps the first of each equal text (all windows of the others stand earlier) and indexes those: a
 suffix order over 2 * WINDOW words at most, its Burrows-Wheeler transform as a wavelet matrix of packed bits, and the first place of each group of
-suffixes that begin with the same window. Its documents' segments then stream through the index by backward
+suffixes that begin with the same window. These segments then stream through the index by backward
 search, many at a time, which gives every position's matching statistic (how far the words from there on are
 in the index); a position that matches a whole window whose first place is another one is reported. The words of segments are
 compared as they are; hashes only deal and filter. Stretches of reported windows go back to their documents.
