@@ -144,6 +144,11 @@ class Judging(Talking):
         return super().chat(message, documents, history, max_tokens)
 
 
+class Grading(Talking):
+    def chat(self, message, documents, history, max_tokens):
+        return '{"decision_correctness": 1}' if message.startswith("Grade an answer") else super().chat(message, documents, history, max_tokens)
+
+
 def test_judge(spark, chunks):
     import sys
 
@@ -288,9 +293,14 @@ def test_answer_command(spark, folder):
 
 def test_evaluate_and_compare_commands(spark, folder):
     import json
+    import sys
+
+    from pyspark import cloudpickle
 
     from lodestone import cli
 
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
     cases = [{"id": str(i), "question": f"Who books travel {i}?", "split": "dev" if i else "test", "gold_relevant_doc_prefixes": ["c"], "required_claims": ["Travel is booked by the office."]} for i in range(3)]
     (folder / "cases.jsonl").write_text("# cases\n" + "\n".join(map(json.dumps, cases)))
     common = ["evaluate", "--documents", str(folder / "docs"), "--cases", str(folder / "cases.jsonl"), "--top-k", "2", "--output"]
@@ -302,6 +312,11 @@ def test_evaluate_and_compare_commands(spark, folder):
         held = json.loads(text)
         assert held["overall_metrics"]["retrieval_gold_doc_recall_at_k_mean"] == 1.0 and {"by_split", "by_mode_x_question_type"} <= set(held["subgroup_metrics"])
         (folder / "runs" / f"{name}.json").write_text(text)
+    with pytest.raises(SystemExit):
+        cli.main([*common, str(folder / "three"), "--with-judge"], spark=spark)
+    cli.main([*common, str(folder / "three"), "--limit", "1", "--with-chat", "--with-judge"], spark=spark, client=Grading)
+    held = json.loads(spark.read.text(str(folder / "three")).first().value)
+    assert held["config"]["with_judge"] and held["overall_metrics"]["judge_decision_correctness_mean"] == 1.0 and "judge" in held["timing_summary_ms"]
     said = cli.main(["compare", str(folder / "runs"), "one", "two"], spark=spark)
     assert "retrieval_gold_doc_recall_at_k_mean: 1.0 -> 1.0 (0.0, neutral)" in said
 
