@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import modest_batches, table, written
+from lodestone.llm.common import dropped, modest_batches, table, written
 
 FAN, HEIGHT = 16, 3
 BLOCK = FAN**HEIGHT
@@ -152,6 +152,8 @@ def manifest(df: DataFrame, key: str, group: str, digest: Column, probe: Column
     spans = placed.select(F.col("part").alias("p"), F.col("grp").alias("g"), "tree", "leaves", "before", "first")
     ranked = ordered.join(spans, (F.col("part") == F.col("p")) & F.col("grp").eqNullSafe(F.col("g")))
     ranked = written(ranked.select("key", "leaf", "probe", "part", "tree", "leaves", (F.col("at") - F.col("first") + F.col("before")).alias("index")), "ranked")
+    for read in (leaves, ordered):
+        dropped(read)
     rounds = _reduced(ranked, n_trees, 1 + (placed.agg(F.max("part")).first()[0] or 0), merged)
     root = rounds.where(F.col("kind") == _ROOT).select("nodes").first()
     runs = rounds.where(F.col("kind") == _RUN).drop("forest", "kind")

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import as_bytes, map_columns, modest_batches, table, written
+from lodestone.llm.common import as_bytes, dropped, map_columns, modest_batches, table, written
 
 WINDOW, GRAM = 20, 6
 #: Windows of a segment at most; longer stretches are several segments.
@@ -402,6 +402,7 @@ def repeats(df: DataFrame, key: str, text: str, *, shard: int = SHARD, hot: int
     again = written(counts.groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1"), "repeats")
     shards = max(1, -(-(again.agg(F.sum("n")).first()[0] or 0) // shard))
     sent = spark.sparkContext.broadcast((_bits(again), _hot(again, most_hot, hot)))
+    dropped(again)
     cut = df.select(F.col(key).cast("long").alias("id"), *_row(F.col(key), F.col(text)), F.col(text).alias("text"))
 
     def segments(batches):
