@@ -24,9 +24,15 @@ TILE_BYTES = 32 << 20
 PAIR_TILE_BYTES = 1 << 20
 
 
+#: Numbers in a matrix of queries and chunks at a time.
+CELLS = 4 << 20
+
+
 class Reducer(Protocol):
     #: Whether rows are given up after every batch, as they are the result and not a choice from it.
     streams: bool
+    #: Chunks that it takes at a time, so that what it works out for all its queries stays small.
+    at_once: int
 
     def add(self, chunks: pa.Table) -> None: ...
 
@@ -59,6 +65,17 @@ def _total(rows: DataFrame) -> tuple[int, int]:
     return total[0] or 0, total[1]
 
 
+def _parts(table: pa.Table, reducer: Reducer) -> Iterator[pa.Table]:
+    most = getattr(reducer, "at_once", 0) or max(1, table.num_rows)
+    for i in range(0, table.num_rows, most):
+        yield table.slice(i, most).combine_chunks()
+
+
+def at_once(queries: int) -> int:
+    """How many chunks meet so many queries, or vectors of queries, at a time."""
+    return max(16, CELLS // max(1, queries))
+
+
 def reduced(chunks: DataFrame, queries: DataFrame, make: Callable[[pa.Table], Reducer], schema: str, *, limit: int = MAX_BROADCAST_BYTES, tile: int = TILE_BYTES) -> DataFrame:
     """Rows that reducers of all queries and parts of the chunks keep.
 
@@ -74,8 +91,8 @@ def reduced(chunks: DataFrame, queries: DataFrame, make: Callable[[pa.Table], Re
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             reducer = make(sent.value)
             for batch in batches:
-                if batch.num_rows:
-                    reducer.add(pa.Table.from_batches([batch]))
+                for part in _parts(pa.Table.from_batches([batch]), reducer):
+                    reducer.add(part)
                     if getattr(reducer, "streams", False):
                         yield from typed(reducer.rows()).to_batches()
             yield from typed(reducer.rows()).to_batches()
@@ -90,8 +107,8 @@ def reduced(chunks: DataFrame, queries: DataFrame, make: Callable[[pa.Table], Re
 
     def cell(left: pa.Table, right: pa.Table) -> pa.Table:
         reducer = make(left.drop_columns(["_t", "_c"]))
-        if left.num_rows and right.num_rows:
-            reducer.add(right.drop_columns(["_t", "_c"]))
+        for some in _parts(right.drop_columns(["_t", "_c"]), reducer) if left.num_rows else ():
+            reducer.add(some)
         return typed(reducer.rows())
 
     return asked.groupBy("_t", "_c").cogroup(met.groupBy("_t", "_c")).applyInArrow(cell, schema)

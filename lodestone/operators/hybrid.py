@@ -26,6 +26,8 @@ from lodestone.sources.shared import checkpoint
 DEFAULTS = Settings()
 #: Matches of words and questions that are counted at a time.
 _MATCHES = 4 << 20
+#: Bytes of questions whose lists a task holds; of more, tiles of so many meet tiles of chunks.
+HELD_BYTES = 4 << 20
 #: Tasks whose rows of a question are merged together before it is selected from.
 MERGED = 64
 
@@ -131,7 +133,7 @@ class Scorer:
 
     def scores(self, chunks: pa.Table) -> dict[str, np.ndarray]:
         """dense, overlap, lexical, adjustment, score, late and matched, questions x chunks; clauses and expansions as lists of rows."""
-        s, n = self.settings, self.questions
+        settings, n = self.settings, self.questions
         near = (self.vectors @ matrix(_column(chunks, "embedding"), self.width).T + 1) / 2
         dense = np.maximum.reduceat(near[: self.n_variants], self.variants, axis=0)
         shares = self.sets.shares(_column(chunks, "vocab"))
@@ -140,19 +142,19 @@ class Scorer:
         cbits = _bits(_column(chunks, "cmodes"), self.modes)
         matched = (self.qbits[:, None] & cbits) != 0
         strict = np.int64(1 << self.modes.index(self.strict)) if self.strict in self.modes else np.int64(0)
-        unwelcome = np.where((cbits & strict) != 0, -s.acan_mismatch_penalty, np.where(cbits != 0, -s.mode_mismatch_penalty, 0.0))
+        unwelcome = np.where((cbits & strict) != 0, -settings.acan_mismatch_penalty, np.where(cbits != 0, -settings.mode_mismatch_penalty, 0.0))
         broad = np.where(np.bitwise_count(self.qbits) >= 2, 0.4, 1.0)[:, None]
         unwelcome = np.where((cbits & strict) != 0, unwelcome, unwelcome * broad)
-        adjustment = np.where(self.qbits[:, None] == 0, 0.0, np.where(matched, s.mode_match_bonus, unwelcome))
-        weight = min(1.0, max(0.0, s.retrieval_alpha))
+        adjustment = np.where(self.qbits[:, None] == 0, 0.0, np.where(matched, settings.mode_match_bonus, unwelcome))
+        weight = min(1.0, max(0.0, settings.retrieval_alpha))
         score, late = weight * dense + (1 - weight) * lexical, np.zeros(dense.shape, bool)
-        if s.enable_mode_routing:
+        if settings.enable_mode_routing:
             score = np.clip(score + adjustment, 0.0, 1.0)
             late = ((cbits & strict) != 0) & ((self.qbits & strict) == 0)[:, None]
         clauses, expansions = [], []
         for q in range(n):
-            clauses.append([np.where(shares[w] >= s.clause_min_overlap, 0.75 * shares[w] + 0.25 * near[v] + 0.1 * shares[b], np.nan) for v, w, b in self.clauses[q]])
-            expansions.append([np.where(shares[w] >= s.expansion_min_overlap, 0.55 * shares[w] + 0.35 * near[v] + np.where(matched[q], 0.08, 0.0), np.nan) for v, w, _ in self.extras[q]])
+            clauses.append([np.where(shares[w] >= settings.clause_min_overlap, 0.75 * shares[w] + 0.25 * near[v] + 0.1 * shares[b], np.nan) for v, w, b in self.clauses[q]])
+            expansions.append([np.where(shares[w] >= settings.expansion_min_overlap, 0.55 * shares[w] + 0.35 * near[v] + np.where(matched[q], 0.08, 0.0), np.nan) for v, w, _ in self.extras[q]])
         return {"dense": dense, "overlap": overlap, "lexical": lexical, "adjustment": adjustment, "score": score, "late": late, "matched": matched, "modes": self.qbits[:, None] & cbits, "clauses": clauses, "expansions": expansions}
 
 
@@ -234,6 +236,10 @@ class Candidates:
     digits: int | None = None
     held: list[dict] = field(default_factory=list)
 
+    @property
+    def at_once(self) -> int:
+        return grid.at_once(max(len(self.scorer.vectors), len(self.scorer.sets.sizes)))
+
     def add(self, chunks: pa.Table) -> None:
         if not self.scorer.questions:
             return
@@ -320,6 +326,7 @@ def greatest_overlaps(chunks: DataFrame, questions: DataFrame, *, limit: int = g
             self.ids = _column(table, "query_id")
             self.sets = TokenSets(_column(table, "tokens").to_pylist())
             self.most = np.zeros(len(self.ids))
+            self.at_once = grid.at_once(len(self.ids))
 
         def add(self, table: pa.Table) -> None:
             self.most = np.maximum(self.most, self.sets.shares(_column(table, "vocab")).max(1, initial=0.0))
@@ -340,6 +347,7 @@ def pairs(chunks: DataFrame, questions: DataFrame, modes: Sequence[str], setting
 
         def __init__(self, table: pa.Table) -> None:
             self.scorer, self.parts = Scorer(table, modes, settings), []
+            self.at_once = grid.at_once(max(len(self.scorer.vectors), len(self.scorer.sets.sizes)))
 
         def add(self, table: pa.Table) -> None:
             n = self.scorer.questions
@@ -358,7 +366,7 @@ def pairs(chunks: DataFrame, questions: DataFrame, modes: Sequence[str], setting
     return grid.reduced(chunks.select("chunk_id", "embedding", "vocab", "cmodes"), checkpoint(asked(questions)), Every, schema, limit=limit, tile=grid.PAIR_TILE_BYTES)
 
 
-def candidates(chunks: DataFrame, questions: DataFrame, lists: Lists, modes: Sequence[str] = (), settings: Settings = DEFAULTS, *, digits: int | None = None, limit: int = grid.MAX_BROADCAST_BYTES, tile: int = grid.TILE_BYTES) -> DataFrame:
+def candidates(chunks: DataFrame, questions: DataFrame, lists: Lists, modes: Sequence[str] = (), settings: Settings = DEFAULTS, *, digits: int | None = None, limit: int = HELD_BYTES, tile: int = HELD_BYTES) -> DataFrame:
     """The rows of each question that ``lists`` keep: (query_id, chunk_id, source, dense, overlap, score, late, matched, modes, query_modes, clauses, expansions).
 
     ``chunks`` has chunk_id, source, embedding, vocab and cmodes. Each task scores its chunks once and sends what the lists hold; those of many tasks are

@@ -54,6 +54,7 @@ class _Nearest:
         self.starts = starts[:-1]
         self.vectors = variants.flatten().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(int(starts[-1]), -1)
         self.held: list[pa.Table] = []
+        self.at_once = grid.at_once(len(self.vectors))
 
     def add(self, chunks: pa.Table) -> None:
         key, vector = chunks.column_names[:2]
@@ -116,6 +117,7 @@ def lexical_scores(chunks: DataFrame, queries: DataFrame, chunk_key: str = "chun
         def __init__(self, table: pa.Table) -> None:
             self.ids, self.sets = table.column("query_id").combine_chunks(), TokenSets(table.column("tokens").to_pylist())
             self.parts: list[pa.Table] = []
+            self.at_once = grid.at_once(len(self.ids))
 
         def add(self, table: pa.Table) -> None:
             shares = self.sets.shares(table.column("vocab").combine_chunks())

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import values as V
 from lodestone.functions.text import content_tokens, token_count
-from lodestone.operators import conflicts, feedback, grid, hybrid, models, packing, scoring, selection
+from lodestone.operators import conflicts, feedback, hybrid, models, packing, scoring, selection
 from lodestone.operators.models import Factory, OfflineClient
 from lodestone.settings import Settings
 from lodestone.sources.shared import checkpoint
@@ -104,7 +104,7 @@ def classified(questions: DataFrame, history: DataFrame | None = None, client: F
     return models.asked(_recent(history, questions), message, client, name="classified", max_tokens=settings.max_output_tokens).drop("_said")
 
 
-def candidates(chunks: DataFrame, questions: DataFrame, settings: Settings = DEFAULTS, *, limit: int = grid.MAX_BROADCAST_BYTES) -> DataFrame:
+def candidates(chunks: DataFrame, questions: DataFrame, settings: Settings = DEFAULTS, *, limit: int = hybrid.HELD_BYTES) -> DataFrame:
     """The rows of prepared questions and indexed chunks that selection can take: dense, overlap and score, with what the passes need.
 
     A question's greatest overlap, which scales the others, takes a pass over the vocabularies alone.
@@ -112,7 +112,7 @@ def candidates(chunks: DataFrame, questions: DataFrame, settings: Settings = DEF
     k, cap, pool = settings.top_k, max(1, settings.max_chunks_per_source), max(settings.top_k, settings.retrieval_candidate_pool)
     modes = sorted(V.MODE_PHRASES)
     covered = settings.enable_mode_routing and settings.enable_mode_coverage
-    most = hybrid.greatest_overlaps(chunks, questions, limit=limit)
+    most = hybrid.greatest_overlaps(chunks, questions)
     ready = questions.drop("most").join(most, "query_id", "left")
     named = chunks.withColumn("source", F.col("source_path"))
     return hybrid.candidates(named, ready, hybrid.Lists(k, cap, pool, len(modes) if covered else 0), modes, settings, limit=limit)

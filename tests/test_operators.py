@@ -222,6 +222,14 @@ def test_a_task_sends_few_rows_whatever_the_sources(spark):
         assert rows.count() <= 2 * (pool + 2 * (pool + 2 * k) + 6 * k)
 
 
+def test_many_queries_take_few_chunks_at_a_time():
+    table = hybrid.pa.table({"x": list(range(10))})
+    few, any_ = type("Few", (), {"at_once": 4})(), object()
+    assert [p.column("x").to_pylist() for p in hybrid.grid._parts(table, few)] == [[0, 1, 2, 3], [4, 5, 6, 7], [8, 9]]
+    assert [p.num_rows for p in hybrid.grid._parts(table, any_)] == [10] and list(hybrid.grid._parts(table.slice(0, 0), few)) == []
+    assert hybrid.grid.at_once(10**6) == 16 and hybrid.grid.at_once(4) == hybrid.grid.CELLS // 4
+
+
 def test_lists_of_a_union_are_the_lists_of_the_lists():
     draw = np.random.default_rng(1)
     lists = hybrid.Lists(2, 1, 3, 2)
