@@ -93,6 +93,13 @@ def test_urls(spark):
     assert column(spark, forms, urls.in_scope("x", forms=True)) == [True]
 
 
+def test_rewrites_leave_out_the_question_in_any_case(spark):
+    from lodestone.operators.models import rewritten
+
+    raw = ['{"queries": ["DIE STRASSE?", "die stra\u00dfe?", "die Strasse", "x"]}']
+    assert column(spark, raw, rewritten(F.col("x"), F.lit("  Die Stra\u00dfe? "))) == [["die Strasse", "x"]]
+
+
 def test_rewrites(spark):
     from lodestone.operators.models import intent, rewritten, verdict
 
