@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -200,12 +201,28 @@ def states(numbers: np.ndarray, seed: int = SEED) -> np.ndarray:
     return out
 
 
+def _spaced(numbers: np.ndarray, step: int, lanes: int) -> np.ndarray:
+    """The generator's states after the given numbers of draws, a row each, and in its further lanes those each ``step`` draws later."""
+    out = np.empty((len(numbers), lanes), np.uint32)
+    out[:, 0] = states(numbers)
+    jump = np.uint32(1) << np.arange(32, dtype=np.uint32)
+    for j in range(step.bit_length()):
+        if step >> j & 1:
+            jump = _moved(jump, _jumps()[j])
+    have = 1
+    while have < lanes:
+        more = min(have, lanes - have)
+        out[:, have : have + more] = _moved(out[:, :more], jump)
+        jump, have = _moved(jump, jump), have + more
+    return out
+
+
 def sample_sums(x: np.ndarray, low: int, n: int, samples: np.ndarray) -> np.ndarray:
     """Each sample's sum over its draws, of ``n`` values, that fall on ``x``, the values from number ``low`` on."""
     lanes = max(1, min(n, LANES // len(samples)))
     length = -(-n // lanes)
     ahead = np.arange(lanes, dtype=np.int64) * length
-    state = states(samples.astype(np.int64)[:, None] * n + ahead)
+    state = _spaced(samples.astype(np.int64) * n, length, lanes)
     out = np.zeros(len(samples))
     padded = np.append(x, 0.0)
     for t in range(length):
@@ -220,20 +237,45 @@ def sample_sums(x: np.ndarray, low: int, n: int, samples: np.ndarray) -> np.ndar
 BOOTSTRAP_BLOCK, BOOTSTRAP_DRAWS, LANES, MET_DRAWS = 1 << 20, 200_000_000, 1 << 16, 50_000_000
 #: Draws made at a time when a group has several blocks.
 STRETCH = 1 << 22
+#: Values, and draws, of a group that is resampled as one row of a batch; such rows are taken so many at a time.
+BOOTSTRAP_WHOLE, WHOLE_DRAWS, WHOLE_ROWS = 1024, 1 << 20, 1000
 
 
-def drawn(n: int, first: int, count: int) -> np.ndarray:
-    """The values, by number below ``n``, that ``count`` draws from number ``first`` on fall on; each is made once."""
+def _numbers(first: int, count: int) -> np.ndarray:
+    """The generator's ``count`` numbers from draw ``first`` on."""
     lanes = max(1, min(count, LANES))
     length = -(-count // lanes)
-    state = states(first + np.arange(lanes, dtype=np.int64) * length)
-    out = np.empty((length, lanes), np.int64)
+    state = _spaced(np.array([first], np.int64), length, lanes)[0]
+    out = np.empty((length, lanes), np.uint32)
     for t in range(length):
-        state = _step(state)
-        out[t] = state % np.uint32(n) if n < 1 << 32 else state
+        out[t] = state = _step(state)
     return out.T.ravel()[:count]
 
 
+def drawn(n: int, first: int, count: int) -> np.ndarray:
+    """The values, by number below ``n``, that ``count`` draws from number ``first`` on fall on; each is made once."""
+    numbers = _numbers(first, count)
+    return (numbers % np.uint32(n) if n < 1 << 32 else numbers).astype(np.int64)
+
+
+def _whole(lists: pa.ListArray, numbers: np.ndarray, resamples: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each list of values its length and both ends of the interval; lists of one length share their draws, the first of ``numbers``."""
+    lengths, flat = pc.list_value_length(lists).to_numpy(zero_copy_only=False), lists.flatten().to_numpy(zero_copy_only=False)
+    begins, out = np.cumsum(lengths) - lengths, np.empty((len(lists), 2))
+    places = [p * (resamples - 1) for p in (0.025, 0.975)]
+    near = [(int(np.floor(p)), int(np.ceil(p))) for p in places]
+    for n in np.unique(lengths).tolist():
+        at = (numbers[: resamples * n] % np.uint32(n)).astype(np.intp).reshape(resamples, n)
+        for i in np.flatnonzero(lengths == n).tolist():
+            means_ = np.partition(flat[begins[i] : begins[i] + n][at].sum(axis=1) / n, sorted({j for pair in near for j in pair}))
+            for e, (low, high) in enumerate(near):
+                a, b = means_[low], means_[high]
+                out[i, e] = a if low == high or a == b else (high - places[e]) * a + (places[e] - low) * b
+            if n == 1:
+                out[i] = flat[begins[i]]
+    return lengths, out
+
+
 def _numbered(rows: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
     """(keys, x, i, n): each value's number by ``order`` within its group and the group's size, without a task that holds a group."""
     from lodestone.sources.shared import checkpoint
@@ -251,14 +293,54 @@ def _numbered(rows: DataFrame, keys: list[str], value: str, order: str) -> DataF
     return held.join(counts, same).select(*keys, "x", (F.col("at") + F.col("shift")).alias("i"), "n")
 
 
-def bootstrap(rows: DataFrame, value: str, order: str, by: Sequence[str], *, resamples: int = RESAMPLES, digits: int = 6, block: int = BOOTSTRAP_BLOCK, draws: int = BOOTSTRAP_DRAWS) -> DataFrame:
+def bootstrap(rows: DataFrame, value: str, order: str, by: Sequence[str], *, resamples: int = RESAMPLES, digits: int = 6, block: int = BOOTSTRAP_BLOCK, draws: int = BOOTSTRAP_DRAWS, whole: int = BOOTSTRAP_WHOLE) -> DataFrame:
     """(by, low, high, n): the 95 % interval of the mean over resamples drawn by one generator in case order.
 
-    Groups may have any size. Their values are numbered and cut into blocks. A task takes some samples of a group of one block,
-    starts the generator where they begin and adds up. Draws of larger groups are made once, parted by the block that they fall
-    on, and meet it some samples at a time, so n values take as many draws as n values of one block do. Values of equal order are numbered by value.
+    Groups may have any size. One of at most ``whole`` values is a row that one task resamples; its draws are the first of the generator, whatever
+    the group, so a task makes them once and reduces them once for each size that it meets. Values of larger groups are numbered and cut into blocks.
+    A task takes some samples of a group of one block, starts the generator where they begin and adds up. Draws of still larger groups are made once,
+    parted by the block that they fall on, and meet it some samples at a time, so n values take as many draws as n values of one block do. Values of
+    equal order are numbered by value.
     """
-    keys = list(by)
+    from lodestone.sources.shared import checkpoint
+
+    keys, most = list(by), min(whole, block, max(1, WHOLE_DRAWS // resamples))
+    chosen = rows.where(F.col(value).isNotNull()).select(*[F.col(k) for k in keys], F.col(order).alias("o"), F.col(value).cast("double").alias("x"))
+    # each has more than ``most`` values, so these are few
+    large = checkpoint(chosen.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > most).select(*[F.col(k).alias(f"_{k}") for k in keys]))
+    if large.isEmpty():
+        ends = _ends_of_whole(chosen, keys, resamples)
+    else:
+        same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], F.lit(True))
+        ends = _ends_of_whole(chosen.join(large, same, "left_anti"), keys, resamples)
+        ends = ends.unionByName(_ends_of_blocks(chosen.join(large, same, "left_semi"), "x", "o", keys, resamples, block, draws))
+    end = lambda c: F.when(F.col("n") == 1, F.col(c)).otherwise(F.round(c, digits)).alias(c)
+    return ends.select(*keys, end("low"), end("high"), "n")
+
+
+def _ends_of_whole(chosen: DataFrame, keys: list[str], resamples: int) -> DataFrame:
+    """(keys, n, low, high) of groups that are small enough to be rows."""
+    names = {f.name: f.dataType for f in chosen.schema.fields}
+    lists = chosen.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col("o").isNull().alias("none"), "o", "x"))).alias("v")).select(*keys, F.col("v.x").alias("v"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = np.empty(0, np.uint32)
+        for batch in batches:
+            for i in range(0, batch.num_rows, WHOLE_ROWS):
+                part = batch.slice(i, WHOLE_ROWS)
+                values = part.column("v")
+                longest = pc.max(pc.list_value_length(values)).as_py()
+                if len(numbers) < resamples * longest:
+                    numbers = _numbers(0, resamples * longest)
+                n, ends = _whole(values, numbers, resamples)
+                yield pa.RecordBatch.from_arrays([*[part.column(k) for k in keys], pa.array(n.astype(np.int64)), *[pa.array(e) for e in ends.T]], names=[*keys, "n", "low", "high"])
+
+    kinds = "".join(f"`{k}` {names[k].simpleString()}, " for k in keys)
+    return lists.mapInArrow(run, f"{kinds}n long, low double, high double")
+
+
+def _ends_of_blocks(rows: DataFrame, value: str, order: str, keys: list[str], resamples: int, block: int, draws: int) -> DataFrame:
+    """(keys, n, low, high) of groups whose values are numbered and cut into blocks."""
     names = {f.name: f.dataType for f in rows.schema.fields}
     kinds = "".join(f"`{k}` {names[k].simpleString()}, " for k in keys)
     numbered = _numbered(rows, keys, value, order).withColumn("block", F.expr(f"i div {block}"))
@@ -278,12 +360,13 @@ def bootstrap(rows: DataFrame, value: str, order: str, by: Sequence[str], *, res
         held = [table.column(k).take(pa.array([0] * len(samples))) for k in keys]
         return pa.Table.from_arrays([*held, pa.array([n] * len(samples)), pa.array(samples), pa.array(sums)], names=[*keys, "n", "sample", "total"])
 
-    sums = tasks.groupBy(*keys, "block", "from").applyInArrow(summed, f"{kinds}n long, sample long, total double")
+    # few bytes make many draws, so these tasks are dealt out by number and not joined by size
+    at_once, together = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), [*keys, "block", "from"]
+    sums = tasks.repartition(at_once, *together).groupBy(*together).applyInArrow(summed, f"{kinds}n long, sample long, total double")
     sums = sums.unionByName(_large_sums(numbered, packs.where(F.col("n") > block), keys, kinds, resamples, block))
     means_ = sums.groupBy(*keys, "n", "sample").agg((F.sum("total") / F.col("n")).alias("m"))
-    ends = means_.groupBy(*keys, "n").agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"), F.min("m").alias("least"))
-    end = lambda i: F.when(F.col("n") == 1, F.col("least")).otherwise(F.round(F.col("q")[i], digits))
-    return ends.select(*keys, end(0).alias("low"), end(1).alias("high"), "n")
+    ends = means_.groupBy(*keys, "n").agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
+    return ends.select(*keys, "n", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
 
 
 def _large_sums(numbered: DataFrame, packs: DataFrame, keys: list[str], kinds: str, resamples: int, block: int) -> DataFrame:

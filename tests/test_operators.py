@@ -538,6 +538,29 @@ def test_bootstrap_in_blocks_equals_a_plain_loop(spark):
         assert {g: r.n for g, r in got.items()} == {"a": 57, "b": 2, None: 23}
 
 
+def test_groups_of_one_size_share_their_draws(spark, monkeypatch):
+    sizes = [3] * 40 + [1, 2, 50, 64, 65, 300]
+    groups = {g: [((g + 3) * i * 37 % 101) / 7 for i in range(n)] for g, n in enumerate(sizes)}
+    groups[None] = [1.0, 9.0, 2.5, 4.0]
+    df = spark.createDataFrame([(g, i if i else None, v) for g, values in groups.items() for i, v in enumerate([*values[1:], values[0]], 1) for i in [i % len(values)]], "g int, i int, v double").repartition(3)
+    ordered = {g: [*v[1:], v[0]] for g, v in groups.items()}  # a row without order comes last
+    for whole in (1024, 64):
+        got = {r.g: r for r in metrics.bootstrap(df, "v", "i", ["g"], resamples=40, whole=whole).collect()}
+        assert {g: r.n for g, r in got.items()} == {g: len(v) for g, v in groups.items()}
+        assert {g: [r.low, r.high] for g, r in got.items()} == {g: pytest.approx(plain_interval(v, 40), abs=2e-6) for g, v in ordered.items()}
+    # no generator is started for a group: a task takes the draws of 40 groups from its first numbers
+    import pyarrow as pa
+
+    numbers, calls = metrics._numbers(0, 3 * 1000), []
+    monkeypatch.setattr(metrics, "_moved", lambda *x: calls.append(x))
+    lists = pa.array([groups[g] for g in range(40)], pa.list_(pa.float64()))
+    lengths, ends = metrics._whole(lists, numbers, 1000)
+    assert lengths.tolist() == [3] * 40 and ends.shape == (40, 2) and not calls
+    # and neither groups nor resamples are shuffled as rows of their own
+    text = metrics.bootstrap(df.where("g < 40"), "v", "i", ["g"])._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("MapInArrow") == 1 and "FlatMapGroupsInArrow" not in text
+
+
 def test_draws_of_large_groups_are_made_once(spark, monkeypatch):
     n = 5_000
     state, want = np.full(1, metrics.SEED, np.uint32), []
