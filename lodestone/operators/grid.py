@@ -11,7 +11,7 @@ from functools import reduce
 from typing import Protocol
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -24,8 +24,10 @@ TILE_BYTES = 32 << 20
 PAIR_TILE_BYTES = 1 << 20
 
 
-#: Numbers in a matrix of queries and chunks at a time.
-CELLS = 4 << 20
+#: Numbers in a matrix of queries and chunks at a time; a reducer holds a dozen such matrices or more.
+CELLS = 1 << 20
+#: Bytes of chunks that go to a worker at a time, and Spark's own choice, which is replaced by it.
+BATCH_BYTES, SPARK_BATCH_BYTES = 8 << 20, "67108864b"
 
 
 class Reducer(Protocol):
@@ -76,12 +78,20 @@ def at_once(queries: int) -> int:
     return max(16, CELLS // max(1, queries))
 
 
+def modest_batches(spark: SparkSession) -> None:
+    """Send at most ``BATCH_BYTES`` to Python at a time, unless the session asks for other batches."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == SPARK_BATCH_BYTES:
+        spark.conf.set(name, BATCH_BYTES)
+
+
 def reduced(chunks: DataFrame, queries: DataFrame, make: Callable[[pa.Table], Reducer], schema: str, *, limit: int = MAX_BROADCAST_BYTES, tile: int = TILE_BYTES) -> DataFrame:
     """Rows that reducers of all queries and parts of the chunks keep.
 
     The first column of both tables is their key, which must not be null. Queries of at most ``limit`` bytes are sent to every task; of more,
     tiles of queries and tiles of chunks meet in the cells of a grid, so a query is shuffled once for each tile of chunks and the other way round.
     """
+    modest_batches(chunks.sparkSession)
     total, n = _total(queries)
     kind = to_arrow_schema(T.StructType.fromDDL(schema))
     typed = lambda rows: rows.select(kind.names).cast(kind) if rows.num_columns else kind.empty_table()

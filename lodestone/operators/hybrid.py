@@ -25,11 +25,11 @@ from lodestone.sources.shared import checkpoint
 
 DEFAULTS = Settings()
 #: Matches of words and questions that are counted at a time.
-_MATCHES = 4 << 20
+_MATCHES = 1 << 20
 #: Bytes of questions whose lists a task holds; of more, tiles of so many meet tiles of chunks.
 HELD_BYTES = 4 << 20
-#: Tasks whose rows of a question are merged together before it is selected from.
-MERGED = 64
+#: Tasks whose rows of a question are merged together before it is selected from, and buckets of questions for each shuffle partition.
+MERGED, BUCKETS = 64, 16
 
 
 # --- scores of a batch -----------------------------------------------------------------------------------------------
@@ -399,6 +399,6 @@ def merged(found: DataFrame, lists: Lists, modes: Sequence[str] = ()) -> DataFra
             keep.append(at[lists.kept(some, values)])
         return table.select(columns).take(pa.array(np.concatenate(keep)))
 
-    buckets = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = BUCKETS * int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = found.withColumns({"_part": F.floor(F.spark_partition_id() / MERGED), "_bucket": F.pmod(F.xxhash64("query_id"), F.lit(buckets))})
     return dealt.groupBy("_bucket", "_part").applyInArrow(merge, found.schema)

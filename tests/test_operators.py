@@ -538,6 +538,46 @@ def test_bootstrap_in_blocks_equals_a_plain_loop(spark):
         assert {g: r.n for g, r in got.items()} == {"a": 57, "b": 2, None: 23}
 
 
+def test_batches_of_chunks_and_their_matrices_are_modest(spark):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from lodestone.operators import grid, hybrid
+    from lodestone.settings import Settings
+
+    class Widest:
+        at_once = 1 << 30
+
+        def __init__(self, table):
+            self.most, self.n = 0, 0
+
+        def add(self, table):
+            self.most, self.n = max(self.most, table.nbytes), self.n + table.num_rows
+
+        def rows(self):
+            return pa.table({"n": [self.n], "most": [self.most]})
+
+    chunks = spark.range(0, 3_000, 1, 1).selectExpr("id AS chunk_id", "array_repeat('a word', 1000) AS vocab")
+    seen = grid.reduced(chunks, spark.range(1).selectExpr("id AS query_id"), Widest, "n long, most long").collect()
+    assert sum(r.n for r in seen) == 3_000 and 0 < max(r.most for r in seen) <= 10 << 20
+    # what a worker works out for all questions at once does not depend on how many chunks a batch has
+    rng = np.random.default_rng(1)
+    words = [f"w{i}" for i in range(2_000)]
+    part = lambda: {"tokens": rng.choice(words, 8).tolist(), "embedding": rng.normal(size=16).tolist(), "beside": []}
+    asked = [{"query_id": q, "vectors": [rng.normal(size=16).tolist()], "tokens": [], "qmodes": [], "most": 0.0, "clauses": [part(), part()], "extras": []} for q in range(200)]
+    scorer = hybrid.Scorer(pa.Table.from_pylist(asked), (), Settings(enable_mode_routing=False))
+    held = hybrid.Candidates(scorer, hybrid.Lists(11, 3, 0), pa.int64(), pa.int64())
+    n = min(4_096, held.at_once)
+    vocab = [rng.choice(words, 100, replace=False).tolist() for _ in range(n)]
+    table = pa.table({"chunk_id": np.arange(n), "source": np.arange(n) % 50, "embedding": rng.normal(size=(n, 16)).tolist(), "vocab": vocab, "cmodes": pa.array([[]] * n, pa.list_(pa.string()))})
+    tracemalloc.start()
+    held.add(table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20
+
+
 def test_groups_of_one_size_share_their_draws(spark, monkeypatch):
     sizes = [3] * 40 + [1, 2, 50, 64, 65, 300]
     groups = {g: [((g + 3) * i * 37 % 101) / 7 for i in range(n)] for g, n in enumerate(sizes)}
